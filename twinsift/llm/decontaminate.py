@@ -138,9 +138,26 @@ def _digest(rows: list[tuple[int, int, list]]) -> list[pa.Array]:
 
 
 FOUND = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"]
+BLANK = {
+    "n_words": lambda: F.lit(0),
+    "n_hit": lambda: F.lit(0),
+    "n_items": lambda: F.lit(0),
+    "items_sha256": lambda: F.lit(EMPTY_SHA),
+    "contaminated": lambda: F.lit(False),
+    "item_ids": lambda: F.array().cast("array<string>"),
+}
 FOUND_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
 
 
+def _items(benchmark: DataFrame, send_bytes: int):
+    """The usable items, and a broadcast of them if their text is of at most ``send_bytes``, else ``None``."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > send_bytes:
+        return items, None
+    return items, benchmark.sparkSession.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.distinct().collect()])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, send_bytes: int = SEND_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Finds benchmark passages of ``span`` words in whole texts; one row per row of ``docs``.
 
@@ -153,14 +170,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, send_by
     one is joined by fingerprint. Null and wordless texts have no words and no hits; null or repeated ids,
     repeated rows and extra columns change nothing; an empty benchmark hits nothing; no rows give no rows.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > send_bytes:
-        return _joined(rows, items, kind, span)
-    sent = spark.sparkContext.broadcast([(r[0], r[1].encode()) for r in items.distinct().collect()])
+    items, sent = _items(benchmark, send_bytes)
+    if sent is None:
+        texts = rows.withColumn("key", F.sha2("text", 256))
+        out = texts.select("doc_id", "key").join(_judged(texts, items, span, Stash(docs.sparkSession)), "key", "left")
+        return out.select("doc_id", *(F.coalesce(c, BLANK[c]()).alias(c) for c in FOUND))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value, span)
@@ -194,15 +210,13 @@ def _keep_grams(spans: list[int], span: int, whole: bool):
     return run
 
 
-def _joined(rows: DataFrame, items: DataFrame, kind: str, span: int) -> DataFrame:
-    """The same rows for a benchmark of any size: fingerprints are joined, then each text meets its candidates.
+def _judged(texts: DataFrame, items: DataFrame, span: int, stash: Stash) -> DataFrame:
+    """``(key, FOUND...)`` per distinct text of ``texts(key, text)`` for a benchmark of any size.
 
-    Rows are known by the digest of their text, so copies are judged once and joined back.
+    Fingerprints are joined, then each text meets its candidates; copies are judged once.
     """
-    stash = Stash(rows.sparkSession)
     items = items.distinct().withColumn("item_key", F.monotonically_increasing_id())
     items = stash.put(items, "items")
-    texts = rows.withColumn("key", F.sha2("text", 256))
     once = stash.put(texts.where("text is not null").dropDuplicates(["key"]).select("key", "text"), "texts")
     all_spans = list(range(1, span + 1))
     theirs = items.select(F.col("item_key").alias("key"), "text").mapInArrow(_keep_grams(all_spans, span, True), "key long, fp long")
@@ -220,7 +234,21 @@ def _joined(rows: DataFrame, items: DataFrame, kind: str, span: int) -> DataFram
                 out += index.hits([text])
             yield pa.RecordBatch.from_arrays([batch.column(0), *_digest(out)], ["key", *FOUND])
 
-    judged = stash.put(full.mapInArrow(run, f"key string, {FOUND_SCHEMA}"), "judged")
-    out = texts.select("doc_id", "key").join(judged, "key", "left")
-    blank = {"n_words": F.lit(0), "n_hit": F.lit(0), "n_items": F.lit(0), "items_sha256": F.lit(EMPTY_SHA), "contaminated": F.lit(False), "item_ids": F.array().cast("array<string>")}
-    return out.select("doc_id", *(F.coalesce(c, blank[c]).alias(c) for c in FOUND))
+    return stash.put(full.mapInArrow(run, f"key string, {FOUND_SCHEMA}"), "judged")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, send_bytes: int = SEND_BYTES, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark passage (see :func:`contamination`), with all their columns."""
+    items, sent = _items(benchmark, send_bytes)
+    if sent is None:
+        texts = docs.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("text"))
+        bad = _judged(texts, items, span, Stash(docs.sparkSession)).where("contaminated").select(F.col("key").alias("bad_key"))
+        return docs.join(bad, F.sha2(docs[text_col], 256) == F.col("bad_key"), "left_anti")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(sent.value, span)
+        for batch in slices(batches, 256):
+            yield batch.filter(pa.array([r[1] == 0 for r in index.hits(as_bytes(batch.column(at)))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

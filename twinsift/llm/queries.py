@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, packing, simhash, tokens
+from twinsift.llm import decontaminate, packing, quality, simhash, tokens, urlfilter, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -25,6 +25,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and selection of every document, learnt from all labels' grades."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.select(docs, quality.fit(docs, quality.graded(table(spark, sf_dir, "labels"))))
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram of encoded lengths of all documents, with suffix sums."""
@@ -43,6 +50,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), errors=4)
 
 
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by the longest rule, else by its aliases."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
@@ -68,3 +97,60 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+SQL["op7_url_filter"] = r"""
+WITH RECURSIVE u AS (
+  SELECT page_id, html, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw_host,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS node
+  FROM u
+), t AS (
+  SELECT node, host, path, unnest([
+    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*\d*\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM p WHERE rest <> ''
+), tr AS (
+  SELECT node, CASE
+    WHEN position('://' IN target) > 0 THEN substr(target, position('://' IN target) + 3)
+    WHEN starts_with(target, '//') THEN substr(target, 3)
+    WHEN starts_with(target, '/') THEN host || target
+    ELSE host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || target END AS rest
+  FROM t WHERE target <> ''
+), e AS (
+  SELECT node AS a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b FROM tr
+), links AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (
+  SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), urls AS (
+  SELECT DISTINCT host, path FROM p
+  UNION SELECT regexp_extract(node, '^[^/?#]*'), regexp_extract(node, '^[^/?#]*([^?#]*)', 1) FROM reach
+), best AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM urls JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+), aliased AS (
+  SELECT r.node FROM reach r JOIN best b ON b.host = regexp_extract(r.seen, '^[^/?#]*') AND b.path = regexp_extract(r.seen, '^[^/?#]*([^?#]*)', 1)
+  GROUP BY r.node HAVING bool_or(b.verdict = 'block') AND NOT bool_or(b.verdict = 'allow')
+)
+SELECT page_id, p.host, p.path, rule, coalesce(best.verdict, CASE WHEN aliased.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path LEFT JOIN aliased ON aliased.node = p.node
+"""
+
+SQL["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""

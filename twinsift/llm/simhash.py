@@ -242,3 +242,15 @@ def near_duplicates(docs: DataFrame, errors: int = 4, size: int = 4, block: int
     return found.join(per_class, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, errors: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that stand for their group of near duplicates, with all their columns.
+
+    The document with the smallest id of each group stays, once if its row is repeated. Rows without an id
+    cannot be told apart by it: one of each text among them stays.
+    """
+    groups = near_duplicates(docs, errors, size, id_col=id_col, text_col=text_col)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.join(first, docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    return known.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
