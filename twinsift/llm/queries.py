@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, packing, quality, simhash, tokens, urlfilter, warc
+from twinsift.llm import decontaminate, embeddings, hmm, licenses, packing, quality, simhash, tokens, urlfilter, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -25,6 +25,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+@query
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors by cosine of at least 0.95."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and selection of every document, learnt from all labels' grades."""
@@ -72,6 +78,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=1000)
 
 
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under word counts and a hidden Markov model."""
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
@@ -154,3 +172,21 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
 FROM m
 """
+
+SQL["op2_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT a AS node, a AS seen FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON l.a = r.seen
+), n AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+), c AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON a = vec_id LEFT JOIN c ON node = vec_id
+"""
