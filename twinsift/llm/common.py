@@ -1,14 +1,11 @@
-"""Shared helpers: intermediate tables, byte-level word splitting and key-run iteration."""
+"""Shared helpers: byte-level word splitting and iteration over sorted batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the word class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased; every other byte
 #: becomes a space. Bytes of non-ASCII characters are all >= 0x80, so the class can be applied to UTF-8 bytes.
@@ -39,43 +36,6 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-class Stash:
-    """Writes intermediate results as Parquet under the shared folder that ``spark.checkpoint.dir`` names.
-
-    A written table cuts lineage and survives the loss of any executor. A folder of our own is taken only
-    where the session names none (local tests).
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="twinsift-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/twinsift-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def path(self, tag: str) -> str:
-        self.made += 1
-        return f"{self.root}/{self.made:03d}-{tag}"
-
-    def put(self, df: DataFrame, tag: str) -> DataFrame:
-        path = self.path(tag)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.stash_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table of this stash that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Groups a stream that is sorted by ``keys`` into tables of whole key groups of about ``rows`` rows."""
     held: list[pa.RecordBatch] = []

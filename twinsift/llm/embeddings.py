@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import Stash, key_runs, partitions, run_starts, slices, union_labels
-from twinsift.llm.components import connected_components
+from twinsift.llm.common import key_runs, run_starts, slices, union_labels
+from twinsift.operators.components import connected_components
+from twinsift.stash import Stash, partitions
 
 #: Vectors of one bucket that a task compares with those of another part of it.
 BLOCK = 1024

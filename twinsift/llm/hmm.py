@@ -12,7 +12,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import Stash, as_bytes, partitions, slices, space_words
+from twinsift.llm.common import as_bytes, slices, space_words
+from twinsift.stash import Stash, partitions
 
 END = b""
 #: Words with an emission of their own at most; all other words share one, split by their counts.

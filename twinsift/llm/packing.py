@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.llm.bpe import encoder
-from twinsift.llm.common import Stash, partitions, slices
+from twinsift.llm.common import slices
+from twinsift.stash import Stash, partitions
 
 END = b"\x00\x00\x00\x00"
 RANK_BITS = 48

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import Stash, as_bytes, key_runs, partitions, run_starts, slices, space_words, union_labels
-from twinsift.llm.components import connected_components
+from twinsift.llm.common import as_bytes, key_runs, run_starts, slices, space_words, union_labels
+from twinsift.operators.components import connected_components
+from twinsift.stash import Stash, partitions
 
 BITS = 64
 LANES = np.uint64(0x0101010101010101)

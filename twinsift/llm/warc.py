@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import Stash, as_bytes, slices
+from twinsift.llm.common import as_bytes, slices
+from twinsift.stash import Stash
 
 MAGIC = b"\x1f\x8b\x08"
 #: The last byte of a gzip member is the top byte of its length, zero below 16 MiB. Spark's text writer puts a
