@@ -140,7 +140,7 @@ def pack(found: DataFrame, stash: Stash, capacity: int = 2048) -> DataFrame:
     plan = sorted(best_fit_plan(counts, capacity))
     keys = np.array([(p[0] << RANK_BITS) + p[1] for p in plan], np.int64)
     table = np.array(plan, np.int64).reshape(-1, 6)
-    buckets = max(16, min(4096, 4 * partitions(spark)))
+    buckets = max(16, min(4096, partitions(spark)))
     rows = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     per = rows.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
