@@ -73,7 +73,7 @@ def test_filter_errors(spark):
         (["pad,4"], "42", "0042"),
         (["pad,1"], "42", "42"),
         (["camelsplit", "join,_"], "fooBarBaz", "foo_Bar_Baz"),
-        (["split,[,;]", "peek,-1"], "a;b,c", "c"),
+        (["split,[;:]", "peek,-1"], "a;b:c", "c"),
         (["split, ", "pop", "shift", "push,z", "join,+"], "a b c d", "b+c+z"),
         (["split, ", "foreach,upper|mid:0:1", "join,"], "ab cd", "AC"),
         (["toint"], "x", 0),

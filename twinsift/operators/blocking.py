@@ -15,7 +15,7 @@ def _cuts(bits: int, bands: int) -> list[tuple[int, int]]:
 
 
 def _slice(word: Column, at: int, width: int) -> Column:
-    return F.shiftrightunsigned(word, at).bitwiseAND((1 << width) - 1)
+    return word if width == 64 else F.shiftrightunsigned(word, at).bitwiseAND((1 << width) - 1)
 
 
 def _bands(words: list[Column], bands: int) -> list[Column]:
