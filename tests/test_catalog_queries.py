@@ -16,5 +16,25 @@ def test_same_rows_as_sql(spark, duck, name):
     same(q.QUERIES[name](spark, FOLDER), q.SQL[name], duck)
 
 
+NO_SQL = {"sort_similar", "image_hashes", "mirrored_hashes", "patch_hashes", "palettes", "frame_compress", "frame_resume", "stream_frames"}
+
+
 def test_every_query_without_sql_is_known():
-    assert set(q.QUERIES) - set(q.SQL) == {"sort_similar"}
+    assert set(q.QUERIES) - set(q.SQL) == NO_SQL
+
+
+@pytest.mark.parametrize("name", sorted(NO_SQL))
+def test_without_sql_is_repeatable(spark, name):
+    a, b = (sorted(map(str, q.QUERIES[name](spark, FOLDER).collect())) for _ in range(2))
+    assert a == b and a
+
+
+def test_chains_hold_every_item_once(spark):
+    got = q.QUERIES["sort_similar"](spark, FOLDER).collect()
+    assert sorted(r["id"] for r in got) == list(range(1, 201))
+    assert len({(r["component"], r["nth"]) for r in got}) == len(got)
+
+
+def test_stream_equals_batch(spark):
+    a = q.QUERIES["frame_compress"](spark, FOLDER).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, q.QUERIES["stream_frames"](spark, FOLDER).collect()))

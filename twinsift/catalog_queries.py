@@ -17,6 +17,9 @@ from twinsift.operators import exact, select, similar, sorting, state
 from twinsift.operators import groups as G
 from twinsift.operators.blocking import radix_join, radix_stats
 from twinsift.plans import deletions, moves
+from twinsift.sources import features
+from twinsift.stash import Stash
+from twinsift.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -927,3 +930,83 @@ def eval_frames(spark, d):
     pos = F.when(F.col("id") % 3 == 0, 2).otherwise(1)
     found = m.where("id % 10 <> 1").select(F.col("id").alias("needle"), F.when(F.col("id") % 10 == 2, -1).otherwise(F.col("label") + 1).alias("media_id"), pos.alias("pos"), (F.col("id") % 100 + F.col("id") % 4).cast("int").alias("dst_in"))
     return V.frame_summary(V.frames(expected, found))
+
+
+# Feature jobs and streams ---------------------------------------------------------------------------------
+
+_AHASH = " + ".join(f"CASE WHEN v[{i + 1}] > m THEN {1 << i}::HUGEINT ELSE 0 END" for i in range(63))
+
+
+@query(f"SELECT path, CAST({_AHASH} - CASE WHEN v[64] > m THEN {1 << 63}::HUGEINT ELSE 0 END AS BIGINT) AS ahash FROM (SELECT path, v, list_sum(v) / 64 AS m FROM levels)", "levels")
+def average_hash(spark, d):
+    return features.image_hashes(T.pixels(spark, d)).select("path", "ahash")
+
+
+@query()
+def image_hashes(spark, d):
+    return features.image_hashes(T.pixels(spark, d), crop=True)
+
+
+@query()
+def mirrored_hashes(spark, d):
+    return features.mirrored_hashes(T.pixels(spark, d))
+
+
+@query()
+def patch_hashes(spark, d):
+    return features.patch_hashes(T.pixels(spark, d), least=2)
+
+
+@query()
+def palettes(spark, d):
+    out = features.palettes(T.pixels(spark, d))
+    return out.select("path", "num_colors", F.transform("colors", lambda c: F.round(c["l"], 3)).alias("lightness"))
+
+
+@query()
+def frame_compress(spark, d):
+    return features.compress_frames(T.frames(spark, d), 30)
+
+
+@query()
+def frame_resume(spark, d):
+    f = T.frames(spark, d)
+    first = features.compress_frames(f.where("frame < 60"), 30)
+    return first.unionByName(features.compress_frames(f, 30, features.last_kept(first)))
+
+
+@query()
+def stream_frames(spark, d):
+    """The same frames as :func:`frame_compress`, by a stream with state."""
+    stash = Stash(spark)
+    last = F.col("frame") == F.max("frame").over(Window.partitionBy("media_id"))
+    source = stash.put(T.frames(spark, d).withColumn("last", last), "frames")
+    stream = spark.readStream.schema(source.schema).parquet(source.stash_path)
+    out = stash.path("kept")
+    kept = ingest.compress_stream(stream, 30).writeStream.format("parquet").option("path", out).option("checkpointLocation", stash.path("state"))
+    kept.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("media_id long, frame int, hash long").parquet(out)
+
+
+@query(""", n AS (SELECT id AS needle, phash AS hash, md5 FROM mediah WHERE id % 50 = 0), live AS (SELECT DISTINCT weed_md5 FROM weeds WHERE orig_md5 IN (SELECT md5 FROM media)
+), f AS (SELECT n.needle, m.id AS media_id, CAST(bit_count(xor(hash, m.phash)) AS INTEGER) AS score FROM n JOIN mediah m ON hash <> 0 AND m.phash <> 0 AND bit_count(xor(hash, m.phash)) < 5)
+SELECT n.needle, n.md5 IN (SELECT weed_md5 FROM live) AS is_weed, media_id, score FROM n LEFT JOIN f USING (needle)""", "mediah weeds")
+def stream_arrivals(spark, d):
+    stash = Stash(spark)
+    m = stash.put(T.media_hashed(spark, d), "media")
+    source = stash.put(m.where("id % 50 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash"), "md5"), "arrivals")
+    stream = spark.readStream.schema(source.schema).parquet(source.stash_path)
+    out = stash.path("matched")
+    ingest.match_arrivals(stream, m, stash.put(T.weeds(spark, d), "weeds"), out, stash.path("state")).awaitTermination()
+    rows = spark.read.schema("needle long, is_weed boolean, media_id long, score int").parquet(out)
+    return rows.select("needle", "is_weed", "media_id", "score")
+
+
+@query(""", b AS (SELECT path, type, id % 2 AS part FROM media WHERE id % 3 = 0) SELECT path, type, row_number() OVER (ORDER BY path) AS id FROM b""", "media")
+def stream_ingest(spark, d):
+    stash = Stash(spark)
+    source = stash.put(T.media(spark, d).where("id % 3 = 0").select("path", "type"), "files")
+    stream = spark.readStream.schema(source.schema).parquet(source.stash_path)
+    out = stash.path("catalog")
+    ingest.ingest(stream, out, stash.path("state"), lambda batch: batch).awaitTermination()
+    return spark.read.parquet(out).select("path", "type", "id")

@@ -232,3 +232,15 @@ SQL["weeds"] = """weeds AS (
   SELECT weed_md5, CASE WHEN weed_md5 < '2' THEN md5(orig) ELSE orig END AS orig_md5 FROM (
     SELECT md5 AS weed_md5, min(orig) AS orig FROM (SELECT id, md5, first_value(md5) OVER (PARTITION BY width, height ORDER BY id) AS orig FROM media)
     WHERE md5 <> orig AND id % 3 = 0 GROUP BY md5))"""
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, width, height, channels, data)``: the 64 components of each vector as a gray picture of 8 by 8."""
+    level = "lpad(hex(cast(greatest(0D, least(255D, floor((cast(x as double) + 0.5D) * 255D))) as int)), 2, '0')"
+    data = F.expr(f"unhex(array_join(transform(embedding, x -> {level}), ''))")
+    path = F.concat(F.lit("vec"), F.col("vec_id").cast("string"), F.lit(".png"))
+    return table(spark, sf_dir, "embeddings").select(path.alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+
+
+SQL["levels"] = """levels AS (
+  SELECT 'vec' || vec_id || '.png' AS path, list_transform(embedding, lambda x: greatest(0, least(255, floor((CAST(x AS DOUBLE) + 0.5) * 255)))) AS v FROM embeddings)"""
