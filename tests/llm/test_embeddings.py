@@ -58,6 +58,7 @@ def test_empty_and_unusable(spark):
 def test_recall_at_the_threshold():
     """Pairs at a cosine of exactly the threshold, the hardest ones, share a bucket of some table."""
     k, tables = e.plan(100_000, 0.95, 0.005, 2.0)
+    assert e.plan(10**9, 0.95, 0.005, 2.0)[1] < 500
     rng = np.random.default_rng(0)
     a = rng.standard_normal((2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)

@@ -30,12 +30,13 @@ def plan(rows: int, cosine: float, miss: float, width: float) -> tuple[int, int]
     """Projections per table and tables, for ``rows`` unit vectors.
 
     A table has so many projections that an unrelated pair (at a right angle) shares its bucket with a
-    probability of about 16 / rows; there are so many tables that a pair at the threshold is missed by all with
-    probability ``miss`` at most. Closer pairs are missed less.
+    probability of about 0.1 / rows, so that most vectors are alone in theirs and go no further; there are so
+    many tables that a pair at the threshold is missed by all with probability ``miss`` at most. Closer pairs are
+    missed less.
     """
     near = same_cell(max(math.sqrt(2 - 2 * cosine), 1e-6), width)
     far = same_cell(math.sqrt(2), width)
-    k = max(2, math.ceil(math.log(max(rows, 64) / 16) / -math.log(far)))
+    k = max(2, math.ceil(math.log(10 * max(rows, 64)) / -math.log(far)))
     return k, max(1, math.ceil(math.log(miss) / math.log1p(-(near**k))))
 
 
@@ -55,19 +56,19 @@ def bucket_keys(unit: np.ndarray, k: int, tables: int, width: float, seed: int)
     return (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+def _units(raw: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(float)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _read(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(vec_id, vec binary)``: double-precision bytes of usable vectors, null for all others."""
+def _read(vectors: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame:
+    """``(vec_id, vec binary)``: bytes of usable vectors in their own precision, null for all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             out = []
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array([] if v is None or None in v or vec_id is None else v, float) + 0.0
+                x = np.array([] if v is None or None in v or vec_id is None else v, kind) + 0
                 out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
@@ -80,8 +81,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.00
 
     Two vectors of equal length are linked if their cosine in double precision is at least ``cosine``; the
     component is the smallest id reachable, and ``kept`` says whether that is the row's own. Equal vectors are
-    one class, which is hashed once and counted as often as it occurs. In each table the vectors of a bucket are
-    compared by blocks; a bucket of more than ``block`` vectors is cut into parts whose pairs go to separate
+    one class, which is hashed once and counted as often as it occurs. Bucket keys are dealt out without the
+    vectors; only those that share a bucket are joined with theirs. The vectors of a bucket are compared by blocks; a bucket of more than ``block`` vectors is cut into parts whose pairs go to separate
     tasks. A pair counts in the first table in which it meets, so each link counts once. Tasks return counts
     and a spanning forest, never pairs.
 
@@ -91,7 +92,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.00
     """
     spark = vectors.sparkSession
     stash = Stash(spark)
-    rows = stash.put(_read(vectors, id_col, vec_col), "vectors")
+    kind = "f4" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "f8"
+    rows = stash.put(_read(vectors, id_col, vec_col, kind), "vectors")
     usable = rows.where("vec is not null").withColumn("digest", F.sha2("vec", 256))
     classes = usable.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("vec").alias("vec"))
     # two classes may share their smallest id only if ids repeat; the row number tells them apart
@@ -99,32 +101,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.00
     n = classes.count()
     k, tables = plan(n, cosine, miss, width)
 
-    def spread(with_vectors: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 256):
-                raw = batch.column(0).to_pylist()
-                for size in {len(r) for r in raw}:
-                    own = np.array([i for i, r in enumerate(raw) if len(r) == size])
-                    keys = bucket_keys(_units([raw[i] for i in own]), k, tables, width, seed)
-                    part = batch.take(pa.array(own))
-                    all_keys = pa.array([row.tobytes() for row in keys], pa.binary())
-                    for t in range(tables):
-                        out = [pa.array(np.full(len(own), t, np.int32)), pa.array(keys[:, t]), pa.array(np.full(len(own), size, np.int32))]
-                        if with_vectors:
-                            out += [part.column(1), part.column(2), part.column(0), all_keys]
-                        yield pa.RecordBatch.from_arrays(out, ["t", "key", "size"] + ["cls", "copies", "vec", "keys"] * with_vectors)
-
-        return run
-
-    narrow = classes.select("vec").mapInArrow(spread(False), "t int, key int, size int")
-    sizes = narrow.groupBy("t", "key", "size").count()
-    hot = stash.put(sizes.where(F.col("count") > 1).withColumn("parts", F.ceil(F.col("count") / block).cast("int")).drop("count"), "buckets")
-    entries = classes.select("vec", "cls", "copies").mapInArrow(spread(True), "t int, key int, size int, cls long, copies long, vec binary, keys binary")
-    entries = entries.join(hot, ["t", "key", "size"])
-    entries = entries.withColumn("r", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    entries = entries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            raw, out = batch.column(0).to_pylist(), [b""] * batch.num_rows
+            for size in {len(r) for r in raw}:
+                own = [i for i, r in enumerate(raw) if len(r) == size]
+                for i, row in zip(own, bucket_keys(_units([raw[i] for i in own], kind), k, tables, width, seed)):
+                    out[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["vec", "cls", "copies", "keys"])
+
+    full = stash.put(classes.select("vec", "cls", "copies").mapInArrow(hashed, "vec binary, cls long, copies long, keys binary"), "hashed")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, tables)
+            for t in range(tables):
+                out = [pa.array(np.full(len(keys), t, np.int32)), pa.array(keys[:, t]), batch.column(2), batch.column(0)]
+                yield pa.RecordBatch.from_arrays(out, ["t", "key", "size", "cls"])
+
+    narrow = full.select("cls", "keys", F.length("vec").alias("size")).mapInArrow(spread, "t int, key int, size int, cls long")
+    sizes = narrow.groupBy("t", "key", "size").count().where(F.col("count") > 1)
+    shared = stash.put(sizes.withColumn("parts", F.ceil(F.col("count") / block).cast("int")).drop("count"), "buckets")
+    placed = narrow.join(shared, ["t", "key", "size"])
+    placed = placed.withColumn("r", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     names = ["t", "key", "size", "x", "y"]
-    entries = entries.select("t", "key", "size", F.least("r", "q").alias("x"), F.greatest("r", "q").alias("y"), "r", "cls", "copies", "vec", "keys")
+    placed = placed.select("t", "key", "size", F.least("r", "q").alias("x"), F.greatest("r", "q").alias("y"), "r", "cls")
+    entries = placed.join(full, "cls").select(*names, "r", "cls", "copies", "vec", "keys")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_runs(batches, names, 4 * block):
@@ -135,7 +138,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, miss: float = 0.00
             for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if hi - lo < 2:
                     continue
-                unit = _units(raw[lo:hi])
+                unit = _units(raw[lo:hi], kind)
                 own = np.frombuffer(b"".join(keys[lo:hi]), np.int32).reshape(hi - lo, tables)[:, : t[lo]]
                 side = np.flatnonzero(r[lo:hi] == x[lo])
                 other = np.flatnonzero(r[lo:hi] != x[lo]) if x[lo] != y[lo] else side
