@@ -66,6 +66,25 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
 
 
+def head_words(counts: DataFrame, head: int) -> list:
+    """The end of a text and the most frequent words, ``head`` rows at most.
+
+    A histogram of counts in steps of a 32nd power of two, a few thousand rows for any corpus, gives the count
+    from which words still fit; words of one step stay together. So the driver gets no more than these rows.
+    """
+    step = F.floor(F.log2("n") * 32).cast("int")
+    words = counts.where("word <> ''").withColumn("step", step)
+    sizes = sorted(((r["step"], r["count"]) for r in words.groupBy("step").count().collect()), reverse=True)
+    least, room = None, head - 1
+    for at, size in sizes:
+        room -= size
+        if room < 0:
+            break
+        least = at
+    top = [] if least is None else words.where(F.col("step") >= least).drop("step").collect()
+    return counts.where("word = ''").collect() + sorted(top, key=lambda r: (-r["n"], r["word"]))
+
+
 def encode(rows: DataFrame, head: Broadcast, rare: int) -> DataFrame:
     """``(doc_id, learnt, n_tokens, codes binary, tail array<string>)``: 16-bit word numbers, and the words without one."""
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -253,8 +272,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 3, head: in
     rows = docs.select(F.col(id_col).alias("doc_id"), in_training(F.col(id_col), folds, fold).alias("learnt"), F.col(text_col).alias("text"))
     counts = stash.put(word_counts(rows), "counts")
     n, v = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
-    top = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(head - 1).collect()
-    top = counts.where("word = ''").collect() + top
+    top = head_words(counts, head)
     numbers = {r["word"].encode(): i for i, r in enumerate(top)}
     rare = len(top)
     c = np.array([r["train"] for r in top] + [0], float)
