@@ -127,6 +127,18 @@ def minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
     return x
 
 
+def _smallest(ratings: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of their id.
+
+    Rows whose hash is too large to be among them are dropped first, so that few rows meet in the last sort.
+    """
+    n = ratings.count()
+    share = min(1.0, 1.1 * most / max(n, 1) + 100 / max(n, 1))
+    hashed = ratings.withColumn("h", F.pmod(F.xxhash64("rated_id"), F.lit(1 << 32)))
+    few = hashed.where(F.col("h") < int(share * (1 << 32)) + 1)
+    return few.orderBy("h", "rated_id", "grade").limit(most).drop("h")
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 20_000, max_features: int = 8192, least_told: float = 15.0, penalty: float = 0.1, steps: int = 30, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits shared weights and ordered cuts on ``ratings(doc_id, grade)``, grades 0 to ``grades - 1``.
 
@@ -139,8 +151,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 2
     spark = docs.sparkSession
     stash = Stash(spark)
     some = ratings.where(F.col("grade").between(0, grades - 1)).select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int"))
-    some = some.orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(max_rated)
-    some = stash.put(some, "ratings")
+    some = stash.put(_smallest(some, max_rated), "ratings")
     rows = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text"))
     features = stash.put(_featurize(rows.join(F.broadcast(some), "rated_id")), "features")
     counts = {r["grade"]: r["count"] for r in features.groupBy("grade").count().collect()}
