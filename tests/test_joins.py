@@ -100,3 +100,15 @@ def test_hubs_by_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(5, i) for i in range(6, 90)] + [(89, 200), (300, 301)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Stash(spark)).collect()}
     assert got == {**{i: 5 for i in range(5, 90)}, 200: 5, 300: 300, 301: 300}
+
+
+def test_long_chains_are_cut(spark, hashes):
+    rows, df = hashes
+    media = df.where("phash <> 0").withColumn("path", F.format_string("p%05d", "id"))
+    links = spark.createDataFrame([(3, r[0]) for r in rows if r[1] and r[0] != 3], "rep_a long, rep_b long")
+    got = similar.sort_similar(media, links, most=50).collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, h in rows if h)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["part"], []).append(r["nth"])
+    assert all(sorted(x) == list(range(len(x))) and len(x) <= 50 for x in sizes.values()) and len(sizes) > 1

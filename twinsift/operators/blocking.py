@@ -39,7 +39,7 @@ def hamming_join(left: DataFrame, right: DataFrame, threshold: int, left_words:
     second shuffle. Thresholds too wide for blocks of five bits are refused; see :func:`hamming_scan`.
     """
     if threshold < 1:
-        return left.crossJoin(right.limit(0)).withColumn("distance", F.lit(0))
+        return left.join(right, F.lit(False)).withColumn("distance", F.lit(0))
     if threshold > MAX_BANDS * len(left_words):
         raise ValueError(f"threshold {threshold} is too wide for blocks; search for a set of needles instead")
     lw, rw = [F.col(w) for w in left_words], [F.col(w) for w in right_words]

@@ -270,26 +270,30 @@ def merge_sorted(first: DataFrame, second: DataFrame, nearest: DataFrame) -> Dat
     return a.unionByName(b)
 
 
-def sort_similar(media: DataFrame, links: DataFrame, look_behind: int = 5) -> DataFrame:
-    """``(id, component, nth)``: a greedy chain of near items inside each group of linked items.
+def sort_similar(media: DataFrame, links: DataFrame, look_behind: int = 5, most: int = 2000) -> DataFrame:
+    """``(id, component, part, nth)``: greedy chains of near items inside each group of linked items.
 
-    Spark finds the groups; a group is walked on its own, from its smallest path on, always to the unused item
-    nearest to one of the last ``look_behind``; items without any link stand alone.
+    Spark finds the groups. A chain starts at the smallest path and goes on to the unused item nearest to one of
+    the last ``look_behind``. Groups of more than ``most`` items are cut along their paths into parts with a chain
+    each, so that a task never holds more; items without any link stand alone.
     """
     stash = Stash(media.sparkSession)
     groups = connected_components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), stash)
     rows = media.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "path", "phash", F.coalesce("component", "id").alias("component"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("path", "id")) - 1
+    rows = rows.withColumn("part", F.floor(place / most).cast("int"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = list(pdf.sort_values(["path", "id"])[["id", "phash"]].itertuples(index=False, name=None))
-        chain = [left.pop(0)]
-        while left:
+        rest = list(pdf.sort_values(["path", "id"])[["id", "phash"]].itertuples(index=False, name=None))
+        chain = [rest.pop(0)]
+        while rest:
             recent = chain[-look_behind:]
-            gap = [min(((h ^ r) & (2**64 - 1)).bit_count() for _, r in recent) for _, h in left]
-            chain.append(left.pop(gap.index(min(gap))))
-        return pd.DataFrame({"id": [i for i, _ in chain], "component": pdf["component"].iloc[0], "nth": range(len(chain))})
+            gap = [min(((h ^ r) & (2**64 - 1)).bit_count() for _, r in recent) for _, h in rest]
+            chain.append(rest.pop(gap.index(min(gap))))
+        first = pdf.iloc[0]
+        return pd.DataFrame({"id": [i for i, _ in chain], "component": first["component"], "part": first["part"], "nth": range(len(chain))})
 
-    return rows.groupBy("component").applyInPandas(walk, "id long, component long, nth long")
+    return rows.groupBy("component", "part").applyInPandas(walk, "id long, component long, part int, nth long")
 
 
 def verify_pairs(pairs: DataFrame, scores: DataFrame, threshold: int = 7, scorer: Callable | None = None) -> DataFrame:
