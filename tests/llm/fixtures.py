@@ -2,7 +2,7 @@
 
 import random
 
-DOCS = "doc_id long, text string, lang string, n_words int, component_id string"
+DOCS = "doc_id long, text string, kept_id string, n_words int, bad_key string"
 
 
 def corpus() -> list[tuple]:

@@ -244,7 +244,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, sen
     if sent is None:
         texts = docs.select(F.sha2(text_col, 256).alias("key"), F.col(text_col).alias("text"))
         bad = _judged(texts, items, span, Stash(docs.sparkSession)).where("contaminated").select(F.col("key").alias("bad_key"))
-        return docs.join(bad, F.sha2(docs[text_col], 256) == F.col("bad_key"), "left_anti")
+        return docs.join(bad, F.sha2(docs[text_col], 256) == bad["bad_key"], "left_anti")
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade, tail probability and selection of every document, learnt from all labels' grades."""
+    """Expected grade, tail probability and selection of every document, learnt from a bounded sample of the labels."""
     docs = table(spark, sf_dir, "documents")
     return quality.select(docs, quality.fit(docs, quality.graded(table(spark, sf_dir, "labels"))))
 

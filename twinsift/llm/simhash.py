@@ -253,5 +253,5 @@ def keep_first(docs: DataFrame, errors: int = 4, size: int = 4, id_col: str = "d
     """
     groups = near_duplicates(docs, errors, size, id_col=id_col, text_col=text_col)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(first, docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    known = docs.join(first, docs[id_col] == first["kept_id"], "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

@@ -74,15 +74,15 @@ def token_histogram(docs: DataFrame, tokenizer: str | None = None, id_col: str =
 
 def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
     """One row: tokens left when every document is cut at ``limit``, from one histogram row."""
-    at = histogram.where(F.col("n_tokens") <= limit)
-    top = at.agg(F.max_by(F.struct("docs_longer", "tokens_longer"), "n_tokens").alias("x"))
-    total = histogram.agg(F.max("tokens_total").alias("t"), F.max("docs_total").alias("d"))
-    longer = F.coalesce(F.col("x.docs_longer"), F.col("d"))
-    return top.crossJoin(total).select(
-        F.lit(limit).alias("max_tokens"),
-        (F.col("t") - F.coalesce(F.col("x.tokens_longer"), F.col("t")) + limit * longer).alias("tokens"),
-        longer.alias("docs_cut"),
+    inside = F.when(F.col("n_tokens") <= limit, F.col("n_tokens"))
+    sums = histogram.agg(
+        F.max_by(F.struct("docs_longer", "tokens_longer"), inside).alias("x"),
+        F.max("tokens_total").alias("t"),
+        F.max("docs_total").alias("d"),
     )
+    longer = F.coalesce(F.col("x.docs_longer"), F.col("d"))
+    kept = F.col("t") - F.coalesce(F.col("x.tokens_longer"), F.col("t")) + limit * longer
+    return sums.select(F.lit(limit).alias("max_tokens"), kept.alias("tokens"), longer.alias("docs_cut"))
 
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:

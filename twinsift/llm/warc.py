@@ -172,11 +172,8 @@ def scan_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                     left_over()
                     at, first, nth = where, where[1] == 0, 0
                     head = True
-                if first:
+                if first:  # what precedes the first magic of a file is no member
                     first = False
-                    if not value:
-                        continue
-                    # what precedes the first magic of a file is no member
                     continue
                 data = MAGIC + value
                 if held:
