@@ -99,3 +99,12 @@ def test_luv_round_trip(spark):
         back = one(spark, scalar.luv_unpack(scalar.luv_pack(F.lit(value), axis), axis))
         assert abs(back - value) < 0.01
     assert one(spark, scalar.luv_pack(F.lit(1000.0), "l")) == 65535
+
+
+def test_archive_paths(spark):
+    yes = ["file.zip", "/path/file.zip", "./file.zip", ".zip", "file.ZIP", "file.cbz", "file.CBZ", "/path/.zip/.zip"]
+    no = ["file.zipp", "file.zi", "file.", "file", ".file", "..", "", "file.ZiP", "/path/zips/file.txt", "/path/zips/.zip.txt", "/path/.zip/file.txt", "/path/file.zip:member.zip", "/path/file.zip:zips/member.txt"]
+    df = spark.createDataFrame([(p,) for p in yes + no], "path string")
+    got = {r["path"]: (r["a"], r["m"]) for r in df.select("path", props.is_archive().alias("a"), props.is_archived().alias("m")).collect()}
+    assert [p for p in yes + no if got[p][0]] == yes
+    assert [p for p in yes + no if got[p][1]] == no[-2:]

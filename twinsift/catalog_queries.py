@@ -769,9 +769,9 @@ def rel_labels(spark, d):
     return out.where("nf > 0").drop("nf")
 
 
-@query(f", {_flags_sql()} SELECT group_id, pos, CASE WHEN (match_flags & 1) <> 0 THEN 'exact' WHEN score - 2 < 0 THEN 'unmatched' ELSE 'better' || bit_count(match_flags & 14) END AS class FROM fl", "groups")
+@query(f", {_flags_sql()} SELECT group_id, pos, CASE WHEN score - 2 < 0 THEN CASE WHEN pos % 2 = 1 THEN 'weed' ELSE 'unmatched' END WHEN (match_flags & 1) <> 0 THEN 'exact' ELSE 'better' || bit_count(match_flags & 14) END AS class FROM fl", "groups")
 def match_class(spark, d):
-    return _flagged(spark, d).select("group_id", "pos", G.match_class(F.col("match_flags"), F.col("score") - 2).alias("class"))
+    return _flagged(spark, d).select("group_id", "pos", G.match_class(F.col("match_flags") + F.col("pos") % 2 * G.WEED, F.col("score") - 2).alias("class"))
 
 
 @query("SELECT group_id, coalesce(min(CASE WHEN path = 'user/d1/t3.png' THEN pos END), -1) AS idx FROM groups GROUP BY group_id", "groups")

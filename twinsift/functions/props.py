@@ -22,7 +22,8 @@ def is_archived(path: Column | None = None) -> Column:
 
 
 def is_archive(path: Column | None = None) -> Column:
-    return _path(path).rlike(rf"\.(?:{_ANY})$")
+    """Whether a path is an archive itself; members of archives are not."""
+    return ~is_archived(path) & _path(path).rlike(rf"\.(?:{_ANY})$")
 
 
 def archive(path: Column | None = None) -> Column:

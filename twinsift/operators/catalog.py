@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from twinsift.functions.props import container, dir_path, is_archived, suffix
 from twinsift.operators.sorting import number_rows
 
-# Suffixes by kind.
-IMAGES = ["jpg", "jpeg", "png", "gif", "bmp", "tif", "tiff", "webp", "ppm", "pgm", "jp2", "heic", "avif"]
-VIDEOS = ["mp4", "mkv", "avi", "mov", "wmv", "mpg", "mpeg", "webm", "flv", "m4v", "ts", "vob", "ogm"]
+# Suffixes by kind (images: also what Spark's image source and common viewers read).
+IMAGES = ["jpg", "jpeg", "jfif", "png", "bmp", "gif", "tif", "tiff", "webp"]
+VIDEOS = ["mp4", "wmv", "asf", "flv", "mpg", "mpeg", "mov", "vob", "ogv", "rm", "ram", "webm", "f4v", "m4v", "avi", "qt", "mkv", "ts", "mts", "m2t"]
 ARCHIVES = ["zip", "cbz", "epub", "ods", "odt", "odp", "docx", "xlsx", "pptx", "xps"]
 #: Bits of the algorithms, and what each type supports (types 1 image, 2 video, 3 audio).
 DCT, FDCT, ORB, COLOUR, VIDEO = 1, 2, 4, 8, 16

@@ -181,12 +181,12 @@ def relative_label(value: Column, reverse: bool = False, percent: bool = False)
 
 
 def match_class(flags: Column, score: Column) -> Column:
-    """exact, weed, unmatched, or the number of ways in which a match is better."""
+    """weed or unmatched below a score of 0, else exact or the number of ways in which a match is better."""
     better = F.bit_count(flags.bitwiseAND(BIGGER | BIGGER_FILE | LESS_COMPRESSED))
     return (
-        F.when(flags.bitwiseAND(EXACT) != 0, "exact")
-        .when(flags.bitwiseAND(WEED) != 0, "weed")
+        F.when((score < 0) & (flags.bitwiseAND(WEED) != 0), "weed")
         .when(score < 0, "unmatched")
+        .when(flags.bitwiseAND(EXACT) != 0, "exact")
         .otherwise(F.concat(F.lit("better"), better.cast("string")))
     )
 
