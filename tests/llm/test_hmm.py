@@ -66,10 +66,7 @@ def test_recursions_against_all_paths():
     m = small_model()
     texts = [np.array(t, np.uint16) for t in ([0], [1, 2, 3, 4, 0], [2, 2], [4, 1, 0, 3], [3])]
     want = [path_sums(m, t) for t in texts]
-    got = np.zeros(len(texts))
-    for which, codes, going in hmm.blocks(texts):
-        got[which] = np.log(hmm.forward(m, codes, going)[1]).sum(0)
-    assert np.allclose(got, [math.log(x[0]) for x in want])
+    assert np.allclose(hmm.log_likelihood(m, texts), [math.log10(x[0]) for x in want])
     counts, steps, starts = np.zeros_like(m.emit), np.zeros_like(m.step), np.zeros_like(m.start)
     hmm.expect(m, texts, counts, steps, starts)
     for out, i in ((counts, 1), (steps, 2), (starts, 3)):
@@ -81,15 +78,16 @@ def test_small_blocks_agree(monkeypatch):
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 50, n).astype(np.uint16) for n in rng.integers(1, 90, 60)]
 
-    def score():
-        out = np.zeros(len(texts))
-        for which, codes, going in hmm.blocks(texts):
-            out[which] = np.log10(hmm.forward(m, codes, going)[1]).sum(0)
-        return out
+    def all_of():
+        counts, steps, starts = np.zeros_like(m.emit), np.zeros_like(m.step), np.zeros_like(m.start)
+        hmm.expect(m, texts, counts, steps, starts)
+        return hmm.log_likelihood(m, texts), counts, steps, starts
 
-    whole = score()
-    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 100)
-    assert np.allclose(whole, score())
+    whole = all_of()
+    assert np.isclose(whole[1].sum(), sum(map(len, texts))) and np.isclose(whole[3].sum(), len(texts))
+    for size in (1, 7, 100):
+        monkeypatch.setattr(hmm, "BLOCK_TOKENS", size)
+        assert all(np.allclose(a, b) for a, b in zip(whole, all_of()))
 
 
 def test_rounds_raise_the_likelihood_and_beat_counts(spark):

@@ -23,7 +23,9 @@ SIGNATURE = 8
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 200_000
 #: Tokens whose forward and backward values are held at a time.
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 250_000
+#: Texts that are sorted by length together.
+TEXTS = 10_000
 CHUNK = 1024
 
 
@@ -121,43 +123,77 @@ def blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield own, codes, going
 
 
-def forward(model: Model, codes: np.ndarray, going: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward values, scales and emissions by time and row; the scales' logarithms sum to the likelihood."""
-    seen = model.emit[codes]
-    alpha, scale = np.zeros_like(seen), np.ones(codes.shape)
-    a = model.start * seen[0]
-    for t in range(len(codes)):
-        n = going[t]
-        if t:
-            a = a[:n] @ model.step
-            a *= seen[t, :n]
-        c = a.sum(1)
-        a /= c[:, None]
-        alpha[t, :n], scale[t, :n] = a, c
+def forward(model: Model, codes: np.ndarray, going: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward values, scales and emissions; the scales' logarithms sum to the likelihood.
+
+    Values are laid out by time, state and text, so that array operations run along the texts. ``before`` has
+    the values that precede the first time, if the texts began earlier.
+    """
+    seen = np.empty((len(codes), len(model.start), codes.shape[1]))
+    for j, column in enumerate(np.ascontiguousarray(model.emit.T)):
+        seen[:, j] = column[codes]
+    alpha, scale, turned = np.zeros_like(seen), np.ones(codes.shape), np.ascontiguousarray(model.step.T)
+    for t, n in enumerate(going.tolist()):
+        a, c = alpha[t, :, :n], scale[t, :n]
+        into = model.start[:, None] if before is None else turned @ before[:, :n]
+        np.multiply(into, seen[t, :, :n], out=a)
+        a.sum(0, out=c)
+        a /= c
+        before = a
     return alpha, scale, seen
 
 
+def spans(codes: np.ndarray) -> list[slice]:
+    """Cuts the times of a block so that a span holds about ``BLOCK_TOKENS`` tokens at most; long texts have many."""
+    size = max(1, 2 * BLOCK_TOKENS // codes.shape[1])
+    return [slice(at, at + size) for at in range(0, len(codes), size)]
+
+
+def log_likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """Base-10 log probability of each text."""
+    out = np.zeros(len(texts))
+    for which, codes, going in blocks(texts):
+        before = None
+        for span in spans(codes):
+            alpha, scale, _ = forward(model, codes[span], going[span], before)
+            out[which] += np.log10(scale).sum(0)
+            before = alpha[-1]
+    return out
+
+
 def expect(model: Model, texts: list[np.ndarray], counts: np.ndarray, steps: np.ndarray, starts: np.ndarray) -> None:
-    """Adds the expected emissions, transitions and starts of some texts (forward and backward recursion)."""
+    """Adds the expected emissions, transitions and starts of some texts (forward and backward recursion).
+
+    Of a text that is longer than a span only the forward values at the spans' ends are kept; those inside are
+    computed again on the way back, so memory does not grow with the text.
+    """
     for _, codes, going in blocks(texts):
-        alpha, scale, seen = forward(model, codes, going)
-        back = np.zeros_like(seen)
-        beta = np.ones(seen.shape[1:])
-        gamma = np.zeros_like(seen)
-        for t in range(len(codes) - 1, -1, -1):
-            n = going[t]
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
-            if t:
-                v = seen[t, :n] * beta[:n]
-                v /= scale[t, :n, None]
-                back[t, :n] = v
-                beta[:n] = v @ model.step.T
-        s = seen.shape[2]
-        steps += model.step * (alpha[:-1].reshape(-1, s).T @ back[1:].reshape(-1, s))
-        starts += gamma[0].sum(0)
-        flat = codes.ravel()
-        for j in range(s):
-            counts[:, j] += np.bincount(flat, gamma[:, :, j].ravel(), len(counts))
+        cuts, before, ends = spans(codes), None, []
+        for span in cuts:
+            ends.append(before)
+            done = forward(model, codes[span], going[span], before)
+            before = done[0][-1].copy()
+        beta = np.ones((len(model.start), codes.shape[1]))
+        for span, before in zip(reversed(cuts), reversed(ends)):
+            own, left = codes[span], going[span]
+            alpha, scale, seen = done if done is not None else forward(model, own, left, before)
+            done = None
+            seen /= scale[:, None, :]
+            gamma = np.zeros_like(seen)
+            for t in range(len(own) - 1, -1, -1):
+                n = int(left[t])
+                np.multiply(alpha[t, :, :n], beta[:, :n], out=gamma[t, :, :n])
+                v = seen[t, :, :n] * beta[:, :n]
+                last = alpha[t - 1] if t else before
+                if last is not None:
+                    steps += model.step * (last[:, :n] @ v.T)
+                beta[:, :n] = model.step @ v
+            if before is None:
+                starts += gamma[0].sum(1)
+            there = np.arange(own.shape[1])[None, :] < left[:, None]
+            flat = own[there]
+            for j in range(gamma.shape[1]):
+                counts[:, j] += np.bincount(flat, gamma[:, j][there], len(counts))
 
 
 def _texts(batch: pa.RecordBatch, column: str = "codes") -> list[np.ndarray]:
@@ -244,7 +280,7 @@ def train(learnt: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> np.ndarray:
             counts, steps, starts = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
-            for batch in slices(batches, 2048):
+            for batch in slices(batches, TEXTS):
                 expect(sent.value, _texts(batch), counts, steps, starts)
             return np.concatenate([counts.ravel(), steps.ravel(), starts])
 
@@ -291,11 +327,9 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 3, head: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logs, known = sent.value
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, TEXTS):
             texts = _texts(batch, "codes")
-            likely = np.zeros(len(texts))
-            for which, codes, going in blocks(texts):
-                likely[which] = np.log10(forward(own, codes, going)[1]).sum(0)
+            likely = log_likelihood(own, texts)
             base = [float(logs[t].sum()) for t in texts]
             seen = [int(known[t].sum()) for t in texts]
             plain = [batch.column(k) for k in ("row", "doc_id", "learnt", "n_tokens")]
