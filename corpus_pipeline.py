@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, packing, quality, simhash
+from twinsift.llm import decontaminate, nearcopies, packing, quality
 from twinsift.stash import Stash
 
 
@@ -15,8 +15,8 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", select_quality),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-copy removal", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack),
 ]
