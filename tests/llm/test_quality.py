@@ -72,3 +72,14 @@ def test_odd_inputs(spark, labels):
 def test_nothing_learnt_keeps_all(spark):
     model = q.fit(frame(spark), q.graded(spark.createDataFrame([], LABELS)))
     assert q.keep_good(frame(spark), model).count() == len(corpus())
+
+
+@pytest.mark.parametrize("other", [None, 1, 10**6])
+def test_unusable_ratings_take_no_slots(spark, other):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if i % 2 else ""), "en", 1, "x") for i in range(80)]
+    labels = [(i, 1, i % 2) for i in range(80)]
+    docs = frame(spark, rows)
+    many = [(other if other in (None, 1) else other + k, 1, 1) for k in range(2000)]
+    model = q.fit(docs, q.graded(spark.createDataFrame(labels + many, LABELS)), max_rated=80)
+    assert {r["doc_id"] for r in q.select(docs, model).collect() if r["kept"]} == {i for i in range(80) if i % 2 == 0}

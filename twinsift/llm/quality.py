@@ -142,17 +142,18 @@ def _smallest(ratings: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 20_000, max_features: int = 8192, least_told: float = 15.0, penalty: float = 0.1, steps: int = 30, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits shared weights and ordered cuts on ``ratings(doc_id, grade)``, grades 0 to ``grades - 1``.
 
-    At most ``max_rated`` ratings are used, those with the smallest hash of their id; they are sent to the
-    tasks that read ``docs``, so texts are not shuffled. Of the hashed features the ``max_features`` that best
+    At most ``max_rated`` distinct ratings of documents are used, those with the smallest hash of their id; they are
+    sent to the tasks that read ``docs``, so texts are not shuffled. Of the hashed features the ``max_features`` that best
     tell grades apart are kept (by a chi-square statistic of at least ``least_told``). Loss and gradient are summed over partitions; only sums reach the driver.
-    Ratings without a grade in range, or without a document, are left out; with no ratings at all the model
-    gives every text the top grade.
+    Ratings without a grade in range, without an id or without a document are left out before the draw; with no
+    ratings at all the model gives every text the top grade.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
     some = ratings.where(F.col("grade").between(0, grades - 1)).select(F.col("doc_id").alias("rated_id"), F.col("grade").cast("int"))
-    some = stash.put(_smallest(some, max_rated), "ratings")
     rows = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text"))
+    some = some.where("rated_id is not null").distinct().join(rows.select("rated_id"), "rated_id", "left_semi")
+    some = stash.put(_smallest(stash.put(some, "usable"), max_rated), "ratings")
     features = stash.put(_featurize(rows.join(F.broadcast(some), "rated_id")), "features")
     counts = {r["grade"]: r["count"] for r in features.groupBy("grade").count().collect()}
     total = sum(counts.values())
