@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsift.operators import similar
-from twinsift.operators.blocking import hamming_join, hamming_scan, radix_join
+from twinsift.operators.blocking import hamming_join, hamming_scan, hamming_scan_blocks, radix_join
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
@@ -57,6 +57,25 @@ def test_wide_thresholds_need_needles(hashes):
         hamming_scan(df.toDF("needle", "nh"), df, 30, "nh", "phash", most=10)
 
 
+@pytest.mark.parametrize("most", [1, 10, 10**6])
+def test_any_number_of_needles_is_scanned(hashes, most):
+    rows, df = hashes
+    few = rows[:25] + rows[:3]
+    needles = df.sparkSession.createDataFrame(few, "needle long, nh long").repartition(3)
+    got = hamming_scan_blocks(needles, df, 20, "nh", "phash", most=most).select("needle", "id", "distance").collect()
+    near = [(i, j, ((a ^ b) & (2**64 - 1)).bit_count()) for i, a in few for j, b in rows]
+    assert sorted(map(tuple, got)) == sorted(x for x in near if x[2] < 20)
+
+
+def test_wide_search_takes_more_needles_than_a_block(hashes, monkeypatch):
+    rows, df = hashes
+    from twinsift.operators import blocking
+
+    monkeypatch.setattr(blocking.hamming_scan_blocks, "__defaults__", (10,))
+    got = similar.search(df.where("id <= 25").toDF("needle", "hash"), df, 20).count()
+    assert got == sum(((a ^ b) & (2**64 - 1)).bit_count() < 20 for i, a in rows if i <= 25 and a for _, b in rows if b)
+
+
 def test_radix_is_a_subset(hashes):
     rows, df = hashes
     got = radix_join(df.toDF("ia", "ha"), df.toDF("ib", "hb"), 6, "ha", "hb", 4).where("ia < ib").select("ia", "ib").collect()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.stash import Stash
+
 #: Above this many bands a band has too few bits to tell hashes apart.
 MAX_BANDS = 12
 
@@ -70,6 +74,31 @@ def hamming_scan(needles: DataFrame, haystack: DataFrame, threshold: int, needle
     return haystack.join(F.broadcast(needles), d < threshold).withColumn("distance", d)
 
 
+def hamming_scan_blocks(needles: DataFrame, haystack: DataFrame, threshold: int, needle_word: str, word: str, most: int = 100_000) -> DataFrame:
+    """Like :func:`hamming_scan`, but for any number of needles.
+
+    Above ``most`` needles they are dealt to written blocks of at most ``most`` rows, and the haystack is scanned
+    against one broadcast block after the other; the haystack is still not shuffled.
+    """
+    if needles.limit(most + 1).count() <= most:
+        return hamming_scan(needles, haystack, threshold, needle_word, word, most)
+    stash = Stash(needles.sparkSession)
+    dealt = stash.put(needles.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "needles")
+    at, starts = 0, []
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r["_part"], at))
+        at += r["count"]
+    first = needles.sparkSession.createDataFrame(starts, "_part int, _first long")
+    block = F.floor((F.col("_first") + F.col("_nth")) / most).cast("int")
+    dealt = stash.put(dealt.join(F.broadcast(first), "_part").withColumn("_block", block).drop("_part", "_nth", "_first"), "blocks")
+    d = F.bit_count(F.col(needle_word).bitwiseXOR(F.col(word)))
+    found = [
+        stash.put(haystack.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")), d < threshold).withColumn("distance", d), "found")
+        for i in range(-(-at // most))
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def radix_key(word: Column, bits: int = 10) -> Column:
     """Bucket of a hash: its bits above the unused lowest one."""
     return F.shiftrightunsigned(word, 1).bitwiseAND((1 << bits) - 1)

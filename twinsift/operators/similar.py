@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.operators.blocking import hamming_join, hamming_scan, radix_key
+from twinsift.operators.blocking import hamming_join, hamming_scan_blocks, radix_key
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
@@ -76,7 +76,7 @@ def search(needles: DataFrame, media: DataFrame, threshold: int = DHT) -> DataFr
     if threshold <= 12:
         found = hamming_join(n, m, threshold, ["needle_hash"], ["phash"])
     else:
-        found = hamming_scan(n, m, threshold, "needle_hash", "phash")
+        found = hamming_scan_blocks(n, m, threshold, "needle_hash", "phash")
     return found.select("needle", "media_id", F.col("distance").alias("score"))
 
 
