@@ -3,8 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinsift.operators import similar
-from twinsift.operators.blocking import hamming_join, hamming_scan, hamming_scan_blocks, radix_join
+from twinsift.operators import blocking, similar
+from twinsift.operators.blocking import block_cost, choose_blocks, hamming_join, hamming_pairs, radix_key, scan_blocks
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
@@ -30,31 +30,64 @@ def brute(rows, t):
     return {(i, j) for i, a in rows for j, b in rows if i < j and ((a ^ b) & (2**64 - 1)).bit_count() < t}
 
 
-@pytest.mark.parametrize("t", [0, 1, 2, 5, 8, 12])
+def signed_pairs(df, t, **more):
+    return [tuple(r) for r in hamming_pairs(df, t, "phash", "id", **more).select("id_a", "id_b").collect()]
+
+
+@pytest.mark.parametrize("t", range(21))
 def test_blocks_find_what_brute_force_finds(hashes, t):
     rows, df = hashes
-    a, b = df.toDF("ia", "ha"), df.toDF("ib", "hb")
-    got = [tuple(r) for r in hamming_join(a, b, t, ["ha"], ["hb"], F.col("ia") < F.col("ib")).select("ia", "ib").collect()]
+    got = signed_pairs(df, t)
     assert len(got) == len(set(got))
     assert set(got) == brute(rows, t)
 
 
-def test_blocks_are_a_hash_join(spark, hashes):
+@pytest.mark.parametrize("t", [1, 3, 5, 9])
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_two_sides_by_blocks(hashes, monkeypatch, t, sent):
+    rows, df = hashes
+    monkeypatch.setattr(blocking, "FEW", 0)
+    monkeypatch.setattr(blocking, "SENT", sent)
+    got = [tuple(r) for r in hamming_join(df.where("id <= 100").toDF("ia", "ha"), df.toDF("ib", "hb"), t, ["ha"], ["hb"]).select("ia", "ib").collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i, a in rows[:100] for j, b in rows if ((a ^ b) & (2**64 - 1)).bit_count() < t}
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_keys_are_dealt_to_parts(hashes, monkeypatch, hot):
+    rows, df = hashes
+    monkeypatch.setattr(blocking, "HOT", hot)
+    monkeypatch.setattr(blocking, "SENT", 0)
+    got = signed_pairs(df, 5)
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 5)
+
+
+def test_blocks_are_a_hash_join(spark, hashes, monkeypatch):
+    monkeypatch.setattr(blocking, "SENT", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    plan = hamming_join(hashes[1].toDF("ia", "ha"), hashes[1].toDF("ib", "hb"), 5, ["ha"], ["hb"])._jdf.queryExecution().executedPlan().toString()
+    plan = hamming_pairs(hashes[1], 5, "phash", "id")._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_wide_thresholds_need_needles(hashes):
-    rows, df = hashes
-    with pytest.raises(ValueError):
-        hamming_join(df.toDF("ia", "ha"), df.toDF("ib", "hb"), 20, ["ha"], ["hb"])
-    needles = df.where("id <= 5").toDF("needle", "nh")
-    got = hamming_scan(needles, df, 30, "nh", "phash").count()
-    assert got == sum(((a ^ b) & (2**64 - 1)).bit_count() < 30 for i, a in rows[:5] for _, b in rows)
+def test_few_needles_leave_the_haystack_where_it_is(hashes):
+    plan = hamming_join(hashes[1].where("id <= 5").toDF("ia", "ha"), hashes[1].toDF("ib", "hb"), 3, ["ha"], ["hb"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_comparisons_grow_less_than_the_square():
+    cost = [block_cost(n, n, 4, 63) / n for n in (10**5, 10**6, 10**7, 10**8, 10**9)]
+    assert all(b < 4 * a for a, b in zip(cost, cost[1:]))
+    assert [choose_blocks(n, n, 4, 63) for n in (10**3, 500_000)] == [5, 6]
+    assert choose_blocks(10**9, 10**9, 4, 63) > 6
+
+
+def test_wide_all_pairs_stop_where_no_key_is_left(hashes):
     with pytest.raises(ValueError):
-        hamming_scan(df.toDF("needle", "nh"), df, 30, "nh", "phash", most=10)
+        hamming_pairs(hashes[1], 64, "phash", "id")
+    needles = hashes[1].where("id <= 5").toDF("needle", "nh")
+    got = hamming_join(needles, hashes[1], 65, ["nh"], ["phash"]).count()
+    assert got == 5 * len(hashes[0])
 
 
 @pytest.mark.parametrize("most", [1, 10, 10**6])
@@ -62,24 +95,32 @@ def test_any_number_of_needles_is_scanned(hashes, most):
     rows, df = hashes
     few = rows[:25] + rows[:3]
     needles = df.sparkSession.createDataFrame(few, "needle long, nh long").repartition(3)
-    got = hamming_scan_blocks(needles, df, 20, "nh", "phash", most=most).select("needle", "id", "distance").collect()
+    got = scan_blocks(needles, df, 20, ["nh"], ["phash"], most=most).select("needle", "id", "distance").collect()
     near = [(i, j, ((a ^ b) & (2**64 - 1)).bit_count()) for i, a in few for j, b in rows]
     assert sorted(map(tuple, got)) == sorted(x for x in near if x[2] < 20)
 
 
-def test_wide_search_takes_more_needles_than_a_block(hashes, monkeypatch):
+def test_wide_search_of_more_than_a_few_needles(hashes, monkeypatch):
     rows, df = hashes
-    from twinsift.operators import blocking
-
-    monkeypatch.setattr(blocking.hamming_scan_blocks, "__defaults__", (10,))
+    monkeypatch.setattr(blocking, "FEW", 3)
     got = similar.search(df.where("id <= 25").toDF("needle", "hash"), df, 20).count()
     assert got == sum(((a ^ b) & (2**64 - 1)).bit_count() < 20 for i, a in rows if i <= 25 and a for _, b in rows if b)
 
 
-def test_radix_is_a_subset(hashes):
+def test_radix_compares_buckets_only(hashes):
     rows, df = hashes
-    got = radix_join(df.toDF("ia", "ha"), df.toDF("ib", "hb"), 6, "ha", "hb", 4).where("ia < ib").select("ia", "ib").collect()
-    assert {tuple(r) for r in got} <= brute(rows, 6)
+    same = df.select("id", radix_key(F.col("phash"), 4).alias("k")).collect()
+    bucket = {r["id"]: r["k"] for r in same}
+    assert set(signed_pairs(df, 6, radix=4)) == {(i, j) for i, j in brute(rows, 6) if bucket[i] == bucket[j]}
+
+
+def test_palettes_in_blocks_of_needles(spark):
+    shade = lambda x: {"l": float(x), "u": 0.0, "v": 0.0, "w": 1.0}
+    rows = [(i, n, [shade(i + k) for k in range(n)]) for i in range(12) for n in [i % 5]]
+    c = spark.createDataFrame(rows, "media_id int, num_colors int, colors array<struct<l:double,u:double,v:double,w:double>>")
+    whole = sorted(map(tuple, similar.colour_search(c, c).collect()))
+    assert whole == sorted(map(tuple, similar.colour_search(c, c, most=3).collect()))
+    assert {(a, b) for a, b, _ in whole} == {(a, b) for a in range(12) for b in range(12) if a % 5 and b % 5 and abs(a % 5 - b % 5) <= 2}
 
 
 def test_classes_and_counts(hashes):

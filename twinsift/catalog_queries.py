@@ -15,7 +15,7 @@ from twinsift.operators import catalog as C
 from twinsift.operators import evaluate as V
 from twinsift.operators import exact, select, similar, sorting, state
 from twinsift.operators import groups as G
-from twinsift.operators.blocking import radix_join, radix_stats
+from twinsift.operators.blocking import hamming_pairs, radix_stats
 from twinsift.plans import deletions, moves
 from twinsift.sources import features
 from twinsift.stash import Stash
@@ -522,8 +522,7 @@ def topk(spark, d):
 @query("""SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance FROM media_vec a JOIN media_vec b ON a.id < b.id AND (a.phash >> 1) & 15 = (b.phash >> 1) & 15 AND bit_count(xor(a.phash, b.phash)) < 22""", "media_vec")
 def radix_join_(spark, d):
     m = T.media_vec(spark, d)
-    a, b = m.select(F.col("id").alias("id_a"), F.col("phash").alias("ha")), m.select(F.col("id").alias("id_b"), F.col("phash").alias("hb"))
-    return radix_join(a, b, 22, "ha", "hb", 4).where("id_a < id_b").select("id_a", "id_b", "distance")
+    return hamming_pairs(m, 22, "phash", "id", radix=4)
 
 
 QUERIES["radix_join"], SQL["radix_join"] = QUERIES.pop("radix_join_"), SQL.pop("radix_join_")

@@ -3,100 +3,225 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.stash import Stash
 
-#: Above this many bands a band has too few bits to tell hashes apart.
-MAX_BANDS = 12
+#: A copy of a row costs about as much as this many comparisons (both measured on half a million hashes).
+COPY_COST = 6
+#: Copies of a row at most; more prefixes than this never pay.
+MAX_COPIES = 500
+#: Needles that are sent to every task without blocks of bits, and rows that a broadcast join may build.
+FEW, SENT = 1000, 300_000
+#: Rows of one key on one side that a task meets at most; larger keys are dealt to a grid of parts.
+HOT = 2048
 
 
-def _cuts(bits: int, bands: int) -> list[tuple[int, int]]:
-    edges = [bits * i // bands for i in range(bands + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def distance(left: list[Column], right: list[Column]) -> Column:
+    out = F.lit(0)
+    for a, b in zip(left, right):
+        out = out + F.bit_count(a.bitwiseXOR(b))
+    return out
 
 
-def _slice(word: Column, at: int, width: int) -> Column:
-    return word if width == 64 else F.shiftrightunsigned(word, at).bitwiseAND((1 << width) - 1)
+def hash_bits(words: int, radix: int = 0) -> list[int]:
+    """Bits that blocks are made of: a single word leaves out its unused bit 0, and bits that a radix key has taken."""
+    return list(range(1 + radix, 64)) if words == 1 else list(range(64 * words))
 
 
-def _bands(words: list[Column], bands: int) -> list[Column]:
-    """Values of consecutive bit blocks of a hash of one or more 64-bit words."""
-    per = -(-bands // len(words))
-    return [_slice(w, at, width) for w in words for at, width in _cuts(64, per)]
+def block_cost(left: int, right: int, errors: int, bits: int, blocks: int | None = None, room: float = 1.0) -> float:
+    """Comparisons, and copies of rows in their measure, of a join by so many blocks (or by the cheapest number)."""
+    if blocks is None:
+        blocks = choose_blocks(left, right, errors, bits, room)
+    return comb(blocks, errors) * (COPY_COST * (left + right) + room * left * right / 2 ** (bits * (blocks - errors) // blocks))
 
 
-def distance(left: list[Column], right: list[Column]) -> Column:
-    out = F.lit(0)
-    for a, b in zip(left, right):
-        out = out + F.bit_count(a.bitwiseXOR(b))
+def choose_blocks(left: int, right: int, errors: int, bits: int, room: float = 1.0) -> int:
+    """Number of blocks for two sides of so many rows; ``room`` is the share of pairs that another key leaves.
+
+    Hashes within ``errors`` bits agree on some ``m - errors`` of ``m`` blocks. More blocks give longer keys, so
+    fewer pairs are compared, and more copies of each row: the cheapest sum is taken. As the rows grow the keys
+    do, and the pairs compared stay far below the square of the rows.
+    """
+    able = [m for m in range(errors + 1, bits + 1) if m == errors + 1 or comb(m, errors) <= MAX_COPIES]
+    return min(able, key=lambda m: block_cost(left, right, errors, bits, m, room))
+
+
+def block_masks(bits: list[int], blocks: int, words: int) -> list[list[int]]:
+    """Masks by word of consecutive blocks of bits, as signed 64-bit numbers."""
+    cuts = [len(bits) * i // blocks for i in range(blocks + 1)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        masks = [0] * words
+        for bit in bits[a:b]:
+            masks[bit // 64] |= 1 << bit % 64
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
     return out
 
 
-def hamming_join(left: DataFrame, right: DataFrame, threshold: int, left_words: list[str], right_words: list[str], residual: Column | None = None) -> DataFrame:
-    """Rows of both sides, whose column names must differ, with ``distance < threshold``.
+def _keys(words: list[Column], masks: list[list[int]], errors: int) -> Column:
+    """One struct per choice of ``len(masks) - errors`` blocks: its bit set ``c`` and the values in it."""
+    out = []
+    for choice in combinations(range(len(masks)), len(masks) - errors):
+        united = [reduce(int.__or__, (masks[i][w] for i in choice)) for w in range(len(words))]
+        parts = [w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, united) if m]
+        key = parts[0] if len(parts) == 1 else F.xxhash64(*parts)
+        out.append(F.struct(key.alias("key"), F.lit(sum(1 << i for i in choice)).cast("long").alias("c")))
+    return F.array(*out)
 
-    Hashes closer than ``threshold`` bits agree on one of ``threshold`` blocks, so blocks are the keys of a hash
-    join and no pair is lost. A pair that agrees on several blocks is taken at the first of them, which needs no
-    second shuffle. Thresholds too wide for blocks of five bits are refused; see :func:`hamming_scan`.
-    """
-    if threshold < 1:
-        return left.join(right, F.lit(False)).withColumn("distance", F.lit(0))
-    if threshold > MAX_BANDS * len(left_words):
-        raise ValueError(f"threshold {threshold} is too wide for blocks; search for a set of needles instead")
-    lw, rw = [F.col(w) for w in left_words], [F.col(w) for w in right_words]
-    own, theirs = _bands(lw, threshold), _bands(rw, threshold)
 
-    def spread(df: DataFrame, values: list[Column]) -> DataFrame:
-        return df.select("*", F.posexplode(F.array(*values)).alias("_band", "_value"))
+def _agreed(diffs: list[Column], masks: list[list[int]]) -> Column:
+    """Bit set of the blocks in which two hashes agree."""
+    out = F.lit(0).cast("long")
+    for i, block in enumerate(masks):
+        parts = [d.bitwiseAND(F.lit(m).cast("long")) for d, m in zip(diffs, block) if m]
+        out = out.bitwiseOR(F.when(reduce(Column.bitwiseOR, parts) == 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
 
-    met = spread(left, own).join(spread(right, theirs).withColumnsRenamed({"_band": "_band2", "_value": "_value2"}), (F.col("_band") == F.col("_band2")) & (F.col("_value") == F.col("_value2")))
-    first = F.lit(len(own))
-    for i in reversed(range(len(own))):
-        first = F.when(own[i] == theirs[i], i).otherwise(first)
-    near = (distance(lw, rw) < threshold) & (F.col("_band") == first)
-    if residual is not None:
-        near = near & residual
-    return met.where(near).drop("_band", "_value", "_band2", "_value2").withColumn("distance", distance(lw, rw))
+def _is_first(agreed: Column, c: Column) -> Column:
+    """Whether a choice of blocks is the first among those that agree: no other of them lies below its highest."""
+    more = agreed.bitwiseXOR(c)
+    return (more == 0) | (more.bitwiseAND(F.negate(more)) > c)
 
 
-def hamming_scan(needles: DataFrame, haystack: DataFrame, threshold: int, needle_word: str, word: str, most: int = 100_000) -> DataFrame:
-    """Rows with ``distance < threshold`` at any threshold, for a set of at most ``most`` needles.
+def _hot_keys(sides: list[tuple[DataFrame, DataFrame, Column]], by: list[str], stash: Stash) -> DataFrame | None:
+    """``(_key, _c, by.., _pl, _pr)``: keys with more than HOT rows on a side, and their parts; ``None`` if there can be none.
 
-    The needles are counted, then sent to every task; the haystack is read once and not shuffled.
+    Each side is ``(rows, entries, values of blocks)``. No key has more rows than any of its blocks has, and blocks
+    have few values, so their counts, a small aggregate, tell most inputs that no key needs to be counted.
     """
-    n = needles.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} needles; use a threshold of at most {MAX_BANDS}")
-    d = F.bit_count(F.col(needle_word).bitwiseXOR(F.col(word)))
-    return haystack.join(F.broadcast(needles), d < threshold).withColumn("distance", d)
+    for rows, _, values in sides:
+        single = rows.select(F.posexplode(values).alias("i", "v"), *by).groupBy("i", "v", *by).count()
+        if (single.agg(F.max("count")).first()[0] or 0) > HOT:
+            break
+    else:
+        return None
+    counted = [e.select("_key", "_c", *by, F.lit(1 - i).alias("l"), F.lit(i).alias("r")) for i, (_, e, _) in enumerate(sides)]
+    sizes = counted[0].unionByName(counted[1]).groupBy("_key", "_c", *by).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    parts = [F.ceil(F.col(n) / HOT).cast("int").alias(f"_p{n}") for n in "lr"]
+    return stash.put(sizes.where(f"l > 0 and r > 0 and greatest(l, r) > {HOT}").select("_key", "_c", *by, *parts), "hot_keys")
+
+
+def _deal(entries: DataFrame, hot: DataFrame, keys: list[str], words: list[str], own: str, other: str) -> DataFrame:
+    """Numbers the part of each entry of a hot key on its own side, and copies it to all parts of the other."""
+    rows = entries.join(hot, keys, "left")
+    parts = [F.coalesce(p, F.lit(1)) for p in (own, other)]
+    rows = rows.withColumn(own[1:], F.pmod(F.xxhash64(*words), parts[0]).cast("int"))
+    return rows.withColumn(other[1:], F.explode(F.sequence(F.lit(0), parts[1] - 1))).drop(own, other)
+
+
+def _meet(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold: int, lw: list[str], rw: list[str], stash: Stash, radix: int = 0, extra: Column | None = None) -> DataFrame:
+    """Pairs of rows of two written tables by keys of blocks; ``extra`` is a further condition on a pair."""
+    errors = threshold - 1
+    bits = hash_bits(len(lw), radix)
+    masks = block_masks(bits, choose_blocks(*sizes, errors, len(bits), 2.0**-radix), len(lw))
+    own, theirs = [F.col(w) for w in lw], [F.col(w) for w in rw]
+    by = ["_radix"] if radix else []
+
+    def bucketed(df: DataFrame, words: list[Column]) -> DataFrame:
+        return df.withColumn("_radix", radix_key(words[0], radix)) if radix else df
+
+    def spread(df: DataFrame, words: list[Column]) -> DataFrame:
+        return df.select("*", F.inline(_keys(words, masks, errors)).alias("_key", "_c"))
+
+    def singles(words: list[Column]) -> Column:
+        return F.array(*(F.xxhash64(*(w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, block))) for block in masks))
+
+    keys = ["_key", "_c", *by]
+    rows = bucketed(left, own), bucketed(right, theirs)
+    a, b = spread(rows[0], own), spread(rows[1], theirs)
+    if sizes[0] * comb(len(masks), errors) <= SENT:
+        a = F.broadcast(a)
+    else:
+        b = b.hint("merge")  # by the size of its files Spark would send it, but each row has many copies
+        hot = _hot_keys([(rows[0], a, singles(own)), (rows[1], b, singles(theirs))], by, stash)
+        if hot is not None:
+            hot = F.broadcast(hot) if hot.count() <= SENT // 5 else hot
+            a, b = _deal(a, hot, keys, lw, "_pl", "_pr"), _deal(b, hot, keys, rw, "_pr", "_pl")
+            keys = [*keys, "pl", "pr"]
+    b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
+    near = distance(own, theirs) < threshold
+    if extra is not None:
+        near = extra & near
+    diffs = [x.bitwiseXOR(y) for x, y in zip(own, theirs)]
+    first = _is_first(_agreed(diffs, masks), F.col("_c"))
+    met = a.join(b, reduce(Column.__and__, (F.col(k) == F.col(f"{k}_") for k in keys))).where(near & first)
+    return met.drop(*keys, *(f"{k}_" for k in keys)).withColumn("distance", distance(own, theirs))
+
+
+def hamming_join(left: DataFrame, right: DataFrame, threshold: int, left_words: list[str], right_words: list[str], radix: int = 0) -> DataFrame:
+    """Rows of both sides, whose column names must differ, with ``distance < threshold``, at any threshold up to the bits.
+
+    Up to FEW rows on the left are sent to every task, and the right side is read once where it lies. Beyond that
+    hashes within a budget of bits agree on some blocks of bits, and these are the keys of a hash join that loses no
+    pair (see :func:`choose_blocks`). A pair that agrees on more blocks is taken at the first choice of them, which
+    needs no second shuffle. Where comparing all is cheaper than keys, the left rows are sent in blocks, one after the other.
+
+    With ``radix`` only hashes that are equal in so many bits above the unused one are compared (approximate); the
+    bits are a further key. Null hashes meet nothing; repeated rows are pairs of their own.
+    """
+    own, theirs = [F.col(w) for w in left_words], [F.col(w) for w in right_words]
+    near = distance(own, theirs) < threshold
+    same = radix_key(own[0], radix) == radix_key(theirs[0], radix) if radix else F.lit(True)
+    if threshold < 1:
+        return left.join(right, F.lit(False)).withColumn("distance", F.lit(0))
+    if left.limit(FEW + 1).count() <= FEW:
+        return right.join(F.broadcast(left), near & same).select(*left.columns, *right.columns, distance(own, theirs).alias("distance"))
+    stash = Stash(left.sparkSession)
+    a, b = stash.put(left.dropna(subset=left_words), "left"), stash.put(right.dropna(subset=right_words), "right")
+    sizes, bits = (a.count(), b.count()), len(hash_bits(len(left_words), radix))
+    if threshold > bits or (not radix and block_cost(*sizes, threshold - 1, bits) > sizes[0] * sizes[1]):
+        return scan_blocks(a, b, threshold, left_words, right_words, same)
+    return _meet(a, b, sizes, threshold, left_words, right_words, stash, radix)
 
 
-def hamming_scan_blocks(needles: DataFrame, haystack: DataFrame, threshold: int, needle_word: str, word: str, most: int = 100_000) -> DataFrame:
-    """Like :func:`hamming_scan`, but for any number of needles.
+def hamming_pairs(rows: DataFrame, threshold: int, word: str, id_col: str, radix: int = 0) -> DataFrame:
+    """``(id_a, id_b, distance)`` with ``id_a < id_b`` of near rows of one table; hashes and ids are written once.
 
-    Above ``most`` needles they are dealt to written blocks of at most ``most`` rows, and the haystack is scanned
-    against one broadcast block after the other; the haystack is still not shuffled.
+    Always by keys of blocks; a threshold that leaves no bit for a key would be a cross join and is refused.
     """
-    if needles.limit(most + 1).count() <= most:
-        return hamming_scan(needles, haystack, threshold, needle_word, word, most)
-    stash = Stash(needles.sparkSession)
-    dealt = stash.put(needles.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "needles")
+    if threshold > (most := len(hash_bits(1, radix))):
+        raise ValueError(f"threshold {threshold} leaves no bit to tell hashes apart by; {most} at most")
+    stash = Stash(rows.sparkSession)
+    if threshold < 1:
+        return rows.sparkSession.createDataFrame([], f"id_a {rows.schema[id_col].dataType.simpleString()}, id_b {rows.schema[id_col].dataType.simpleString()}, distance int")
+    own = stash.put(rows.where(F.col(word).isNotNull()).select(F.col(id_col).alias("id"), F.col(word).alias("h")), "hashes")
+    n = own.count()
+    found = _meet(own.toDF("id_a", "ha"), own.toDF("id_b", "hb"), (n, n), threshold, ["ha"], ["hb"], stash, radix, F.col("id_a") < F.col("id_b"))
+    return found.select("id_a", "id_b", "distance")
+
+
+def in_blocks(rows: DataFrame, most: int, stash: Stash) -> list[DataFrame]:
+    """Cuts rows into written blocks of at most ``most``, by a number within partitions and the partitions' counts."""
+    dealt = stash.put(rows.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "rows")
     at, starts = 0, []
     for r in dealt.groupBy("_part").count().orderBy("_part").collect():
         starts.append((r["_part"], at))
         at += r["count"]
-    first = needles.sparkSession.createDataFrame(starts, "_part int, _first long")
+    first = rows.sparkSession.createDataFrame(starts, "_part int, _first long")
     block = F.floor((F.col("_first") + F.col("_nth")) / most).cast("int")
     dealt = stash.put(dealt.join(F.broadcast(first), "_part").withColumn("_block", block).drop("_part", "_nth", "_first"), "blocks")
-    d = F.bit_count(F.col(needle_word).bitwiseXOR(F.col(word)))
-    found = [
-        stash.put(haystack.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")), d < threshold).withColumn("distance", d), "found")
-        for i in range(-(-at // most))
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return [dealt.where(F.col("_block") == i).drop("_block") for i in range(-(-at // most))]
+
+
+def scan_blocks(needles: DataFrame, haystack: DataFrame, threshold: int, needle_words: list[str], words: list[str], also: Column | None = None, most: int = 100_000) -> DataFrame:
+    """Rows with ``distance < threshold`` by comparing all, for any number of needles.
+
+    Needles are sent to the tasks in blocks of at most ``most`` rows, one after the other; the haystack is read once
+    for each and never shuffled.
+    """
+    d = distance([F.col(w) for w in needle_words], [F.col(w) for w in words])
+    cols = [*needles.columns, *haystack.columns]
+    scan = lambda part: haystack.join(F.broadcast(part), d < threshold if also is None else also & (d < threshold)).select(*cols, d.alias("distance"))
+    if needles.limit(most + 1).count() <= most:
+        return scan(needles)
+    stash = Stash(needles.sparkSession)
+    return reduce(DataFrame.unionByName, (stash.put(scan(part), "found") for part in in_blocks(needles, most, stash)))
 
 
 def radix_key(word: Column, bits: int = 10) -> Column:
@@ -104,13 +229,6 @@ def radix_key(word: Column, bits: int = 10) -> Column:
     return F.shiftrightunsigned(word, 1).bitwiseAND((1 << bits) - 1)
 
 
-def radix_join(left: DataFrame, right: DataFrame, threshold: int, left_word: str, right_word: str, bits: int = 10) -> DataFrame:
-    """Like :func:`hamming_join`, but only for hashes in the same radix bucket (approximate)."""
-    a, b = F.col(left_word), F.col(right_word)
-    d = F.bit_count(a.bitwiseXOR(b))
-    return left.join(right, (radix_key(a, bits) == radix_key(b, bits)) & (d < threshold)).withColumn("distance", d)
-
-
 def radix_stats(hashes: DataFrame, word: str = "phash", bits: int = 10) -> DataFrame:
     """One row on how evenly a radix spreads hashes: buckets in use and empty, min, max, mean and deviation."""
     sizes = hashes.groupBy(radix_key(F.col(word), bits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

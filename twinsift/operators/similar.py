@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.operators.blocking import hamming_join, hamming_scan_blocks, radix_key
+from twinsift.operators.blocking import FEW, hamming_join, hamming_pairs, in_blocks
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
@@ -28,9 +29,7 @@ def class_links(classes: DataFrame, threshold: int = DHT) -> DataFrame:
 
     Equal hashes are one class, however many items have them, so flat images cost nothing here.
     """
-    a = classes.select(F.col("phash").alias("ha"), F.col("rep").alias("rep_a"))
-    b = classes.select(F.col("phash").alias("hb"), F.col("rep").alias("rep_b"))
-    return hamming_join(a, b, threshold, ["ha"], ["hb"], F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b", "distance")
+    return hamming_pairs(classes, threshold, "phash", "rep").select(F.col("id_a").alias("rep_a"), F.col("id_b").alias("rep_b"), "distance")
 
 
 def link_counts(media: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -73,10 +72,7 @@ def search(needles: DataFrame, media: DataFrame, threshold: int = DHT) -> DataFr
     """``(needle, media_id, score)`` for given needles ``(needle, hash)`` against all usable items."""
     n = needles.where("hash <> 0").select("needle", F.col("hash").alias("needle_hash"))
     m = media.where("phash <> 0").select(F.col("id").alias("media_id"), "phash")
-    if threshold <= 12:
-        found = hamming_join(n, m, threshold, ["needle_hash"], ["phash"])
-    else:
-        found = hamming_scan_blocks(n, m, threshold, "needle_hash", "phash")
+    found = hamming_join(n, m, threshold, ["needle_hash"], ["phash"])
     return found.select("needle", "media_id", F.col("distance").alias("score"))
 
 
@@ -151,17 +147,26 @@ def colour_distance(large: Column, small: Column) -> Column:
     return F.aggregate(nearest, F.lit(0.0), lambda s, x: s + x)
 
 
-def colour_search(needles: DataFrame, colours: DataFrame, spread: int = 2) -> DataFrame:
+def colour_search(needles: DataFrame, colours: DataFrame, spread: int = 2, most: int = 10 * FEW) -> DataFrame:
     """``(needle, media_id, score)`` between palettes whose sizes differ by at most ``spread``; empty ones never match.
 
-    The size is the join key: each needle is listed under the sizes it may meet.
+    A score is due for every pair, so needles are sent to the tasks in blocks of at most ``most`` palettes, keyed by
+    size, and the other palettes are read where they lie; no key has to move.
     """
     n = needles.where("num_colors > 0").select(F.col("media_id").alias("needle"), F.col("num_colors").alias("nn"), F.col("colors").alias("nc"))
-    n = n.withColumn("num_colors", F.explode(F.sequence(F.col("nn") - spread, F.col("nn") + spread)))
-    met = n.join(colours.where("num_colors > 0"), "num_colors")
-    bigger = F.col("nn") >= F.col("num_colors")
-    total = F.when(bigger, colour_distance(F.col("nc"), F.col("colors"))).otherwise(colour_distance(F.col("colors"), F.col("nc")))
-    return met.select("needle", "media_id", F.floor(1 + total).cast("long").alias("score"))
+    hay = colours.where("num_colors > 0").select("media_id", "num_colors", "colors")
+
+    def meet(part: DataFrame) -> DataFrame:
+        listed = part.withColumn("size", F.explode(F.sequence(F.col("nn") - spread, F.col("nn") + spread)))
+        met = hay.join(F.broadcast(listed), F.col("num_colors") == F.col("size"))
+        bigger = F.col("nn") >= F.col("num_colors")
+        total = F.when(bigger, colour_distance(F.col("nc"), F.col("colors"))).otherwise(colour_distance(F.col("colors"), F.col("nc")))
+        return met.select("needle", "media_id", F.floor(1 + total).cast("long").alias("score"))
+
+    if n.limit(most + 1).count() <= most:
+        return meet(n)
+    stash = Stash(needles.sparkSession)
+    return reduce(DataFrame.unionByName, (stash.put(meet(part), "scores") for part in in_blocks(n, most, stash)))
 
 
 def low_detail(word: Column, least: int = 5) -> Column:
@@ -181,8 +186,7 @@ def trim_frames(frames: DataFrame, edge: int, always: bool) -> DataFrame:
 def _frame_pairs(needles: DataFrame, frames: DataFrame, threshold: int, edge: int, bits: int) -> DataFrame:
     hay = trim_frames(frames.where(~low_detail(F.col("hash"))), edge, always=False)
     hay = hay.select(F.col("media_id").alias("video_id"), F.col("frame").alias("dst"), F.col("hash").alias("dst_hash"))
-    d = F.bit_count(F.col("hash").bitwiseXOR(F.col("dst_hash")))
-    return needles.join(hay, (radix_key(F.col("hash"), bits) == radix_key(F.col("dst_hash"), bits)) & (d < threshold)).withColumn("distance", d)
+    return hamming_join(needles, hay, threshold, ["hash"], ["dst_hash"], radix=bits)
 
 
 def frame_search(needles: DataFrame, frames: DataFrame, threshold: int = DHT, edge: int = 0, bits: int = RADIX) -> DataFrame:
