@@ -15,7 +15,10 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    The SimHash trie join links close fingerprints; bands of minima add the pairs that it misses near 0.8.
+    """
     return nearcopies.keep_one(docs)
 
 
@@ -31,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", select_quality),
-    ("near-copy removal", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("best-fit packing", pack),
 ]
