@@ -71,6 +71,20 @@ def test_empty_tables_and_dropping(spark, send):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r[0]) for r in clean)
 
 
+@pytest.mark.parametrize("send,part", [(1 << 20, 10_000), (0, 10_000), (0, 1)])
+def test_items_without_an_id_are_found(spark, monkeypatch, send, part):
+    monkeypatch.setattr(d, "PART", part)
+    rows = corpus()
+    cut = lambda text, at, n: " ".join(text.split()[at : at + n])
+    items_ = [(None, cut(rows[0][1], 0, 3)), (5, cut(rows[1][1], 0, 3)), (None, "one")]
+    bench = spark.createDataFrame(items_, "item_id long, text string")
+    got = d.contamination(frame(spark, rows), bench, send_bytes=send).collect()
+    by = {r["doc_id"]: (r["n_hit"] > 0, r["contaminated"], r["n_items"], r["item_ids"]) for r in got}
+    assert by[0] == (True, True, 0, []) and by[1] == (True, True, 1, ["5"]) and by[305] == (True, True, 0, [])
+    kept = {r["doc_id"] for r in d.drop_contaminated(frame(spark, rows), bench, send_bytes=send).collect()}
+    assert not kept & {0, 1, 305}
+
+
 def test_winnowing_guarantee():
     rng = random.Random(1)
     import numpy as np

@@ -57,8 +57,8 @@ def test_empty_and_unusable(spark):
 
 def test_recall_at_the_threshold():
     """Pairs at a cosine of exactly the threshold, the hardest ones, share a bucket of some table."""
-    k, tables = e.plan(100_000, 0.95, 0.005, 2.0)
-    assert e.plan(10**9, 0.95, 0.005, 2.0)[1] < 500
+    k, tables, width = e.plan(100_000, 0.95, 0.005)
+    assert e.plan(10**9, 0.95, 0.005)[1] < 250
     rng = np.random.default_rng(0)
     a = rng.standard_normal((2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -66,5 +66,8 @@ def test_recall_at_the_threshold():
     o -= (o * a).sum(1, keepdims=True) * a
     o /= np.linalg.norm(o, axis=1, keepdims=True)
     b = 0.95 * a + np.sqrt(1 - 0.95**2) * o
-    met = (e.bucket_keys(a, k, tables, 2.0, 11) == e.bucket_keys(b, k, tables, 2.0, 11)).any(1)
-    assert met.mean() > 0.98
+    met = (e.bucket_keys(a, k, tables, width, 11) == e.bucket_keys(b, k, tables, width, 11)).any(1)
+    apart = np.bitwise_count((e.sketches(a, 11) ^ e.sketches(b, 11)).view(np.uint64))
+    assert met.mean() > 0.98 and (apart <= e.sketch_errors(0.95)).all()
+    strange = np.bitwise_count((e.sketches(a, 11) ^ e.sketches(o, 11)).view(np.uint64))
+    assert (strange > e.sketch_errors(0.95)).mean() > 0.99

@@ -40,6 +40,54 @@ def test_base_and_lengths(spark, head):
     assert hmm.score_texts(frame(spark, []), head=head, rounds=1).count() == 0
 
 
+def closed_form(rows, head, classes, prior=50.0):
+    """Scores of a model of one state, whose likelihood is a product of smoothed shares."""
+    train, n = Counter(), Counter()
+    for r in rows:
+        words = [*space_words(r[1].encode() if r[1] else None), b""]
+        n.update(words)
+        if learnt(r[0]):
+            train.update(words)
+    order = sorted((w for w in train if w), key=lambda w: (-train[w], w))
+    sizes = Counter(math.floor(math.log2(train[w]) * 32) for w in order)
+    room, least = head - 1, None
+    for step in sorted(sizes, reverse=True):
+        room -= sizes[step]
+        if room < 0:
+            break
+        least = step
+    own = {w for w in order if least is not None and math.floor(math.log2(train[w]) * 32) >= least} | {b""}
+    share = Counter({k: 1 for k in range(classes)})
+    for w in train:
+        if w not in own:
+            share[zlib.crc32(w) % classes] += train[w] + 1
+    total = sum(train[w] + 1 for w in own) + sum(share.values())
+    unit = lambda w: w if w in own else zlib.crc32(w) % classes
+    seen = Counter()
+    for w, c in train.items():
+        seen[unit(w)] += c
+    part = lambda u: (seen[u] + prior * ((train[u] + 1) if isinstance(u, bytes) else share[u]) / total) / (sum(train.values()) + prior)
+    word = lambda w: math.log10(part(unit(w))) + (0 if w in own else math.log10((train[w] + 1) / share[unit(w)]))
+    return [sum(word(w) for w in [*space_words(r[1].encode() if r[1] else None), b""]) for r in rows]
+
+
+@pytest.mark.parametrize("head,classes", [(1000, 16), (30, 16), (1, 3), (40, 70_000)])
+def test_scores_of_one_state_are_closed(spark, head, classes):
+    rows = corpus()
+    got = sorted((str(r["doc_id"]), round(r["score"], 6)) for r in hmm.score_texts(frame(spark), states=1, rounds=1, head=head, classes=classes).collect())
+    want = sorted((str(r[0]), round(x, 6)) for r, x in zip(rows, closed_form(rows, head, classes)))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(got, want)) and len(got) == len(want)
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    rows = corpus()
+    at = next(i for i, r in enumerate(rows) if not learnt(r[0]))
+    other = [*rows]
+    other[at] = (rows[at][0], "zzz " * 500 + rows[0][1], *rows[at][2:])
+    scores = lambda x: sorted((str(r["doc_id"]), round(r["score"], 6)) for r in hmm.score_texts(frame(spark, x), head=20, rounds=2).collect() if r["doc_id"] != rows[at][0])
+    assert scores(rows) == scores(other)
+
+
 def small_model(states=3, words=5, seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)

@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from tests.llm.fixtures import closure, corpus, frame
+from twinsift.llm.common import join_classes
 from twinsift.llm import simhash as s
 from twinsift.llm.common import space_words
 from twinsift.stash import Stash
@@ -81,9 +84,12 @@ def test_folding_many_hashes():
     assert s.fold(h, counts).tolist() == want
 
 
-def test_one_of_each_group_stays(spark):
-    kept = s.keep_first(frame(spark))
-    assert kept.columns == frame(spark).columns
-    ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
-    assert ids == sorted({i for i, _, c in brute(corpus()) if i is not None and i == c})
-    assert s.near_duplicates(frame(spark, [])).count() == 0 and s.keep_first(frame(spark, [])).count() == 0
+def test_frequent_fingerprints_are_sent(spark):
+    rows = corpus()
+    found = s.fingerprints(frame(spark))
+    classes = found.groupBy("fp").count().withColumn("n", F.lit(1))
+    whole = sorted(map(str, found.join(classes, "fp").select("doc_id", "fp", "n").collect()))
+    for least in (0, 3, 1000):
+        got = join_classes(found, classes, "fp", "count", least)
+        assert sorted(map(str, got.select("doc_id", "fp", "n").collect())) == whole
+    assert len(whole) == len(rows) and s.near_duplicates(frame(spark, [])).count() == 0

@@ -88,6 +88,43 @@ def test_chance_magic_at_edges_of_ranges(spark, tmp_path):
         assert sorted(r["page_id"] for r in got) == list(range(30))
 
 
+def as_foreign(spark, tmp_path, rows):
+    """The records of our own archive as one ``.warc.gz`` file, with its members in order."""
+    path = f"{tmp_path}/own"
+    w.write_archive(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"file://{path}")
+    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{path}/part-*")))
+    os.makedirs(f"{tmp_path}/in")
+    return f"{tmp_path}/in/a.warc.gz", data
+
+
+@pytest.mark.parametrize("size", [700, 5000, 64 << 20])
+def test_foreign_suffix(spark, tmp_path, monkeypatch, size):
+    name, data = as_foreign(spark, tmp_path, pages())
+    open(name, "wb").write(data)
+    monkeypatch.setattr(w.scan_ranges, "__defaults__", (size,))
+    got = w.read_archive(spark, f"file://{tmp_path}/in", payloads=False).collect()
+    assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=str) == brute(pages())
+
+
+def test_damaged_member_is_a_row(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " * 50, "x") for i in range(6)]
+    name, data = as_foreign(spark, tmp_path, rows)
+    starts = [i for i in range(len(data)) if data.startswith(w.MAGIC, i)]
+    third = starts[len(starts) // 2]
+    broken = data[: third + 20] + b"\xff" * 20 + data[third + 40 :]
+    open(name, "wb").write(broken[:-9])
+    got = w.read_archive(spark, f"file://{tmp_path}/in").collect()
+    assert sorted(r["record_type"] for r in got).count("damaged") == 2 and len(got) == 6
+    assert all(r["page_id"] is None for r in got if r["record_type"] == "damaged")
+
+
+@pytest.mark.parametrize("name", ["x.warc", "x.warc.gz"])
+def test_bytes_without_a_record_are_an_error(spark, tmp_path, name):
+    (tmp_path / name).write_bytes(b"no archive at all " * 10)
+    with pytest.raises(ValueError, match="no record"):
+        w.read_archive(spark, f"file://{tmp_path}")
+
+
 def test_files_are_plain_multi_member_gzip(spark, tmp_path):
     rows = [(1, "u", "y" * (17 << 20), "x"), (2, "u", "z" * 10, "x")]
     path = f"{tmp_path}/out"

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of the word class ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after A-Z are lower-cased; every other byte
 #: becomes a space. Bytes of non-ASCII characters are all >= 0x80, so the class can be applied to UTF-8 bytes.
@@ -87,3 +89,16 @@ def union_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None
                 break
             labels = up
     return labels
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, copies: str, least: int = 1000) -> DataFrame:
+    """Inner join of rows with one written row per key, whose ``copies`` says how many rows have it.
+
+    Keys with more than ``least`` copies and a thousandth of all rows are a thousand at most: they are sent to the
+    rows, so that a mass of copies is never moved to one task. All other keys are small and meet by a shuffle.
+    """
+    n = classes.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    most = max(least, n // 1000)
+    hot = F.broadcast(classes.where(F.col(copies) > most).drop(copies))
+    cold = classes.where(F.col(copies) <= most).drop(copies).hint("merge")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))

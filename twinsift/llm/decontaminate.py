@@ -17,6 +17,8 @@ from twinsift.stash import Stash
 SEND_BYTES = 32 << 20
 #: Candidate positions that are extended at a time.
 CANDIDATES = 500_000
+#: Texts of one gram that a task joins with its items.
+PART = 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -127,7 +129,7 @@ class Index:
 
 
 def _digest(rows: list[tuple[int, int, list]]) -> list[pa.Array]:
-    names = [sorted({str(x) for x in r[2]}) for r in rows]
+    names = [sorted({str(x) for x in r[2] if x is not None}) for r in rows]
     return [
         pa.array([r[0] for r in rows], pa.int64()),
         pa.array([r[1] for r in rows], pa.int64()),
@@ -152,7 +154,7 @@ FOUND_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, con
 
 def _items(benchmark: DataFrame, send_bytes: int):
     """The usable items, and a broadcast of them if their text is of at most ``send_bytes``, else ``None``."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > send_bytes:
         return items, None
@@ -168,8 +170,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, send_by
     meet are extended word by word, so reported passages are exact.
 
     The benchmark goes whole to the tasks only up to ``send_bytes`` of text, which is checked first; a larger
-    one is joined by fingerprint. Null and wordless texts have no words and no hits; null or repeated ids,
-    repeated rows and extra columns change nothing; an empty benchmark hits nothing; no rows give no rows.
+    one is joined by fingerprint. Null and wordless texts have no words and no hits; items without an id are found like
+    any other, but have no name to be counted or listed by; repeated ids, repeated rows and extra columns change nothing; an empty benchmark hits nothing; no rows give no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -219,11 +221,24 @@ def _judged(texts: DataFrame, items: DataFrame, span: int, stash: Stash) -> Data
     items = items.distinct().withColumn("item_key", F.monotonically_increasing_id())
     items = stash.put(items, "items")
     once = stash.put(texts.where("text is not null").dropDuplicates(["key"]).select("key", "text"), "texts")
-    all_spans = list(range(1, span + 1))
-    theirs = items.select(F.col("item_key").alias("key"), "text").mapInArrow(_keep_grams(all_spans, span, True), "key long, fp long")
+
+    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 256):
+            found = {min(span, len(alnum_words(t))) for t in as_bytes(batch.column(0))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["n"])
+
+    spans = sorted(r["n"] for r in items.select("text").mapInArrow(spans_of, "n int").where("n > 0").distinct().collect())
+    theirs = items.select(F.col("item_key").alias("key"), "text").mapInArrow(_keep_grams(spans, span, True), "key long, fp long")
     theirs = stash.put(theirs.select(F.col("key").alias("item_key"), "fp").distinct(), "item_grams")
-    ours = once.mapInArrow(_keep_grams(all_spans, span, False), "key string, fp long")
-    met = ours.join(theirs, "fp").select("key", "item_key").distinct()
+    ours = once.mapInArrow(_keep_grams(spans, span, False), "key string, fp long")
+    # A gram may be in any number of texts: it is dealt to parts by text, and its items are copied to each of them.
+    ours = stash.put(ours.join(theirs.select("fp").distinct(), "fp", "left_semi"), "grams")
+    parts = ours.groupBy("fp").count().select("fp", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    theirs = theirs.join(parts, "fp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = parts.where("parts > 1")
+    many = F.broadcast(many) if many.count() <= 100_000 else many
+    ours = ours.join(many, "fp", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
+    met = ours.select("key", "fp", "part").join(theirs.select("fp", "part", "item_key"), ["fp", "part"]).select("key", "item_key").distinct()
     with_items = met.join(items, "item_key").groupBy("key").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("items"))
     full = once.join(with_items, "key", "left").select("key", "text", "items")
 

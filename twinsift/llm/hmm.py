@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,8 @@ from twinsift.llm.common import as_bytes, slices, space_words
 from twinsift.stash import Stash, partitions
 
 END = b""
-#: Words with an emission of their own at most; all other words share one, split by their counts.
-HEAD = 65_000
+#: Words with an emission of their own, if the caller does not say, and classes of all other words.
+HEAD, CLASSES = 60_000, 4096
 STATES = 8
 SIGNATURE = 8
 #: Distinct words that a task counts before it passes them on.
@@ -33,7 +34,7 @@ CHUNK = 1024
 class Model:
     start: np.ndarray
     step: np.ndarray
-    emit: np.ndarray  # (word or rare class, state)
+    emit: np.ndarray  # (word, or class of other words, by state)
 
 
 def in_training(doc_id, folds: int = 7, fold: int = 2):
@@ -68,43 +69,61 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
 
 
-def head_words(counts: DataFrame, head: int) -> list:
-    """The end of a text and the most frequent words, ``head`` rows at most.
+def head_words(counts: DataFrame, most: int, by: str) -> list:
+    """The most frequent words by the column ``by``, ``most`` rows at most; never the end of a text, or words without any.
 
     A histogram of counts in steps of a 32nd power of two, a few thousand rows for any corpus, gives the count
     from which words still fit; words of one step stay together. So the driver gets no more than these rows.
     """
-    step = F.floor(F.log2("n") * 32).cast("int")
-    words = counts.where("word <> ''").withColumn("step", step)
+    words = counts.where(f"word <> '' and {by} > 0").withColumn("step", F.floor(F.log2(by) * 32).cast("int"))
     sizes = sorted(((r["step"], r["count"]) for r in words.groupBy("step").count().collect()), reverse=True)
-    least, room = None, head - 1
+    least, room = None, most
     for at, size in sizes:
         room -= size
         if room < 0:
             break
         least = at
     top = [] if least is None else words.where(F.col("step") >= least).drop("step").collect()
-    return counts.where("word = ''").collect() + sorted(top, key=lambda r: (-r["n"], r["word"]))
+    return sorted(top, key=lambda r: (-r[by], r["word"]))
 
 
-def encode(rows: DataFrame, head: Broadcast, rare: int) -> DataFrame:
-    """``(doc_id, learnt, n_tokens, codes binary, tail array<string>)``: 16-bit word numbers, and the words without one."""
+def class_of(word: bytes, classes: int) -> int:
+    """Class of a word without an emission of its own; the same as Spark's crc32."""
+    return zlib.crc32(word) % classes
+
+
+def code_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def encode(rows: DataFrame, numbers: Broadcast, known: Broadcast, head: int, classes: int) -> DataFrame:
+    """``(doc_id, learnt, n_tokens, codes binary, tail array<string>, f_known, f_log)`` per text.
+
+    Codes are the numbers of head words, and ``head`` and more for the classes of others. Those others are listed in
+    ``tail``, but for frequent ones: ``known`` has their training counts, and they are summed here.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
+    code = code_type(head + classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = head.value.get
+        get, counts = numbers.value.get, known.value
         for batch in slices(batches, 256):
-            n, codes, tails = [], [], []
+            out: list[list] = [[] for _ in range(5)]
             for text in as_bytes(batch.column(2)):
                 words = space_words(text) + [END]
-                own = [get(w, rare) for w in words]
-                n.append(len(own))
-                codes.append(np.array(own, np.uint16).tobytes())
-                tails.append([w for w, c in zip(words, own) if c == rare])
-            tail = pa.array(tails, pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), tail], ["doc_id", "learnt", "n_tokens", "codes", "tail"])
+                own = [get(w, -1) for w in words]
+                others = [w for w, c in zip(words, own) if c < 0]
+                if others:
+                    own = [head + class_of(w, classes) if c < 0 else c for w, c in zip(words, own)]
+                frequent = [counts[w] for w in others if w in counts]
+                columns = len(own), np.array(own, code).tobytes(), [w for w in others if w not in counts], sum(c > 0 for c in frequent), float(sum(np.log10(c + 1) for c in frequent))
+                for into, x in zip(out, columns):
+                    into.append(x)
+            tail = pa.array(out[2], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            made = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), tail, pa.array(out[3], pa.int64()), pa.array(out[4], pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "learnt", "n_tokens", "codes", "tail", "f_known", "f_log"])
 
-    return rows.select("doc_id", "learnt", "text").mapInArrow(run, f"doc_id {kind}, learnt boolean, n_tokens long, codes binary, tail array<string>")
+    return rows.select("doc_id", "learnt", "text").mapInArrow(run, f"doc_id {kind}, learnt boolean, n_tokens long, codes binary, tail array<string>, f_known long, f_log double")
 
 
 def blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -116,7 +135,7 @@ def blocks(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         own = order[at : at + max(1, BLOCK_TOKENS // longest)]
         at += len(own)
         lengths = np.array([len(texts[i]) for i in own])
-        codes = np.zeros((longest, len(own)), np.uint16)
+        codes = np.zeros((longest, len(own)), texts[own[0]].dtype)
         for j, i in enumerate(own):
             codes[: lengths[j], j] = texts[i]
         going = np.searchsorted(-lengths, -np.arange(longest), "left")
@@ -196,12 +215,12 @@ def expect(model: Model, texts: list[np.ndarray], counts: np.ndarray, steps: np.
                 counts[:, j] += np.bincount(flat, gamma[:, j][there], len(counts))
 
 
-def _texts(batch: pa.RecordBatch, column: str = "codes") -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint16) for b in batch.column(column).to_pylist()]
+def _texts(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    return [np.frombuffer(b, code_type(size)) for b in batch.column("codes").to_pylist()]
 
 
 def _summed(found: DataFrame, run, size: int) -> np.ndarray:
-    """Sum over tasks of an array of ``size`` numbers that ``run(batches)`` returns, added up in chunks by Spark."""
+    """Sum over tasks of an array of ``size`` numbers that ``run(batches)`` returns, added up in chunks by Spark in one job."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = run(batches)
@@ -220,7 +239,7 @@ def _summed(found: DataFrame, run, size: int) -> np.ndarray:
 
     parts = found.mapInArrow(emit, "chunk int, data binary").repartition(partitions(found.sparkSession), "chunk")
     out = np.zeros(size)
-    for r in parts.mapInArrow(add, "chunk int, data binary").toLocalIterator():
+    for r in parts.mapInArrow(add, "chunk int, data binary").collect():
         x = np.frombuffer(r["data"])
         out[r["chunk"] * CHUNK * STATES :][: len(x)] += x
     return out
@@ -239,7 +258,7 @@ def context_clusters(learnt: DataFrame, unigram: np.ndarray, states: int) -> np.
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         sums = np.zeros((size, SIGNATURE))
         for batch in slices(batches, 256):
-            texts = _texts(batch)
+            texts = _texts(batch, size)
             if not texts:
                 continue
             flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
@@ -273,7 +292,6 @@ def train(learnt: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
     emit = np.full((size, states), 0.3 / states)
     emit[np.arange(size), near] += 0.7
     emit *= unigram[:, None]
-    emit[-1] = unigram[-1]
     model = Model(np.full(states, 1 / states), 0.5 * np.eye(states) + 0.5 / states, emit / emit.sum(0))
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -281,7 +299,7 @@ def train(learnt: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> np.ndarray:
             counts, steps, starts = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
             for batch in slices(batches, TEXTS):
-                expect(sent.value, _texts(batch), counts, steps, starts)
+                expect(sent.value, _texts(batch, size), counts, steps, starts)
             return np.concatenate([counts.ravel(), steps.ravel(), starts])
 
         out = _summed(learnt.select("codes"), run, (size + states + 1) * states)
@@ -291,64 +309,70 @@ def train(learnt: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
     return model
 
 
-def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 3, head: int = HEAD, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 3, head: int = HEAD, classes: int = CLASSES, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base-10 log probabilities of whole texts under smoothed word counts and a hidden Markov model.
 
     One row ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``. Texts
-    whose id's crc32 is ``fold`` modulo ``folds`` are held out of learning. The ``head`` most frequent words have
-    emissions of their own; the rest share one, and divide it by their training counts plus one, with one more
-    share for unseen words. Counts of the rest are joined by word: none of them is frequent, so no key is large.
+    whose id's crc32 is ``fold`` modulo ``folds`` are held out: nothing is learnt from them. The ``head`` most frequent
+    words of the training texts, any number that fits a task's memory with ``states`` numbers each, have emissions of
+    their own; all others belong to ``classes`` by a hash, each with emissions of its own. A class is divided among its
+    words by their training counts plus one, with one more share for unseen words. Counts of these words grow with
+    the corpus and are joined by word. The most frequent of them, by all texts, are sent instead, so no key is large.
 
     A null text is empty, one end token; a null id is learnt from; repeated rows count each time; extra
     columns are ignored; no rows give no rows.
     """
-    if not 1 <= head <= HEAD:
-        raise ValueError(f"head must be 1 to {HEAD}")
     stash, spark = Stash(docs.sparkSession), docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), in_training(F.col(id_col), folds, fold).alias("learnt"), F.col(text_col).alias("text"))
     counts = stash.put(word_counts(rows), "counts")
     n, v = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
-    top = head_words(counts, head)
-    numbers = {r["word"].encode(): i for i, r in enumerate(top)}
-    rare = len(top)
-    c = np.array([r["train"] for r in top] + [0], float)
-    in_head = F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word string"))
+    ends = counts.where("word = ''").agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    top = head_words(counts, head - 1, "train")
+    numbers = {END: 0} | {r["word"].encode(): i for i, r in enumerate(top, 1)}
+    frequent = {r["word"].encode(): r["train"] for r in head_words(counts, max(head, HEAD), "n") if r["word"].encode() not in numbers}
+    in_head = F.broadcast(spark.createDataFrame([("",)] + [(r["word"],) for r in top], "word string"))
     tail_counts = stash.put(counts.where("train > 0").join(in_head, "word", "left_anti").select("word", "train"), "tail_counts")
-    types, tokens = tail_counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("train"), F.lit(0))).first()
-    rare_total = tokens + types + 1
-    total = n + v + 1
-    unigram = np.append((c[:-1] + 1), rare_total)
+    by_class = tail_counts.groupBy((F.crc32(F.col("word").cast("binary")) % classes).alias("k")).agg(F.sum(F.col("train") + 1).alias("t"))
+    shares = np.ones(classes)
+    for r in by_class.collect():
+        shares[r["k"]] += r["t"]
+    total, rare, size = n + v + 1, len(numbers), len(numbers) + classes
+    c = np.array([ends] + [r["train"] for r in top], float)
+    unigram = np.concatenate([c + 1, shares])
     unigram = unigram / unigram.sum()
-    coded = encode(rows, spark.sparkContext.broadcast(numbers), rare).withColumn("row", F.monotonically_increasing_id())
-    coded = stash.put(coded, "coded")
+    coded = encode(rows, spark.sparkContext.broadcast(numbers), spark.sparkContext.broadcast(frequent), rare, classes)
+    coded = stash.put(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
     model = train(coded.where("learnt"), unigram, states, rounds)
-    sent = spark.sparkContext.broadcast((model, np.log10(c + 1), c > 0))
+    own_log = np.concatenate([np.log10(c + 1), np.zeros(classes)])
+    share_log = np.concatenate([np.zeros(rare), np.log10(shares)])
+    sent = spark.sparkContext.broadcast((model, own_log, share_log, np.append(c, np.zeros(classes)) > 0))
     kind = docs.schema[id_col].dataType.simpleString()
+    plain = ["row", "doc_id", "learnt", "n_tokens", "f_known", "f_log"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs, known = sent.value
+        own, logs, share, known = sent.value
         for batch in slices(batches, TEXTS):
-            texts = _texts(batch, "codes")
-            likely = log_likelihood(own, texts)
+            texts = _texts(batch, size)
+            likely = log_likelihood(own, texts) - np.array([share[t].sum() for t in texts])
             base = [float(logs[t].sum()) for t in texts]
             seen = [int(known[t].sum()) for t in texts]
-            plain = [batch.column(k) for k in ("row", "doc_id", "learnt", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*plain, pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(likely)], ["row", "doc_id", "learnt", "n_tokens", "known", "base", "likely"])
+            made = [pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(likely, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in plain), *made], [*plain, "known", "base", "likely"])
 
-    scored = coded.select("row", "doc_id", "learnt", "n_tokens", "codes").mapInArrow(run, f"row long, doc_id {kind}, learnt boolean, n_tokens long, known long, base double, likely double")
+    schema = f"row long, doc_id {kind}, learnt boolean, n_tokens long, f_known long, f_log double, known long, base double, likely double"
+    scored = coded.select(*plain, "codes").mapInArrow(run, schema)
     tails = coded.select("row", F.explode("tail").alias("word")).join(tail_counts, "word", "left")
     more = tails.groupBy("row").agg(
-        F.count(F.lit(1)).alias("t_n"),
         F.count_if(F.col("train") > 0).alias("t_known"),
         F.sum(F.log10(F.coalesce("train", F.lit(0)) + 1)).alias("t_log"),
     )
-    zero = lambda name: F.coalesce(name, F.lit(0))
+    logs = F.coalesce("t_log", F.lit(0.0)) + F.col("f_log")
     return scored.join(more, "row", "left").select(
         "doc_id",
         (~F.col("learnt")).alias("held_out"),
         "n_tokens",
-        (F.col("known") + zero("t_known")).alias("n_known"),
+        (F.col("known") + F.col("f_known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("t_log") - F.col("n_tokens") * float(np.log10(total))).alias("base_score"),
-        (F.col("likely") + zero("t_log") - zero("t_n") * float(np.log10(rare_total))).alias("score"),
+        (F.col("base") + logs - F.col("n_tokens") * float(np.log10(total))).alias("base_score"),
+        (F.col("likely") + logs).alias("score"),
     )

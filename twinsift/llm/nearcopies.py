@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from twinsift.llm.common import as_bytes, key_runs, run_starts, slices, space_words
-from twinsift.llm.simhash import shingle_hashes
+from twinsift.llm.simhash import fold, shingle_hashes, trie_links
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash, partitions
 
@@ -20,6 +20,8 @@ from twinsift.stash import Stash, partitions
 SIZE, NEAR = 5, (4, 5)
 #: Bands and minima of a band: a pair at 0.8 is in no common bucket with probability (1 - 0.8 ** 5) ** 20 = 0.04 %.
 BANDS, MINIMA = 20, 5
+#: Bands that are compared first, together with the links of the trie join.
+FIRST = 2
 #: Distinct shingle sets, and shingles, of one part of a bucket; a task compares two parts at a time.
 BLOCK, SHINGLES = 2048, 1_000_000
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * MINIMA, 1), np.uint64)
@@ -68,28 +70,38 @@ def near_links(flat: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def similar_links(marked: DataFrame, stash: Stash, block: int = BLOCK) -> DataFrame:
-    """Links ``(a, b)`` of the shingle sets of ``marked(_row, _fp, _keys, _n, _text)`` that are near, found in common buckets.
+def shared_buckets(entries: DataFrame, roots: DataFrame | None, stash: Stash, block: int = BLOCK) -> DataFrame:
+    """``(key, _fp, _row, parts)`` of the entries ``(key, _fp, _n, _row)`` whose bucket may still join something.
 
-    Only sets that share a bucket are made again and sent there, once for buckets of the same sets. A bucket of more than ``block`` sets or
-    SHINGLES shingles is cut into parts, and each pair of parts is compared by a task.
+    Buckets of one set, and those whose sets are all in one group of ``roots`` already, are left out; of buckets of
+    the same sets one stays. A bucket of more than ``block`` sets or SHINGLES shingles has several parts.
     """
-    spark = stash.spark
-    classes = stash.put(marked.where("_n > 0").select("_fp", "_keys", "_n", "_row").dropDuplicates(["_fp"]), "classes")
-    entries = classes.select("_fp", "_n", "_row", F.explode("_keys").alias("key"))
+    if roots is None:
+        entries = entries.withColumn("_root", F.col("_fp"))
+    else:
+        entries = entries.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     digests = [F.bit_xor(F.xxhash64("_fp", F.lit(i))).alias(f"d{i}") for i in range(2)]
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"), *digests).where("c > 1")
-    sizes = sizes.groupBy("c", "s", "d0", "d1").agg(F.min("key").alias("key"))
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"), F.min("_root").alias("lo"), F.max("_root").alias("hi"), *digests)
+    sizes = sizes.where("lo <> hi").groupBy("c", "s", "d0", "d1").agg(F.min("key").alias("key"))
     parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / SHINGLES)).cast("int")
-    entries = stash.put(entries.join(sizes.select("key", parts.alias("parts")), "key").select("key", "_fp", "_row", "parts"), "entries")
-    texts = marked.join(entries.select("_row").distinct(), "_row", "left_semi")
+    return stash.put(entries.join(sizes.select("key", parts.alias("parts")), "key").select("key", "_fp", "_row", "parts"), "entries")
+
+
+def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFrame:
+    """Links ``(a, b)`` that join the near sets of each bucket of ``entries``, checked exactly.
+
+    Only the sets of ``entries`` are made again from ``texts(_row, _fp, _text)`` and sent there; each pair of parts
+    of a bucket is compared by a task.
+    """
+    spark = stash.spark
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             found = [shingle_set(t).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_fp", "found"])
 
-    found = stash.put(texts.select("_fp", "_text").mapInArrow(sets, "_fp long, found binary"), "sets")
+    own = texts.join(entries.select("_row").distinct(), "_row", "left_semi")
+    found = own.select("_fp", "_text").mapInArrow(sets, "_fp long, found binary")
     entries = entries.withColumn("r", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int"))
     entries = entries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     entries = entries.select("key", F.least("r", "q").alias("x"), F.greatest("r", "q").alias("y"), "_fp")
@@ -111,32 +123,54 @@ def similar_links(marked: DataFrame, stash: Stash, block: int = BLOCK) -> DataFr
 
     dealt = entries.join(found, "_fp").select(*keys, "_fp", "found")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(link, "a long, b long")
+    return stash.put(dealt.mapInArrow(link, "a long, b long"), "links")
+
+
+def groups(marked: DataFrame, stash: Stash, block: int = BLOCK) -> DataFrame:
+    """``(_fp, _root)``: groups of near sets of ``marked(_fp, _sim, _keys, _n, _row, _text)``; lone sets are left out.
+
+    First come the sets whose SimHash fingerprints the trie join links, and FIRST bands; most near copies meet there.
+    The other bands then only compare buckets that still hold sets of different groups, so that the sets of a
+    group are sent few times, and yet no pair that shares any band is lost.
+    """
+    names = ["_fp", "_sim", "_keys", "_n", "_row"]
+    classes = stash.put(marked.where("_n > 0").select(*names).dropDuplicates(["_fp"]), "classes")
+    tries = connected_components(stash.put(trie_links(classes.select(F.col("_sim").alias("fp")).distinct(), stash), "tries"), stash)
+    by_trie = classes.join(tries.select(F.col("node").alias("_sim"), F.xxhash64("component").alias("key")), "_sim")
+    bands = lambda at, n: classes.select(F.explode(F.slice("_keys", at, n)).alias("key"), "_fp", "_n", "_row")
+    roots, links = None, None
+    for entries in (by_trie.select("key", "_fp", "_n", "_row").unionByName(bands(1, FIRST)), bands(FIRST + 1, BANDS)):
+        found = bucket_links(shared_buckets(entries, roots, stash, block), marked, stash)
+        links = found if links is None else links.unionByName(found)
+        roots = stash.put(connected_components(links, stash).select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "roots")
+    return roots
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row of ``docs`` for each group of near copies, with all its columns.
 
     Texts are linked from a Jaccard similarity of 0.8 of their sets of five-word shingles (lower-cased words; a
-    shorter text is one shingle); links are found by bands of minima and checked exactly. The row with the
+    shorter text is one shingle). Candidates are texts that the SimHash trie join links (4 of 64 bits) and, as those
+    miss most pairs near 0.8, texts that share a band of minima; every link is checked exactly. The row with the
     smallest id stays, null ids last, then by the hash of its text. Rows are told apart by themselves, so null
     and repeated ids follow the same rule. Null and wordless texts are one group.
     """
     stash = Stash(docs.sparkSession)
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "_fp", "_n", "_keys"]
+    names = [*docs.columns, "_fp", "_sim", "_n", "_keys"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             found = [shingle_set(t) for t in as_bytes(batch.column(at))]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64)
-            more = [pa.array(fps), pa.array([len(x) for x in found], pa.int64()), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))]
+            sizes = np.array([len(x) for x in found], np.int64)
+            sims = fold(np.concatenate(found), sizes).view(np.int64) if found else np.zeros(0, np.int64)
+            more = [pa.array(fps), pa.array(sims), pa.array(sizes), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
-    schema = StructType([*docs.schema.fields]).add("_fp", "long").add("_n", "long").add("_keys", ArrayType(LongType()))
+    schema = StructType([*docs.schema.fields]).add("_fp", "long").add("_sim", "long").add("_n", "long").add("_keys", ArrayType(LongType()))
     marked = stash.put(docs.mapInArrow(mark, schema).withColumn("_row", F.monotonically_increasing_id()), "marked")
-    links = stash.put(similar_links(marked.withColumn("_text", F.col(text_col)), stash, block), "links")
-    roots = connected_components(links, stash).select(F.col("node").alias("_fp"), F.col("component").alias("_root"))
+    roots = groups(marked.withColumn("_text", F.col(text_col)), stash, block)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col("_row"))
     rows = marked.select("_fp", "_row", order.alias("_order")).join(roots, "_fp", "left")
     best = rows.groupBy(F.coalesce("_root", "_fp").alias("_root")).agg(F.min("_order").getField("_row").alias("_row"))

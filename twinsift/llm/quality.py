@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from twinsift.llm.common import alnum_words, as_bytes, slices
 from twinsift.stash import Stash
 
-BUCKET_BITS = 24
+#: Features are hashed into a fixed space of 2 ** BUCKET_BITS weights; those that share one share its weight.
+BUCKET_BITS = 18
 UPPER = bytes(range(65, 91))
 #: Keeps runs of ASCII punctuation, everything else becomes a space.
 PUNCTUATION = bytes(b if 33 <= b <= 126 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) else 32 for b in range(256))
@@ -52,7 +53,6 @@ def text_features(text: bytes | None) -> set[bytes]:
 class OrdinalModel:
     """``P(grade >= k) = 1 / (1 + exp(cuts[k - 1] - score))`` with one score per text and ascending cuts."""
 
-    buckets: np.ndarray
     weights: np.ndarray
     cuts: np.ndarray
 
@@ -139,14 +139,29 @@ def _smallest(ratings: DataFrame, most: int) -> DataFrame:
     return few.orderBy("h", "rated_id", "grade").limit(most).drop("h")
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 20_000, max_features: int = 8192, least_told: float = 15.0, penalty: float = 0.1, steps: int = 30, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+def worth(counts: np.ndarray, told: float) -> np.ndarray:
+    """How much each feature tells grades apart, from ``counts(grade, bucket)``: 0 to 1.
+
+    It is the largest chi-square statistic, with Yates's correction, over the cuts between grades, in parts of ``told``.
+    """
+    n, total = counts.sum(0), counts.sum()
+    best = np.zeros(counts.shape[1])
+    for k in range(1, len(counts)):
+        p = counts[k:].sum() / total
+        gap = np.maximum(np.abs(counts[k:].sum(0) - n * p) - 0.5, 0)
+        best = np.maximum(best, gap**2 / np.maximum(n * p * (1 - p), 1e-9))
+    return np.clip(best / told, 1e-3, 1)
+
+
+def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 20_000, penalty: float = 0.1, told: float = 15.0, steps: int = 30, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits shared weights and ordered cuts on ``ratings(doc_id, grade)``, grades 0 to ``grades - 1``.
 
     At most ``max_rated`` distinct ratings of documents are used, those with the smallest hash of their id; they are
-    sent to the tasks that read ``docs``, so texts are not shuffled. Of the hashed features the ``max_features`` that best
-    tell grades apart are kept (by a chi-square statistic of at least ``least_told``). Loss and gradient are summed over partitions; only sums reach the driver.
-    Ratings without a grade in range, without an id or without a document are left out before the draw; with no
-    ratings at all the model gives every text the top grade.
+    sent to the tasks that read ``docs``, so texts are not shuffled. Every feature of these texts has a weight, which
+    is scaled by what the feature tells (see :func:`worth`), so that the penalty falls on those that tell little. Counts, loss and gradient are summed over partitions in one job each; only sums, as long as the weights, reach the driver.
+    Ratings without a grade in range, without an id or without a document are left out before the draw; repeated
+    rows of ``docs`` count each time, its extra columns are ignored; with no ratings at all the model gives every
+    text the top grade.
     """
     spark = docs.sparkSession
     stash = Stash(spark)
@@ -157,69 +172,60 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 2
     features = stash.put(_featurize(rows.join(F.broadcast(some), "rated_id")), "features")
     counts = {r["grade"]: r["count"] for r in features.groupBy("grade").count().collect()}
     total = sum(counts.values())
+    n = 1 << BUCKET_BITS
     if not total:
-        return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.full(grades - 1, -50.0))
-    above = [sum(n for g, n in counts.items() if g >= k) / total for k in range(1, grades)]
-    each = features.select("grade", F.explode("feats").alias("b")).groupBy("b")
-    each = each.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("grade") >= k).cast("long")).alias(f"n{k}") for k in range(1, grades)))
-    told = [F.pow(F.col(f"n{k}") - F.col("n") * p, 2) / (F.col("n") * (p * (1 - p) + 1e-9)) for k, p in enumerate(above, 1)]
-    best = each.withColumn("told", F.greatest(*told, F.lit(0.0))).where((F.col("n") >= 3) & (F.col("told") >= least_told)).orderBy(F.desc("told"), "b").limit(max_features)
-    buckets = np.array(sorted(r["b"] for r in best.select("b").collect()), np.int64)
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy().astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            spot = np.minimum(np.searchsorted(buckets, flat), max(0, len(buckets) - 1))
-            ok = buckets[spot] == flat if len(buckets) else np.zeros(len(flat), bool)
-            kept = np.concatenate([[0], np.cumsum(ok)])[at]
-            out = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(spot[ok], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["grade", "feats"])
-
-    train = stash.put(features.mapInArrow(thin, "grade int, feats array<int>"), "train")
-    n = len(buckets)
-
-    def summed(x: np.ndarray) -> np.ndarray:
-        weights, cuts = x[:n], x[n:]
+        return OrdinalModel(np.zeros(n), np.full(grades - 1, -50.0))
+    above = [sum(x for g, x in counts.items() if g >= k) / total for k in range(1, grades)]
+
+    def summed(x: np.ndarray | None) -> np.ndarray:
+        """Loss and gradient at ``x``, or without one the occurrences of features by grade."""
+        sent = spark.sparkContext.broadcast(x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(1 + len(x))
+            x = sent.value
+            out = np.zeros(1 + len(x) if x is not None else grades * n)
             for batch in batches:
-                at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
-                out += loss_gradient(weights, cuts, batch.column(0).to_numpy(), at, batch.column(1).flatten().to_numpy())
+                rated, sizes, flat = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy()
+                if x is None:
+                    out += np.bincount(np.repeat(rated, sizes).astype(np.int64) * n + flat, minlength=grades * n)
+                else:
+                    out += loss_gradient(x[:n], x[n:], rated, np.concatenate([[0], np.cumsum(sizes)]), flat)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
 
-        return sum(np.frombuffer(r["sums"]) for r in train.mapInArrow(run, "sums binary").toLocalIterator())
+        out = sum(np.frombuffer(r["sums"]) for r in features.mapInArrow(run, "sums binary").collect())
+        sent.destroy()
+        return out
+
+    scale = worth(summed(None).reshape(grades, n), told)
 
     def cuts_of(free: np.ndarray) -> np.ndarray:
         return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
         free = x[n:]
-        out = summed(np.concatenate([x[:n], cuts_of(free)]))
+        out = summed(np.concatenate([scale * x[:n], cuts_of(free)]))
         by_cut = out[1 + n :]
         by_free = np.concatenate([[by_cut.sum()], np.cumsum(by_cut[::-1])[::-1][1:] * np.exp(free[1:])])
         value = out[0] + 0.5 * penalty * (x[:n] @ x[:n])
-        return value, np.concatenate([out[1 : 1 + n] + penalty * x[:n], by_free])
+        return value, np.concatenate([scale * out[1 : 1 + n] + penalty * x[:n], by_free])
 
     shares = np.clip(1 - np.array(above), 1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(shares / (1 - shares)) + 1e-3 * np.arange(grades - 1))
     free = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     x = minimise(objective, np.concatenate([np.zeros(n), free]), steps)
-    return OrdinalModel(buckets, x[:n], cuts_of(x[n:]))
+    return OrdinalModel(scale * x[:n], cuts_of(x[n:]))
 
 
 class Scorer:
     """Scores of texts in one task: the sum of the weights of a text's distinct feature buckets."""
 
     def __init__(self, model: OrdinalModel):
-        self.weights = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+        self.weights = model.weights
         self.known: dict[bytes, tuple[int, float]] = {}
 
     def _look(self, word: bytes) -> tuple[int, float]:
         b = bucket(word)
-        got = (b, self.weights.get(b, 0.0))
+        got = (b, float(self.weights[b]))
         if len(self.known) < REMEMBER:
             self.known[word] = got
         return got

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import as_bytes, key_runs, run_starts, slices, space_words, union_labels
+from twinsift.llm.common import as_bytes, join_classes, key_runs, run_starts, slices, space_words, union_labels
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash, partitions
 
@@ -231,27 +231,15 @@ def near_duplicates(docs: DataFrame, errors: int = 4, size: int = 4, block: int
     """
     stash = Stash(docs.sparkSession)
     found = stash.put(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    classes = stash.put(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = stash.put(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "classes")
     links = stash.put(trie_links(classes, stash, errors, block), "links")
     members = connected_components(links, stash).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     members = stash.put(members, "members")
     linked = members.join(classes, "fp")
     best = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     best = stash.put(members.join(best, "root").select("fp", "component_id"), "best")
-    per_class = classes.join(best, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    per_class = classes.join(best, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "copies")
     per_class = stash.put(per_class, "per_class")
-    return found.join(per_class, "fp").select(
+    return join_classes(found, per_class, "fp", "copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, errors: int = 4, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stand for their group of near duplicates, with all their columns.
-
-    The document with the smallest id of each group stays, once if its row is repeated. Rows without an id
-    cannot be told apart by it: one of each text among them stays.
-    """
-    groups = near_duplicates(docs, errors, size, id_col=id_col, text_col=text_col)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(first, docs[id_col] == first["kept_id"], "left_semi").dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))

@@ -12,7 +12,8 @@ from twinsift.llm.bpe import encoder
 from twinsift.llm.common import slices
 from twinsift.stash import Stash
 
-SPAN = 1024
+#: Distinct lengths of one block, about.
+SPAN = 256
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,15 +35,18 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens", span: int = SPAN
 
     Columns: ``n_tokens, n_docs, docs_longer`` (documents of more tokens), ``tokens_longer`` (their tokens),
     ``docs_total, tokens_total, truncated_total`` (tokens left when every document is cut at this length) and
-    ``share_at_most`` (part of the documents with at most this length). Lengths are summed by blocks of
-    ``span`` first; only block sums, one row for each ``span`` of the longest length, meet in one place.
+    ``share_at_most`` (part of the documents with at most this length). Lengths are dealt by order to blocks of
+    about ``span`` distinct ones and summed by block first; only block sums meet in one place, at most a few
+    thousand rows as a block is never less than a thousandth of the distinct lengths.
     Null lengths are not counted; no rows give no rows.
     """
     L = F.col("n_tokens")
     stash = Stash(lengths.sparkSession)
     hist = lengths.select(F.col(col).cast("long").alias("n_tokens")).where(L.isNotNull())
     hist = stash.put(hist.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
-    hist = hist.withColumn("block", F.expr(f"n_tokens div {span}")).withColumn("tokens", L * F.col("n_docs"))
+    parts = max(1, min(1000, -(-hist.count() // span)))
+    hist = hist.repartitionByRange(parts, "n_tokens").withColumn("block", F.spark_partition_id()).withColumn("tokens", L * F.col("n_docs"))
+    hist = stash.put(hist, "blocks")
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))

@@ -8,12 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinsift.llm.common import join_classes
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*\d*\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
+
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: Rules that are sent to every task; more are joined.
+SENT_RULES = 100_000
 
 
 def after_scheme(url: Column) -> Column:
@@ -35,42 +41,76 @@ def node_of(rest: Column) -> Column:
     return F.concat(host_of(rest), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; what follows ``?`` stays as it is."""
+    plain, rest = F.regexp_extract(path, r"^[^?#]*", 0), F.regexp_extract(path, r"^[^?#]*(.*)$", 1)
+    parts = F.split(F.substr(plain, F.lit(2)), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.locate("/.", plain) > 0, F.concat(F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(path)
+
+
 def resolve(target: Column, base: Column) -> Column:
-    """What follows the scheme of a link target found on the page whose URL has ``base`` after its scheme."""
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    """What follows the scheme of a link target found on the page whose URL has ``base`` after its scheme.
+
+    Targets may be whole, without scheme, absolute or relative paths (with ``.`` and ``..``) or queries, and have
+    ``&amp;`` for ``&``. A fragment is the page itself; schemes without ``//`` lead nowhere, that is, to null.
+    """
+    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
+    host, path = F.regexp_extract(base, r"^[^/?#]*", 0), path_of(base)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
     return (
-        F.when(F.locate("://", target) > 0, after_scheme(target))
+        F.when(target.rlike(SCHEME + "//"), after_scheme(target))
+        .when(target.rlike(SCHEME), F.lit(None))
         .when(target.startswith("//"), F.substr(target, F.lit(3)))
-        .when(target.startswith("/"), F.concat(host_of(base), target))
-        .otherwise(F.concat(host_of(base), folder, target))
+        .when(target.startswith("#"), base)
+        .when(target.startswith("?"), F.concat(host, path, target))
+        .when(target.startswith("/"), F.concat(host, without_dots(target)))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, target))))
     )
 
 
 def links_in(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: nodes of pages and of the targets of their canonical links and immediate refreshes."""
+    """``(a, b)``: nodes of pages and of the targets of their canonical links and immediate refreshes.
+
+    A delay above zero makes a refresh a reload, not an alias. Relative targets start from the page's ``<base>``, if any.
+    """
     rest = after_scheme(F.col("url"))
     found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv")).select(
         rest.alias("rest"),
+        F.regexp_extract("html", BASE, 1).alias("base"),
         F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("target"),
     )
     found = found.where("target <> '' and rest <> ''")
-    return found.select(node_of(F.col("rest")).alias("a"), node_of(resolve(F.col("target"), F.col("rest"))).alias("b"))
+    start = F.when(F.col("base") == "", F.col("rest")).otherwise(F.coalesce(resolve(F.col("base"), F.col("rest")), "rest"))
+    links = found.select(node_of(F.col("rest")).alias("a"), node_of(resolve(F.col("target"), start)).alias("b"))
+    return links.where("b is not null")
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``(host, path, rule, verdict)`` for the distinct ``urls(host, path)`` that a rule fits; the longest wins.
 
     ``rules(host, path, verdict)`` fit their host and its subdomains if the path starts with theirs. Every
-    suffix of a host meets rules by an equi-join. Of two rules of one length that with the longer host wins,
+    suffix of a host meets rules by an equi-join: up to SENT_RULES rules, which are counted, are sent to the URLs; more
+    are first joined with distinct hosts, and what fits a host then meets its paths. Of two rules of one length that with the longer host wins,
     then an allow.
     """
     names = F.split("host", r"\.")
     upto = F.sequence(F.lit(1), F.size(names))
     suffixes = F.transform(upto, lambda i: F.array_join(F.slice(names, i, F.size(names)), "."))
-    each = urls.select("host", "path", F.explode(suffixes).alias("rule_host"))
-    r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
-    met = each.join(r, "rule_host").where(F.col("path").startswith(F.col("rule_path")))
+    r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").distinct()
+    if r.limit(SENT_RULES + 1).count() <= SENT_RULES:
+        met = urls.select("host", "path", F.explode(suffixes).alias("rule_host")).join(F.broadcast(r), "rule_host")
+    else:
+        fit = urls.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host")).join(r, "rule_host")
+        met = urls.join(fit.hint("merge"), "host")
+    met = met.where(F.col("path").startswith(F.col("rule_path")))
     rule = F.concat("rule_host", "rule_path")
     order = F.struct(F.length(rule), F.length("rule_host"), F.col("verdict") == "allow", rule.alias("rule"), "verdict")
     best = met.groupBy("host", "path").agg(F.max(order).alias("x"))
@@ -95,15 +135,20 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
         ends = ends.where("a <> '' and b <> ''").select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
         links = links.unionByName(ends)
     groups = stash.put(connected_components(stash.put(links, "links"), stash), "groups")
-    narrow = pages.select("page_id", host_of(rest).alias("host"), path_of(rest).alias("path"), node_of(rest).alias("node"))
-    nodes = groups.select(host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"), "node", "component")
-    urls = narrow.select("host", "path").unionByName(nodes.select("host", "path")).distinct()
-    best = stash.put(ruled(urls, rules), "ruled")
-    votes = nodes.join(best, ["host", "path"]).groupBy("component").agg(
-        F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow")
+    narrow = pages.select("page_id", host_of(rest).alias("host"), path_of(rest).alias("path"), F.coalesce(node_of(rest), F.lit("")).alias("node"))
+    place = F.concat("host", "path").alias("place")
+    ends = groups.select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    nodes = narrow.select("node", "host", "path").unionByName(ends).groupBy("node", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
+    nodes = stash.put(nodes.select("*", place), "nodes")
+    places = nodes.groupBy("place", "host", "path").agg(F.count(F.lit(1)).alias("n"))
+    best = ruled(places.select("host", "path"), rules).select(place, "rule", "verdict")
+    places = stash.put(places.select("place", "n").join(best.hint("merge"), "place", "left"), "places")
+    judged = stash.put(join_classes(nodes.select("node", "copies", "place"), places, "place", "n").select("node", "copies", "rule", "verdict"), "judged")
+    votes = groups.join(judged.hint("merge"), "node").groupBy("component").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow")
     )
-    blocked = groups.join(votes.where("block and not allow"), "component").select("node", F.lit(True).alias("aliased"))
-    blocked = stash.put(blocked, "blocked")
-    out = narrow.join(best, ["host", "path"], "left").join(blocked, "node", "left")
+    votes = stash.put(votes.select("component", "n", F.coalesce(F.col("block") & ~F.coalesce("allow", F.lit(False)), F.lit(False)).alias("aliased")), "votes")
+    blocked = join_classes(groups, votes, "component", "n").where("aliased").select("node", "aliased")
     verdict = F.coalesce("verdict", F.when(F.col("aliased"), "block"), F.lit("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    judged = judged.join(blocked.hint("merge"), "node", "left").select("node", "copies", "rule", verdict.alias("verdict"))
+    return join_classes(narrow, stash.put(judged, "verdicts"), "node", "copies").select("page_id", "host", "path", "rule", "verdict")

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsift.llm.common import as_bytes, slices
-from twinsift.stash import Stash
+from twinsift.llm.common import as_bytes, join_classes, slices
+from twinsift.stash import Stash, partitions
 
 MAGIC = b"\x1f\x8b\x08"
 #: The last byte of a gzip member is the top byte of its length, zero below 16 MiB. Spark's text writer puts a
@@ -22,6 +23,8 @@ MAGIC = b"\x1f\x8b\x08"
 LAST = b"\x00"
 #: A whole gzip member of nothing; it follows members of 16 MiB and more, so that these end in a zero as well.
 NOTHING = bytes.fromhex("1f8b080000000000000303000000000000000000")
+#: Names that Spark's text reader would take for compressed as a whole.
+CODED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = re.compile(rb"([0-9a-f]{8})-([0-9a-f]{4})-8([0-9a-f]{3})-8([0-9a-f])")
 
@@ -70,9 +73,9 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000, date: st
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     short = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
     again = short.where(F.col("size") >= least_bytes).groupBy("digest")
-    again = again.agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = again.agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = stash.put(again, "repeated")
-    revisits = short.where(F.col("size") >= least_bytes).join(again, "digest").where("page_id < refers_to")
+    revisits = join_classes(short.where(F.col("size") >= least_bytes), again, "digest", "n").where("page_id < refers_to")
     revisits = stash.put(revisits.select("page_id", "digest", "refers_to").distinct(), "revisits")
     rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
@@ -153,7 +156,7 @@ def scan_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """
     lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    columns = RECORD + PIECE
+    columns = RECORD + PIECE  # every record names its file as well
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -186,7 +189,7 @@ def scan_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 done = _decode(data)
                 held = data if done is None else b""
                 if done:
-                    record = parse_record(done)
+                    record = parse_record(done) | {"file": at[0]}
                     out.append(record if payloads else record | {"payload": None})
             yield _batch(out, columns)
             out = []
@@ -197,6 +200,89 @@ def scan_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     return lines.mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in columns))
 
 
+def ranges(files: DataFrame, size: int) -> DataFrame:
+    """``(file, first, last)``: byte ranges of ``files(file, length)``."""
+    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
+    return files.where("length > 0").select("file", cuts.alias("first"), "length").select("file", "first", F.least(F.col("first") + size, "length").alias("last"))
+
+
+def members_in(open_file, first: int, last: int, chunk: int = 1 << 20) -> Iterator[bytes | None]:
+    """Decoded members of a gzip file that start in ``[first, last)``; ``None`` stands for a damaged one.
+
+    A candidate is where the magic stands. In front of the first member, and behind a damaged one, it begins a member
+    only if its header decodes to a record's; each whole member then says where the next begins.
+    """
+    with open_file() as f:
+        at, held, sure = first, b"", False
+        f.seek(first)
+
+        def more() -> bool:
+            nonlocal held
+            data = f.read(chunk)
+            held += data
+            return bool(data)
+
+        while at < last:
+            while len(held) < chunk // 2 and more():
+                pass
+            found = held.find(MAGIC)
+            if found < 0:  # the magic may stand across the edge of what is held
+                skip = max(1, len(held) - len(MAGIC) + 1)
+                if len(held) < len(MAGIC) and not more():
+                    return
+                at, held, sure = at + skip, held[skip:], False
+                continue
+            at, held, sure = at + found, held[found:], sure and not found
+            if at >= last:
+                return
+            while len(held) < 512 and more():
+                pass
+            if not sure and not _begins(held[:512]):
+                at, held = at + 1, held[1:]
+                continue
+            d, out, data = zlib.decompressobj(31), [], held
+            try:
+                out.append(d.decompress(data))
+                while not d.eof and (data := f.read(chunk)):
+                    held += data
+                    out.append(d.decompress(data))
+            except zlib.error:
+                pass
+            if d.eof:
+                size = len(held) - len(d.unused_data)
+                yield b"".join(out)
+                at, held, sure = at + size, held[size:], True
+            else:
+                yield None
+                at, held, sure = at + 1, held[1:], False
+
+
+def scan_ranges(files: DataFrame, payloads: bool, size: int = 64 << 20) -> DataFrame:
+    """Records of gzip files ``files(file, length)`` by byte ranges that tasks open themselves, in any store that Arrow opens.
+
+    For names that Spark's text reader would decompress as a whole, like ``.warc.gz``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, first, last in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                store, path = pa.fs.FileSystem.from_uri(name)
+                out = []
+                for data in members_in(lambda: store.open_input_file(path), first, last):
+                    if data == b"":
+                        continue
+                    record = {"record_type": "damaged"} if data is None else parse_record(data)
+                    out.append(record if payloads else record | {"payload": None})
+                    if len(out) == 64:
+                        yield _batch(out, RECORD)
+                        out = []
+                yield _batch(out, RECORD)
+
+    spark = files.sparkSession
+    cut = ranges(files, size)
+    return cut.repartition(max(1, min(cut.count(), 64 * partitions(spark))), "file", "first").mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in RECORD))
+
+
 def _batch(rows: list[dict], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t, _ in columns], [n for n, _, _ in columns])
 
@@ -206,11 +292,25 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
     Each record belongs to the byte range in which it starts. Pieces at the edges of ranges are few (a chance
     magic inside compressed data) and are joined per file. A revisit's size and digest are those of the payload
-    it stands for. An empty archive gives no rows.
+    it stands for. An empty archive gives no rows; a file that has bytes but no record is an error.
+
+    Files whose suffix names a codec (``.gz``) are read by :func:`scan_ranges`: a damaged member, or one that the end
+    of the file cuts, is a row of ``record_type`` damaged with nulls, and reading goes on behind it. In files that
+    :func:`write_archive` makes, with no such suffix, a damaged member ends the read with an error.
     """
     stash = Stash(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = stash.put(files.select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0"), "files")
+    if files.where(F.col("file").rlike(CODED)).limit(1).count():
+        found = stash.put(scan_ranges(files, payloads), "records")
+        if not found.limit(1).count() and files.limit(1).count():
+            raise ValueError(f"no record in the files under {path}")
+        return found
     scanned = stash.put(scan_archive(spark, path, payloads), "scanned")
     names = [n for n, _, _ in RECORD]
+    bare = files.join(scanned.select("file").distinct(), "file", "left_anti").limit(1).collect()
+    if bare:
+        raise ValueError(f"no record in the file {bare[0]['file']}")
 
     def stitch(pieces: pd.DataFrame) -> pd.DataFrame:
         out, held = [], b""
