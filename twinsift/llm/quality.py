@@ -15,10 +15,12 @@ from twinsift.llm.common import alnum_words, as_bytes, slices
 from twinsift.stash import Stash
 
 #: Features are hashed into a fixed space of 2 ** BUCKET_BITS weights; those that share one share its weight.
-BUCKET_BITS = 18
+BUCKET_BITS = 17
 UPPER = bytes(range(65, 91))
 #: Keeps runs of ASCII punctuation, everything else becomes a space.
 PUNCTUATION = bytes(b if 33 <= b <= 126 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) else 32 for b in range(256))
+#: Tasks that share the bounded sample of ratings; each sends back one number for every weight.
+TASKS = 4
 #: Words whose weight a worker keeps at most.
 REMEMBER = 400_000
 
@@ -190,9 +192,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = 2
                     out += np.bincount(np.repeat(rated, sizes).astype(np.int64) * n + flat, minlength=grades * n)
                 else:
                     out += loss_gradient(x[:n], x[n:], rated, np.concatenate([[0], np.cumsum(sizes)]), flat)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()])], ["sums"])
 
-        out = sum(np.frombuffer(r["sums"]) for r in features.mapInArrow(run, "sums binary").collect())
+        few = features.coalesce(TASKS).mapInArrow(run, "sums binary")
+        out = sum(np.frombuffer(r["sums"], np.float32).astype(float) for r in few.collect())
         sent.destroy()
         return out
 
