@@ -24,6 +24,8 @@ BANDS, MINIMA = 20, 5
 FIRST = 2
 #: Distinct shingle sets, and shingles, of one part of a bucket; a task compares two parts at a time.
 BLOCK, SHINGLES = 2048, 1_000_000
+#: Bucket entries that are sent to the tasks that read texts.
+SENT = 500_000
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * MINIMA, 1), np.uint64)
 FACTORS, SHIFTS = _DRAW[0] | np.uint64(1), _DRAW[1]
 
@@ -100,7 +102,9 @@ def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFram
             found = [shingle_set(t).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["_fp", "found"])
 
-    own = texts.join(entries.select("_row").distinct(), "_row", "left_semi")
+    small = entries.count() <= SENT  # beyond it the texts, and then the sets, are shuffled once each
+    sent = F.broadcast if small else lambda df: df
+    own = texts.join(sent(entries.select("_row").distinct()), "_row", "left_semi")
     found = own.select("_fp", "_text").mapInArrow(sets, "_fp long, found binary")
     entries = entries.withColumn("r", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int"))
     entries = entries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -121,7 +125,7 @@ def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFram
                     b.append(fps[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = entries.join(found, "_fp").select(*keys, "_fp", "found")
+    dealt = found.join(sent(entries), "_fp").select(*keys, "_fp", "found")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
     return stash.put(dealt.mapInArrow(link, "a long, b long"), "links")
 
