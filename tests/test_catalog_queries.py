@@ -32,7 +32,7 @@ def test_without_sql_is_repeatable(spark, name):
 def test_chains_hold_every_item_once(spark):
     got = q.QUERIES["sort_similar"](spark, FOLDER).collect()
     assert sorted(r["id"] for r in got) == list(range(1, 201))
-    assert len({(r["component"], r["nth"]) for r in got}) == len(got)
+    assert len({(r["component"], r["part"], r["nth"], r["copy"]) for r in got}) == len(got)
 
 
 def test_stream_equals_batch(spark):

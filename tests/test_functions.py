@@ -108,3 +108,49 @@ def test_archive_paths(spark):
     got = {r["path"]: (r["a"], r["m"]) for r in df.select("path", props.is_archive().alias("a"), props.is_archived().alias("m")).collect()}
     assert [p for p in yes + no if got[p][0]] == yes
     assert [p for p in yes + no if got[p][1]] == no[-2:]
+
+
+def test_hours_and_metadata_names(spark):
+    from twinsift.functions import props, scalar
+
+    assert scalar.date_pattern("hh:mm") == "HH:mm" and scalar.date_pattern("hh:mm ap") == "hh:mm a"
+    row = spark.sql("SELECT map('Exif.Photo.Lens', 'x') AS meta")
+    assert row.select(props.expression("exif#photo.Lens")).first()[0] == row.select(props.expression("exif#Photo.Lens")).first()[0] == "x"
+
+
+def test_batch_of_weeds_is_taken_in_order(spark):
+    from twinsift.operators.state import add_weeds
+
+    media = spark.createDataFrame([(x, 1) for x in "abcdefg"], "md5 string, type int")
+    weeds = spark.createDataFrame([("g", "a")], "weed_md5 string, orig_md5 string")
+    cand = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "d"), ("e", "g"), ("g", "a")]
+    got = {tuple(r)[:2]: r["reason"] for r in add_weeds(spark.createDataFrame(cand, "weed_md5 string, orig_md5 string"), weeds, media).collect()}
+    taken, want = {"g": "a"}, {}
+    for w, o in sorted(cand):
+        want[w, o] = "changed" if taken.get(w, o) != o else "original is a weed" if o in taken and w not in taken else None
+        if want[w, o] is None:
+            taken[w] = o
+    assert got == want and None in want.values() and "changed" in want.values()
+
+
+def test_numbers_are_not_used_up(spark):
+    from twinsift.plans.moves import rename_plan
+
+    def plan(taken, names="abcd", template="n%n"):
+        rows = [(i, f"d/{n}.x", i) for i, n in enumerate(names)]
+        media = rows + [(90 + i, t, 0) for i, t in enumerate(taken)]
+        df = lambda r: spark.createDataFrame(r, "id long, path string, pos long")
+        return [(r["new_path"], r["status"]) for r in sorted(rename_plan(df(rows), df(media), template, "(.*)").collect(), key=lambda r: r["id"])]
+
+    assert plan([]) == [(f"d/n{i}.x", "ok") for i in (1, 2, 3, 4)]
+    assert plan(["d/n2.x"]) == [("d/n1.x", "ok")] + [("d/n2.x", "exists")] * 3
+    assert plan(["d/b1.x", "d/b2.x", "d/d2.x"], template="#1%n") == [("d/a1.x", "ok"), ("d/b2.x", "exists"), ("d/c2.x", "ok"), ("d/d3.x", "ok")]
+
+
+def test_frame_tables(spark):
+    from twinsift.operators.catalog import frames_invalid
+
+    rows = [(1, 0, 0, 5), (1, 3, 1, 5), (2, 0, 0, 5), (2, 4, 1, 5), (2, 2, 2, 5), (3, 0, 0, 5), (3, 2, 2, 5), (4, 0, 0, None), (6, 0, 1, 5)]
+    frames = spark.createDataFrame(rows, "media_id long, frame int, nth int, hash long")
+    media = spark.createDataFrame([(i, 2) for i in range(1, 7)], "id long, type int")
+    assert sorted(map(tuple, frames_invalid(media, frames).collect())) == [(2, "order"), (3, "order"), (4, "order"), (5, "empty"), (6, "order")]

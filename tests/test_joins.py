@@ -162,13 +162,37 @@ def test_hubs_by_broadcast(spark, monkeypatch):
     assert got == {**{i: 5 for i in range(5, 90)}, 200: 5, 300: 300, 301: 300}
 
 
-def test_long_chains_are_cut(spark, hashes):
+@pytest.mark.parametrize("most", [10_000, 20])
+def test_chains_hold_copies_and_join_their_parts(spark, hashes, most):
     rows, df = hashes
-    media = df.where("phash <> 0").withColumn("path", F.format_string("p%05d", "id"))
-    links = spark.createDataFrame([(3, r[0]) for r in rows if r[1] and r[0] != 3], "rep_a long, rep_b long")
-    got = similar.sort_similar(media, links, most=50).collect()
-    assert sorted(r["id"] for r in got) == sorted(i for i, h in rows if h)
-    sizes = {}
-    for r in got:
-        sizes.setdefault(r["part"], []).append(r["nth"])
-    assert all(sorted(x) == list(range(len(x))) and len(x) <= 50 for x in sizes.values()) and len(sizes) > 1
+    media = df.withColumn("path", F.format_string("p%05d", "id"))
+    first = {}
+    for i, h in rows:
+        first.setdefault(h, i)
+    reps = sorted(i for h, i in first.items() if h)
+    links = spark.createDataFrame([(reps[0], i) for i in reps[1:]], "rep_a long, rep_b long")
+    got = similar.sort_similar(media, links, most=most).collect()
+    assert sorted(r["id"] for r in got) == [i for i, _ in rows]
+    by, value = {r["id"]: r for r in got}, dict(rows)
+    for i, h in rows:
+        if h:
+            assert by[i][1:4] == by[first[h]][1:4]  # beside its equals
+    order = [i for i, _ in sorted(((r["id"], (r["part"], r["nth"])) for r in got if value[r["id"]] and r["copy"] == 0), key=lambda x: x[1])]
+    parts = {r["part"] for r in got if value[r["id"]]}
+    assert sorted(order) == reps and len(parts) == -(-len(reps) // most)
+    if most > len(reps):
+        chain, rest = [reps[0]], reps[1:]
+        near = lambda i: min(((value[i] ^ value[j]) & (2**64 - 1)).bit_count() for j in chain[-5:])
+        while rest:
+            chain.append(rest.pop(min(range(len(rest)), key=lambda k: (near(rest[k]), k))))
+        assert order == chain
+
+
+def test_unknown_pairs_are_scored_and_kept(spark):
+    pairs = spark.createDataFrame([(1, 2, "a", "b"), (1, 3, "a", "c"), (2, 3, "b", "c"), (4, 1, "d", "a")], "needle long, media_id long, md5_n string, md5_m string")
+    scores = spark.createDataFrame([("b", "a", 3)], "md5_a string, md5_b string, score int")
+    hashes = spark.createDataFrame([("a", 0), ("b", 255), ("c", 7)], "md5 string, hash long")
+    scorer = similar.hash_scorer(hashes)
+    assert sorted(map(tuple, similar.new_scores(pairs, scores, scorer).collect())) == [("a", "c", 3), ("a", "d", similar.INFINITE), ("b", "c", 5)]
+    assert sorted(tuple(r)[:2] for r in similar.verify_pairs(pairs, scores, 5, scorer).collect()) == [(1, 2), (1, 3)]
+    assert [tuple(r)[:2] for r in similar.verify_pairs(pairs, scores, 5).collect()] == [(1, 2)]

@@ -191,3 +191,36 @@ def test_frame_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM kept").collect())
     assert got == sorted(r for s in (1, 2) for r in plain_compress(frames_of(s)))
+
+
+def test_payload_of_pictures_with_thumbnails(spark):
+    app = lambda n, body: bytes([0xFF, 0xE0 + n]) + (len(body) + 2).to_bytes(2, "big") + body
+    scan = b"\xff\xda\x00\x04scan data\xff\xd9"
+    thumb = lambda x: b"Exif" + x + b"\xff\xd8\xff\xda thumb \xff\xd9"
+    whole = lambda x: b"\xff\xd8" + app(0, b"JFIF") + app(1, thumb(x)) + app(15, b"z") + scan
+    rows = [("a.jpg", whole(b"1")), ("b.bin", whole(b"22")), ("c.jpg", whole(b"1")[:-2]), ("d.jpg", b"no picture"), ("e", None), ("f.jpg", b"\xff\xd8 no scan \xff\xd9")]
+    got = {r["path"]: (r["md5"], r["error"]) for r in features.digests(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    md5 = lambda d: __import__("hashlib").md5(d).hexdigest()
+    assert got["a.jpg"] == got["b.bin"] == (md5(scan), None)
+    assert got["c.jpg"] == (md5(scan[:-2]), "truncated") and got["d.jpg"] == (md5(b"no picture"), None)
+    assert got["e"] == (None, None) and got["f.jpg"] == (md5(rows[5][1]), None)
+
+
+def test_borders_by_runs_from_both_ends():
+    image = np.full((100, 120, 1), 200, np.uint8)
+    image[:15] = image[-15:] = 0
+    image[5:10, 50:70] = 255  # a subtitle in the border
+    image[40:60, :, 0] = np.arange(120) % 90 + 100
+    image[50, 1:119] = 0  # a dark stripe inside that does not reach the ends
+    image[0, 0] = 0
+    assert features.crop_borders(image).shape == (70, 120, 1)
+
+
+def test_patches_of_given_rectangles(spark):
+    data = bytes(np.random.default_rng(2).integers(0, 255, 64 * 80, np.uint8))
+    pixels = spark.createDataFrame([("a", 80, 64, 1, data), ("b", 80, 64, 1, data)], "path string, width int, height int, channels int, data binary")
+    boxes = spark.createDataFrame([("a", 0, 0, 32, 32), ("a", 40, 30, 33, 33), ("a", 60, 0, 32, 32), ("a", 0, 0, 30, 32)], "path string, x int, y int, w int, h int")
+    got = sorted(tuple(r) for r in features.patch_hashes(pixels, boxes).collect())
+    g = np.frombuffer(data, np.uint8).reshape(64, 80).astype(float)
+    assert got == [("a", 0, features.dct_hash(g[:32, :32])), ("a", 1, features.dct_hash(g[30:63, 40:73]))]
+    assert {r["path"] for r in features.patch_hashes(pixels).collect()} == {"a", "b"}

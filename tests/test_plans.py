@@ -4,6 +4,7 @@ import pytest
 
 from twinsift import catalog_queries as q
 from twinsift import tables
+from twinsift.operators import blocking
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,13 +14,16 @@ def plan(df) -> str:
 
 
 @pytest.fixture()
-def no_broadcast(spark):
+def no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "FEW", 0)
+    monkeypatch.setattr(blocking, "SENT", 0)
+    monkeypatch.setattr(blocking, "COPY_COST", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["sim_dct", "sim_dct_members", "topk", "sim_to", "sim_in", "sim_fdct", "sim_orb", "sim_color", "sim_frame", "sim_video", "radix_join", "sim_reflect", "sim_grabs", "align_pairs", "grp_negative", "weed_add"])
+@pytest.mark.parametrize("name", ["sim_dct", "sim_dct_members", "topk", "sim_to", "sim_in", "sim_fdct", "sim_orb", "sim_frame", "sim_video", "radix_join", "sim_reflect", "sim_grabs", "align_pairs", "grp_negative"])
 def test_similarity_is_a_hash_join(spark, no_broadcast, name):
     text = plan(q.QUERIES[name](spark, FOLDER))
     assert "SortMergeJoin" in text

@@ -159,27 +159,30 @@ def rename_plan(spark, d):
     return moves.rename_plan(items, T.media(spark, d), "#2-#1_%n", r"doc(\d)(\d*)")
 
 
-@query(r""", r AS (SELECT id, path, regexp_extract(path, '^(.*)/', 1) || '/' || regexp_replace(b, 'doc[0-9]', 'doc') || '.txt' AS q FROM (SELECT *, regexp_extract(path, '([^/]*)\.txt$', 1) AS b FROM media) WHERE id % 2 = 0)
+@query(r""", r AS (SELECT id, path, regexp_extract(path, '^(.*)/', 1) || '/' || regexp_replace(b, 'doc[0-9]', 'doc') || '.txt' AS q FROM (SELECT *, regexp_extract(path, '([^/]*)\.txt$', 1) AS b FROM media))
 SELECT r.id, r.path, q AS new_path, CASE WHEN count(*) OVER (PARTITION BY q) > 1 THEN 'collision' WHEN m.path IS NOT NULL THEN 'exists' ELSE 'ok' END AS status FROM r LEFT JOIN media m ON m.path = q""", "media")
 def rename_collisions(spark, d):
-    items = T.media(spark, d).where("id % 2 = 0").withColumn("pos", F.col("id"))
+    items = T.media(spark, d).withColumn("pos", F.col("id"))
     return moves.rename_plan(items, T.media(spark, d), "doc#1", r"doc\d(\d*)")
 
 
-@query(r""", f AS (SELECT DISTINCT CASE WHEN contains(path, '.zip:') THEN regexp_extract(path, '^(.*\.zip):', 1) ELSE path END AS path FROM web_media WHERE id % 2 = 0
+@query(r""", f AS (SELECT DISTINCT CASE WHEN contains(path, '.zip:') THEN regexp_extract(path, '^(.*\.zip):', 1) ELSE path END AS path FROM web_media
 ), t AS (SELECT path, 'new/' || regexp_extract(path, '[^/]*$') AS new_path FROM f)
 SELECT path, new_path, count(*) OVER (PARTITION BY new_path) > 1 AS conflict FROM t""", "web_media")
 def move_plan(spark, d):
     m = T.web_media(spark, d)
-    return moves.move_to(m.where("id % 2 = 0"), m, "new")
+    return moves.move_to(m, m, "new")
 
 
-@query("""SELECT id, CASE WHEN n IS NULL THEN 'empty' ELSE 'order' END AS reason FROM (SELECT v.id, count(f.media_id) AS k, max(f.media_id) AS n, count(DISTINCT frame) AS u FROM (SELECT DISTINCT label + 1 AS id FROM media_vec UNION SELECT 999) v
-  LEFT JOIN (SELECT * FROM frames UNION ALL SELECT * FROM frames WHERE media_id = 2 AND frame < 30) f ON f.media_id = v.id GROUP BY v.id) WHERE k = 0 OR u < k""", "frames")
+@query("""SELECT id, CASE WHEN n = 0 THEN 'empty' ELSE 'order' END AS reason FROM (SELECT v.id, count(f.media_id) AS n, bool_or(frame <= before OR nth <> coalesce(place + 1, 0)) AS bad FROM (SELECT DISTINCT media_id AS id FROM frames UNION SELECT 999) v
+  LEFT JOIN (SELECT *, lag(frame) OVER (PARTITION BY media_id ORDER BY nth) AS before, lag(nth) OVER (PARTITION BY media_id ORDER BY nth) AS place FROM (
+    SELECT media_id, CASE WHEN media_id % 7 = 2 AND nth = 4 THEN 0 ELSE frame END AS frame, nth FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY frame) - 1 AS nth FROM frames) WHERE media_id % 7 <> 3 OR nth <> 6)) f ON f.media_id = v.id GROUP BY v.id) WHERE n = 0 OR bad""", "frames")
 def frames_invalid(spark, d):
     f = T.frames(spark, d)
-    videos = T.media_vec(spark, d).select((F.col("label") + 1).alias("id")).distinct().unionByName(spark.createDataFrame([(999,)], "id long")).withColumn("type", F.lit(2))
-    return C.frames_invalid(videos, f.unionByName(f.where("media_id = 2 and frame < 30")))
+    videos = f.select(F.col("media_id").alias("id")).distinct().unionByName(spark.createDataFrame([(999,)], "id long")).withColumn("type", F.lit(2))
+    rows = f.withColumn("nth", F.row_number().over(Window.partitionBy("media_id").orderBy("frame")) - 1)
+    rows = rows.withColumn("frame", F.when(F.expr("media_id % 7 = 2 and nth = 4"), 0).otherwise(F.col("frame")))
+    return C.frames_invalid(videos, rows.where("media_id % 7 <> 3 or nth <> 6"))
 
 
 @query("""SELECT CAST(count_if(id % 5 > 1) AS BIGINT) AS ok, CAST(count_if(id % 5 = 0) AS BIGINT) AS changed, CAST(count_if(id % 5 = 1) AS BIGINT) AS missing, CAST(sum(CASE WHEN id % 5 > 1 THEN file_size ELSE 0 END) AS BIGINT) AS ok_bytes FROM media""", "media")
@@ -203,7 +206,8 @@ def count_by_type(spark, d):
 
 @query("SELECT doc_id + 1 AS id, md5(text) AS md5 FROM documents")
 def content_md5(spark, d):
-    return T.media(spark, d).select("id", "md5")
+    files = T.table(spark, d, "documents").select((F.col("doc_id") + 1).cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return features.digests(files).select(F.col("path").cast("long").alias("id"), "md5")
 
 
 @query("SELECT id, CASE WHEN file_size > 0 THEN CAST(width AS DOUBLE) * height * 3 / file_size ELSE 1.0 END AS ratio, width * height AS resolution, greatest(width, height) AS res, CAST(width AS DOUBLE) / height AS aspect FROM media", "media")
@@ -279,7 +283,7 @@ _on_part("fn_title", lambda: _f(F.col("p_name"), ["title"]), "upper(substr(p_nam
 _on_part("fn_pad", lambda: _f(F.col("p_size"), ["pad,6"]), "lpad(CAST(p_size AS VARCHAR), 6, '0')")
 _on_part("fn_split", lambda: F.size(_f(F.col("p_name"), ["split,[ #]"])), "CAST(len(regexp_split_to_array(p_name, '[ #]')) AS INTEGER)")
 _on_part("fn_join", lambda: _f(F.col("p_name"), ["split,[ #]", "join,+"]), "array_to_string(regexp_split_to_array(p_name, '[ #]'), '+')")
-_on_part("fn_camelsplit", lambda: _f(F.col("p_type"), ["title", "camelsplit", "join,_"]), "upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2))")
+_on_part("fn_camelsplit", lambda: _f(F.concat(_f(F.col("p_type"), ["title"]), _f(F.col("p_name"), ["mid,0,3", "title"])), ["camelsplit", "join,_"]), "upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || '_' || upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2, 2))")
 _on_part("fn_list", lambda: _f(F.col("p_name"), ["split,[ #]", "push,z", "shift", "push,y", "pop", "join,-"]), "array_to_string(list_append(regexp_split_to_array(p_name, '[ #]')[2:], 'z'), '-')")
 _on_part("fn_peek", lambda: F.concat(_f(F.col("p_name"), ["split,[ #]", "peek,0"]), F.lit("|"), _f(F.col("p_name"), ["split,[ #]", "peek,-1"])), "regexp_split_to_array(p_name, '[ #]')[1] || '|' || regexp_split_to_array(p_name, '[ #]')[-1]")
 _on_part("fn_foreach", lambda: _f(F.col("p_name"), ["split,[ #]", "foreach,upper|mid:0:2", "join,"]), "array_to_string(list_transform(regexp_split_to_array(p_name, '[ #]'), lambda x: substr(upper(x), 1, 2)), '')")
@@ -302,12 +306,21 @@ def hash_literal(spark, d):
     return T.media_vec(spark, d).select("id", S.hamming(F.col("phash"), F.lit(S.hash_literal("dct:fedcba9876543210"))).cast("int").alias("dist"))
 
 
-@query("""SELECT media_id, i, l, round(l / CAST(65535 AS DOUBLE) * 100, 6) AS back FROM (SELECT media_id, i, CAST(least(greatest(floor(c.l / 100 * 65535), 0), 65535) AS INTEGER) AS l
-  FROM (SELECT media_id, unnest(range(1, num_colors + 1)) AS i, unnest(colors) AS c FROM colours))""", "colours")
+_AXES = {"l": (0, 100), "u": (-134, 354), "v": (-140, 262)}
+
+
+def _codec_sql() -> str:
+    pack = lambda a, lo, span: f"CAST(least(greatest(floor((c.{a} - ({lo})) / {span} * 65535), 0), 65535) AS INTEGER) AS {a}"
+    back = lambda a, lo, span: f"{a}, round({a} / CAST(65535 AS DOUBLE) * {span} + ({lo}), 6) AS back_{a}"
+    return f"""SELECT media_id, i, {', '.join(back(a, *x) for a, x in _AXES.items())} FROM (SELECT media_id, i, {', '.join(pack(a, *x) for a, x in _AXES.items())}
+  FROM (SELECT media_id, unnest(range(1, num_colors + 1)) AS i, unnest(colors) AS c FROM colours))"""
+
+
+@query(_codec_sql(), "colours")
 def luv_codec(spark, d):
     c = T.colours(spark, d).select("media_id", F.posexplode("colors").alias("i", "c"))
-    packed = c.select("media_id", (F.col("i") + 1).cast("long").alias("i"), S.luv_pack(F.col("c.l"), "l").alias("l"))
-    return packed.withColumn("back", F.round(S.luv_unpack(F.col("l"), "l"), 6))
+    packed = c.select("media_id", (F.col("i") + 1).cast("long").alias("i"), *(S.luv_pack(F.col(f"c.{a}"), a).alias(a) for a in _AXES))
+    return packed.select("*", *(F.round(S.luv_unpack(F.col(a), a), 6).alias(f"back_{a}") for a in _AXES))
 
 
 # Filters --------------------------------------------------------------------------------------------------
@@ -536,7 +549,7 @@ def adaptive_thresh(spark, d):
     return similar.adaptive(m.where("id % 20 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash")), m, 3, 9, least=2)
 
 
-_VOTES = """, p AS (SELECT n.media_id AS needle, n.feat_no AS nn, m.media_id, m.feat_no, bit_count(xor(n.hash, m.hash)) AS d FROM features n JOIN features m ON n.media_id > 100 AND bit_count(xor(n.hash, m.hash)) < 5
+_VOTES = """, p AS (SELECT n.media_id AS needle, n.feat_no AS nn, m.media_id, m.feat_no, bit_count(xor(n.hash, m.hash)) AS d FROM features n JOIN features m ON bit_count(xor(n.hash, m.hash)) < 5
 ), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY needle, nn ORDER BY d, media_id, feat_no) AS r FROM p) WHERE r <= 10
 ), v AS (SELECT needle, media_id, count(*) AS votes, CAST(sum(d) AS BIGINT) AS dist_sum FROM k GROUP BY needle, media_id
 ), o AS (SELECT *, max(CASE WHEN needle <> media_id THEN votes END) OVER (PARTITION BY needle) AS m FROM v)
@@ -546,24 +559,31 @@ SELECT needle, media_id, votes, dist_sum, CAST(CASE WHEN needle = media_id THEN
 @query(_VOTES, "features")
 def sim_fdct(spark, d):
     f = T.features(spark, d)
-    return similar.feature_votes(f.where("media_id > 100"), f, 5)
+    return similar.feature_votes(f, f, 5)
 
 
-@query(""", p AS (SELECT n.media_id AS needle, n.desc_no AS nn, m.media_id, m.desc_no, CAST(bit_count(xor(n.d0, m.d0)) AS INTEGER) + bit_count(xor(n.d1, m.d1)) + bit_count(xor(n.d2, m.d2)) + bit_count(xor(n.d3, m.d3)) AS d FROM descriptors n JOIN descriptors m ON n.media_id > 100
+_ORB = """, p AS (SELECT n.media_id AS needle, n.desc_no AS nn, m.media_id, m.desc_no, CAST(bit_count(xor(n.d0, m.d0)) AS INTEGER) + bit_count(xor(n.d1, m.d1)) + bit_count(xor(n.d2, m.d2)) + bit_count(xor(n.d3, m.d3)) AS d FROM descriptors n CROSS JOIN descriptors m
 ), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY needle, nn ORDER BY d, media_id, desc_no) AS r FROM p WHERE d < 25) WHERE r <= 10
 ), v AS (SELECT needle, media_id, count(*) AS votes, list_sort(list(d)) AS l FROM k GROUP BY needle, media_id)
-SELECT needle, media_id, votes, CAST((CASE WHEN votes % 2 = 1 THEN l[votes // 2 + 1] ELSE (l[votes // 2] + l[votes // 2 + 1]) // 2 END) * 1000 // votes AS BIGINT) AS score FROM v""", "descriptors")
+SELECT needle, media_id, votes, CAST((CASE WHEN votes % 2 = 1 THEN l[votes // 2 + 1] ELSE (l[votes // 2] + l[votes // 2 + 1]) // 2 END) * 1000 // votes AS BIGINT) AS score FROM v"""
+
+
+@query(_ORB, "descriptors")
 def sim_orb(spark, d):
     x = T.descriptors(spark, d)
-    return similar.descriptor_votes(x.where("media_id > 100"), x, 25)
+    return similar.descriptor_votes(x, x, 25)
 
 
 _GAP = "sqrt(pow(a.l - b.l, 2) + pow(a.u - b.u, 2) + pow(a.v - b.v, 2))"
 
 
-@query(f"""SELECT needle, media_id, CAST(floor(1 + list_sum(list_transform(g, lambda a: list_min(list_transform(s, lambda b: {_GAP}))))) AS BIGINT) AS score FROM (
+def _palettes_sql(needles: str) -> str:
+    return f"""SELECT needle, media_id, CAST(floor(1 + list_sum(list_transform(g, lambda a: list_min(list_transform(s, lambda b: {_GAP}))))) AS BIGINT) AS score FROM (
   SELECT n.media_id AS needle, m.media_id, CASE WHEN n.num_colors >= m.num_colors THEN n.colors ELSE m.colors END AS g, CASE WHEN n.num_colors >= m.num_colors THEN m.colors ELSE n.colors END AS s
-  FROM colours n JOIN colours m ON n.media_id % 50 = 0 AND abs(n.num_colors - m.num_colors) <= 2)""", "colours")
+  FROM colours n JOIN colours m ON {needles} AND abs(n.num_colors - m.num_colors) <= 2)"""
+
+
+@query(_palettes_sql("n.media_id % 50 = 0"), "colours")
 def sim_color(spark, d):
     c = T.colours(spark, d)
     return similar.colour_search(c.where("media_id % 50 = 0"), c)
@@ -621,28 +641,49 @@ def sim_reflect(spark, d):
     return similar.reflected(needles, m, 5)
 
 
-_WIDE = "w AS (SELECT n.id AS needle, m.id AS media_id, bit_count(xor(n.phash, m.phash)) AS score FROM mediah n JOIN mediah m ON n.id % 10 = 0 AND n.id <> m.id AND n.phash <> 0 AND m.phash <> 0 AND bit_count(xor(n.phash, m.phash)) < 8)"
+_STAGES = (
+    (
+        "dct",
+        "SELECT n.id AS needle, m.id AS media_id, CAST(bit_count(xor(n.phash, m.phash)) AS BIGINT) AS score FROM media_vec n JOIN media_vec m ON n.phash <> 0 AND m.phash <> 0 AND bit_count(xor(n.phash, m.phash)) < 12",
+    ),
+    ("fdct", "SELECT needle, media_id, score FROM fv WHERE score < 1000"),
+    ("orb", "SELECT needle, media_id, score FROM ov WHERE score < 1000"),
+    ("color", "SELECT needle, media_id, score FROM cv"),
+)
+
 
+def _cascade_sql() -> str:
+    parts, before = [], "SELECT CAST(NULL AS BIGINT) AS needle"
+    for name, found in _STAGES:
+        parts.append(f"s_{name} AS (SELECT needle, media_id, score, pos, '{name}' AS stage FROM (SELECT *, CAST(row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS INTEGER) AS pos FROM ({found}) WHERE needle <> media_id AND needle IN (SELECT id FROM media_vec WHERE id % 50 < 2) AND needle NOT IN (SELECT needle FROM ({before}) WHERE needle IS NOT NULL)) WHERE pos <= 2)")
+        before += f" UNION ALL SELECT needle FROM s_{name}"
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM s_{n}" for n, _ in _STAGES)
 
-@query(f""", {_WIDE}, s1 AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS pos FROM w WHERE score < 3
-), s2 AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS pos FROM w WHERE needle NOT IN (SELECT needle FROM s1))
-SELECT needle, media_id, CAST(score AS INTEGER) AS score, CAST(pos AS INTEGER) AS pos, 'narrow' AS stage FROM s1 WHERE pos <= 2 UNION ALL SELECT needle, media_id, CAST(score AS INTEGER), CAST(pos AS INTEGER), 'wide' FROM s2 WHERE pos <= 2""", "mediah")
+
+@query(
+    f", fv AS (WITH {_VOTES.removeprefix(', ')}), ov AS (WITH {_ORB.removeprefix(', ')}), cv AS ({_palettes_sql('n.media_id % 50 < 2')}), {_cascade_sql()}",
+    "features descriptors colours",
+)
 def sim_cascade(spark, d):
-    m = T.media_hashed(spark, d)
-    found = similar.search(m.where("id % 10 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash")), m, 8)
-    return similar.cascade([("narrow", found, 3), ("wide", found, None)])
+    m = T.media_vec(spark, d)
+    needles = m.where("id % 50 < 2").select(F.col("id").alias("needle"))
+    return similar.cascade(needles, similar.all_algorithms(m, T.features(spark, d), T.descriptors(spark, d), T.colours(spark, d)))
+
 
+_NEXT = """, h AS (SELECT id, phash FROM mediah), a AS (SELECT id AS z, phash AS ah, row_number() OVER (ORDER BY id) - 1 AS nth FROM h WHERE id % 2 = 1
+), f AS (SELECT b.id, a.z, row_number() OVER (PARTITION BY b.id ORDER BY bit_count(xor(b.phash, a.ah)), a.z) AS r FROM h b JOIN a ON b.id % 2 = 0 AND b.phash <> 0 AND a.ah <> 0 AND bit_count(xor(b.phash, a.ah)) < 12
+), n AS (SELECT f.id, f.z, coalesce(bit_count(xor(b.phash, p.ah)), 65) AS x, coalesce(bit_count(xor(b.phash, q.ah)), 65) AS y FROM f JOIN h b ON b.id = f.id JOIN a ON a.z = f.z LEFT JOIN a p ON p.nth = a.nth - 1 LEFT JOIN a q ON q.nth = a.nth + 1 WHERE r = 1)
+SELECT z AS id, CAST(z AS BIGINT) AS p, 0 AS side, CAST(0 AS BIGINT) AS q FROM a
+UNION ALL SELECT h.id, CAST(coalesce(n.z, (SELECT max(z) + 1 FROM a)) AS BIGINT), CASE WHEN x < y THEN -1 ELSE 1 END, CAST(h.id AS BIGINT) FROM h LEFT JOIN n ON n.id = h.id WHERE h.id % 2 = 0"""
 
-@query("""SELECT id, CAST(p AS BIGINT) AS p, side, CAST(q AS BIGINT) AS q FROM (SELECT id, id AS p, 0 AS side, 0 AS q FROM media WHERE id % 4 = 1
-  UNION ALL SELECT id, id - 1, CASE WHEN id % 3 < height % 3 THEN -1 ELSE 1 END, id FROM media WHERE id % 4 = 2 AND id < (SELECT max(id) FROM media)
-  UNION ALL SELECT id, (SELECT max(id) + 1 FROM media WHERE id % 4 = 1), 1, id FROM media WHERE id % 4 = 2 AND id = (SELECT max(id) FROM media))""", "media")
+
+@query(_NEXT, "mediah")
 def merge_sorted(spark, d):
-    m = T.media(spark, d)
-    last = m.agg(F.max("id")).first()[0]
-    a = m.where("id % 4 = 1").select("id", F.col("id").alias("pos"))
-    b = m.where("id % 4 = 2").select("id", F.col("id").alias("pos"))
-    near = m.where(f"id % 4 = 2 and id < {last}").select("id", (F.col("id") - 1).alias("at"), (F.col("id") % 3).alias("before_score"), (F.col("height") % 3).alias("after_score"))
-    return similar.merge_sorted(a, b, near)
+    m = Stash(spark).put(T.media_hashed(spark, d), "media")
+    a, b = (m.where(f"id % 2 = {k}").select("id", F.col("id").alias("pos")) for k in (1, 0))
+    needles = m.where("id % 2 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash"))
+    found = similar.search(needles, m.where("id % 2 = 1"), 12)
+    return similar.merge_sorted(a, b, similar.beside(a, found, m.select("id", "phash")))
 
 
 @query()
@@ -695,11 +736,11 @@ def grp_dedupe(spark, d):
     return G.dedupe(T.groups(spark, d)).select("group_id", "pos")
 
 
-@query(f""", g2 AS (SELECT * FROM groups WHERE group_id % 3 <> 0), e AS (SELECT DISTINCT a.group_id AS a, b.group_id AS b FROM g2 a JOIN g2 b ON b.pos = 0 AND a.media_id = b.media_id
+@query(f""", g2 AS (SELECT * FROM groups), e AS (SELECT DISTINCT a.group_id AS a, b.group_id AS b FROM g2 a JOIN g2 b ON b.pos = 0 AND a.media_id = b.media_id
 ), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS g, b AS s FROM l UNION SELECT r.g, l.b FROM r JOIN l ON l.a = r.s), c AS (SELECT g, min(s) AS root FROM r GROUP BY g)
 SELECT DISTINCT root AS group_id, media_id FROM g2 JOIN c ON c.g = group_id""", "groups")
 def grp_merge(spark, d):
-    return G.merge(T.groups(spark, d).where("group_id % 3 <> 0"))
+    return G.merge(T.groups(spark, d))
 
 
 @query(f", {_NEEDLE} SELECT nid AS needle, media_id FROM groups JOIN ne USING (group_id) WHERE pos > 0", "groups")
@@ -736,10 +777,10 @@ def folder_pages(spark, d):
     return G.folder_pages(T.media(spark, d).withColumn("pos", F.col("id")), P.dir_path()).select("id", "folder", "page")
 
 
-@query("""SELECT group_id, folder, count(*) AS n FROM (SELECT id % 2 AS group_id, substr(CASE WHEN type = 2 THEN path ELSE regexp_extract(path, '^(.*)/', 1) END, 6) AS folder FROM media WHERE starts_with(path, 'src7/')) GROUP BY group_id, folder""", "media")
+@query("""SELECT group_id, folder, count(*) AS n FROM (SELECT s AS group_id, substr(CASE WHEN type = 2 THEN path ELSE regexp_extract(path, '^(.*)/', 1) END, length(s) + 2) AS folder FROM (SELECT *, split_part(path, '/', 1) AS s FROM media)) GROUP BY group_id, folder""", "media")
 def folders(spark, d):
-    g = T.media(spark, d).where("path like 'src7/%'").withColumn("group_id", F.col("id") % 2)
-    prefix = g.select("group_id").distinct().withColumn("prefix", F.lit("src7"))
+    g = T.media(spark, d).withColumn("group_id", F.substring_index("path", "/", 1))
+    prefix = g.select("group_id").distinct().withColumn("prefix", F.col("group_id"))
     return G.folders(g, prefix, P.dir_path())
 
 
@@ -832,8 +873,12 @@ def weed_broken(spark, d):
 _CAND = """k AS (SELECT md5, min(type) AS kind FROM media GROUP BY md5), ca AS (SELECT DISTINCT a.md5 AS weed_md5, CASE WHEN a.id % 9 = 0 THEN 'gone' WHEN a.id % 8 = 0 THEN a.md5 ELSE b.md5 END AS orig_md5 FROM media a JOIN media b ON b.id = a.id + 1 WHERE a.id % 2 = 0 OR a.id % 5 = 0)"""
 
 
-@query(f""", {_CAND} SELECT ca.weed_md5, ca.orig_md5, CASE WHEN wk.kind IS NULL OR ok.kind IS NULL THEN 'missing' WHEN ca.weed_md5 = ca.orig_md5 THEN 'same' WHEN wk.kind <> ok.kind THEN 'type' WHEN h.orig_md5 IS NOT NULL AND h.orig_md5 <> ca.orig_md5 THEN 'changed'
-  WHEN o.weed_md5 IS NOT NULL THEN 'original is a weed' END AS reason FROM ca LEFT JOIN k wk ON wk.md5 = ca.weed_md5 LEFT JOIN k ok ON ok.md5 = ca.orig_md5 LEFT JOIN weeds h ON h.weed_md5 = ca.weed_md5 LEFT JOIN weeds o ON o.weed_md5 = ca.orig_md5""", "media weeds")
+@query(f""", {_CAND}, ju AS (SELECT ca.weed_md5, ca.orig_md5, h.orig_md5 IS NOT NULL AS known, CASE WHEN wk.kind IS NULL OR ok.kind IS NULL THEN 'missing' WHEN ca.weed_md5 = ca.orig_md5 THEN 'same' WHEN wk.kind <> ok.kind THEN 'type' WHEN h.orig_md5 IS NOT NULL AND h.orig_md5 <> ca.orig_md5 THEN 'changed' END AS reason, o.weed_md5 IS NOT NULL AS listed FROM ca LEFT JOIN k wk ON wk.md5 = ca.weed_md5 LEFT JOIN k ok ON ok.md5 = ca.orig_md5 LEFT JOIN weeds h ON h.weed_md5 = ca.weed_md5 LEFT JOIN weeds o ON o.weed_md5 = ca.orig_md5
+), nu AS (SELECT weed_md5 AS w, orig_md5 AS o, listed, row_number() OVER (ORDER BY weed_md5, orig_md5) AS n FROM ju WHERE reason IS NULL AND NOT known
+), st AS (SELECT CAST(0 AS BIGINT) AS n, CAST('' AS VARCHAR) AS w, CAST('' AS VARCHAR) AS o, CAST(NULL AS VARCHAR) AS reason, CAST(MAP([], []) AS MAP(VARCHAR, VARCHAR)) AS got
+  UNION ALL SELECT n, w, o, reason, CASE WHEN reason IS NULL THEN map_concat(got, MAP([w], [o])) ELSE got END FROM (
+    SELECT nu.n, nu.w, nu.o, CASE WHEN map_contains(got, nu.w) THEN 'changed' WHEN listed OR map_contains(got, nu.o) THEN 'original is a weed' END AS reason, got FROM st JOIN nu ON nu.n = st.n + 1))
+SELECT weed_md5, orig_md5, reason FROM ju WHERE reason IS NOT NULL OR known UNION ALL SELECT w, o, reason FROM st WHERE n > 0""", "media weeds")
 def weed_add(spark, d):
     m = T.media(spark, d)
     b = m.select((F.col("id") - 1).alias("id"), F.col("md5").alias("next"))
@@ -872,9 +917,9 @@ def plan_weeds(spark, d):
     return deletions.weeds(m, T.weeds(spark, d)).join(m.where("type = 1").select(F.col("id").alias("weed_id")), "weed_id", "left_semi")
 
 
-@query(r"SELECT CASE WHEN contains(path, '.zip:') THEN regexp_extract(path, '^(.*\.zip):', 1) ELSE path END AS path, count(*) AS n FROM web_media WHERE id % 3 > 0 GROUP BY 1", "web_media")
+@query(r"SELECT CASE WHEN contains(path, '.zip:') THEN regexp_extract(path, '^(.*\.zip):', 1) ELSE path END AS path, count(*) AS n FROM web_media GROUP BY 1", "web_media")
 def plan_nuke(spark, d):
-    return deletions.selection(T.web_media(spark, d).where("id % 3 > 0"))
+    return deletions.selection(T.web_media(spark, d))
 
 
 @query(""", ma AS (SELECT *, CASE WHEN media_id % 2 = 0 OR group_id % 4 = 0 THEN 1 ELSE 0 END AS m FROM groups)
@@ -1001,10 +1046,10 @@ def stream_arrivals(spark, d):
     return rows.select("needle", "is_weed", "media_id", "score")
 
 
-@query(""", b AS (SELECT path, type, id % 2 AS part FROM media WHERE id % 3 = 0) SELECT path, type, row_number() OVER (ORDER BY path) AS id FROM b""", "media")
+@query(""", b AS (SELECT path, type FROM media) SELECT path, type, row_number() OVER (ORDER BY path) AS id FROM b""", "media")
 def stream_ingest(spark, d):
     stash = Stash(spark)
-    source = stash.put(T.media(spark, d).where("id % 3 = 0").select("path", "type"), "files")
+    source = stash.put(T.media(spark, d).select("path", "type"), "files")
     stream = spark.readStream.schema(source.schema).parquet(source.stash_path)
     out = stash.path("catalog")
     ingest.ingest(stream, out, stash.path("state"), lambda batch: batch).awaitTermination()

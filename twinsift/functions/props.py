@@ -104,7 +104,7 @@ def expression(text: str) -> Column:
     if head in ("exif", "iptc", "xmp", "ffmeta", "text"):
         tags, *chain = chain
         prefix = {"exif": "Exif.", "iptc": "Iptc.", "xmp": "Xmp."}.get(head, "")
-        keys = [k if k.startswith(prefix) else prefix + k for k in tags.split(",")]
+        keys = [k if k.startswith(prefix) else prefix + k[:1].upper() + k[1:] for k in tags.split(",")]
         return apply_chain(first_tag(F.col("meta"), *keys), chain)
     known = properties()
     if head not in known:

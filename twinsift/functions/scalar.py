@@ -52,6 +52,9 @@ def foreach(c: Column, chain: str) -> Column:
 
 
 def date_pattern(pattern: str) -> str:
+    """A pattern in Spark's letters; ``h`` counts to 24 unless an am or pm mark is asked for."""
+    if "ap" not in pattern.lower():
+        pattern = pattern.replace("h", "H")
     for old, new in DATE_LETTERS.items():
         pattern = pattern.replace(old, new)
     return pattern

@@ -151,10 +151,19 @@ def update_md5(catalog: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def frames_invalid(media: DataFrame, frames: DataFrame) -> DataFrame:
-    """``(id, reason)`` of videos without frames, or whose frame numbers do not increase or start below 0."""
+    """``(id, reason)`` of videos without frames, or whose frame table is wrong.
+
+    ``nth``, the place of a row in its video's list, counts from 0 without gaps; frame numbers rise with it, and every
+    place has a frame and a hash. Without ``nth`` the order is that of the numbers, and only equal ones are found.
+    """
     videos = media.where("type = 2").select("id")
-    order = Window.partitionBy("media_id").orderBy("frame")
-    bad = frames.withColumn("before", F.lag("frame").over(order)).where("frame < 0 or frame = before or hash is null")
+    listed = "nth" in frames.columns
+    order = Window.partitionBy("media_id").orderBy("nth" if listed else "frame")
+    rows = frames.withColumn("before", F.lag("frame").over(order))
+    bad = F.col("hash").isNull() | F.col("frame").isNull() | (F.col("frame") < 0) | (F.col("frame") <= F.col("before"))
+    if listed:
+        bad = bad | (F.col("nth") != F.coalesce(F.lag("nth").over(order) + 1, F.lit(0)))
+    bad = rows.withColumn("bad", bad).where("bad")
     empty = videos.join(frames.select(F.col("media_id").alias("id")), "id", "left_anti").select("id", F.lit("empty").alias("reason"))
     wrong = videos.join(bad.select(F.col("media_id").alias("id")).distinct(), "id").select("id", F.lit("order").alias("reason"))
     return empty.unionByName(wrong)

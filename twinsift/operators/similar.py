@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinsift.operators.blocking import FEW, hamming_join, hamming_pairs, in_blocks
 from twinsift.operators.components import connected_components
+from twinsift.operators.sorting import number_rows
 from twinsift.stash import Stash
 
 #: Values of the search parameters where a caller gives none.
@@ -245,20 +247,54 @@ def align(pairs: DataFrame, frames: DataFrame, first: int = -30, last: int = 29,
     return best.select("needle", "media_id", F.col("x.offset").alias("offset"), (F.col("x.total") / span).alias("mean_distance"))
 
 
-def cascade(stages: list[tuple[str, DataFrame, int | None]], most: int = 2) -> DataFrame:
-    """Nearest items by the first stage that has any: stages are ``(name, found(needle, media_id, score), limit)``."""
-    out, done = None, None
-    for name, found, limit in stages:
-        rows = found if limit is None else found.where(F.col("score") < limit)
-        rows = rows.where("needle <> media_id")
-        if done is not None:
-            rows = rows.join(done, "needle", "left_anti")
-        own = top_matches(rows, most).withColumn("stage", F.lit(name))
+def cascade(needles: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame], int | None]], most: int = 2) -> DataFrame:
+    """``(needle, media_id, score, pos, stage)``: the nearest items of each needle by the first stage that has any.
+
+    A stage is ``(name, search, limit)``; ``search`` finds ``(needle, media_id, score)`` for a table of needles, and is
+    asked only for those that the stages before have left, with scores below the limit.
+    """
+    stash, out, left = Stash(needles.sparkSession), None, needles.select("needle").distinct()
+    for name, find, limit in stages:
+        rows = find(left).where("needle <> media_id")
+        rows = rows if limit is None else rows.where(F.col("score") < limit)
+        own = stash.put(top_matches(rows.select("needle", "media_id", F.col("score").cast("long").alias("score")), most).withColumn("stage", F.lit(name)), "stage")
         out = own if out is None else out.unionByName(own)
-        done = out.select("needle").distinct()
+        left = stash.put(left.join(own.select("needle").distinct(), "needle", "left_anti"), "left")
     return out
 
 
+def all_algorithms(media: DataFrame, features: DataFrame, descriptors: DataFrame, colours: DataFrame) -> list:
+    """Stages of :func:`cascade`: hashes below 12, patch votes and descriptor votes below 1000, any palette."""
+
+    def own(df: DataFrame, left: DataFrame) -> DataFrame:
+        return df.join(left.withColumnRenamed("needle", "media_id"), "media_id", "left_semi")
+
+    hashes = media.select(F.col("id").alias("needle"), F.col("phash").alias("hash"))
+    return [
+        ("dct", lambda left: search(hashes.join(left, "needle", "left_semi"), media, 12), 12),
+        ("fdct", lambda left: feature_votes(own(features, left), features), 1000),
+        ("orb", lambda left: descriptor_votes(own(descriptors, left), descriptors), 1000),
+        ("color", lambda left: colour_search(own(colours, left), colours), None),
+    ]
+
+
+def beside(first: DataFrame, found: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``(id, at, before_score, after_score)`` for :func:`merge_sorted`: the nearest item of ``first(id, pos)`` by ``found``.
+
+    ``found(needle, media_id, score)`` may hold any matches; the distances are those of ``hashes(id, phash)`` to what stands
+    before and after the nearest one, 65 where nothing does.
+    """
+    order = number_rows(first.select("id", "pos"), [F.col("pos")], "nth").select(F.col("id").alias("at"), "nth")
+    near = found.join(order.select(F.col("at").alias("media_id")), "media_id", "left_semi").where("needle <> media_id")
+    near = near.groupBy(F.col("needle").alias("id")).agg(F.min(F.struct("score", "media_id")).getField("media_id").alias("at"))
+    placed = order.join(hashes.select(F.col("id").alias("at"), "phash"), "at")
+    rows = near.join(order, "at").join(hashes, "id")
+    for name, step in (("before", -1), ("after", 1)):
+        other = placed.select((F.col("nth") - step).alias("nth"), F.col("phash").alias(f"_{name}"))
+        rows = rows.join(other, "nth", "left").withColumn(f"{name}_score", F.coalesce(F.bit_count(F.col("phash").bitwiseXOR(F.col(f"_{name}"))), F.lit(65)))
+    return rows.select("id", "at", "before_score", "after_score")
+
+
 def merge_sorted(first: DataFrame, second: DataFrame, nearest: DataFrame) -> DataFrame:
     """Puts each item of ``second(id, pos)`` beside its nearest of ``first(id, pos)``: ``(id, pos)`` of all.
 
@@ -274,46 +310,85 @@ def merge_sorted(first: DataFrame, second: DataFrame, nearest: DataFrame) -> Dat
     return a.unionByName(b)
 
 
-def sort_similar(media: DataFrame, links: DataFrame, look_behind: int = 5, most: int = 2000) -> DataFrame:
-    """``(id, component, part, nth)``: greedy chains of near items inside each group of linked items.
+def near_chain(hashes: np.ndarray, look_behind: int = 5) -> np.ndarray:
+    """Order of hashes that starts at the first and goes on to the unused one nearest to one of the last few; ties take the first."""
+    gap = np.full(len(hashes), 65, np.uint8)
+    free, chain = np.ones(len(hashes), bool), [0]
+    for _ in range(len(hashes) - 1):
+        free[chain[-1]] = False
+        gap = np.min([np.bitwise_count(hashes ^ hashes[i]) for i in chain[-look_behind:]], axis=0)
+        chain.append(int(np.argmin(np.where(free, gap, 255))))
+    return np.array(chain)
+
+
+def sort_similar(media: DataFrame, links: DataFrame, look_behind: int = 5, most: int = 10_000) -> DataFrame:
+    """``(id, component, part, nth, copy)``: greedy chains of near items inside each group of linked hashes.
 
-    Spark finds the groups. A chain starts at the smallest path and goes on to the unused item nearest to one of
-    the last ``look_behind``. Groups of more than ``most`` items are cut along their paths into parts with a chain
-    each, so that a task never holds more; items without any link stand alone.
+    Spark finds the groups over distinct hashes; ``links`` are those of :func:`class_links`. A chain starts at the smallest
+    path and goes on to the unused hash nearest to one of the last ``look_behind``; items of one hash stand together,
+    by path. A group of more than ``most`` hashes is cut by hash order into parts, so that a task never holds more; each
+    has a chain, and the parts follow one another in the order of a chain over their first hashes. Items without any
+    link stand alone; those without a hash have one of their own.
     """
     stash = Stash(media.sparkSession)
     groups = connected_components(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), stash)
-    rows = media.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "path", "phash", F.coalesce("component", "id").alias("component"))
-    place = F.row_number().over(Window.partitionBy("component").orderBy("path", "id")) - 1
-    rows = rows.withColumn("part", F.floor(place / most).cast("int"))
+    usable = F.coalesce("phash", F.lit(0)) != 0
+    rows = stash.put(media.select("id", "path", F.when(usable, F.col("phash")).alias("phash"), F.when(~usable, F.col("id")).alias("alone")), "rows")
+    classes = rows.groupBy("phash", "alone").agg(F.min(F.struct("path", "id")).alias("first"), F.min("id").alias("rep"))
+    classes = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = stash.put(classes.groupBy("component").count().where(F.col("count") > most), "large")
+    cut = classes.join(sizes, "component", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / most), F.lit(1)))
+    large = number_rows(cut.where("parts > 1").select("component", "rep", "phash"), [F.col("component"), F.col("phash")], "n")
+    large = large.join(large.groupBy("component").agg(F.min("n").alias("least")), "component").select("rep", F.floor((F.col("n") - F.col("least")) / most).cast("int").alias("part"))
+    cut = cut.join(large, "rep", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    cut = stash.put(cut.select("component", "part", "rep", F.coalesce("phash", F.lit(0)).alias("h"), F.col("first.path").alias("path")), "parts")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = list(pdf.sort_values(["path", "id"])[["id", "phash"]].itertuples(index=False, name=None))
-        chain = [rest.pop(0)]
-        while rest:
-            recent = chain[-look_behind:]
-            gap = [min(((h ^ r) & (2**64 - 1)).bit_count() for _, r in recent) for _, h in rest]
-            chain.append(rest.pop(gap.index(min(gap))))
-        first = pdf.iloc[0]
-        return pd.DataFrame({"id": [i for i, _ in chain], "component": first["component"], "part": first["part"], "nth": range(len(chain))})
+        pdf = pdf.sort_values(["path", "rep"])
+        chain = near_chain(pdf["h"].to_numpy().view(np.uint64), look_behind)
+        return pdf.iloc[chain][["component", "part", "rep", "h", "path"]].assign(nth=range(len(chain)))
 
-    return rows.groupBy("component", "part").applyInPandas(walk, "id long, component long, part int, nth long")
+    chains = stash.put(cut.groupBy("component", "part").applyInPandas(walk, "component long, part int, rep long, h long, path string, nth int"), "chains")
+    heads = chains.where("nth = 0").select("component", F.lit(0).alias("part"), F.col("part").cast("long").alias("rep"), "h", "path")
+    order = heads.groupBy("component").applyInPandas(walk, "component long, part int, rep long, h long, path string, nth int")
+    order = order.select("component", F.col("rep").cast("int").alias("part"), F.col("nth").alias("place"))
+    placed = chains.join(order, ["component", "part"]).select("rep", "component", F.col("place").alias("part"), "nth")
+    copy = F.row_number().over(Window.partitionBy("phash", "alone").orderBy("path", "id")) - 1
+    keyed = rows.join(classes.select("rep", F.col("phash").alias("p"), F.col("alone").alias("l")), F.col("phash").eqNullSafe(F.col("p")) & F.col("alone").eqNullSafe(F.col("l")))
+    return keyed.withColumn("copy", copy).join(placed, "rep").select("id", "component", "part", "nth", "copy")
 
 
-def verify_pairs(pairs: DataFrame, scores: DataFrame, threshold: int = 7, scorer: Callable | None = None) -> DataFrame:
+#: Score of a pair that cannot be scored, kept so that it is not tried again.
+INFINITE = 2**31 - 1
+
+
+def hash_scorer(hashes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Scores pairs by the distance of ``hashes(md5, hash)``, such as those of pictures without their borders."""
+    one = hashes.groupBy("md5").agg(F.min("hash").alias("hash"))
+    a, b = (one.select(F.col("md5").alias(f"md5_{x}"), F.col("hash").alias(f"h{x}")) for x in "ab")
+    return lambda pairs: pairs.join(a, "md5_a").join(b, "md5_b").select("md5_a", "md5_b", F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).alias("score"))
+
+
+def _in_order(pairs: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("md5_a"), F.greatest(a, b).alias("md5_b"), *more)
+
+
+def new_scores(pairs: DataFrame, scores: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(md5_a, md5_b, score)`` of pairs that ``scores`` does not know, to be appended to it; INFINITE if they have none."""
+    fresh = _in_order(pairs, "md5_n", "md5_m").distinct().join(_in_order(scores, "md5_a", "md5_b"), ["md5_a", "md5_b"], "left_anti")
+    scored = scorer(fresh).groupBy("md5_a", "md5_b").agg(F.min("score").cast("int").alias("score"))
+    return fresh.join(scored, ["md5_a", "md5_b"], "left").select("md5_a", "md5_b", F.coalesce("score", F.lit(INFINITE)).alias("score"))
+
+
+def verify_pairs(pairs: DataFrame, scores: DataFrame, threshold: int = 7, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(needle, media_id, md5_a, md5_b, score)`` of pairs whose stored or computed score is below ``threshold``.
 
-    Scores are stored once per unordered pair of digests. With ``scorer``, a ``mapInPandas`` function from pairs to
-    pairs with ``score``, unknown pairs are computed; without one they are left out.
+    Scores are stored once per unordered pair of digests. With ``scorer``, which turns ``(md5_a, md5_b)`` into scores (see
+    :func:`hash_scorer`), unknown pairs are computed (:func:`new_scores` has them to store); without one they are left out.
     """
-    low, high = F.least("md5_n", "md5_m"), F.greatest("md5_n", "md5_m")
-    known = scores.select(F.least("md5_a", "md5_b").alias("md5_a"), F.greatest("md5_a", "md5_b").alias("md5_b"), "score")
-    known = known.groupBy("md5_a", "md5_b").agg(F.min("score").alias("score"))
-    rows = pairs.withColumn("md5_a", low).withColumn("md5_b", high).join(known, ["md5_a", "md5_b"], "left")
-    cols = ["needle", "media_id", "md5_a", "md5_b", "score"]
-    out = rows.where(F.col("score") < threshold).select(*cols)
+    known = _in_order(scores, "md5_a", "md5_b", "score")
     if scorer is not None:
-        fresh = rows.where("score is null").drop("score")
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fresh.schema) + ", score int"
-        out = out.unionByName(fresh.mapInPandas(scorer, schema).where(F.col("score") < threshold).select(*cols))
-    return out
+        known = known.unionByName(new_scores(pairs, scores, scorer))
+    known = known.groupBy("md5_a", "md5_b").agg(F.min("score").alias("score"))
+    rows = _in_order(pairs, "md5_n", "md5_m", "needle", "media_id")
+    return rows.join(known, ["md5_a", "md5_b"]).where(F.col("score") < threshold).select("needle", "media_id", "md5_a", "md5_b", "score")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.props import is_archived
+from twinsift.stash import Stash
 
 
 def add_weeds(candidates: DataFrame, weeds: DataFrame, media: DataFrame) -> DataFrame:
-    """``(weed_md5, orig_md5, reason)`` of candidates; ``reason`` is null for accepted ones.
+    """``(weed_md5, orig_md5, reason)`` of the distinct candidates; ``reason`` is null for accepted ones.
 
     Both digests must be in the catalog, differ and be of one type; a weed keeps its original; an original is
-    not itself a weed.
+    not itself a weed. Candidates are taken in the order of both digests, and each meets what was accepted before it.
     """
     kinds = media.where("md5 <> ''").groupBy("md5").agg(F.min("type").alias("kind"))
     c = candidates.select("weed_md5", "orig_md5").distinct()
@@ -25,9 +26,32 @@ def add_weeds(candidates: DataFrame, weeds: DataFrame, media: DataFrame) -> Data
         .when(F.col("weed_md5") == F.col("orig_md5"), "same")
         .when(F.col("wk") != F.col("ok"), "type")
         .when(F.col("had").isNotNull() & (F.col("had") != F.col("orig_md5")), "changed")
-        .when(F.col("bad"), "original is a weed")
     )
-    return c.select("weed_md5", "orig_md5", reason.alias("reason"))
+    stash = Stash(candidates.sparkSession)
+    judged = stash.put(c.select("weed_md5", "orig_md5", reason.alias("reason"), F.col("had").isNotNull().alias("known"), F.coalesce("bad", F.lit(False)).alias("listed")), "judged")
+    open_ = judged.where("reason is null and not known").select("weed_md5", "orig_md5", "listed")
+    return judged.where("reason is not null or known").drop("known", "listed").unionByName(_settle(open_, stash))
+
+
+def _settle(open_: DataFrame, stash: Stash) -> DataFrame:
+    """Decides candidates that depend on each other only, as if one after the other.
+
+    A candidate is decided as soon as nothing before it that has its weed, or its original as weed, is open. The first
+    open one always is, and long chains of such candidates are rare, so the rounds are few.
+    """
+    done = stash.put(open_.limit(0).drop("listed").withColumn("reason", F.lit(None).cast("string")), "settled")
+    while open_.limit(1).count():
+        first = open_.groupBy("weed_md5").agg(F.min("orig_md5").alias("first"))
+        taken = done.where("reason is null").select("weed_md5", F.col("orig_md5").alias("got"))
+        rows = open_.join(first, "weed_md5").join(first.select(F.col("weed_md5").alias("orig_md5"), F.lit(True).alias("waits")), "orig_md5", "left")
+        rows = rows.join(taken, "weed_md5", "left").join(taken.select(F.col("weed_md5").alias("orig_md5"), F.lit(True).alias("bad")), "orig_md5", "left")
+        before, turn = F.col("orig_md5") < F.col("weed_md5"), F.col("orig_md5") == F.col("first")
+        reason = F.when(F.col("got").isNotNull(), "changed").when(turn & (F.col("listed") | (F.col("bad") & before)), "original is a weed")
+        ready = reason.isNotNull() | (turn & ~(F.coalesce("waits", F.lit(False)) & before))
+        rows = stash.put(rows.select("weed_md5", "orig_md5", "listed", reason.alias("reason"), ready.alias("ready")), "round")
+        done = done.unionByName(rows.where("ready").drop("ready", "listed"))
+        open_ = rows.where("not ready").select("weed_md5", "orig_md5", "listed")
+    return done
 
 
 def weed_flag(media: DataFrame, weeds: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from twinsift.functions.props import complete_base_name, container, dir_path, expression, is_archived, suffix
 from twinsift.functions.scalar import apply_chain
 from twinsift.operators.sorting import number_rows
+from twinsift.stash import Stash
 
 
 def move_prefix(media: DataFrame, old: str, new: str) -> DataFrame:
@@ -48,6 +49,38 @@ def _fill(template: str, base: Column, pattern: str | None) -> Column:
     return F.concat(*parts)
 
 
+def _numbered(rows: DataFrame, there: DataFrame, digits: int, stash: Stash) -> DataFrame:
+    """Adds ``new_path`` with a number for ``%n``; a row whose target exists takes none, and the next tries it again.
+
+    Rows are numbered by order up to the first whose target exists. With its number held fast, the rows up to the
+    next free target are refused together, and numbering goes on from there: two jobs for each such stretch.
+    """
+    skipped, going, settled, start = rows.where("skip").withColumn("new_path", F.lit(None).cast("string")), rows.where(~F.col("skip")), None, 1
+
+    def tried(df: DataFrame, number: Column) -> DataFrame:
+        path = F.replace("plain", F.lit("%n"), F.lpad(number.cast("string"), digits, F.lit("0")))
+        met = F.coalesce("taken", F.lit(False)) & (F.col("new_path") != F.col("path"))
+        return stash.put(df.withColumn("new_path", path).join(there, "new_path", "left").withColumn("met", met).drop("taken"), "tried")
+
+    def settle(df: DataFrame) -> None:
+        nonlocal settled
+        df = df.drop("nth", "met")
+        settled = df if settled is None else settled.unionByName(df)
+
+    while True:
+        up = tried(number_rows(going, [F.col("pos")], "nth", start), F.col("nth"))
+        stuck = up.where("met").agg(F.min("nth")).first()[0]
+        settle(up if stuck is None else up.where(F.col("nth") < stuck))
+        if stuck is None:
+            return skipped.unionByName(settled)
+        held = tried(up.where(F.col("nth") >= stuck).drop("new_path", "met"), F.lit(stuck))
+        free = held.where("not met").agg(F.min("nth")).first()[0]
+        settle(held if free is None else held.where(F.col("nth") < free))
+        if free is None:
+            return skipped.unionByName(settled)
+        going, start = held.where(F.col("nth") >= free).drop("nth", "met", "new_path"), stuck
+
+
 def rename_plan(items: DataFrame, media: DataFrame, template: str, pattern: str | None = None, find: str | None = None) -> DataFrame:
     """``(id, path, new_path, status)``: a preview of renames in the order of ``pos``; nothing is touched.
 
@@ -67,17 +100,13 @@ def rename_plan(items: DataFrame, media: DataFrame, template: str, pattern: str
     numbered = "%n" in template
     plain = F.concat("folder", "stem", F.lit("."), "ext")
     rows = rows.withColumn("plain", F.when(~F.col("skip"), plain))
+    there = media.select(F.col("path").alias("new_path"), F.lit(True).alias("taken")).distinct()
     if not numbered:
-        same = F.count("plain").over(Window.partitionBy("plain"))
-        rows = rows.withColumn("same", same).withColumn("new_path", F.col("plain"))
+        rows = rows.withColumn("new_path", F.col("plain"))
     else:
-        digits = F.length(F.lit(str(items.count())))
-        ready = number_rows(rows.where(~F.col("skip")), [F.col("pos")], "nth", 1).select("id", "nth")
-        rows = rows.join(ready, "id", "left").withColumn("same", F.lit(1))
-        rows = rows.withColumn("new_path", F.replace("plain", F.lit("%n"), F.lpad(F.col("nth").cast("string"), digits, F.lit("0"))))
-    there = media.select(F.col("path").alias("new_path"), F.lit(True).alias("taken"))
-    rows = rows.join(there, "new_path", "left")
-    status = (
-        F.when(F.col("skip"), "skipped").when(F.col("path") == F.col("new_path"), "unchanged").when(F.col("same") > 1, "collision").when(F.col("taken"), "exists").otherwise("ok")
-    )
+        rows = _numbered(rows, there, len(str(items.count())), Stash(media.sparkSession))
+    rows = rows.withColumn("same", F.count("new_path").over(Window.partitionBy("new_path"))).join(there, "new_path", "left")
+    status = F.when(F.col("skip"), "skipped").when(F.col("path") == F.col("new_path"), "unchanged")
+    status = status.when(F.col("taken"), "exists") if numbered else status  # rows that wait for one number share its target
+    status = status.when(F.col("same") > 1, "collision").when(F.col("taken"), "exists").otherwise("ok")
     return rows.select("id", "path", F.when(~F.col("skip"), F.col("new_path")).alias("new_path"), status.alias("status"))

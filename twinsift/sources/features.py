@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +13,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 SIDE = 32
-SCAN = b"\xff\xda"
 
 
 # Digests ---------------------------------------------------------------------------------------------------
 
 
-def jpeg_payload(data: bytes) -> bytes | None:
-    """From the first scan marker on, so that edits of the metadata do not matter; ``None`` if there is none."""
-    at = data.find(SCAN)
-    return data[at:] if at >= 0 else None
+_SEGMENT = re.compile(rb"\xff[\xda\xe1-\xef]")
+
+
+def jpeg_payload(data: bytes) -> bytes:
+    """From the first scan marker on, so that edits of the metadata do not matter; the whole file if there is none.
+
+    Application segments other than the first are passed over by their length: a thumbnail in them has scans of its own.
+    """
+    at = 0
+    while m := _SEGMENT.search(data, at):
+        if m[0] == b"\xff\xda":
+            return data[m.start() :]
+        at = m.end() + max(2, int.from_bytes(data[m.end() : m.end() + 2], "big"))
+    return data
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """``(path, md5, error)`` of ``files(path, content)``; JPEG files by their payload.
+    """``(path, md5, error)`` of ``files(path, content)``; JPEG files, told by their first bytes, by their payload.
 
-    Plain files are hashed by Spark itself; only JPEG contents go to Python.
+    The error is ``truncated`` if a JPEG file does not end in its end marker. Other files are hashed by Spark itself;
+    only JPEG contents go to Python. A null content has a null digest.
     """
-    jpeg = F.lower(F.substring_index("path", ".", -1)).isin("jpg", "jpeg")
+    jpeg = F.coalesce((F.length("content") > 3) & (F.hex(F.substr("content", F.lit(1), F.lit(2))) == "FFD8"), F.lit(False))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            parts = [jpeg_payload(d) for d in f["content"]]
-            md5 = [hashlib.md5(d if p is None else p).hexdigest() for d, p in zip(f["content"], parts)]
-            yield pd.DataFrame({"path": f["path"], "md5": md5, "error": [None if p is not None else "truncated" for p in parts]})
+            md5 = [hashlib.md5(jpeg_payload(d)).hexdigest() for d in f["content"]]
+            yield pd.DataFrame({"path": f["path"], "md5": md5, "error": [None if d.endswith(b"\xff\xd9") else "truncated" for d in f["content"]]})
 
     schema = "path string, md5 string, error string"
     own = files.where(jpeg).select("path", "content").mapInPandas(run, schema)
@@ -111,13 +121,17 @@ def average_hash(image: np.ndarray) -> int:
 def crop_borders(image: np.ndarray, tolerance: float = 20, cover: float = 0.66, keep: float = 0.65) -> np.ndarray:
     """Cuts even borders in the colour of the top left pixel, found from the centre outwards.
 
-    A row or column is border if most of it is within the tolerance. Unequal margins are evened to the smaller
-    one. The cut is taken only if enough of each side remains.
+    A row or column is border if runs within the tolerance from both of its ends cover most of it, so what stands in
+    the middle, like a subtitle, does not matter, and a plain stripe inside the picture is none. Unequal margins are
+    evened to the smaller one. The cut is taken only if enough of each side remains.
     """
-    plain = np.abs(gray(image) - gray(image)[0, 0]) < tolerance
+    g = gray(image)
+    plain = np.abs(g - g[0, 0]) <= tolerance
 
     def margins(lines: np.ndarray) -> tuple[int, int]:
-        n, border = len(lines), lines.mean(1) >= cover
+        n, wide = lines.shape
+        ends = np.minimum.accumulate(lines, 1).sum(1), np.minimum.accumulate(lines[:, ::-1], 1).sum(1)
+        border = (ends[0] > 0) & (ends[1] > 0) & (ends[0] + ends[1] > int(wide * cover))
         upper, lower = np.flatnonzero(border[: n // 2]), np.flatnonzero(border[n // 2 :])
         a = int(upper[-1]) + 1 if len(upper) else 0
         b = n - (n // 2 + int(lower[0])) if len(lower) else 0
@@ -125,7 +139,7 @@ def crop_borders(image: np.ndarray, tolerance: float = 20, cover: float = 0.66,
 
     (top, bottom), (left, right) = margins(plain), margins(plain.T)
     h, w = image.shape[:2]
-    if h - top - bottom < keep * h or w - left - right < keep * w:
+    if h - top - bottom <= keep * h or w - left - right <= keep * w:
         return image
     return image[top : h - bottom, left : w - right]
 
@@ -219,16 +233,30 @@ def grid_patches(height: int, width: int, sizes: tuple[int, ...] = (2, 3, 4)) ->
     return [(i * width // n, j * height // n, width // n, height // n) for n in sizes for j in range(n) for i in range(n)]
 
 
-def patch_hashes(pixels: DataFrame, least: int = 31) -> DataFrame:
-    """``(path, feat_no, hash)`` of grid patches; patches smaller than ``least`` are skipped."""
+def patch_hashes(pixels: DataFrame, rectangles: DataFrame | None = None, least: int = 31) -> DataFrame:
+    """``(path, feat_no, hash)`` of patches; those smaller than ``least`` or not inside the picture are skipped.
 
-    def make(path, image):
-        g = gray(image)
-        kept = [r for r in grid_patches(*g.shape) if min(r[2:]) >= least]
-        for n, (x, y, w, h) in enumerate(kept):
-            yield path, n, dct_hash(g[y : y + h, x : x + w])
+    ``rectangles(path, x, y, w, h)`` names the patches, numbered by place; without it they are a fixed grid.
+    """
+    at = F.array_sort(F.collect_list(F.struct("y", "x", "h", "w")))
+    if rectangles is None:
+        rows = pixels.withColumn("_boxes", F.lit(None).cast("array<struct<y:int,x:int,h:int,w:int>>"))
+    else:
+        boxes = rectangles.select("path", *(F.col(c).cast("int").alias(c) for c in "yxhw")).groupBy("path").agg(at.alias("_boxes"))
+        rows = pixels.join(boxes, "path")
 
-    return _map_pixels(pixels, "path string, feat_no int, hash long", make)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for r in f.itertuples(index=False):
+                g = gray(to_array(r.height, r.width, r.channels, r.data))
+                boxes = grid_patches(*g.shape) if r.boxes is None else [(b["x"], b["y"], b["w"], b["h"]) for b in r.boxes]
+                kept = [(x, y, w, h) for x, y, w, h in boxes if min(w, h) >= least and min(x, y) >= 0 and x + w <= g.shape[1] and y + h <= g.shape[0]]
+                found += [(r.path, n, dct_hash(g[y : y + h, x : x + w])) for n, (x, y, w, h) in enumerate(kept)]
+            yield pd.DataFrame(found, columns=["path", "feat_no", "hash"])
+
+    rows = rows.select("path", "width", "height", "channels", "data", F.col("_boxes").alias("boxes"))
+    return rows.mapInPandas(run, "path string, feat_no int, hash long")
 
 
 def palettes(pixels: DataFrame) -> DataFrame:
