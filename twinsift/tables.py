@@ -103,11 +103,16 @@ SQL["media_vec"] = f"""media_vec AS (
     CAST({_SIGN} - CASE WHEN embedding[64] > 0 THEN {1 << 63}::HUGEINT ELSE 0 END AS BIGINT) AS phash FROM embeddings)"""
 
 
+def owner(label: str, number: str) -> str:
+    """Item that a vector belongs to: one for each label and 2000 consecutive numbers, so items grow in number, not in size."""
+    return f"CAST({label} + 1 + 1000 * floor({number} / 2000e0) AS BIGINT)"
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(media_id, frame, hash)``: a video per label, and a clip of each with shifted frames and flipped bits."""
-    base = media_vec(spark, sf_dir)
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    rows = base.select((F.col("label") + 1).alias("media_id"), nth.alias("n"), F.col("phash").alias("hash"))
+    """``(media_id, frame, hash)``: a video per :func:`owner`, and a clip of each with shifted frames and flipped bits."""
+    base = media_vec(spark, sf_dir).withColumn("media_id", F.expr(owner("label", "(id - 1)")))
+    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("id"))
+    rows = base.select("media_id", nth.alias("n"), F.col("phash").alias("hash"))
     whole = rows.select("media_id", (3 * F.col("n")).alias("frame"), "hash")
     flipped = F.when(F.col("n") % 4 == 0, F.col("hash").bitwiseXOR(F.lit(1 << 40))).otherwise(F.col("hash"))
     clip = rows.where("n between 5 and 40").select((F.col("media_id") + 100).alias("media_id"), (3 * F.col("n") - 9).alias("frame"), flipped.alias("hash"))
@@ -115,23 +120,24 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["frames"] = f"""{SQL['media_vec']}, fr AS (
-  SELECT label + 1 AS media_id, row_number() OVER (PARTITION BY label ORDER BY id) AS n, phash AS hash FROM media_vec
+  SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY id) AS n, phash AS hash FROM (SELECT *, {owner("label", "(id - 1)")} AS media_id FROM media_vec)
 ), frames AS (
   SELECT media_id, CAST(3 * n AS INTEGER) AS frame, hash FROM fr
   UNION ALL SELECT media_id + 100, CAST(3 * n - 9 AS INTEGER), CASE WHEN n % 4 = 0 THEN xor(hash, {1 << 40}) ELSE hash END FROM fr WHERE n BETWEEN 5 AND 40)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(media_id, feat_no, hash)``: patch hashes per label, and a copy of each item with some bits flipped."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    base = media_vec(spark, sf_dir).select((F.col("label") + 1).alias("media_id"), nth.alias("feat_no"), F.col("phash").alias("hash"))
+    """``(media_id, feat_no, hash)``: patch hashes per :func:`owner`, and a copy of each item with some bits flipped."""
+    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("id"))
+    base = media_vec(spark, sf_dir).withColumn("media_id", F.expr(owner("label", "(id - 1)")))
+    base = base.select("media_id", nth.alias("feat_no"), F.col("phash").alias("hash"))
     flip = F.expr("hash ^ shiftleft(1L, int(1 + feat_no % 60)) ^ if(feat_no % 3 = 0, shiftleft(1L, int(1 + feat_no % 7)), 0L)")
     copy = base.where("feat_no % 2 = 0").select((F.col("media_id") + 100).alias("media_id"), "feat_no", flip.alias("hash"))
     return Stash(spark).put(base.unionByName(copy), "features")
 
 
 SQL["features"] = f"""{SQL['media_vec']}, fb AS (
-  SELECT label + 1 AS media_id, row_number() OVER (PARTITION BY label ORDER BY id) AS feat_no, phash AS hash FROM media_vec
+  SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY id) AS feat_no, phash AS hash FROM (SELECT *, {owner("label", "(id - 1)")} AS media_id FROM media_vec)
 ), features AS (
   SELECT media_id, feat_no, hash FROM fb
   UNION ALL SELECT media_id + 100, feat_no, xor(xor(hash, CAST(1 AS BIGINT) << CAST(1 + feat_no % 60 AS BIGINT)),
@@ -144,8 +150,9 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
         return f"aggregate(sequence(1, 62), 0L, (a, i) -> a | if({test}, shiftleft(1L, i), 0L))"
 
     tests = ["embedding[i] > 0", "embedding[i] > 0.05D", "embedding[i] > -0.05D", "embedding[i + 1] > embedding[i]"]
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    base = table(spark, sf_dir, "embeddings").select((F.col("label") + 1).cast("long").alias("media_id"), nth.alias("desc_no"), *(F.expr(word(t)).alias(f"d{i}") for i, t in enumerate(tests)))
+    nth = F.row_number().over(Window.partitionBy("media_id").orderBy("vec_id"))
+    base = table(spark, sf_dir, "embeddings").withColumn("media_id", F.expr(owner("label", "vec_id")))
+    base = base.select("media_id", nth.alias("desc_no"), *(F.expr(word(t)).alias(f"d{i}") for i, t in enumerate(tests)))
     copy = base.where("desc_no % 2 = 0").select((F.col("media_id") + 100).alias("media_id"), "desc_no", F.expr("d0 ^ 6L").alias("d0"), F.expr("d1 ^ shiftleft(1L, int(1 + desc_no % 60))").alias("d1"), "d2", "d3")
     return Stash(spark).put(base.unionByName(copy), "descriptors")
 
@@ -155,8 +162,8 @@ def _word(test: str) -> str:
 
 
 SQL["descriptors"] = f"""db AS (
-  SELECT CAST(label + 1 AS BIGINT) AS media_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS desc_no, {_word('embedding[{i}] > 0')} AS d0,
-    {_word('embedding[{i}] > CAST(0.05 AS DOUBLE)')} AS d1, {_word('embedding[{i}] > CAST(-0.05 AS DOUBLE)')} AS d2, {_word('embedding[{j}] > embedding[{i}]')} AS d3 FROM embeddings
+  SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY vec_id) AS desc_no, {_word('embedding[{i}] > 0')} AS d0,
+    {_word('embedding[{i}] > CAST(0.05 AS DOUBLE)')} AS d1, {_word('embedding[{i}] > CAST(-0.05 AS DOUBLE)')} AS d2, {_word('embedding[{j}] > embedding[{i}]')} AS d3 FROM (SELECT *, {owner("label", "vec_id")} AS media_id FROM embeddings)
 ), descriptors AS (
   SELECT * FROM db UNION ALL SELECT media_id + 100, desc_no, xor(d0, 6), xor(d1, CAST(1 AS BIGINT) << CAST(1 + desc_no % 60 AS BIGINT)), d2, d3 FROM db WHERE desc_no % 2 = 0)"""
 
