@@ -62,6 +62,41 @@ def test_one_of_each_group(spark, block):
     assert n.keep_one(frame(spark, [])).count() == 0
 
 
+def test_a_large_group_is_sent_few_times(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(300)]
+    texts = [" ".join(base[: 4 * k] + [f"x{rng.randrange(10**9)}"] + base[4 * k :]) for k in range(1, 73)] * 3
+    rows = [(i, t + f" y{i}", "en", 1, "x") for i, t in enumerate(texts)]
+    sent = []
+    plain = n.bucket_links
+
+    def counted(entries, *more):
+        sent.append(entries.count())
+        return plain(entries, *more)
+
+    monkeypatch.setattr(n, "bucket_links", counted)
+    kept = n.keep_one(frame(spark, rows), block=8)
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert sent[0] <= 2 * 3 * len(rows) and sent[1] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_open_buckets_compare_all_but_their_main_group(spark, parts):
+    stash = n.Stash(spark)
+    groups = {1: 12, 2: 4, 3: 3, 4: 1}
+    flat = [(r, 100 * r + i) for r, k in groups.items() for i in range(k)]
+    entries = spark.createDataFrame([(7, fp, 5, fp, r) for r, fp in flat], "key long, _fp long, _n long, _row long, _root long")
+    dealt = n.deal_open(entries, n.open_buckets(entries, stash, 20 if parts == 1 else 3), stash).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r["x"], r["y"]), set()).add(r["_fp"])
+    met = {(a, b) for t in tasks.values() for a in t for b in t}
+    root = {fp: r for r, fp in flat}
+    assert all((a, b) in met for a in root for b in root if root[a] != root[b])
+    assert (len(tasks) == 1) == (parts == 1)
+    assert parts == 1 or max(map(len, tasks.values())) < len(flat)
+
+
 def test_null_and_repeated_ids_follow_the_rule(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(None, a), (None, a + " end"), (7, a), (8, b), (8, b + " end"), (8, "quite another text of the same id"), (None, "alone and without an id here")]

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from twinsift.llm.common import as_bytes, key_runs, run_starts, slices, space_words
+from twinsift.llm.common import as_bytes, join_classes, key_runs, run_starts, slices, space_words
 from twinsift.llm.simhash import fold, shingle_hashes, trie_links
 from twinsift.operators.components import connected_components
 from twinsift.stash import Stash, partitions
@@ -22,9 +22,9 @@ SIZE, NEAR = 5, (4, 5)
 BANDS, MINIMA = 20, 5
 #: Bands that are compared first, together with the links of the trie join.
 FIRST = 2
-#: Distinct shingle sets, and shingles, of one part of a bucket; a task compares two parts at a time.
+#: Distinct shingle sets, and shingles, of one part of a bucket; a task compares two parts at most.
 BLOCK, SHINGLES = 2048, 1_000_000
-#: Bucket entries that are sent to the tasks that read texts.
+#: Dealt bucket entries that are sent to the tasks that read texts.
 SENT = 500_000
 _DRAW = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * MINIMA, 1), np.uint64)
 FACTORS, SHIFTS = _DRAW[0] | np.uint64(1), _DRAW[1]
@@ -72,28 +72,64 @@ def near_links(flat: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def shared_buckets(entries: DataFrame, roots: DataFrame | None, stash: Stash, block: int = BLOCK) -> DataFrame:
-    """``(key, _fp, _row, parts)`` of the entries ``(key, _fp, _n, _row)`` whose bucket may still join something.
+def parts_of(sets: Column, shingles: Column, block: int) -> Column:
+    return F.greatest(F.ceil(sets / block), F.ceil(shingles / SHINGLES)).cast("int")
 
-    Buckets of one set, and those whose sets are all in one group of ``roots`` already, are left out; of buckets of
-    the same sets one stays. A bucket of more than ``block`` sets or SHINGLES shingles has several parts.
+
+def first_buckets(entries: DataFrame, stash: Stash, block: int = BLOCK) -> DataFrame:
+    """``(key, c, parts)`` of the buckets of ``entries(key, _fp, _n)`` with several sets; of buckets of the same sets one stays.
+
+    A bucket of more than ``block`` sets or SHINGLES shingles has several parts.
+    """
+    digests = [F.bit_xor(F.xxhash64("_fp", F.lit(i))).alias(f"d{i}") for i in range(2)]
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"), *digests).where("c > 1")
+    sizes = sizes.groupBy("c", "s", "d0", "d1").agg(F.min("key").alias("key"))
+    return stash.put(sizes.select("key", "c", parts_of(F.col("c"), F.col("s"), block).alias("parts")), "buckets")
+
+
+def deal_twice(entries: DataFrame, buckets: DataFrame, stash: Stash) -> DataFrame:
+    """``(key, x, y, _fp, _row)``: each set of a cut bucket in two parts by two hashes, so that parts overlap at random.
+
+    A group of near copies so becomes one, however many parts it fills, and its sets are sent twice only.
+    """
+    part = lambda i: F.struct(F.pmod(F.xxhash64("_fp", F.lit(i)), F.col("parts")).cast("int").alias("x"), F.lit(i).alias("y"))
+    spots = F.when(F.col("parts") == 1, F.array(part(0))).otherwise(F.array(part(0), part(1)))
+    rows = join_classes(entries.select("key", "_fp", "_row"), buckets, "key", "c").withColumn("spot", F.explode(spots))
+    return stash.put(rows.select("key", "spot.x", "spot.y", "_fp", "_row"), "entries")
+
+
+def open_buckets(entries: DataFrame, stash: Stash, block: int = BLOCK) -> DataFrame:
+    """``(key, c, main, po, pm)`` of the buckets of ``entries(key, _fp, _n, _root)`` that still hold several groups.
+
+    ``main`` is the group with most sets. Its sets are linked already and fill ``pm`` parts; all other sets fill ``po``.
+    A bucket that needs no cut has ``pm`` 0.
     """
-    if roots is None:
-        entries = entries.withColumn("_root", F.col("_fp"))
-    else:
-        entries = entries.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     digests = [F.bit_xor(F.xxhash64("_fp", F.lit(i))).alias(f"d{i}") for i in range(2)]
-    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"), F.min("_root").alias("lo"), F.max("_root").alias("hi"), *digests)
-    sizes = sizes.where("lo <> hi").groupBy("c", "s", "d0", "d1").agg(F.min("key").alias("key"))
-    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("s") / SHINGLES)).cast("int")
-    return stash.put(entries.join(sizes.select("key", parts.alias("parts")), "key").select("key", "_fp", "_row", "parts"), "entries")
+    per = entries.groupBy("key", "_root").agg(F.count(F.lit(1)).alias("c"), F.sum("_n").alias("s"), *digests)
+    sums = [F.sum("c").alias("c"), F.sum("s").alias("s"), *(F.bit_xor(d).alias(d) for d in ("d0", "d1"))]
+    whole = per.groupBy("key").agg(*sums, F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "_root", "s")).alias("m"))
+    whole = whole.where("roots > 1").groupBy("c", "s", "d0", "d1").agg(F.min("key").alias("key"), F.min("m").alias("m"))
+    one = parts_of(F.col("c"), F.col("s"), block) == 1
+    others = parts_of(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s"), block)
+    pm = F.when(one, 0).otherwise(parts_of(F.col("m.c"), F.col("m.s"), block))
+    return stash.put(whole.select("key", "c", F.col("m._root").alias("main"), F.when(one, 1).otherwise(others).alias("po"), pm.alias("pm")), "buckets")
+
+
+def deal_open(entries: DataFrame, buckets: DataFrame, stash: Stash) -> DataFrame:
+    """``(key, x, y, _fp, _row)``: each pair of parts of a bucket meets, but for two parts of its main group."""
+    rows = join_classes(entries.select("key", "_fp", "_row", "_root"), buckets, "key", "c")
+    main = (F.col("_root") == F.col("main")) & (F.col("pm") > 0)
+    at = F.xxhash64("_fp")
+    own = F.when(main, F.col("po") + F.pmod(at, F.greatest("pm", F.lit(1)))).otherwise(F.pmod(at, F.col("po"))).cast("int")
+    last = F.when(main, F.col("po")).otherwise(F.col("po") + F.col("pm")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return stash.put(rows.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "_fp", "_row"), "entries")
 
 
 def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFrame:
-    """Links ``(a, b)`` that join the near sets of each bucket of ``entries``, checked exactly.
+    """Links ``(a, b)`` that join the near sets of each ``(key, x, y)`` of ``entries``, checked exactly.
 
-    Only the sets of ``entries`` are made again from ``texts(_row, _fp, _text)`` and sent there; each pair of parts
-    of a bucket is compared by a task.
+    Only the sets of ``entries`` are made again from ``texts(_row, _fp, _text)`` and sent there.
     """
     spark = stash.spark
 
@@ -106,9 +142,6 @@ def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFram
     sent = F.broadcast if small else lambda df: df
     own = texts.join(sent(entries.select("_row").distinct()), "_row", "left_semi")
     found = own.select("_fp", "_text").mapInArrow(sets, "_fp long, found binary")
-    entries = entries.withColumn("r", F.pmod(F.xxhash64("_fp"), F.col("parts")).cast("int"))
-    entries = entries.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    entries = entries.select("key", F.least("r", "q").alias("x"), F.greatest("r", "q").alias("y"), "_fp")
     keys = ["key", "x", "y"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +158,7 @@ def bucket_links(entries: DataFrame, texts: DataFrame, stash: Stash) -> DataFram
                     b.append(fps[lo + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = found.join(sent(entries), "_fp").select(*keys, "_fp", "found")
+    dealt = found.join(sent(entries.drop("_row")), "_fp").select(*keys, "_fp", "found")
     dealt = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys)
     return stash.put(dealt.mapInArrow(link, "a long, b long"), "links")
 
@@ -134,20 +167,30 @@ def groups(marked: DataFrame, stash: Stash, block: int = BLOCK) -> DataFrame:
     """``(_fp, _root)``: groups of near sets of ``marked(_fp, _sim, _keys, _n, _row, _text)``; lone sets are left out.
 
     First come the sets whose SimHash fingerprints the trie join links, and FIRST bands; most near copies meet there.
-    The other bands then only compare buckets that still hold sets of different groups, so that the sets of a
-    group are sent few times, and yet no pair that shares any band is lost.
+    Then only those buckets are compared in full, of the other bands and of the cut ones before, that still hold sets
+    of different groups. So the sets of a group are sent few times, and yet no pair that shares any band is lost.
     """
-    names = ["_fp", "_sim", "_keys", "_n", "_row"]
-    classes = stash.put(marked.where("_n > 0").select(*names).dropDuplicates(["_fp"]), "classes")
+    classes = stash.put(marked.where("_n > 0").select("_fp", "_sim", "_keys", "_n", "_row").dropDuplicates(["_fp"]), "classes")
     tries = connected_components(stash.put(trie_links(classes.select(F.col("_sim").alias("fp")).distinct(), stash), "tries"), stash)
-    by_trie = classes.join(tries.select(F.col("node").alias("_sim"), F.xxhash64("component").alias("key")), "_sim")
-    bands = lambda at, n: classes.select(F.explode(F.slice("_keys", at, n)).alias("key"), "_fp", "_n", "_row")
-    roots, links = None, None
-    for entries in (by_trie.select("key", "_fp", "_n", "_row").unionByName(bands(1, FIRST)), bands(FIRST + 1, BANDS)):
-        found = bucket_links(shared_buckets(entries, roots, stash, block), marked, stash)
-        links = found if links is None else links.unionByName(found)
-        roots = stash.put(connected_components(links, stash).select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "roots")
-    return roots
+    tries = tries.select(F.col("node").alias("_sim"), F.xxhash64("component").alias("key"))
+
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.join(tries, "_sim").select("key", *names).unionByName(bands(rows, 1, FIRST))
+
+    def bands(rows: DataFrame, at: int, n: int) -> DataFrame:
+        return rows.select(F.explode(F.slice("_keys", at, n)).alias("key"), *names)
+
+    names = ["_fp", "_n", "_row"]
+    buckets = first_buckets(first(classes), stash, block)
+    links = bucket_links(deal_twice(first(classes), buckets, stash), marked, stash)
+    roots = connected_components(links, stash).select(F.col("node").alias("_fp"), F.col("component").alias("_root"))
+    names.append("_root")
+    rooted = stash.put(classes.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp")), "rooted")
+    cut = first(rooted).join(buckets.where("parts > 1").select("key"), "key", "left_semi")
+    entries = bands(rooted, FIRST + 1, BANDS).unionByName(cut)
+    more = bucket_links(deal_open(entries, open_buckets(entries, stash, block), stash), marked, stash)
+    roots = connected_components(links.unionByName(more), stash)
+    return stash.put(roots.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "roots")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
