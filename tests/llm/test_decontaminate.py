@@ -85,6 +85,17 @@ def test_items_without_an_id_are_found(spark, monkeypatch, send, part):
     assert not kept & {0, 1, 305}
 
 
+@pytest.mark.parametrize("size", [1, 200])
+def test_items_of_a_text_are_met_in_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(d, "BLOCK_BYTES", size)
+    base = corpus()[60][1].split()
+    own = [(i, " ".join(base[at : at + n])) for i, (at, n) in enumerate((a, w) for a in range(0, 45, 3) for w in (4, 12, 15))]
+    bench = spark.createDataFrame(own, "item_id long, text string")
+    got = {r["doc_id"]: r for r in d.contamination(frame(spark), bench, send_bytes=0).collect()}
+    want = {r["doc_id"]: r for r in d.contamination(frame(spark), bench).collect()}
+    assert got == want and got[100]["n_items"] == len(own)
+
+
 def test_winnowing_guarantee():
     rng = random.Random(1)
     import numpy as np

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.llm.common import alnum_words, as_bytes, slices
@@ -19,6 +19,8 @@ SEND_BYTES = 32 << 20
 CANDIDATES = 500_000
 #: Texts of one gram that a task joins with its items.
 PART = 10_000
+#: Bytes of item text that a text is held against at a time.
+BLOCK_BYTES = 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -76,8 +78,8 @@ class Index:
             order = np.argsort(h[at], kind="stable")
             self.classes.append((n, k, h[at][order], at[order]))
 
-    def hits(self, texts: list[bytes | None]) -> list[tuple[int, int, list]]:
-        """``(n_words, n_hit, names of items found)`` of each text."""
+    def hits(self, texts: list[bytes | None]) -> list[tuple[int, int, list, list]]:
+        """``(n_words, n_hit, names of items found, runs [first, end) of hit words)`` of each text."""
         get = self.vocabulary.get
         coded = [[get(w, 0) for w in alnum_words(t)] for t in texts]
         sizes = np.array([len(c) for c in coded], np.int64)
@@ -120,15 +122,21 @@ class Index:
                 np.add.at(edges, p + k + right, -1)
                 text = np.searchsorted(starts, p, "right") - 1
                 pairs.append(np.unique(text * len(self.names) + self.owner[q]))
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
+        inside = np.cumsum(edges)[:-1] > 0
+        hit = np.concatenate([[0], np.cumsum(inside)])
         n_hit = hit[starts + sizes] - hit[starts] if len(texts) else []
         found: list[list] = [[] for _ in texts]
         for x in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
             found[x // len(self.names)].append(self.names[x % len(self.names)])
-        return list(zip(sizes.tolist(), map(int, n_hit), found))
+        runs: list[list] = [[] for _ in texts]
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+        for first, end in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            text = int(np.searchsorted(starts, first, "right")) - 1
+            runs[text].append([first - int(starts[text]), end - int(starts[text])])
+        return list(zip(sizes.tolist(), map(int, n_hit), found, runs))
 
 
-def _digest(rows: list[tuple[int, int, list]]) -> list[pa.Array]:
+def _digest(rows: list[tuple[int, int, list, list]]) -> list[pa.Array]:
     names = [sorted({str(x) for x in r[2] if x is not None}) for r in rows]
     return [
         pa.array([r[0] for r in rows], pa.int64()),
@@ -239,18 +247,40 @@ def _judged(texts: DataFrame, items: DataFrame, span: int, stash: Stash) -> Data
     many = F.broadcast(many) if many.count() <= 100_000 else many
     ours = ours.join(many, "fp", "left").withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
     met = ours.select("key", "fp", "part").join(theirs.select("fp", "part", "item_key"), ["fp", "part"]).select("key", "item_key").distinct()
-    with_items = met.join(items, "item_key").groupBy("key").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("items"))
-    full = once.join(with_items, "key", "left").select("key", "text", "items")
+    # A text may meet any number of items: it is judged against blocks of them, each of a bounded size.
+    met = stash.put(met.join(items.select("item_key", F.octet_length("text").alias("size")), "item_key"), "met")
+    blocks = met.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_BYTES).cast("int").alias("blocks"))
+    met = met.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("item_key"), F.greatest("blocks", F.lit(1))).cast("int"))
+    listed = met.select("key", "block", "item_key").join(items, "item_key")
+    listed = listed.groupBy("key", "block").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item"))).alias("items"))
+    full = once.join(listed, "key", "left").select("key", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             out = []
             for text, items in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                index = Index([(x["item_id"], x["item"].encode()) for x in items or []], span)
-                out += index.hits([text])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_digest(out)], ["key", *FOUND])
+                out += Index([(x["item_id"], x["item"].encode()) for x in items or []], span).hits([text])
+            names = [sorted({str(x) for x in r[2] if x is not None}) for r in out]
+            columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["key", "n_words", "runs", "names"])
 
-    return stash.put(full.mapInArrow(run, f"key string, {FOUND_SCHEMA}"), "judged")
+    found = full.mapInArrow(run, "key string, n_words long, runs array<array<long>>, names array<string>")
+    return stash.put(_together(found), "judged")
+
+
+def _together(found: DataFrame) -> DataFrame:
+    """``(key, FOUND...)`` of the runs of hit words ``[first, end)`` and the item names that several blocks of items gave."""
+    both = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("names")).alias("names"))
+    names = F.array_sort(F.array_distinct("names"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def cover(have: Column, run: Column) -> Column:
+        fresh = F.greatest(F.lit(0).cast("long"), run[1] - F.greatest(run[0], have["end"]))
+        return F.struct((have["n"] + fresh).alias("n"), F.greatest(have["end"], run[1]).alias("end"))
+
+    n_hit = F.aggregate(F.array_sort("runs"), start, cover, lambda have: have["n"])
+    rows = both.select("key", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("item_ids"))
+    return rows.select("key", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "item_ids")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = 10, send_bytes: int = SEND_BYTES, text_col: str = "text") -> DataFrame:
