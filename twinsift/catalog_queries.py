@@ -16,6 +16,8 @@ from twinsift.operators import evaluate as V
 from twinsift.operators import exact, select, similar, sorting, state
 from twinsift.operators import groups as G
 from twinsift.operators.blocking import hamming_pairs, radix_stats
+from twinsift.operators.finding import similar_groups as find_groups
+from twinsift.params import SearchParams
 from twinsift.plans import deletions, moves
 from twinsift.sources import features
 from twinsift.stash import Stash
@@ -686,6 +688,25 @@ def merge_sorted(spark, d):
     return similar.merge_sorted(a, b, similar.beside(a, found, m.select("id", "phash")))
 
 
+_DIR = "regexp_extract({}.path, '^(.*)/', 1)"
+
+
+@query(f""", {_LINKS}, tk AS ({_TOPK}), g0 AS (SELECT needle AS group_id, needle AS media_id, 0 AS pos, 0 AS score FROM (SELECT DISTINCT needle FROM tk) UNION ALL SELECT needle, media_id, pos, score FROM tk
+), g1 AS (SELECT g0.*, m.path, m.md5, n.md5 AS nm, {_DIR.format('m')} AS p, {_DIR.format('n')} AS np, n.path AS first_path FROM g0 JOIN media m ON m.id = media_id JOIN media n ON n.id = group_id
+), ng AS (SELECT DISTINCT least(a.md5, b.md5) AS lo, greatest(a.md5, b.md5) AS hi FROM li JOIN media a ON a.id = rep_a JOIN media b ON b.id = rep_b WHERE (rep_a + rep_b) % 3 = 0
+), g2 AS (SELECT * FROM g1 WHERE pos = 0 OR (p <> np AND NOT EXISTS (SELECT 1 FROM ng WHERE lo = least(md5, nm) AND hi = greatest(md5, nm)))
+), g3 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM g2) WHERE n > 1
+), s AS (SELECT group_id, first_path, list_sort(list(path)) AS members FROM g3 GROUP BY group_id, first_path), k AS (SELECT arg_min(group_id, first_path) AS group_id FROM s GROUP BY members)
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY pos) - 1 AS INTEGER) AS pos, media_id, CAST(score AS BIGINT) AS score, md5 IN (SELECT md5 FROM media WHERE id % 11 = 0) AS weed FROM g3 JOIN k USING (group_id)""", "mediah")
+def similar_groups(spark, d):
+    m = Stash(spark).put(T.media_hashed(spark, d), "media")
+    pairs = similar.class_links(similar.hash_classes(m), 5).where((F.col("rep_a") + F.col("rep_b")) % 3 == 0)
+    digests = [m.select(F.col("id").alias(f"rep_{x}"), F.col("md5").alias(f"md5_{x}")) for x in "ab"]
+    negative = pairs.join(digests[0], "rep_a").join(digests[1], "rep_b").select("md5_a", "md5_b")
+    params = SearchParams(neg=True, fp=True, types=3)
+    return find_groups(params, m, negative=negative, weeds=m.where("id % 11 = 0").select(F.col("md5").alias("weed_md5"))).drop("path", "md5")
+
+
 @query()
 def sort_similar(spark, d):
     m = T.media_hashed(spark, d)

@@ -51,6 +51,9 @@ class SearchParams(_Checked):
     fs: bool = True
     neg: bool = False
     fp: bool = False
+    fg: bool = True
+    path: str = ""
+    in_path: bool = False
     mg: bool = False
     eg: bool = False
     types: int | None = None
