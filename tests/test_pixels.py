@@ -52,9 +52,9 @@ def folder(tmp_path_factory):
         z.writestr("notes.txt", b"x")
         z.mkdir("dir.png")
     (root / "bad.zip").write_bytes(b"PK not a zip")
-    (root / "j.jpg").write_bytes(b"head one\xff\xdapixels")
-    (root / "k.jpg").write_bytes(b"other head\xff\xdapixels")
-    (root / "t.jpg").write_bytes(b"no scan here")
+    (root / "j.jpg").write_bytes(b"\xff\xd8head one\xff\xdapixels\xff\xd9")
+    (root / "k.jpg").write_bytes(b"\xff\xd8other head\xff\xdapixels\xff\xd9")
+    (root / "t.jpg").write_bytes(b"\xff\xd8no scan here")
     return str(root)
 
 
@@ -102,7 +102,7 @@ def test_listing_members_and_digests(spark, folder):
     assert [(r["member"], bytes(r["content"])) for r in found] == [("in/a.png", png(pattern(3)))]
     assert files.image_files(spark, folder, content=False).count() == 30 + 3 + 3 + 1
     md5 = {os.path.basename(r["path"]): r for r in features.digests(everything).collect()}
-    assert md5["j.jpg"]["md5"] == md5["k.jpg"]["md5"] == hashlib.md5(b"\xff\xdapixels").hexdigest()
+    assert md5["j.jpg"]["md5"] == md5["k.jpg"]["md5"] == hashlib.md5(b"\xff\xdapixels\xff\xd9").hexdigest()
     assert md5["t.jpg"]["error"] == "truncated" and md5["p1_60.png"]["md5"] == hashlib.md5(png(pattern(1, 60, 80))).hexdigest()
     files.register_members(spark)
     everything.where("path like '%.zip'").createOrReplaceTempView("zips")
