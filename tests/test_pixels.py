@@ -224,3 +224,49 @@ def test_patches_of_given_rectangles(spark):
     g = np.frombuffer(data, np.uint8).reshape(64, 80).astype(float)
     assert got == [("a", 0, features.dct_hash(g[:32, :32])), ("a", 1, features.dct_hash(g[30:63, 40:73]))]
     assert {r["path"] for r in features.patch_hashes(pixels).collect()} == {"a", "b"}
+
+
+def plain_quality(image):
+    """The score by loops over pixels."""
+    h, w = image.shape[:2]
+    g = [[float(sum(image[y, x, :3].tolist())) for x in range(w // 10, min(w, w - w // 10 + 1))] for y in range(h // 10, min(h, h - h // 10 + 1))]
+
+    def edges(rows):
+        n, m = len(rows), len(rows[0])
+        gap = [[abs(r[x + 1] - r[x - 1]) if 0 < x < m - 1 else 0.0 for x in range(m)] for r in rows]
+        mean = sum(map(sum, gap)) / ((n - 1) * (m - 1))
+        gap = [[v if v > mean else 0 for v in r] for r in gap]
+        found = {(y, x) for y in range(n) for x in range(1, m - 1) if gap[y][x] > max(gap[y][x - 1], gap[y][x + 1])}
+        long = 0
+        for x in range(m):
+            run = 0
+            for y in range(1, n - 1):
+                if (y, x) in found:
+                    run += 1
+                else:
+                    long += run > 1
+                    run = 0
+        return found, long
+
+    (across, a), (down, b) = edges(g), edges([list(c) for c in zip(*g)])
+    n = sum((y, x) in across or (x, y) in down for y in range(1, len(g) - 1) for x in range(1, len(g[0]) - 1))
+    return int(100 * n / ((len(g) - 2) * (len(g[0]) - 2)) + 100 * (a + b) / n) if n else 0
+
+
+@pytest.mark.parametrize("size", [(3, 3, 1), (20, 31, 3), (64, 48, 3), (9, 40, 4)])
+def test_quality_against_loops(size):
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 256, size).astype(np.uint8)
+    steps = np.repeat(np.repeat(rng.integers(0, 256, size), 4, 0), 3, 1)[: size[0], : size[1]].astype(np.uint8)
+    for image in (noise, steps, np.full(size, 9, np.uint8)):
+        assert features.quality_score(image) == plain_quality(image)
+
+
+def test_palette_places_each_colour_for_all_its_pixels():
+    image = np.zeros((40, 40, 3), np.uint8)
+    image[:, :30], image[:, 30:] = (10, 20, 200), (200, 30, 10)
+    found = features.palette(image, colours=1)
+    y, x = (np.arange(40)[:, None] + 0.5) / 20 - 1, (np.arange(40)[None, :] + 0.5) / 20 - 1
+    inside = np.sqrt(x**2 + y**2) <= 0.9
+    want = features.luv(image[:, :, ::-1][inside].astype(float)).mean(0)
+    assert np.allclose(found[0][:3], want)

@@ -1004,7 +1004,8 @@ _AHASH = " + ".join(f"CASE WHEN v[{i + 1}] > m THEN {1 << i}::HUGEINT ELSE 0 END
 
 @query(f"SELECT path, CAST({_AHASH} - CASE WHEN v[64] > m THEN {1 << 63}::HUGEINT ELSE 0 END AS BIGINT) AS ahash FROM (SELECT path, v, list_sum(v) / 64 AS m FROM levels)", "levels")
 def average_hash(spark, d):
-    return features.image_hashes(T.pixels(spark, d)).select("path", "ahash")
+    """Average hashes of colour pictures with their borders cut off."""
+    return features.image_hashes(T.pixels(spark, d), crop=True).select("path", "ahash")
 
 
 @query()
@@ -1019,7 +1020,7 @@ def mirrored_hashes(spark, d):
 
 @query()
 def patch_hashes(spark, d):
-    return features.patch_hashes(T.pixels(spark, d), least=2)
+    return features.patch_hashes(T.pixels(spark, d))
 
 
 @query()

@@ -166,9 +166,12 @@ def palette(image: np.ndarray, colours: int = 32, seed: int = 1, rounds: int = 1
     h, w = small.shape[:2]
     y, x = (np.arange(h)[:, None] + 0.5) / h * 2 - 1, (np.arange(w)[None, :] + 0.5) / w * 2 - 1
     far = np.sqrt(x**2 + y**2)
-    points, weight = luv(small.reshape(-1, 3).astype(float)), 1 - np.minimum(far / 0.9, 1).ravel()
-    ok = (far.ravel() <= 0.9) & (points[:, 0] > 4)
-    points, weight = points[ok], weight[ok]
+    inside = far.ravel() <= 0.9
+    seen, which = np.unique(small.reshape(-1, 3)[inside], axis=0, return_inverse=True)  # a colour is placed once, for all its pixels
+    weight = np.bincount(which.ravel(), 1 - np.minimum(far / 0.9, 1).ravel()[inside], len(seen))
+    many, points = np.bincount(which.ravel(), minlength=len(seen)), luv(seen.astype(float))
+    ok = points[:, 0] > 4
+    points, weight, many = points[ok], weight[ok], many[ok]
     if not len(points):
         return []
     start = np.unique(points.round(1), axis=0)
@@ -176,23 +179,43 @@ def palette(image: np.ndarray, colours: int = 32, seed: int = 1, rounds: int = 1
     for _ in range(rounds):
         near = np.argmin(((points[:, None, :] - centres[None]) ** 2).sum(2), 1)
         used = np.unique(near)
-        centres = np.stack([points[near == k].mean(0) for k in used])
+        centres = np.stack([np.average(points[near == k], axis=0, weights=many[near == k]) for k in used])
     near = np.argmin(((points[:, None, :] - centres[None]) ** 2).sum(2), 1)
     mass = np.bincount(near, weight, len(centres))
     return [(*map(float, centres[k]), float(mass[k])) for k in np.argsort(-mass, kind="stable")]
 
 
+def _ridges(g: np.ndarray) -> np.ndarray:
+    """Pixels whose left and right neighbours differ by more than the mean, and by more than those beside them do."""
+    gap = np.zeros_like(g)
+    gap[:, 1:-1] = np.abs(g[:, 2:] - g[:, :-2])
+    gap[gap <= gap.sum() / ((g.shape[0] - 1) * (g.shape[1] - 1))] = 0
+    edge = np.zeros(g.shape, bool)
+    edge[:, 1:-1] = gap[:, 1:-1] > np.maximum(gap[:, :-2], gap[:, 2:])
+    return edge
+
+
+def _long_runs(edge: np.ndarray) -> int:
+    """Runs of two and more edge pixels down the columns; the first and last line do not count, nor what reaches them below."""
+    inner = edge[1:-1]
+    return int((inner[:-2] & inner[1:-1] & ~inner[2:]).sum())
+
+
 def quality_score(image: np.ndarray) -> int:
-    """Sharpness without a reference: share of edge pixels, and of long edges among them, inside a tenth's crop."""
-    g = gray(image)
-    h, w = g.shape
-    g = g[h // 10 : h - h // 10, w // 10 : w - w // 10]
+    """Sharpness without a reference, inside a tenth's crop: share of edge pixels, and long edges per edge pixel, in percent.
+
+    Edges are found across and down the picture; a long one has at least two pixels. Even pictures and those of
+    less than 3 pixels a side have 0.
+    """
+    g = image[:, :, :3].astype(float).sum(2)
+    (h, w), (dy, dx) = g.shape, (g.shape[0] // 10, g.shape[1] // 10)
+    g = g[dy : h - dy + 1, dx : w - dx + 1]
     if min(g.shape) < 3:
         return 0
-    gap = np.abs(np.diff(g, axis=1))[:-1] + np.abs(np.diff(g, axis=0))[:, :-1]
-    edge = gap > gap.mean()
-    runs = edge[:, 1:] & edge[:, :-1]
-    return int(100 * edge.mean() + 100 * runs.sum() / max(1, edge.sum()))
+    across, down = _ridges(g), _ridges(g.T)
+    inner = (across | down.T)[1:-1, 1:-1]
+    n = int(inner.sum())
+    return int(100 * n / inner.size + 100 * (_long_runs(across) + _long_runs(down)) / n) if n else 0
 
 
 def _map_pixels(pixels: DataFrame, schema: str, make) -> DataFrame:

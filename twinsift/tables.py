@@ -242,12 +242,21 @@ SQL["weeds"] = """weeds AS (
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, width, height, channels, data)``: the 64 components of each vector as a gray picture of 8 by 8."""
-    level = "lpad(hex(cast(greatest(0D, least(255D, floor((cast(x as double) + 0.5D) * 255D))) as int)), 2, '0')"
-    data = F.expr(f"unhex(array_join(transform(embedding, x -> {level}), ''))")
+    """``(path, width, height, channels, data)``: each vector as a colour picture of 128 by 152 pixels.
+
+    Its 64 components are fields of 16 by 16 pixels; the three channels hold the components of a field and those 21 and 42
+    further on. Above and below are black bars of 12 lines.
+    """
+    level = "lpad(hex(cast(64 + greatest(0D, least(191D, floor((cast(x as double) + 0.5D) * 192D))) as int)), 2, '0')"
+    field = "repeat(concat(v[8 * y + x], v[(8 * y + x + 21) % 64], v[(8 * y + x + 42) % 64]), 16)"
+    lines = f"transform(sequence(0, 7), y -> repeat(array_join(transform(sequence(0, 7), x -> {field}), ''), 16))"
+    bar = F.lit("000000" * (128 * 12))
     path = F.concat(F.lit("vec"), F.col("vec_id").cast("string"), F.lit(".png"))
-    return table(spark, sf_dir, "embeddings").select(path.alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), data.alias("data"))
+    rows = table(spark, sf_dir, "embeddings").select(path.alias("path"), F.expr(f"transform(embedding, x -> {level})").alias("v"))
+    data = F.unhex(F.concat(bar, F.array_join(F.expr(lines), ""), bar))
+    return rows.select("path", F.lit(128).alias("width"), F.lit(152).alias("height"), F.lit(3).alias("channels"), data.alias("data"))
 
 
 SQL["levels"] = """levels AS (
-  SELECT 'vec' || vec_id || '.png' AS path, list_transform(embedding, lambda x: greatest(0, least(255, floor((CAST(x AS DOUBLE) + 0.5) * 255)))) AS v FROM embeddings)"""
+  SELECT path, list_transform(range(0, 64), lambda i: CAST(0.114 AS DOUBLE) * l[i + 1] + CAST(0.587 AS DOUBLE) * l[(i + 21) % 64 + 1] + CAST(0.299 AS DOUBLE) * l[(i + 42) % 64 + 1]) AS v
+  FROM (SELECT 'vec' || vec_id || '.png' AS path, list_transform(embedding, lambda x: 64 + greatest(0, least(191, floor((CAST(x AS DOUBLE) + 0.5) * 192)))) AS l FROM embeddings))"""
