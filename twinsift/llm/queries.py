@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsift.llm import decontaminate, embeddings, hmm, licenses, packing, quality, simhash, tokens, urlfilter, warc
+from twinsift.llm import (
+    bytepairs,
+    decontaminate,
+    embeddings,
+    hmm,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    spelling,
+    tokens,
+    urlfilter,
+    warc,
+    whitening,
+)
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -90,6 +104,24 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading principal components, with unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
+@query
+def op12_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids, and of the text decoded from them."""
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, their forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
