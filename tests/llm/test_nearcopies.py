@@ -113,3 +113,11 @@ def test_links_join_what_pairs_join():
     as_sets = [set(x.tolist()) for x in sets]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if near(as_sets[i], as_sets[j])]
     assert closure(len(sets), links) == closure(len(sets), pairs) and len(links) < len(sets)
+
+
+def test_working_columns_do_not_clash(spark):
+    schema = "doc_id long, text string, _n int, _row long, _fp string, c0 string, key string"
+    rows = [(i, f"one two three four five six {i % 3}", i, 100 + i, f"f{i}", f"c{i}", "k") for i in range(6)]
+    kept = n.keep_one(spark.createDataFrame(rows, schema))
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect())) == rows[:3]

@@ -118,6 +118,36 @@ def test_damaged_member_is_a_row(spark, tmp_path):
     assert all(r["page_id"] is None for r in got if r["record_type"] == "damaged")
 
 
+def record(kind, block, media="application/http; msgtype=response", extra="", length=True):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\n{extra}" + (f"Content-Type: {media}\r\n" if media else "")
+    return (head + (f"Content-Length: {len(block)}\r\n" if length else "") + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("name", ["x.warc.gz", "x.dat"])
+def test_foreign_records(spark, tmp_path, name):
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n"
+    sha = hashlib.sha1(b"abc").hexdigest()
+    together = [record("response", http + b"abc"), record("resource", b"x\r\n\r\ny" * 2, "text/plain"), record("warcinfo", b"a: b\r\n", "application/warc-fields")]
+    together += [record("revisit", http, extra=f"WARC-Payload-Digest: sha1:{sha.upper()}\r\n"), record("revisit", b"", extra="WARC-Payload-Digest: sha256:00ff\r\n")]
+    together += [record("revisit", b""), record("response", http + b"q", media="")]
+    alone = record("response", http + b"last")
+    lost = record("response", http + b"abc") + record("response", b"none", length=False) + record("response", http)
+    (tmp_path / name).write_bytes(b"".join(map(gzip.compress, (b"".join(together), alone, lost))))
+    got = [(r["record_type"], r["payload_bytes"], r["payload_digest"], r["payload"] and bytes(r["payload"])) for r in w.read_archive(spark, f"file://{tmp_path}").collect()]
+    plain = lambda kind, p: (kind, len(p), hashlib.sha1(p).hexdigest(), p)
+    want = [plain("response", b"abc"), plain("resource", b"x\r\n\r\ny" * 2), plain("warcinfo", b"a: b\r\n"), ("revisit", 3, sha, None)]
+    want += [("revisit", None, "sha256:00ff", None), ("revisit", None, None, None), plain("response", b"q"), plain("response", b"last")]
+    assert sorted(got, key=str) == sorted([*want, plain("response", b"abc"), ("damaged", None, None, None)], key=str)
+
+
+@pytest.mark.parametrize("suffix", [".warc.gz", ".dat"])
+def test_every_file_is_judged(spark, tmp_path, suffix):
+    (tmp_path / f"good{suffix}").write_bytes(gzip.compress(record("resource", b"x", "text/plain")))
+    (tmp_path / f"bad{suffix}").write_bytes(b"no archive")
+    with pytest.raises(ValueError, match="no record in the file .*bad"):
+        w.read_archive(spark, f"file://{tmp_path}")
+
+
 @pytest.mark.parametrize("name", ["x.warc", "x.warc.gz"])
 def test_bytes_without_a_record_are_an_error(spark, tmp_path, name):
     (tmp_path / name).write_bytes(b"no archive at all " * 10)

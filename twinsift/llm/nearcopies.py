@@ -200,11 +200,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     shorter text is one shingle). Candidates are texts that the SimHash trie join links (4 of 64 bits) and, as those
     miss most pairs near 0.8, texts that share a band of minima; every link is checked exactly. The row with the
     smallest id stays, null ids last, then by the hash of its text. Rows are told apart by themselves, so null
-    and repeated ids follow the same rule. Null and wordless texts are one group.
+    and repeated ids follow the same rule. Null and wordless texts are one group. The caller's columns go by numbers
+    meanwhile, so any names are free; an empty table stays empty.
     """
     stash = Stash(docs.sparkSession)
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "_fp", "_sim", "_n", "_keys"]
+    given = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text, row_id = F.col(f"c{at}"), F.col(f"c{docs.columns.index(id_col)}")
+    names = [*given.columns, "_fp", "_sim", "_n", "_keys"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -215,10 +218,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
             more = [pa.array(fps), pa.array(sims), pa.array(sizes), pa.array([band_keys(x) for x in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names)
 
-    schema = StructType([*docs.schema.fields]).add("_fp", "long").add("_sim", "long").add("_n", "long").add("_keys", ArrayType(LongType()))
-    marked = stash.put(docs.mapInArrow(mark, schema).withColumn("_row", F.monotonically_increasing_id()), "marked")
-    roots = groups(marked.withColumn("_text", F.col(text_col)), stash, block)
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col("_row"))
+    schema = StructType([*given.schema.fields]).add("_fp", "long").add("_sim", "long").add("_n", "long").add("_keys", ArrayType(LongType()))
+    marked = stash.put(given.mapInArrow(mark, schema).withColumn("_row", F.monotonically_increasing_id()), "marked")
+    roots = groups(marked.withColumn("_text", text), stash, block)
+    order = F.struct(row_id.isNull(), row_id.alias("id"), F.xxhash64(text), F.col("_row"))
     rows = marked.select("_fp", "_row", order.alias("_order")).join(roots, "_fp", "left")
     best = rows.groupBy(F.coalesce("_root", "_fp").alias("_root")).agg(F.min("_order").getField("_row").alias("_row"))
-    return marked.join(best.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return marked.join(best.select("_row"), "_row", "left_semi").select(*given.columns).toDF(*docs.columns)

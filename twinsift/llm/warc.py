@@ -65,7 +65,8 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000, date: st
     """Writes one record per row of ``pages(page_id, url, html)`` as gzip members into files under ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` that with the largest page_id is the response and
-    rows with smaller ids revisit it. Which payloads repeat is found on digests only. The files are written by
+    rows with smaller ids revisit it. Null html is an empty payload, a null page_id gives a record without id that none
+    refers to, repeated rows are records of their own, and no rows give no records. Which payloads repeat is found on digests only. The files are written by
     Spark's own writer, so ``path`` may be in any store and lost tasks leave nothing behind.
     """
     stash = Stash(pages.sparkSession)
@@ -114,24 +115,53 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, v in lines}
 
 
-def parse_record(data: bytes) -> dict:
-    """Fields of one decoded record. The payload is what follows the HTTP head; a revisit has none."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = _fields(head)
-    block = rest[: int(fields[b"content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind = fields[b"warc-type"].decode()
-    digest = fields.get(b"warc-payload-digest", b"").rpartition(b":")[2]
-    size = len(payload) if kind != "revisit" else int(_fields(http).get(b"content-length", b"0"))
-    return {
-        "page_id": record_number(fields.get(b"warc-record-id")),
-        "url": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
-        "record_type": kind,
-        "payload_bytes": size,
-        "payload_digest": hashlib.sha1(payload).hexdigest() if kind != "revisit" else base64.b32decode(digest).hex(),
-        "refers_to": record_number(fields.get(b"warc-refers-to")),
-        "payload": payload if kind != "revisit" else None,
-    }
+def _whole(text: bytes | None) -> int | None:
+    """A header's number, or ``None`` if there is none or it is no number."""
+    return int(text) if text and text.isdigit() else None
+
+
+def _digest(text: bytes) -> str | None:
+    """A payload digest in hex, if it is SHA-1 in base 32 or hex; any other is left as it is written."""
+    kind, _, value = text.rpartition(b":")
+    if kind.lower() in (b"", b"sha1") and len(value) in (32, 40):
+        try:
+            return (base64.b32decode(value, casefold=True) if len(value) == 32 else bytes.fromhex(value.decode())).hex()
+        except ValueError:
+            pass
+    return text.decode("utf-8", "replace") or None
+
+
+def parse_records(data: bytes) -> Iterator[dict]:
+    """Fields of the records of one decoded member, one after the other.
+
+    The payload of a block of type ``application/http`` (or of unknown type, if it begins like one) is what follows
+    its HTTP head; that of any other block is the block. A revisit has no payload: its size is that of its HTTP head's
+    Content-Length, null without, and its digest the one that the record names. What is no record, or has no
+    length, is one row of type damaged to the end of the member.
+    """
+    while data := data.lstrip(b"\r\n"):
+        head, found, rest = data.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        length = _whole(fields.get(b"content-length"))
+        if not data.startswith(b"WARC/") or not found or length is None or length > len(rest):
+            yield {"record_type": "damaged"}
+            return
+        block, data = rest[:length], rest[length:]
+        media = fields.get(b"content-type", b"").lower()
+        http, _, payload = block.partition(b"\r\n\r\n")
+        if not (media.startswith(b"application/http") or not media and block.startswith(b"HTTP/")):
+            http, payload = b"", block
+        kind = fields.get(b"warc-type", b"").decode("utf-8", "replace") or "unknown"
+        again = kind == "revisit"
+        yield {
+            "page_id": record_number(fields.get(b"warc-record-id")),
+            "url": fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"),
+            "record_type": kind,
+            "payload_bytes": _whole(_fields(http).get(b"content-length")) if again else len(payload),
+            "payload_digest": _digest(fields.get(b"warc-payload-digest", b"")) if again else hashlib.sha1(payload).hexdigest(),
+            "refers_to": record_number(fields.get(b"warc-refers-to")),
+            "payload": None if again else payload,
+        }
 
 
 RECORD = [
@@ -188,8 +218,8 @@ def scan_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 head = False
                 done = _decode(data)
                 held = data if done is None else b""
-                if done:
-                    record = parse_record(done) | {"file": at[0]}
+                for record in parse_records(done or b""):
+                    record |= {"file": at[0]}
                     out.append(record if payloads else record | {"payload": None})
             yield _batch(out, columns)
             out = []
@@ -258,10 +288,12 @@ def members_in(open_file, first: int, last: int, chunk: int = 1 << 20) -> Iterat
 
 
 def scan_ranges(files: DataFrame, payloads: bool, size: int = 64 << 20) -> DataFrame:
-    """Records of gzip files ``files(file, length)`` by byte ranges that tasks open themselves, in any store that Arrow opens.
+    """Records, and their ``file``, of gzip files ``files(file, length)`` by byte ranges that tasks open themselves, in any store that Arrow opens.
 
-    For names that Spark's text reader would decompress as a whole, like ``.warc.gz``.
+    For names that Spark's text reader would decompress as a whole, like ``.warc.gz``. A member may hold several
+    records, all of which belong to the range in which it starts. Empty files and no files give no rows.
     """
+    columns = RECORD + PIECE[:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,18 +301,17 @@ def scan_ranges(files: DataFrame, payloads: bool, size: int = 64 << 20) -> DataF
                 store, path = pa.fs.FileSystem.from_uri(name)
                 out = []
                 for data in members_in(lambda: store.open_input_file(path), first, last):
-                    if data == b"":
-                        continue
-                    record = {"record_type": "damaged"} if data is None else parse_record(data)
-                    out.append(record if payloads else record | {"payload": None})
-                    if len(out) == 64:
-                        yield _batch(out, RECORD)
-                        out = []
-                yield _batch(out, RECORD)
+                    for record in [{"record_type": "damaged"}] if data is None else parse_records(data):
+                        record |= {"file": name}
+                        out.append(record if payloads else record | {"payload": None})
+                        if len(out) == 64:
+                            yield _batch(out, columns)
+                            out = []
+                yield _batch(out, columns)
 
     spark = files.sparkSession
     cut = ranges(files, size)
-    return cut.repartition(max(1, min(cut.count(), 64 * partitions(spark))), "file", "first").mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in RECORD))
+    return cut.repartition(max(1, min(cut.count(), 64 * partitions(spark))), "file", "first").mapInArrow(run, ", ".join(f"{n} {s}" for n, _, s in columns))
 
 
 def _batch(rows: list[dict], columns: list) -> pa.RecordBatch:
@@ -292,7 +323,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
     Each record belongs to the byte range in which it starts. Pieces at the edges of ranges are few (a chance
     magic inside compressed data) and are joined per file. A revisit's size and digest are those of the payload
-    it stands for. An empty archive gives no rows; a file that has bytes but no record is an error.
+    it stands for; a null digest or number is one that the archive does not give. An empty archive gives no rows; any
+    file that has bytes but no record is an error. What is no record inside a member is a row of type damaged.
 
     Files whose suffix names a codec (``.gz``) are read by :func:`scan_ranges`: a damaged member, or one that the end
     of the file cuts, is a row of ``record_type`` damaged with nulls, and reading goes on behind it. In files that
@@ -301,16 +333,14 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     stash = Stash(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = stash.put(files.select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0"), "files")
-    if files.where(F.col("file").rlike(CODED)).limit(1).count():
-        found = stash.put(scan_ranges(files, payloads), "records")
-        if not found.limit(1).count() and files.limit(1).count():
-            raise ValueError(f"no record in the files under {path}")
-        return found
-    scanned = stash.put(scan_archive(spark, path, payloads), "scanned")
     names = [n for n, _, _ in RECORD]
+    coded = bool(files.where(F.col("file").rlike(CODED)).limit(1).count())
+    scanned = stash.put(scan_ranges(files, payloads) if coded else scan_archive(spark, path, payloads), "scanned")
     bare = files.join(scanned.select("file").distinct(), "file", "left_anti").limit(1).collect()
     if bare:
         raise ValueError(f"no record in the file {bare[0]['file']}")
+    if coded:
+        return scanned.select(*names)
 
     def stitch(pieces: pd.DataFrame) -> pd.DataFrame:
         out, held = [], b""
@@ -319,8 +349,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
             done = _decode(held)
             if done is not None:
                 held = b""
-                if done:
-                    out.append(parse_record(done))
+                out.extend(parse_records(done))
         if held:
             raise ValueError(f"the archive file {pieces['file'].iloc[0]} ends inside a record")
         found = pd.DataFrame(out, columns=names)
