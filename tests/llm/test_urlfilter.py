@@ -1,5 +1,8 @@
 import random
 
+import duckdb
+import pytest
+
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
@@ -156,3 +159,22 @@ def test_native_plan(spark):
 def test_query_against_sql(spark):
     folder = "/root/testdata/sf0.01"
     same(queries.QUERIES["op7_url_filter"](spark, folder), queries.SQL["op7_url_filter"], connect(folder))
+
+
+@pytest.mark.parametrize("head, verdict", [
+    ('<!-- <link rel="canonical" href="http://bad.com/"> -->', "allow"),
+    ('<script>var x = \'<link rel="canonical" href="http://bad.com/">\';</script >', "allow"),
+    ('<style>/* <link rel=canonical href="http://bad.com/"> */</style>', "allow"),
+    ('<!-- open <link rel="canonical" href="http://bad.com/">', "allow"),
+    ('<script>1</script><link rel="nofollow canonical" href="http://bad.com/">', "block"),
+    ("<LINK href='http://bad.com/' REL='Canonical nofollow'>", "block"),
+    ("<link rel=canonical href=http://bad.com/>", "block"),
+    ('<link rel="canonical-not" href="http://bad.com/">', "allow"),
+    ('<link data-rel="canonical" href="http://bad.com/">', "allow"),
+])
+def test_tags_that_count(spark, head, verdict):
+    got = judged(spark, [(1, "http://own.net/", f"<html>{head}<p>x canonical")])
+    assert [r["verdict"] for r in got.collect()] == [verdict]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT 1 AS page_id, 'http://own.net/' AS url, ? AS html", [f"<html>{head}<p>x canonical".replace("bad.com/", "e.com/de/")])
+    assert c.execute(queries.SQL["op7_url_filter"]).df()["verdict"].tolist() == [verdict]

@@ -159,10 +159,10 @@ WITH RECURSIVE u AS (
   FROM u
 ), t AS (
   SELECT node, host, path, unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*?(?:^|[\s"''/])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical(?:[\s/>]|$))[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*?(?:^|[\s"''/])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical(?:[\s/>]|$))', 1),
     regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
-  FROM p WHERE rest <> ''
+  FROM (SELECT node, host, path, rest, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<textarea\b.*?(?:</textarea\b|\z)|<template\b.*?(?:</template\b|\z)', ' ', 'g') AS html FROM p) WHERE rest <> ''
 ), tr AS (
   SELECT node, CASE
     WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(target, position('://' IN target) + 3)

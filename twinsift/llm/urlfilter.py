@@ -13,9 +13,12 @@ from twinsift.operators.components import connected_components
 from twinsift.stash import Stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Parts of a page in which a tag is no tag.
+SILENT = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}\b.*?(?:</{t}\b|\z)" for t in ("script", "style", "textarea", "template"))
+#: One of the values of ``rel``, which are separated by white space.
+REL = r"""(?:^|[\s"'/])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?:[\s/>]|$))"""
+CANONICAL = rf"""(?is)<link\b(?=[^>]*?{REL})[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?\s*0*(?:\.0*)?\s*[;,]\s*url\s*=\s*["']?([^"'\s>]+)"""
-
 BASE = r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: Rules that are sent to every task; more are joined.
@@ -80,9 +83,11 @@ def links_in(pages: DataFrame) -> DataFrame:
     """``(a, b)``: nodes of pages and of the targets of their canonical links and immediate refreshes.
 
     A delay above zero makes a refresh a reload, not an alias. Relative targets start from the page's ``<base>``, if any.
+    Comments, scripts, styles, templates and text areas hold no links.
     """
     rest = after_scheme(F.col("url"))
-    found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv")).select(
+    found = pages.where(F.col("html").rlike(r"(?i)\bcanonical\b|http-equiv")).withColumn("html", F.regexp_replace("html", SILENT, " "))
+    found = found.select(
         rest.alias("rest"),
         F.regexp_extract("html", BASE, 1).alias("base"),
         F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("target"),
@@ -134,21 +139,22 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
         ends = redirects.select(after_scheme(F.col("from_url")).alias("a"), after_scheme(F.col("to_url")).alias("b"))
         ends = ends.where("a <> '' and b <> ''").select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
         links = links.unionByName(ends)
-    groups = stash.put(connected_components(stash.put(links, "links"), stash), "groups")
+    links = stash.put(links, "links")
     narrow = pages.select("page_id", host_of(rest).alias("host"), path_of(rest).alias("path"), F.coalesce(node_of(rest), F.lit("")).alias("node"))
     place = F.concat("host", "path").alias("place")
-    ends = groups.select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
-    nodes = narrow.select("node", "host", "path").unionByName(ends).groupBy("node", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
-    nodes = stash.put(nodes.select("*", place), "nodes")
-    places = nodes.groupBy("place", "host", "path").agg(F.count(F.lit(1)).alias("n"))
-    best = ruled(places.select("host", "path"), rules).select(place, "rule", "verdict")
-    places = stash.put(places.select("place", "n").join(best.hint("merge"), "place", "left"), "places")
-    judged = stash.put(join_classes(nodes.select("node", "copies", "place"), places, "place", "n").select("node", "copies", "rule", "verdict"), "judged")
-    votes = groups.join(judged.hint("merge"), "node").groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow")
-    )
-    votes = stash.put(votes.select("component", "n", F.coalesce(F.col("block") & ~F.coalesce("allow", F.lit(False)), F.lit(False)).alias("aliased")), "votes")
-    blocked = join_classes(groups, votes, "component", "n").where("aliased").select("node", "aliased")
-    verdict = F.coalesce("verdict", F.when(F.col("aliased"), "block"), F.lit("allow"))
-    judged = judged.join(blocked.hint("merge"), "node", "left").select("node", "copies", "rule", verdict.alias("verdict"))
-    return join_classes(narrow, stash.put(judged, "verdicts"), "node", "copies").select("page_id", "host", "path", "rule", "verdict")
+    places = narrow.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    best = ruled(places.select("host", "path"), rules)
+    places = stash.put(places.join(best.hint("merge"), ["host", "path"], "left").select(place, "n", "rule", "verdict"), "places")
+    judged = join_classes(narrow.select("*", place), places, "place", "n")
+    if links.isEmpty():
+        return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    # Only the nodes of links have groups; their own rules vote on the others of the group.
+    groups = stash.put(connected_components(links, stash), "groups")
+    groups = groups.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    own = ruled(groups.select("host", "path").distinct(), rules).select("host", "path", "verdict")
+    voting = groups.join(own.hint("merge"), ["host", "path"])
+    votes = voting.groupBy("component").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
+    votes = votes.where("block and not allow").select("component")
+    blocked = groups.join(votes.hint("merge"), "component").select("node", F.lit("block").alias("aliased"))
+    judged = judged.join(stash.put(blocked, "blocked").hint("merge"), "node", "left")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "aliased", F.lit("allow")).alias("verdict"))
