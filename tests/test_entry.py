@@ -36,6 +36,12 @@ def test_queries_remain_without_it(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
+def test_queries_remain_without_a_library_of_it(tmp_path):
+    (tmp_path / "tiktoken.py").write_text("raise ImportError('not here')")
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": f"{tmp_path}{os.pathsep}{ROOT}"})
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -15,7 +15,7 @@ from twinsift.operators import catalog as C
 from twinsift.operators import evaluate as V
 from twinsift.operators import exact, select, similar, sorting, state
 from twinsift.operators import groups as G
-from twinsift.operators.blocking import hamming_pairs, radix_stats
+from twinsift.operators.blocking import hamming_pairs, radix_stats, sampled_masks
 from twinsift.operators.finding import similar_groups as find_groups
 from twinsift.params import SearchParams
 from twinsift.plans import deletions, moves
@@ -162,7 +162,7 @@ def rename_plan(spark, d):
 
 
 @query(r""", r AS (SELECT id, path, regexp_extract(path, '^(.*)/', 1) || '/' || regexp_replace(b, 'doc[0-9]', 'doc') || '.txt' AS q FROM (SELECT *, regexp_extract(path, '([^/]*)\.txt$', 1) AS b FROM media))
-SELECT r.id, r.path, q AS new_path, CASE WHEN count(*) OVER (PARTITION BY q) > 1 THEN 'collision' WHEN m.path IS NOT NULL THEN 'exists' ELSE 'ok' END AS status FROM r LEFT JOIN media m ON m.path = q""", "media")
+SELECT r.id, r.path, q AS new_path, CASE WHEN m.path IS NOT NULL THEN 'exists' WHEN row_number() OVER (PARTITION BY q ORDER BY r.id) > 1 THEN 'collision' ELSE 'ok' END AS status FROM r LEFT JOIN media m ON m.path = q""", "media")
 def rename_collisions(spark, d):
     items = T.media(spark, d).withColumn("pos", F.col("id"))
     return moves.rename_plan(items, T.media(spark, d), "doc#1", r"doc\d(\d*)")
@@ -551,31 +551,70 @@ def adaptive_thresh(spark, d):
     return similar.adaptive(m.where("id % 20 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash")), m, 3, 9, least=2)
 
 
-_VOTES = """, p AS (SELECT n.media_id AS needle, n.feat_no AS nn, m.media_id, m.feat_no, bit_count(xor(n.hash, m.hash)) AS d FROM features n JOIN features m ON bit_count(xor(n.hash, m.hash)) < 5
+def _features_sql(threshold: int = 5) -> str:
+    return f"""WITH p AS (SELECT n.media_id AS needle, n.feat_no AS nn, m.media_id, m.feat_no, bit_count(xor(n.hash, m.hash)) AS d FROM features n JOIN features m ON bit_count(xor(n.hash, m.hash)) < {threshold}
 ), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY needle, nn ORDER BY d, media_id, feat_no) AS r FROM p) WHERE r <= 10
 ), v AS (SELECT needle, media_id, count(*) AS votes, CAST(sum(d) AS BIGINT) AS dist_sum FROM k GROUP BY needle, media_id
 ), o AS (SELECT *, max(CASE WHEN needle <> media_id THEN votes END) OVER (PARTITION BY needle) AS m FROM v)
 SELECT needle, media_id, votes, dist_sum, CAST(CASE WHEN needle = media_id THEN -1 WHEN m = 1 THEN 10 * dist_sum // votes ELSE m - votes END AS BIGINT) AS score FROM o"""
 
 
+def _adaptive_sql(by_threshold: list[str], least: int) -> str:
+    """The rows of the first search that gives a needle more than ``least``, else of the last."""
+    found = " UNION ALL ".join(f"SELECT needle, media_id, score, {i} AS t FROM ({sql})" for i, sql in enumerate(by_threshold))
+    last = len(by_threshold) - 1
+    return f""", af AS MATERIALIZED ({found}), ac AS (SELECT needle, t, count(*) AS n FROM af GROUP BY needle, t
+), ao AS (SELECT needle, coalesce(min(CASE WHEN n > {least} THEN t END), {last}) AS t FROM ac GROUP BY needle)
+SELECT needle, media_id, CAST(score AS BIGINT) AS score FROM af JOIN ao USING (needle, t)"""
+
+
+_VOTES = f", found AS ({_features_sql()}) SELECT * FROM found"
+
+
 @query(_VOTES, "features")
 def sim_fdct(spark, d):
     f = T.features(spark, d)
     return similar.feature_votes(f, f, 5)
 
 
-_ORB = """, p AS (SELECT n.media_id AS needle, n.desc_no AS nn, m.media_id, m.desc_no, CAST(bit_count(xor(n.d0, m.d0)) AS INTEGER) + bit_count(xor(n.d1, m.d1)) + bit_count(xor(n.d2, m.d2)) + bit_count(xor(n.d3, m.d3)) AS d FROM descriptors n CROSS JOIN descriptors m
-), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY needle, nn ORDER BY d, media_id, desc_no) AS r FROM p WHERE d < 25) WHERE r <= 10
+def _orb_sql(threshold: int = 25, also: str = "true") -> str:
+    return f"""WITH p AS (SELECT n.media_id AS needle, n.desc_no AS nn, m.media_id, m.desc_no, CAST(bit_count(xor(n.d0, m.d0)) AS INTEGER) + bit_count(xor(n.d1, m.d1)) + bit_count(xor(n.d2, m.d2)) + bit_count(xor(n.d3, m.d3)) AS d FROM descriptors n CROSS JOIN descriptors m WHERE {also}
+), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY needle, nn ORDER BY d, media_id, desc_no) AS r FROM p WHERE d < {threshold}) WHERE r <= 10
 ), v AS (SELECT needle, media_id, count(*) AS votes, list_sort(list(d)) AS l FROM k GROUP BY needle, media_id)
 SELECT needle, media_id, votes, CAST((CASE WHEN votes % 2 = 1 THEN l[votes // 2 + 1] ELSE (l[votes // 2] + l[votes // 2 + 1]) // 2 END) * 1000 // votes AS BIGINT) AS score FROM v"""
 
 
+_ORB = f", found AS ({_orb_sql()}) SELECT * FROM found"
+
+
 @query(_ORB, "descriptors")
 def sim_orb(spark, d):
     x = T.descriptors(spark, d)
     return similar.descriptor_votes(x, x, 25)
 
 
+@query(_adaptive_sql([_features_sql(t) for t in range(2, 6)], 2), "features")
+def adaptive_fdct(spark, d):
+    f = T.features(spark, d)
+    return similar.widened(f.withColumnRenamed("media_id", "needle"), "fdct", f, 2, 5, 2).select("needle", "media_id", "score")
+
+
+@query(_adaptive_sql([_orb_sql(t) for t in (5, 10, 15)], 3), "descriptors")
+def adaptive_orb(spark, d):
+    x = T.descriptors(spark, d)
+    return similar.widened(x.withColumnRenamed("media_id", "needle"), "orb", x, 5, 15, 3).select("needle", "media_id", "score")
+
+
+_SAMPLED = sampled_masks(12, 24, 256)
+_AGREE = " OR ".join("(" + " AND ".join(f"xor(n.d{w}, m.d{w}) & ({m}) = 0" for w, m in enumerate(masks) if m) + ")" for masks in _SAMPLED)
+
+
+@query(f", found AS ({_orb_sql(25, _AGREE)}) SELECT * FROM found", "descriptors")
+def sim_orb_sampled(spark, d):
+    x = T.descriptors(spark, d)
+    return similar.descriptor_votes(x, x, 25, sample=(12, 24))
+
+
 _GAP = "sqrt(pow(a.l - b.l, 2) + pow(a.u - b.u, 2) + pow(a.v - b.v, 2))"
 
 
@@ -591,6 +630,13 @@ def sim_color(spark, d):
     return similar.colour_search(c.where("media_id % 50 = 0"), c)
 
 
+@query(f"""SELECT needle, media_id, score, CAST(row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS INTEGER) AS pos
+FROM ({_palettes_sql("n.media_id % 50 = 0")}) WHERE needle <> media_id QUALIFY pos <= 5""", "colours")
+def sim_color_top(spark, d):
+    c = T.colours(spark, d)
+    return similar.colour_nearest(c.where("media_id % 50 = 0"), c, 5)
+
+
 _HAY = "hay AS (SELECT media_id AS video_id, frame AS dst, hash AS dh FROM frames WHERE bit_count(hash) BETWEEN 5 AND 59)"
 
 
@@ -612,10 +658,14 @@ def sim_grabs(spark, d):
     return out.withColumn("score", F.col("score").cast("int"))
 
 
-_VIDEO = f""", {_HAY}, b AS (SELECT media_id AS needle, video_id, frame AS src, min({{'d': bit_count(xor(hash, dh)), 'dst': dst}}).dst AS dst FROM frames JOIN hay ON media_id <> video_id AND (hash >> 1) & 1023 = (dh >> 1) & 1023 AND bit_count(xor(hash, dh)) < 5 GROUP BY media_id, video_id, frame
+def _video_sql(threshold: int = 5, least: int = 20) -> str:
+    return f"""WITH {_HAY}, b AS (SELECT media_id AS needle, video_id, frame AS src, min({{'d': bit_count(xor(hash, dh)), 'dst': dst}}).dst AS dst FROM frames JOIN hay ON media_id <> video_id AND (hash >> 1) & 1023 = (dh >> 1) & 1023 AND bit_count(xor(hash, dh)) < {threshold} GROUP BY media_id, video_id, frame
 ), s AS (SELECT *, CASE WHEN abs(dst - coalesce(lag(dst) OVER (PARTITION BY needle, video_id ORDER BY src), 0)) < 15 THEN 1 ELSE 0 END AS near FROM b
 ), r AS (SELECT needle, video_id, count(*) AS num, CAST(sum(near) * 100 // count(*) AS BIGINT) AS np, min(src) AS a, arg_min(dst, src) AS ad, max(src) AS z, arg_max(dst, src) AS zd FROM s GROUP BY needle, video_id)
-SELECT needle, video_id AS media_id, 100 - np AS score, a AS src_in, ad AS dst_in, greatest(z - a, zd - ad) AS len, num, np AS near_percent FROM r WHERE num >= 20 AND np >= 60"""
+SELECT needle, video_id AS media_id, 100 - np AS score, a AS src_in, ad AS dst_in, greatest(z - a, zd - ad) AS len, num, np AS near_percent FROM r WHERE num >= {least} AND np >= 60"""
+
+
+_VIDEO = f", found AS ({_video_sql()}) SELECT * FROM found"
 
 
 @query(_VIDEO, "frames")
@@ -624,6 +674,12 @@ def sim_video(spark, d):
     return similar.video_search(f, f, 5, least=20)
 
 
+@query(_adaptive_sql([_video_sql(t, 5) for t in range(1, 4)], 1), "frames")
+def adaptive_video(spark, d):
+    f = T.frames(spark, d)
+    return similar.widened(f.withColumnRenamed("media_id", "needle"), "video", f, 1, 3, 1, least_frames=5).select("needle", "media_id", "score")
+
+
 @query(f""", v AS (SELECT * FROM ({_VIDEO.removeprefix(', ').replace('hay AS', 'WITH hay AS', 1)})), o AS (SELECT needle, media_id, unnest(range(-30, 30)) AS o, src_in, dst_in FROM v
 ), m AS (SELECT v.needle, v.media_id, o, count(*) AS n, sum(bit_count(xor(a.hash, b.hash))) AS t FROM (SELECT o.*, i FROM o, unnest(range(0, 5)) x(i)) v JOIN frames a ON a.media_id = v.needle AND a.frame = src_in + 3 * i JOIN frames b ON b.media_id = v.media_id AND b.frame = dst_in + 3 * o + 3 * i GROUP BY ALL)
 SELECT needle, media_id, CAST(min({{'t': t, 'o': o}}).o AS INTEGER) AS "offset", CAST(min({{'t': t, 'o': o}}).t AS DOUBLE) / 5 AS mean_distance FROM m WHERE n = 5 GROUP BY needle, media_id""", "frames")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -135,23 +137,78 @@ def _meet(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold:
     keys = ["_key", "_c", *by]
     rows = bucketed(left, own), bucketed(right, theirs)
     a, b = spread(rows[0], own), spread(rows[1], theirs)
-    if sizes[0] * comb(len(masks), errors) <= SENT:
+    few = sizes[0] * comb(len(masks), errors) <= SENT
+    a, b, on = _by_keys((rows[0], a, singles(own)), (rows[1], b, singles(theirs)), keys, lw, rw, few, stash)
+    near = distance(own, theirs) < threshold
+    if extra is not None:
+        near = extra & near
+    diffs = [x.bitwiseXOR(y) for x, y in zip(own, theirs)]
+    first = _is_first(_agreed(diffs, masks), F.col("_c"))
+    met = a.join(b, on).where(near & first)
+    return met.select(*left.columns, *right.columns, distance(own, theirs).alias("distance"))
+
+
+def _by_keys(left: tuple, right: tuple, keys: list[str], lw: list[str], rw: list[str], few: bool, stash: Stash) -> tuple[DataFrame, DataFrame, Column]:
+    """Entries of both sides, ``(rows, entries, values of blocks)`` each, with the condition on which they meet.
+
+    A few on the left are sent; else keys of more than HOT rows are dealt to a grid of parts.
+    """
+    (_, a, _), (_, b, _) = left, right
+    if few:
         a = F.broadcast(a)
     else:
         b = b.hint("merge")  # by the size of its files Spark would send it, but each row has many copies
-        hot = _hot_keys([(rows[0], a, singles(own)), (rows[1], b, singles(theirs))], by, stash)
+        hot = _hot_keys([left, (right[0], b, right[2])], keys[2:], stash)
         if hot is not None:
             hot = F.broadcast(hot) if hot.count() <= SENT // 5 else hot
             a, b = _deal(a, hot, keys, lw, "_pl", "_pr"), _deal(b, hot, keys, rw, "_pr", "_pl")
             keys = [*keys, "pl", "pr"]
     b = b.withColumnsRenamed({k: f"{k}_" for k in keys})
-    near = distance(own, theirs) < threshold
-    if extra is not None:
-        near = extra & near
-    diffs = [x.bitwiseXOR(y) for x, y in zip(own, theirs)]
-    first = _is_first(_agreed(diffs, masks), F.col("_c"))
-    met = a.join(b, reduce(Column.__and__, (F.col(k) == F.col(f"{k}_") for k in keys))).where(near & first)
-    return met.drop(*keys, *(f"{k}_" for k in keys)).withColumn("distance", distance(own, theirs))
+    return a, b, reduce(Column.__and__, (F.col(k) == F.col(f"{k}_") for k in keys))
+
+
+def sampled_masks(bits: int, tables: int, of: int, seed: int = 7) -> list[list[int]]:
+    """Masks by word, as signed 64-bit numbers, of ``tables`` random choices of ``bits`` of ``of`` bits."""
+    rng = random.Random(seed)
+    return [block_masks(sorted(rng.sample(range(of), bits)), 1, -(-of // 64))[0] for _ in range(tables)]
+
+
+def sample_plan(rows: int, errors: int, of: int, miss: float, load: float = 8.0) -> tuple[int, int]:
+    """Bits of a table and tables: a hash shares its bucket with about ``load`` random ones of ``rows``, and a pair that
+    differs in ``errors`` bits is in no common bucket with probability ``miss`` at most."""
+    bits = max(4, min(48, math.ceil(math.log2(max(rows / load, 2)))))
+    share = math.comb(of - errors, bits) / math.comb(of, bits)
+    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-share)))
+
+
+def sampled_join(
+    left: DataFrame, right: DataFrame, threshold: int, left_words: list[str], right_words: list[str], miss: float = 0.02, plan: tuple[int, int] | None = None
+) -> DataFrame:
+    """Like :func:`hamming_join`, but a pair at the threshold is lost with probability ``miss``; closer ones less.
+
+    Each of some tables looks at few random bits, by far fewer copies of a row than exact blocks need over wide hashes.
+    A pair is taken at the first table in which it meets. ``plan`` gives bits and tables; otherwise :func:`sample_plan`
+    takes them from the row counts. Null hashes meet nothing; hot buckets are dealt to parts as in the exact join.
+    """
+    stash, of = Stash(left.sparkSession), 64 * len(left_words)
+    rows = stash.put(left.dropna(subset=left_words), "left"), stash.put(right.dropna(subset=right_words), "right")
+    sizes = rows[0].count(), rows[1].count()
+    masks = sampled_masks(*(plan or sample_plan(max(sizes), min(threshold - 1, of - 48), of, miss)), of)
+    words = [F.col(w) for w in left_words], [F.col(w) for w in right_words]
+
+    def keys(of_words: list[Column]) -> list[Column]:
+        return [F.xxhash64(*(w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(of_words, mask) if m)) for mask in masks]
+
+    def side(i: int) -> tuple:
+        entries = F.array(*(F.struct(k.alias("key"), F.lit(t).cast("long").alias("c")) for t, k in enumerate(keys(words[i]))))
+        return rows[i], rows[i].select("*", F.inline(entries).alias("_key", "_c")), F.array(*keys(words[i]))
+
+    a, b, on = _by_keys(side(0), side(1), ["_key", "_c"], left_words, right_words, sizes[0] * len(masks) <= SENT, stash)
+    diffs = [x.bitwiseXOR(y) for x, y in zip(*words)]
+    same = [reduce(Column.bitwiseOR, (d.bitwiseAND(F.lit(m).cast("long")) for d, m in zip(diffs, mask) if m)) == 0 for mask in masks]
+    first = reduce(lambda later, t: F.when(same[t], F.lit(t)).otherwise(later), reversed(range(len(masks))), F.lit(-1))
+    met = a.join(b, on).where((distance(*words) < threshold) & (first == F.col("_c")))
+    return met.select(*left.columns, *right.columns, distance(*words).alias("distance"))
 
 
 def hamming_join(left: DataFrame, right: DataFrame, threshold: int, left_words: list[str], right_words: list[str], radix: int = 0) -> DataFrame:

@@ -77,16 +77,21 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.join(first.select(F.col(f"x.{GROUP}").alias(GROUP)), GROUP, "left_semi")
 
 
+def merge_edges(df: DataFrame) -> DataFrame:
+    """``(a, b)``: of every row whose item is a needle of some group, its group and the smallest group that holds the item."""
+    held = df.groupBy("media_id").agg(F.min(GROUP).alias("b"), F.max((F.col("pos") == 0).cast("int")).alias("needle")).where("needle = 1")
+    return df.select("media_id", F.col(GROUP).alias("a")).join(held.select("media_id", "b"), "media_id").select("a", "b")
+
+
 def merge(df: DataFrame) -> DataFrame:
     """Groups whose needle is a member of another join it; ``(group_id, media_id)`` of the unions, each once.
 
-    Groups are nodes and needle memberships are edges of a graph; its components do not depend on any order.
-    The merged group has the smallest id.
+    Each item that is a needle anywhere ties the groups that hold it to the smallest of them, so the graph of groups has
+    an edge for a row at most, however many groups share an item. Its components do not depend on any order. The
+    merged group has the smallest id.
     """
     stash = Stash(df.sparkSession)
-    needles = df.where("pos = 0").select(F.col("media_id"), F.col(GROUP).alias("b"))
-    edges = df.select("media_id", F.col(GROUP).alias("a")).join(needles, "media_id").select("a", "b")
-    roots = stash.put(connected_components(edges, stash), "groups").withColumnRenamed("node", GROUP)
+    roots = stash.put(connected_components(merge_edges(df), stash), "groups").withColumnRenamed("node", GROUP)
     return df.join(roots, GROUP).select(F.col("component").alias(GROUP), "media_id").distinct()
 
 

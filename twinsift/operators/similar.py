@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsift.operators.blocking import FEW, hamming_join, hamming_pairs, in_blocks
+from twinsift.operators.blocking import FEW, hamming_join, hamming_pairs, in_blocks, sampled_join
 from twinsift.operators.components import connected_components
 from twinsift.operators.sorting import number_rows
 from twinsift.stash import Stash
@@ -105,6 +106,35 @@ def reflected(needles: DataFrame, media: DataFrame, threshold: int = DHT) -> Dat
     return found.select("needle", "flip", "media_id", F.col("distance").alias("score"))
 
 
+def nearest(
+    needles: DataFrame, rows: DataFrame, threshold: int, best: int, own: list[str], words: list[str], order: list[str], sample: float | tuple[int, int] | None = None
+) -> DataFrame:
+    """The ``best`` nearest ``rows`` of each needle below ``threshold``, by distance and then ``order``.
+
+    Gives the needles' columns, those of ``order`` and ``distance``. Distinct hashes are joined, not rows: a class of
+    equal hashes shows its first ``best`` members only, and a hash looks at its ``best`` nearest classes, as each holds
+    one row at least. So a mass of equal hashes makes ``best`` rows a needle. Null hashes have no neighbours.
+
+    ``sample`` takes :func:`sampled_join` for the join: a miss rate, or bits and tables.
+    """
+    stash = Stash(needles.sparkSession)
+    ranked = rows.dropna(subset=words).withColumn("_nth", F.row_number().over(Window.partitionBy(*words).orderBy(*order)))
+    listed = F.array_sort(F.collect_list(F.struct(*order))).alias("_members")
+    classes = stash.put(ranked.where(F.col("_nth") <= best).groupBy(*words).agg(listed), "classes")
+    asked = needles.select(*own).dropna().distinct()
+    first = classes.select(*words, F.col("_members")[0].alias("_first"))
+    if sample is None:
+        met = hamming_join(asked, first, threshold, own, words)
+    else:
+        met = sampled_join(asked, first, threshold, own, words, **({"plan": sample} if isinstance(sample, tuple) else {"miss": sample}))
+    by = Window.partitionBy(*own).orderBy("distance", "_first")
+    met = met.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= best).drop("_first", "_nth")
+    member = lambda m: F.struct(F.col("distance"), *(m[o].alias(o) for o in order))
+    found = met.join(classes, words).groupBy(*own).agg(F.flatten(F.collect_list(F.transform("_members", member))).alias("_found"))
+    found = stash.put(found.withColumn("_found", F.slice(F.array_sort("_found"), 1, best)), "nearest")
+    return needles.join(found, own).select(*needles.columns, F.inline("_found")).select(*needles.columns, *order, "distance")
+
+
 def feature_votes(needles: DataFrame, features: DataFrame, threshold: int = DHT, best: int = BEST, score_single: bool = False) -> DataFrame:
     """Votes of patch hashes: ``(needle, media_id, votes, dist_sum, score)``.
 
@@ -113,10 +143,7 @@ def feature_votes(needles: DataFrame, features: DataFrame, threshold: int = DHT,
     the largest vote of another item less this one's.
     """
     n = needles.select(F.col("media_id").alias("needle"), F.col("feat_no").alias("needle_no"), F.col("hash").alias("needle_hash"))
-    h = features.select("media_id", "feat_no", "hash")
-    found = hamming_join(n, h, threshold, ["needle_hash"], ["hash"])
-    order = Window.partitionBy("needle", "needle_no").orderBy("distance", "media_id", "feat_no")
-    kept = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best)
+    kept = nearest(n, features.select("media_id", "feat_no", "hash"), threshold, best, ["needle_hash"], ["hash"], ["media_id", "feat_no"])
     votes = kept.groupBy("needle", "media_id").agg(F.count(F.lit(1)).alias("votes"), F.sum("distance").alias("dist_sum"))
     others = F.max(F.when(F.col("needle") != F.col("media_id"), F.col("votes"))).over(Window.partitionBy("needle"))
     score = (
@@ -127,16 +154,18 @@ def feature_votes(needles: DataFrame, features: DataFrame, threshold: int = DHT,
     return votes.withColumn("score", score.cast("long"))
 
 
-def descriptor_votes(needles: DataFrame, descriptors: DataFrame, threshold: int = ODT, best: int = BEST) -> DataFrame:
+def descriptor_votes(
+    needles: DataFrame, descriptors: DataFrame, threshold: int = ODT, best: int = BEST, sample: float | tuple[int, int] | None = None
+) -> DataFrame:
     """Votes of 256-bit descriptors: ``(needle, media_id, votes, score)``; the score is the median distance by votes.
 
-    All arithmetic is on integers; an even number of distances takes the mean of the middle two.
+    All arithmetic is on integers; an even number of distances takes the mean of the middle two. The search is exact,
+    or with ``sample`` by tables of sampled bits (see :func:`nearest`).
     """
     words = ["d0", "d1", "d2", "d3"]
     n = needles.select(F.col("media_id").alias("needle"), F.col("desc_no").alias("needle_no"), *(F.col(w).alias(f"n{w}") for w in words))
-    found = hamming_join(n, descriptors.select("media_id", "desc_no", *words), threshold, [f"n{w}" for w in words], words)
-    order = Window.partitionBy("needle", "needle_no").orderBy("distance", "media_id", "desc_no")
-    kept = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best)
+    hay = descriptors.select("media_id", "desc_no", *words)
+    kept = nearest(n, hay, threshold, best, [f"n{w}" for w in words], words, ["media_id", "desc_no"], sample)
     each = kept.groupBy("needle", "media_id").agg(F.count(F.lit(1)).alias("votes"), F.array_sort(F.collect_list("distance")).alias("d"))
     median = F.expr("if(votes % 2 = 1, d[int(votes div 2)], (d[int(votes div 2) - 1] + d[int(votes div 2)]) div 2)")
     return each.withColumn("median", median).select("needle", "media_id", "votes", F.expr("median * 1000 div votes").alias("score"))
@@ -171,6 +200,100 @@ def colour_search(needles: DataFrame, colours: DataFrame, spread: int = 2, most:
     return reduce(DataFrame.unionByName, (stash.put(meet(part), "scores") for part in in_blocks(n, most, stash)))
 
 
+class Palettes:
+    """Palettes of one size as arrays, with their mean, least and largest distance to some pivots."""
+
+    def __init__(self, ids: list[int], colours: np.ndarray, pivots: np.ndarray):
+        self.ids, self.colours = np.array(ids, np.int64), colours
+        far = np.sqrt(((colours[:, :, None, :] - pivots) ** 2).sum(3))
+        self.mean, self.least, self.most = far.mean(1), far.min(1), far.max(1)
+
+    def bound(self, other: Palettes) -> np.ndarray:
+        """Lower bounds on the distances to ``other``, of this size at most: each colour is at least as far from the
+        nearest of the other palette as their distances to a pivot differ, and the mean over colours keeps this."""
+        out = np.zeros((len(self.ids), len(other.ids)))
+        for p in range(self.mean.shape[1]):
+            mean = self.mean[:, p, None]
+            out = np.maximum(out, np.maximum(mean - other.most[:, p], other.least[:, p] - mean))
+        return out * self.colours.shape[1]
+
+
+def _palettes(ids: list[int], colours: list[list[dict]], pivots: np.ndarray) -> list[Palettes]:
+    by_size: dict[int, list[int]] = {}
+    for i, c in enumerate(colours):
+        by_size.setdefault(len(c), []).append(i)
+    flat = lambda rows: np.array([[[c["l"], c["u"], c["v"]] for c in colours[i]] for i in rows], float)
+    return [Palettes([ids[i] for i in rows], flat(rows), pivots) for size, rows in by_size.items() if size]
+
+
+def colour_nearest(needles: DataFrame, colours: DataFrame, most: int = MAX_MATCHES, spread: int = 2, filter_self: bool = True, block: int = 2000, pivots: int = 12) -> DataFrame:
+    """``(needle, media_id, score, pos)``: the ``most`` nearest palettes of each needle, scores as in :func:`colour_search`.
+
+    Needles go to the tasks in blocks of ``block``. A task keeps the ``most`` best of each needle and compares a palette
+    only if a lower bound from distances to pivot colours can beat them, so ``most`` rows a needle and task are shuffled,
+    not a row for every pair. Empty palettes never match; ties take the smaller id.
+    """
+    n = needles.where("num_colors > 0").select(F.col("media_id").alias("needle"), "colors")
+    hay = colours.where("num_colors > 0").select("media_id", "colors")
+    stash = Stash(needles.sparkSession)
+    parts = [n] if n.limit(block + 1).count() <= block else in_blocks(n, block, stash)
+
+    def meet(part: DataFrame) -> DataFrame:
+        rows = [r.asDict(True) for r in part.collect()]
+        every = np.array([[c["l"], c["u"], c["v"]] for r in rows for c in r["colors"]], float).reshape(-1, 3)
+        chosen = every[np.random.default_rng(1).permutation(len(every))[:pivots]]
+        asked = _palettes([r["needle"] for r in rows], [r["colors"] for r in rows], chosen)
+
+        def run(frames):
+            held = {id(q): (np.full((len(q.ids), most), np.inf), np.full((len(q.ids), most), np.iinfo(np.int64).max)) for q in asked}
+            for batch in frames:
+                for at in range(0, batch.num_rows, 512):
+                    piece = batch.slice(at, 512)
+                    for h in _palettes(piece.column(0).to_pylist(), piece.column(1).to_pylist(), chosen):
+                        for q in asked:
+                            if abs(q.colours.shape[1] - h.colours.shape[1]) <= spread:
+                                _keep_best(q, h, *held[id(q)], filter_self)
+            for q in asked:
+                score, media = held[id(q)]
+                i, k = np.nonzero(np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(q.ids[i]), pa.array(media[i, k]), pa.array(score[i, k].astype(np.int64))], ["needle", "media_id", "score"])
+
+        return hay.mapInArrow(run, "needle long, media_id long, score long")
+
+    found = [meet(part) if len(parts) == 1 else stash.put(meet(part), "best") for part in parts]
+    return top_matches(reduce(DataFrame.unionByName, found), most, filter_self)
+
+
+def _keep_best(q: Palettes, h: Palettes, score: np.ndarray, media: np.ndarray, filter_self: bool) -> None:
+    """Puts the palettes ``h`` that are among the best so far of the needles ``q`` into ``score`` and ``media``, in place."""
+    large, small = (q, h) if q.colours.shape[1] >= h.colours.shape[1] else (h, q)
+    bound = large.bound(small)
+    low = np.floor(1 + (bound if large is q else bound.T) * (1 - 1e-9))
+    i, j = np.nonzero(low <= score[:, -1:])
+    if filter_self:
+        other = q.ids[i] != h.ids[j]
+        i, j = i[other], j[other]
+    if not len(i):
+        return
+    a, b = (i, j) if large is q else (j, i)
+    exact = []
+    for at in range(0, len(i), 50_000):
+        gap = large.colours[a[at : at + 50_000], :, None, :] - small.colours[b[at : at + 50_000], None, :, :]
+        exact.append(np.sqrt((gap**2).sum(3)).min(2).sum(1))
+    new = np.floor(1 + np.concatenate(exact))
+    better = new <= score[i, -1]
+    i, j, new = i[better], j[better], new[better]
+    touched = np.unique(i)
+    rows = np.concatenate([np.repeat(touched, score.shape[1]), i])
+    scores = np.concatenate([score[touched].ravel(), new])
+    ids = np.concatenate([media[touched].ravel(), h.ids[j]])
+    order = np.lexsort((ids, scores, rows))
+    rows, scores, ids = rows[order], scores[order], ids[order]
+    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = nth < score.shape[1]
+    score[rows[keep], nth[keep]], media[rows[keep], nth[keep]] = scores[keep], ids[keep]
+
+
 def low_detail(word: Column, least: int = 5) -> Column:
     """Whether a hash has fewer than ``least`` zeros or ones."""
     return ~F.bit_count(word).between(least, 64 - least)
@@ -185,9 +308,18 @@ def trim_frames(frames: DataFrame, edge: int, always: bool) -> DataFrame:
     return frames.withColumn("_last", last).where(inside).drop("_last")
 
 
+def frame_runs(frames: DataFrame) -> DataFrame:
+    """``(media_id, hash, first, last, n)``: stretches of equal frames of each video, so that a still scene is one row."""
+    order = Window.partitionBy("media_id").orderBy("frame")
+    rows = frames.withColumn("_new", (~F.col("hash").eqNullSafe(F.lag("hash").over(order))).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(order))
+    return rows.groupBy("media_id", "_run", "hash").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+
 def _frame_pairs(needles: DataFrame, frames: DataFrame, threshold: int, edge: int, bits: int) -> DataFrame:
+    """Pairs of hashes; of a video's equal frames, which are equally near to all, only the first is a row."""
     hay = trim_frames(frames.where(~low_detail(F.col("hash"))), edge, always=False)
-    hay = hay.select(F.col("media_id").alias("video_id"), F.col("frame").alias("dst"), F.col("hash").alias("dst_hash"))
+    hay = hay.groupBy(F.col("media_id").alias("video_id"), F.col("hash").alias("dst_hash")).agg(F.min("frame").alias("dst"))
     return hamming_join(needles, hay, threshold, ["hash"], ["dst_hash"], radix=bits)
 
 
@@ -212,19 +344,21 @@ def video_search(needles: DataFrame, frames: DataFrame, threshold: int = DHT, ed
     """Videos that share runs of frames: ``(needle, media_id, score, src_in, dst_in, len, num, near_percent)``.
 
     Each needle frame takes its nearest frame of each video. Needle frames in order, a match is adjacent if its
-    frame is within 15 of the one before (the first is held against frame 0). Videos with fewer than ``least``
+    frame is within 15 of the one before (the first is held against frame 0). Equal frames in a row are joined as one
+    run, as they take the same frame. Videos with fewer than ``least``
     matches or less than ``percent`` per cent adjacent ones are dropped; the score is what is missing to 100.
     """
-    n = trim_frames(needles, edge, always=True).select(F.col("media_id").alias("needle"), F.col("frame").alias("src"), "hash")
-    found = _frame_pairs(n, frames, threshold, edge, bits).where("needle <> video_id")
-    best = found.groupBy("needle", "video_id", "src").agg(F.min(F.struct("distance", "dst")).alias("x")).select("needle", "video_id", "src", F.col("x.dst").alias("dst"))
-    order = Window.partitionBy("needle", "video_id").orderBy("src")
+    runs = frame_runs(trim_frames(needles, edge, always=True)).withColumnRenamed("media_id", "needle")
+    found = _frame_pairs(runs.select("needle", "hash").distinct(), frames, threshold, edge, bits).where("needle <> video_id")
+    best = found.groupBy("needle", "video_id", "hash").agg(F.min(F.struct("distance", "dst")).getField("dst").alias("dst"))
+    met = runs.join(best, ["needle", "hash"])
+    order = Window.partitionBy("needle", "video_id").orderBy("first")
     step = F.abs(F.col("dst") - F.coalesce(F.lag("dst").over(order), F.lit(0)))
-    runs = best.withColumn("near", (step < NEAR_FRAMES).cast("int")).groupBy("needle", "video_id").agg(
-        F.count(F.lit(1)).alias("num"),
+    runs = met.withColumn("near", F.col("n") - 1 + (step < NEAR_FRAMES).cast("int")).groupBy("needle", "video_id").agg(
+        F.sum("n").alias("num"),
         F.sum("near").alias("near"),
-        F.min(F.struct("src", "dst")).alias("a"),
-        F.max(F.struct("src", "dst")).alias("b"),
+        F.min(F.struct(F.col("first").alias("src"), "dst")).alias("a"),
+        F.max(F.struct(F.col("last").alias("src"), "dst")).alias("b"),
     )
     share = F.expr("near * 100 div num")
     runs = runs.withColumn("near_percent", share).where((F.col("num") >= least) & (F.col("near_percent") >= percent))
@@ -232,6 +366,36 @@ def video_search(needles: DataFrame, frames: DataFrame, threshold: int = DHT, ed
     return runs.select("needle", F.col("video_id").alias("media_id"), (100 - F.col("near_percent")).alias("score"), F.col("a.src").alias("src_in"), F.col("a.dst").alias("dst_in"), length.alias("len"), "num", "near_percent")
 
 
+def widened(needles: DataFrame, algo: str, rows: DataFrame, first: int, last: int, least: int = MIN_MATCHES, **more) -> DataFrame:
+    """Matches of the first threshold, from ``first`` to ``last``, that gives a needle more than ``least`` rows, else of the last.
+
+    ``algo`` is ``fdct``, ``orb`` or ``video``; ``needles`` are such rows with ``needle`` for ``media_id``. Thresholds go up by
+    1, by 5 for ``orb``. Only the needles that are still short are searched again, so there are as many searches as thresholds
+    at most. The rows are those of the algorithm's search, with the ``threshold`` that they were found at.
+    """
+    stash, out = Stash(needles.sparkSession), None
+    left = stash.put(needles, "needles")
+    steps = list(range(first, last + 1, 5 if algo == "orb" else 1)) or [first]
+    for t in steps:
+        own = left.withColumnRenamed("needle", "media_id")
+        if algo == "fdct":
+            found = feature_votes(own, rows, t, **more)
+        elif algo == "orb":
+            found = descriptor_votes(own, rows, t, **more)
+        elif algo == "video":
+            found = video_search(own, rows, t, least=more.get("least_frames", VFM), percent=more.get("percent", VFN), edge=more.get("edge", 0))
+        else:
+            raise ValueError(f"no thresholds for {algo}")
+        found = stash.put(found.withColumn("threshold", F.lit(t)), "found")
+        if t != steps[-1]:
+            done = found.groupBy("needle").count().where(F.col("count") > least).select("needle")
+            found, left = found.join(done, "needle", "left_semi"), stash.put(left.join(done, "needle", "left_anti"), "left")
+        out = found if out is None else out.unionByName(found)
+        if t != steps[-1] and left.isEmpty():
+            break
+    return out
+
+
 def align(pairs: DataFrame, frames: DataFrame, first: int = -30, last: int = 29, span: int = 5) -> DataFrame:
     """Best time offset of video pairs ``(needle, media_id, src_in, dst_in)`` by mean distance over ``span`` frames.
 

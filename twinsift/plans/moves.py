@@ -86,8 +86,9 @@ def rename_plan(items: DataFrame, media: DataFrame, template: str, pattern: str
 
     With ``find`` the text is replaced by the template in the base name, else the template gives the whole base
     name from the pattern's captures. The suffix stays. Archive members, names without suffix and names
-    that the pattern does not fit are skipped; targets that exist or that two items share are refused, and take
-    no number from the ``%n`` sequence.
+    that the pattern does not fit are skipped. Targets that exist are refused; of several items with one target the first
+    takes it and the others are refused. Refused items take no number from the ``%n`` sequence. A new name with a
+    ``/`` is an error when the row is read.
     """
     base = complete_base_name()
     if find is not None:
@@ -99,14 +100,15 @@ def rename_plan(items: DataFrame, media: DataFrame, template: str, pattern: str
     rows = items.select("id", "path", "pos", skip.alias("skip"), filled.alias("stem"), folder.alias("folder"), suffix().alias("ext"))
     numbered = "%n" in template
     plain = F.concat("folder", "stem", F.lit("."), "ext")
-    rows = rows.withColumn("plain", F.when(~F.col("skip"), plain))
+    bad = F.raise_error(F.concat(F.lit("a new name has a slash: "), "stem"))
+    rows = rows.withColumn("plain", F.when(~F.col("skip"), F.when(F.locate("/", F.col("stem")) > 0, bad).otherwise(plain)))
     there = media.select(F.col("path").alias("new_path"), F.lit(True).alias("taken")).distinct()
     if not numbered:
         rows = rows.withColumn("new_path", F.col("plain"))
     else:
         rows = _numbered(rows, there, len(str(items.count())), Stash(media.sparkSession))
-    rows = rows.withColumn("same", F.count("new_path").over(Window.partitionBy("new_path"))).join(there, "new_path", "left")
+    first = rows.where("new_path is not null").groupBy("new_path").agg(F.min(F.struct("pos", "id")).alias("first"))
+    rows = rows.join(first, "new_path", "left").join(there, "new_path", "left")
     status = F.when(F.col("skip"), "skipped").when(F.col("path") == F.col("new_path"), "unchanged")
-    status = status.when(F.col("taken"), "exists") if numbered else status  # rows that wait for one number share its target
-    status = status.when(F.col("same") > 1, "collision").when(F.col("taken"), "exists").otherwise("ok")
+    status = status.when(F.col("taken"), "exists").when(F.struct("pos", "id") != F.col("first"), "collision").otherwise("ok")
     return rows.select("id", "path", F.when(~F.col("skip"), F.col("new_path")).alias("new_path"), status.alias("status"))
