@@ -24,8 +24,8 @@ from twinsift.stash import Stash
 GUARD, LANCZOS, DEGREE = 28, 8, 12
 #: Growth of the wanted part in one filter, beyond which rounding would drown the others, and filters before giving up.
 GROWTH, FILTERS = 1e8, 200
-#: Entries of a block of vectors that a task multiplies at once.
-ENTRIES = 4_000_000
+#: Entries of a block of vectors that a task multiplies at once, and of one that is stored as one value.
+ENTRIES, STORED = 4_000_000, 250_000
 
 
 @dataclass(frozen=True)
@@ -58,13 +58,32 @@ def _rows(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
+def _packed(vectors: DataFrame, dims: int) -> DataFrame:
+    """``(kind, block)``: blocks of vectors as bytes of the narrowest whole numbers, as every pass reads them again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max(1, STORED // dims)):
+            x = _rows(batch.column(0), dims)
+            if len(x):
+                kind = next(k for k in ("<i2", "<i4", "<i8") if np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+                yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([x.astype(kind).tobytes()])], ["kind", "block"])
+
+    return vectors.select("x").mapInArrow(run, "kind string, block binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for kind, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield np.frombuffer(block.as_buffer(), kind).reshape(-1, dims).astype(np.int64)
+
+
 def _sums(fit: DataFrame, dims: int, width: int, work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Sum of ``work(block)`` over all vectors; partitions send ``width`` numbers each, which Spark adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
-        for batch in slices(batches, max(1, ENTRIES // dims)):
-            total += work(_rows(batch.column(0), dims)).ravel()
+        for x in _blocks(batches, dims):
+            total += work(x).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], ["key", "value"])
 
     rows = fit.mapInArrow(run, "key int, value double").groupBy("key").agg(F.sum("value").alias("value")).collect()
@@ -79,9 +98,8 @@ def _counts(fit: DataFrame, dims: int) -> tuple[int, tuple[int, ...]]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [0] * (dims + 1)
-        for batch in slices(batches, max(1, ENTRIES // dims)):
-            x = _rows(batch.column(0), dims)
-            small = not len(x) or max(abs(int(x.min())), abs(int(x.max()))) < 2**40
+        for x in _blocks(batches, dims):
+            small = max(abs(int(x.min())), abs(int(x.max()))) < 2**40
             for i, s in enumerate(x.sum(0) if small else x.astype(object).sum(0)):
                 total[i] += int(s)
             total[dims] += len(x)
@@ -175,7 +193,8 @@ def fit(vectors: DataFrame, components: int = 4, vec_col: str = "embedding", sca
     if sizes is None:
         return None
     dims = sizes.d
-    listed = written.where(F.size("x") == dims)
+    listed = stash.put(_packed(written.where(F.size("x") == dims), dims), "blocks")
+    stash.drop(written)
     n, sums = _counts(listed, dims)
     mean = np.array([s / n for s in sums])
     passes = 0
@@ -209,7 +228,7 @@ def fit(vectors: DataFrame, components: int = 4, vec_col: str = "embedding", sca
             return w.T @ w
 
         error = float(np.abs(_sums(listed, dims, len(spread) ** 2, gram).reshape(len(spread), -1) / n - np.eye(len(spread))).max())
-    stash.drop(written)
+    stash.drop(listed)
     return Whitening(dims, n, sums, basis, values, trace, error, residual, passes)
 
 
