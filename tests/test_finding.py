@@ -53,3 +53,21 @@ def test_other_algorithms_take_their_data(spark, media):
     assert set(got) == {1, 2, 3} and all(len(v) == 3 and v[0] == k for k, v in got.items())
     with pytest.raises(ValueError):
         matches(SearchParams(alg="orb"), media)
+
+
+def test_thresholds_and_the_needle_itself(spark, media):
+    patches = spark.createDataFrame([(1, 0, 62), (2, 0, 63), (3, 0, 62 + 64 + 128), (5, 0, 1 << 50)], "media_id long, feat_no int, hash long")
+    pick = lambda df: sorted((r["needle"], r["media_id"]) for r in df.collect())
+    assert pick(matches(SearchParams(alg="fdct", dht=1), media, data=patches)) == []
+    assert pick(matches(SearchParams(alg="fdct", dht=1, mt=3), media, data=patches)) == [(1, 2), (2, 1), (3, 1)]
+    with_self = pick(matches(SearchParams(dht=1, fs=False), media))
+    assert with_self == [(1, 1), (1, 4), (2, 2), (3, 3), (4, 1), (4, 4), (5, 5)]
+    tone = lambda l: [{"l": l, "u": 0.0, "v": 0.0, "w": 1.0}]
+    palettes = spark.createDataFrame([(i, tone(float(i)), 1) for i in range(1, 6)], "media_id long, colors array<struct<l:double,u:double,v:double,w:double>>, num_colors int")
+    assert pick(matches(SearchParams(alg="color", mm=1), media, data=palettes)) == [(1, 2), (2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_existence_by_pattern(media):
+    from twinsift.operators.select import existing_like
+
+    assert [existing_like(media, p).first()["found"] for p in ("a/%", "%/7.jpg", "z%", "a/_")] == [True, True, False, False]

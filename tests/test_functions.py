@@ -74,6 +74,8 @@ def test_filter_errors(spark):
         (["pad,1"], "42", "42"),
         (["camelsplit", "join,_"], "fooBarBaz", "foo_Bar_Baz"),
         (["split,[;:]", "peek,-1"], "a;b:c", "c"),
+        (["split,[", "join,+"], "a[b[c", "a+b+c"),
+        (["split,(", "peek,0"], "x(y)", "x"),
         (["split, ", "pop", "shift", "push,z", "join,+"], "a b c d", "b+c+z"),
         (["split, ", "foreach,upper|mid:0:1", "join,"], "ab cd", "AC"),
         (["toint"], "x", 0),

@@ -82,9 +82,11 @@ def test_comparisons_grow_less_than_the_square():
     assert choose_blocks(10**9, 10**9, 4, 63) > 6
 
 
-def test_wide_all_pairs_stop_where_no_key_is_left(hashes):
-    with pytest.raises(ValueError):
-        hamming_pairs(hashes[1], 64, "phash", "id")
+def test_widest_thresholds(hashes):
+    rows, df = hashes
+    for t in (64, 65):
+        got = signed_pairs(df, t)
+        assert len(got) == len(set(got)) and set(got) == brute(rows, t)
     needles = hashes[1].where("id <= 5").toDF("needle", "nh")
     got = hamming_join(needles, hashes[1], 65, ["nh"], ["phash"]).count()
     assert got == 5 * len(hashes[0])
@@ -196,3 +198,23 @@ def test_unknown_pairs_are_scored_and_kept(spark):
     assert sorted(map(tuple, similar.new_scores(pairs, scores, scorer).collect())) == [("a", "c", 3), ("a", "d", similar.INFINITE), ("b", "c", 5)]
     assert sorted(tuple(r)[:2] for r in similar.verify_pairs(pairs, scores, 5, scorer).collect()) == [(1, 2), (1, 3)]
     assert [tuple(r)[:2] for r in similar.verify_pairs(pairs, scores, 5).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("hot, radix", [(7, 0), (50, 0), (2048, 0), (3, 3), (2048, 3)])
+def test_tiles_meet_each_pair_once(spark, hashes, monkeypatch, hot, radix):
+    monkeypatch.setattr(blocking, "HOT", hot)
+    rows, df = hashes
+    stash = Stash(spark)
+    own = stash.put(df.toDF("id", "h"), "own")
+    for t in (1, 22):
+        got = [tuple(r) for r in blocking.tiled_pairs(own, t, radix, stash).select("id_a", "id_b").collect()]
+        want = {(i, j) for i, j in brute(rows, t)}
+        if radix:
+            by = dict(rows)
+            want = {(i, j) for i, j in want if not (by[i] ^ by[j]) & ((1 << radix) - 1 << 1)}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tiles_where_keys_compare_more():
+    assert blocking.tiles_pay(500_000, 30) and blocking.tiles_pay(500_000, 22, 4) and blocking.tiles_pay(10, 64)
+    assert not blocking.tiles_pay(500_000, 5) and not blocking.tiles_pay(10**8, 9) and not blocking.tiles_pay(10**9, 5, 10)

@@ -110,6 +110,32 @@ def test_listing_members_and_digests(spark, folder):
     assert [r["member"] for r in rows] == ["in/a.png"]
 
 
+def test_members_are_read_by_ranges(spark, tmp_path):
+    import zipfile
+
+    rng = random.Random(1)
+    bodies = {f"d/{i}.png": rng.randbytes(300) for i in range(1500)}
+    with zipfile.ZipFile(tmp_path / "big.zip", "w") as z:
+        for name, body in bodies.items():
+            z.writestr(name, body)
+        z.writestr("__MACOSX/x.png", b"no")
+    with zipfile.ZipFile(tmp_path / "small.zip", "w") as z:
+        z.writestr("a.png", b"whole")
+        z.writestr("b.png", b"spoilt" * 50)
+    data = (tmp_path / "small.zip").read_bytes()
+    (tmp_path / "small.zip").write_bytes(data.replace(b"spoilt" * 50, b"spoilT" * 50))
+    (tmp_path / "not.zip").write_bytes(b"no archive")
+    listed = files.scan(spark, f"file://{tmp_path}")
+    got = files.split_members(listed, content=True, size=20_000)
+    assert got.rdd.getNumPartitions() > 1
+    rows = {(os.path.basename(r["archive"]), r["member"]): r["content"] and bytes(r["content"]) for r in got.collect()}
+    assert rows == {**{("big.zip", n): b for n, b in bodies.items()}, ("small.zip", "a.png"): b"whole", ("small.zip", "b.png"): None}
+    by_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 5 and max(r["count"] for r in by_task) < 1000
+    plain = files.members(files.scan(spark, f"file://{tmp_path}", content=True)).select("path", "length")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, files.split_members(listed).select("path", "length").collect()))
+
+
 def frames_of(seed: int, n: int = 60):
     rng = random.Random(seed)
     h, out = rng.getrandbits(64), []

@@ -988,10 +988,9 @@ def plan_dups_in(spark, d):
     return deletions.duplicates_in(T.media(spark, d), "src1")
 
 
-@query(""", o AS (SELECT md5, min({'p': path, 'i': id}).i AS orig_id FROM media GROUP BY md5) SELECT m.id AS weed_id, orig_id FROM weeds JOIN o ON o.md5 = orig_md5 JOIN media m ON m.md5 = weed_md5 WHERE m.type = 1""", "media weeds")
+@query(""", o AS (SELECT md5, min({'p': path, 'i': id}).i AS orig_id FROM media GROUP BY md5) SELECT m.id AS weed_id, orig_id FROM weeds JOIN o ON o.md5 = orig_md5 JOIN media m ON m.md5 = weed_md5""", "media weeds")
 def plan_weeds(spark, d):
-    m = T.media(spark, d)
-    return deletions.weeds(m, T.weeds(spark, d)).join(m.where("type = 1").select(F.col("id").alias("weed_id")), "weed_id", "left_semi")
+    return deletions.weeds(T.media(spark, d), T.weeds(spark, d))
 
 
 @query(r"SELECT CASE WHEN contains(path, '.zip:') THEN regexp_extract(path, '^(.*\.zip):', 1) ELSE path END AS path, count(*) AS n FROM web_media GROUP BY 1", "web_media")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -60,6 +62,20 @@ def date_pattern(pattern: str) -> str:
     return pattern
 
 
+def split(c: Column, by: str) -> Column:
+    """Parts between the matches of a pattern; one that is no pattern is taken literally."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(by)
+    except Exception as e:
+        if "PatternSyntaxException" not in str(e):
+            raise
+        by = re.escape(by)
+    return F.split(c, by)
+
+
 def date(c: Column, pattern: str) -> Column:
     return F.coalesce(F.date_format(c, date_pattern(pattern)), F.lit(""))
 
@@ -75,7 +91,7 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "lower": F.lower,
     "title": title,
     "pad": pad,
-    "split": lambda c, by: F.split(c, by),
+    "split": split,
     "join": lambda c, glue="": F.array_join(c, glue),
     "camelsplit": camelsplit,
     "push": lambda c, v: F.array_append(c, F.lit(v)),

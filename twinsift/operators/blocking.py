@@ -240,19 +240,49 @@ def hamming_join(left: DataFrame, right: DataFrame, threshold: int, left_words:
 def hamming_pairs(rows: DataFrame, threshold: int, word: str, id_col: str, radix: int = 0) -> DataFrame:
     """``(id_a, id_b, distance)`` with ``id_a < id_b`` of near rows of one table; hashes and ids are written once.
 
-    Always by keys of blocks; a threshold that leaves no bit for a key would be a cross join and is refused.
+    By keys of blocks of bits, or by :func:`tiled_pairs` where that compares less: few rows, or wide thresholds, up to
+    those that all pairs are below. Ids must be distinct; null hashes meet nothing.
     """
-    if threshold > (most := len(hash_bits(1, radix))):
-        raise ValueError(f"threshold {threshold} leaves no bit to tell hashes apart by; {most} at most")
     stash = Stash(rows.sparkSession)
     if threshold < 1:
         return rows.sparkSession.createDataFrame([], f"id_a {rows.schema[id_col].dataType.simpleString()}, id_b {rows.schema[id_col].dataType.simpleString()}, distance int")
     own = stash.put(rows.where(F.col(word).isNotNull()).select(F.col(id_col).alias("id"), F.col(word).alias("h")), "hashes")
     n = own.count()
+    if tiles_pay(n, threshold, radix):
+        return tiled_pairs(own, threshold, radix, stash)
     found = _meet(own.toDF("id_a", "ha"), own.toDF("id_b", "hb"), (n, n), threshold, ["ha"], ["hb"], stash, radix, F.col("id_a") < F.col("id_b"))
     return found.select("id_a", "id_b", "distance")
 
 
+def tiles_pay(rows: int, threshold: int, radix: int = 0) -> bool:
+    """Whether comparing each pair of a radix bucket once costs less than keys of blocks, which find wide pairs repeatedly."""
+    bits = len(hash_bits(1, radix))
+    if threshold > bits:
+        return True
+    bucket = rows * 2.0**-radix
+    tiles = rows * bucket / 2 + COPY_COST * rows * (1 + bucket / HOT)
+    return tiles < block_cost(rows, rows, threshold - 1, bits, room=2.0**-radix)
+
+
+def tiled_pairs(rows: DataFrame, threshold: int, radix: int, stash: Stash) -> DataFrame:
+    """:func:`hamming_pairs` of a written table ``(id, h)`` by a triangle of tiles in each radix bucket.
+
+    A bucket is cut by a hash of the id into parts of about HOT rows, part ``p`` goes to the left of the tiles ``(p, y)``,
+    ``y >= p``, and to the right of ``(x, p)``, ``x <= p``. So every pair of a bucket meets in one tile, in one task
+    of bounded size, and tasks are as many as tiles.
+    """
+    bucket = radix_key(F.col("h"), radix) if radix else F.lit(0).cast("long")
+    own = rows.select("id", "h", bucket.alias("_b"))
+    parts = F.broadcast(own.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_n")))  # 2 ** radix rows at most
+    own = own.join(parts, "_b").withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    left = own.select("_b", F.col("_p").alias("_x"), F.explode(F.sequence("_p", F.col("_n") - 1)).alias("_y"), F.col("id").alias("ia"), F.col("h").alias("ha"))
+    right = own.select("_b", F.explode(F.sequence(F.lit(0), "_p")).alias("_x"), F.col("_p").alias("_y"), F.col("id").alias("ib"), F.col("h").alias("hb"))
+    near = distance([F.col("ha")], [F.col("hb")])
+    once = (F.col("_x") < F.col("_y")) | (F.col("ia") < F.col("ib"))
+    met = left.join(right.hint("merge"), ["_b", "_x", "_y"]).where((near < threshold) & once)
+    return met.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), near.alias("distance"))
+
+
 def in_blocks(rows: DataFrame, most: int, stash: Stash) -> list[DataFrame]:
     """Cuts rows into written blocks of at most ``most``, by a number within partitions and the partitions' counts."""
     dealt = stash.put(rows.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "rows")

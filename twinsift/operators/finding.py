@@ -17,7 +17,7 @@ def matches(params: SearchParams, media: DataFrame, needles: DataFrame | None =
     descriptors, palettes or frames of the items, which the ``dct`` algorithm does not need.
     """
     if params.alg == "dct":
-        if needles is None and not params.mt:
+        if needles is None and not params.mt and params.fs:
             classes = similar.hash_classes(media)
             return similar.best_matches(media, similar.class_links(classes, params.dht), classes, params.mm)
         own = media.select(F.col("id").alias("needle"), F.col("phash").alias("hash"))
@@ -30,14 +30,12 @@ def matches(params: SearchParams, media: DataFrame, needles: DataFrame | None =
     if data is None:
         raise ValueError(f"{params.alg} needs the items' data")
     own = data if needles is None else data.join(needles.withColumnRenamed("needle", "media_id"), "media_id", "left_semi")
-    if params.alg == "fdct":
-        found = similar.feature_votes(own, data, params.dht)
-    elif params.alg == "orb":
-        found = similar.descriptor_votes(own, data, params.odt)
-    elif params.alg == "color":
-        found = similar.colour_search(own, data)
-    else:
-        found = similar.video_search(own, data, params.dht, params.vtrim, params.vfm, params.vfn, params.vradix)
+    if params.alg == "color":
+        return similar.colour_nearest(own, data, params.mm, filter_self=params.fs)
+    first = params.odt if params.alg == "orb" else params.dht
+    videos = {"edge": params.vtrim, "least_frames": params.vfm, "percent": params.vfn, "bits": params.vradix} if params.alg == "video" else {}
+    last = max(first, params.mt or first)
+    found = similar.widened(own.withColumnRenamed("media_id", "needle"), params.alg, data, first, last, params.mn, **videos)
     return similar.top_matches(found.select("needle", "media_id", "score"), params.mm, params.fs)
 
 

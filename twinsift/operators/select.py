@@ -49,6 +49,12 @@ def by_ids(media: DataFrame, ids: DataFrame) -> DataFrame:
     return media.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def existing_like(media: DataFrame, pattern: str) -> DataFrame:
+    """One row ``(found)``: whether the catalog has a path that fits a ``like`` pattern; the scan ends with the first."""
+    hit = media.where(F.col("path").like(pattern)).limit(1)
+    return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
 def existing(paths: DataFrame, media: DataFrame) -> DataFrame:
     """Paths that the catalog has."""
     return paths.join(media.select("path"), "path", "left_semi")

@@ -383,7 +383,7 @@ def widened(needles: DataFrame, algo: str, rows: DataFrame, first: int, last: in
         elif algo == "orb":
             found = descriptor_votes(own, rows, t, **more)
         elif algo == "video":
-            found = video_search(own, rows, t, least=more.get("least_frames", VFM), percent=more.get("percent", VFN), edge=more.get("edge", 0))
+            found = video_search(own, rows, t, least=more.get("least_frames", VFM), percent=more.get("percent", VFN), edge=more.get("edge", 0), bits=more.get("bits", RADIX))
         else:
             raise ValueError(f"no thresholds for {algo}")
         found = stash.put(found.withColumn("threshold", F.lit(t)), "found")

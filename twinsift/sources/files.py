@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.props import suffix
 from twinsift.operators.catalog import ARCHIVES, IMAGES
+from twinsift.stash import Stash, partitions
 
 MEMBER_SCHEMA = "path string, archive string, member string, modified timestamp, length long, content binary"
 
@@ -52,29 +55,88 @@ def _members(path: str, data: bytes, content: bool) -> Iterator[dict]:
 
 
 def members(files: DataFrame, content: bool = False) -> DataFrame:
-    """Members of the archives among ``files(path, content)``; damaged archives have none.
+    """Members of the archives among ``files(path, content)``, whose bytes Spark has read; damaged archives have none.
 
-    One archive is one task's work, one member at a time.
+    A task holds an archive and one member at a time. :func:`split_members` reads large archives by seeks instead.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["path", "archive", "member", "modified", "length", "content"]
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"]):
-                rows = list(_members(path, data, content))
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns).astype({"modified": "datetime64[us]"})
+                for row in _members(path, data, content):
+                    yield pd.DataFrame([row], columns=columns).astype({"modified": "datetime64[us]"})
 
     archives = files.where(F.lower(suffix(F.col("path"))).isin(ARCHIVES)).select("path", "content")
     return archives.mapInPandas(run, MEMBER_SCHEMA)
 
 
+def _opened(path: str) -> zipfile.ZipFile | None:
+    """An archive of any store that Arrow opens, of which only what is asked for is read; ``None`` if it is damaged."""
+    if path.startswith("file:/"):  # Spark writes file:/place, unescaped
+        store, place = pyarrow.fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, place = pyarrow.fs.FileSystem.from_uri(path)
+    try:
+        return zipfile.ZipFile(store.open_input_file(place))
+    except (zipfile.BadZipFile, pyarrow.lib.ArrowInvalid):  # the latter where a file is too short to look for a directory
+        return None
+
+
+def split_members(files: DataFrame, content: bool = False, size: int = 64 << 20) -> DataFrame:
+    """Like :func:`members`, of ``files(path)``: tasks list the archives' directories, others read ranges of members by seeks.
+
+    Members in the order of their place in the archive are cut into ranges of about ``size`` packed bytes, so a large
+    archive is many tasks' work, and a task holds one member at a time. A damaged member has null content.
+    """
+    columns = ["path", "archive", "member", "modified", "length", "place", "packed"]
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                if (archive := _opened(path)) is not None:
+                    with archive:
+                        rows = [
+                            (f"{path}:{i.filename}", path, i.filename, pd.Timestamp(*i.date_time), i.file_size, i.header_offset, i.compress_size)
+                            for i in archive.infolist()
+                            if not i.is_dir() and wanted_member(i.filename)
+                        ]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=columns).astype({"modified": "datetime64[us]"})
+
+    archives = files.where(F.lower(suffix(F.col("path"))).isin(ARCHIVES)).select("path")
+    schema = "path string, archive string, member string, modified timestamp, length long, place long, packed long"
+    found = archives.mapInPandas(listed, schema)
+    if not content:
+        return found.select(*columns[:5], F.lit(None).cast("binary").alias("content"))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, archive = None, None
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                if row["archive"] != path:
+                    if archive is not None:
+                        archive.close()
+                    path, archive = row["archive"], _opened(row["archive"])
+                try:
+                    data = archive.read(row["member"])
+                except (zipfile.BadZipFile, zlib.error, EOFError):
+                    data = None
+                out = pd.DataFrame([{**{c: row[c] for c in columns[:5]}, "content": data}])
+                yield out.astype({"modified": "datetime64[us]"})
+
+    spark = files.sparkSession
+    found = Stash(spark).put(found.withColumn("range", F.floor(F.col("place") / size)), "members")
+    ranges = found.select("archive", "range").distinct().count()
+    dealt = found.repartition(max(1, min(ranges, 64 * partitions(spark))), "archive", "range").sortWithinPartitions("archive", "place")
+    return dealt.select(*columns[:5]).mapInPandas(read, MEMBER_SCHEMA)
+
+
 def image_files(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
     """Images of a folder and of its archives in one table, for an ad-hoc search without a catalog."""
-    files = scan(spark, folder, content=True)
-    loose = files.where(F.lower(suffix(F.col("path"))).isin(IMAGES))
+    loose = scan(spark, folder, content=True).where(F.lower(suffix(F.col("path"))).isin(IMAGES))
     loose = loose.select("path", F.lit("").alias("archive"), F.lit("").alias("member"), "modified", "length", "content")
-    out = loose.unionByName(members(files, content=True))
+    out = loose.unionByName(split_members(scan(spark, folder), content))
     return out if content else out.drop("content")
 
 
