@@ -15,7 +15,9 @@ def apart(a, b):
     return sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
 
 
-def test_a_mass_of_equal_features_makes_few_rows(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_mass_of_equal_features_makes_few_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(similar, "FEW", few)
     rows = spark.range(20_000).select(F.expr("id div 50").alias("media_id"), F.expr("id % 50").alias("feat_no"), F.lit(7).cast("long").alias("hash"))
     needles = rows.select(F.col("media_id").alias("needle"), "feat_no", F.col("hash").alias("own"))
     found = similar.nearest(needles.withColumnRenamed("feat_no", "no"), rows, 5, 10, ["own"], ["hash"], ["media_id", "feat_no"])
@@ -24,8 +26,9 @@ def test_a_mass_of_equal_features_makes_few_rows(spark):
     assert similar.feature_votes(rows, rows).count() == 400  # all votes go to the first item
 
 
-@pytest.mark.parametrize("words, sample", [(1, None), (4, None), (4, (4, 120))])
-def test_nearest_against_brute_force(spark, words, sample):
+@pytest.mark.parametrize("words, sample, few", [(1, None, 0), (1, None, 1000), (4, None, 0), (4, (4, 120), 0)])
+def test_nearest_against_brute_force(spark, monkeypatch, words, sample, few):
+    monkeypatch.setattr(similar, "FEW", few)
     rng = random.Random(words)
     base = [tuple(rng.getrandbits(63) for _ in range(words)) for _ in range(12)]
     rows = []

@@ -91,14 +91,15 @@ def _is_first(agreed: Column, c: Column) -> Column:
     return (more == 0) | (more.bitwiseAND(F.negate(more)) > c)
 
 
-def _hot_keys(sides: list[tuple[DataFrame, DataFrame, Column]], by: list[str], stash: Stash) -> DataFrame | None:
+def _hot_keys(sides: list[tuple[DataFrame, DataFrame, Column]], by: list[str], rows: int, stash: Stash) -> DataFrame | None:
     """``(_key, _c, by.., _pl, _pr)``: keys with more than HOT rows on a side, and their parts; ``None`` if there can be none.
 
-    Each side is ``(rows, entries, values of blocks)``. No key has more rows than any of its blocks has, and blocks
-    have few values, so their counts, a small aggregate, tell most inputs that no key needs to be counted.
+    Each side is ``(rows, entries, values of blocks)``, of ``rows`` rows at most. No key has more rows than any of its
+    blocks has, so counts of blocks, by some hash buckets of their values, tell most inputs that no key needs to be counted.
     """
-    for rows, _, values in sides:
-        single = rows.select(F.posexplode(values).alias("i", "v"), *by).groupBy("i", "v", *by).count()
+    buckets = max(1 << 16, 8 * rows // HOT)
+    for own, _, values in sides:
+        single = own.select(F.posexplode(values).alias("i", "v"), *by).groupBy("i", F.pmod("v", F.lit(buckets)).alias("v"), *by).count()
         if (single.agg(F.max("count")).first()[0] or 0) > HOT:
             break
     else:
@@ -138,7 +139,7 @@ def _meet(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold:
     rows = bucketed(left, own), bucketed(right, theirs)
     a, b = spread(rows[0], own), spread(rows[1], theirs)
     few = sizes[0] * comb(len(masks), errors) <= SENT
-    a, b, on = _by_keys((rows[0], a, singles(own)), (rows[1], b, singles(theirs)), keys, lw, rw, few, stash)
+    a, b, on = _by_keys((rows[0], a, singles(own)), (rows[1], b, singles(theirs)), keys, lw, rw, max(sizes), few, stash)
     near = distance(own, theirs) < threshold
     if extra is not None:
         near = extra & near
@@ -148,7 +149,7 @@ def _meet(left: DataFrame, right: DataFrame, sizes: tuple[int, int], threshold:
     return met.select(*left.columns, *right.columns, distance(own, theirs).alias("distance"))
 
 
-def _by_keys(left: tuple, right: tuple, keys: list[str], lw: list[str], rw: list[str], few: bool, stash: Stash) -> tuple[DataFrame, DataFrame, Column]:
+def _by_keys(left: tuple, right: tuple, keys: list[str], lw: list[str], rw: list[str], rows: int, few: bool, stash: Stash) -> tuple[DataFrame, DataFrame, Column]:
     """Entries of both sides, ``(rows, entries, values of blocks)`` each, with the condition on which they meet.
 
     A few on the left are sent; else keys of more than HOT rows are dealt to a grid of parts.
@@ -158,7 +159,7 @@ def _by_keys(left: tuple, right: tuple, keys: list[str], lw: list[str], rw: list
         a = F.broadcast(a)
     else:
         b = b.hint("merge")  # by the size of its files Spark would send it, but each row has many copies
-        hot = _hot_keys([left, (right[0], b, right[2])], keys[2:], stash)
+        hot = _hot_keys([left, (right[0], b, right[2])], keys[2:], rows, stash)
         if hot is not None:
             hot = F.broadcast(hot) if hot.count() <= SENT // 5 else hot
             a, b = _deal(a, hot, keys, lw, "_pl", "_pr"), _deal(b, hot, keys, rw, "_pr", "_pl")
@@ -203,7 +204,7 @@ def sampled_join(
         entries = F.array(*(F.struct(k.alias("key"), F.lit(t).cast("long").alias("c")) for t, k in enumerate(keys(words[i]))))
         return rows[i], rows[i].select("*", F.inline(entries).alias("_key", "_c")), F.array(*keys(words[i]))
 
-    a, b, on = _by_keys(side(0), side(1), ["_key", "_c"], left_words, right_words, sizes[0] * len(masks) <= SENT, stash)
+    a, b, on = _by_keys(side(0), side(1), ["_key", "_c"], left_words, right_words, max(sizes), sizes[0] * len(masks) <= SENT, stash)
     diffs = [x.bitwiseXOR(y) for x, y in zip(*words)]
     same = [reduce(Column.bitwiseOR, (d.bitwiseAND(F.lit(m).cast("long")) for d, m in zip(diffs, mask) if m)) == 0 for mask in masks]
     first = reduce(lambda later, t: F.when(same[t], F.lit(t)).otherwise(later), reversed(range(len(masks))), F.lit(-1))

@@ -113,15 +113,31 @@ def nearest(
 
     Gives the needles' columns, those of ``order`` and ``distance``. Distinct hashes are joined, not rows: a class of
     equal hashes shows its first ``best`` members only, and a hash looks at its ``best`` nearest classes, as each holds
-    one row at least. So a mass of equal hashes makes ``best`` rows a needle. Null hashes have no neighbours.
+    one row at least. So a mass of equal hashes makes ``best`` rows a needle. Null hashes have no neighbours. A few distinct
+    hashes of needles are sent to the rows instead, which stay where they are and send their ``best`` only.
 
     ``sample`` takes :func:`sampled_join` for the join: a miss rate, or bits and tables.
     """
     stash = Stash(needles.sparkSession)
+    asked = stash.put(needles.select(*own).dropna().distinct(), "asked")
+    if sample is None and asked.limit(FEW + 1).count() <= FEW:
+        met = hamming_join(asked, rows.select(*order, *words), threshold, own, words)
+        by = Window.partitionBy(*own).orderBy("distance", *order)
+        met = met.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= best)
+        found = met.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("distance", *order))).alias("_found"))
+    else:
+        found = _nearest_classes(asked, rows, threshold, best, own, words, order, sample, stash)
+    found = stash.put(found, "nearest")
+    return needles.join(found, own).select(*needles.columns, F.inline("_found")).select(*needles.columns, *order, "distance")
+
+
+def _nearest_classes(
+    asked: DataFrame, rows: DataFrame, threshold: int, best: int, own: list[str], words: list[str], order: list[str], sample: float | tuple[int, int] | None, stash: Stash
+) -> DataFrame:
+    """``(own.., _found)``: the sorted list of each asked hash, by classes of equal hashes."""
     ranked = rows.dropna(subset=words).withColumn("_nth", F.row_number().over(Window.partitionBy(*words).orderBy(*order)))
     listed = F.array_sort(F.collect_list(F.struct(*order))).alias("_members")
     classes = stash.put(ranked.where(F.col("_nth") <= best).groupBy(*words).agg(listed), "classes")
-    asked = needles.select(*own).dropna().distinct()
     first = classes.select(*words, F.col("_members")[0].alias("_first"))
     if sample is None:
         met = hamming_join(asked, first, threshold, own, words)
@@ -131,8 +147,7 @@ def nearest(
     met = met.withColumn("_nth", F.row_number().over(by)).where(F.col("_nth") <= best).drop("_first", "_nth")
     member = lambda m: F.struct(F.col("distance"), *(m[o].alias(o) for o in order))
     found = met.join(classes, words).groupBy(*own).agg(F.flatten(F.collect_list(F.transform("_members", member))).alias("_found"))
-    found = stash.put(found.withColumn("_found", F.slice(F.array_sort("_found"), 1, best)), "nearest")
-    return needles.join(found, own).select(*needles.columns, F.inline("_found")).select(*needles.columns, *order, "distance")
+    return found.withColumn("_found", F.slice(F.array_sort("_found"), 1, best))
 
 
 def feature_votes(needles: DataFrame, features: DataFrame, threshold: int = DHT, best: int = BEST, score_single: bool = False) -> DataFrame:
