@@ -36,22 +36,54 @@ def add_weeds(candidates: DataFrame, weeds: DataFrame, media: DataFrame) -> Data
 def _settle(open_: DataFrame, stash: Stash) -> DataFrame:
     """Decides candidates that depend on each other only, as if one after the other.
 
-    A candidate is decided as soon as nothing before it that has its weed, or its original as weed, is open. The first
-    open one always is, and long chains of such candidates are rare, so the rounds are few.
+    A weed gets in by its first original that is no weed itself, so only originals that come before it as weeds matter:
+    it gets in if one of them does not. Such terms ``(weed, target, flip)`` are decided by pointer jumping: a term on a
+    weed with one term of its own takes over that one's target, so each round halves what is left of a chain. Rounds are the
+    logarithm of the longest chain, times the depth of weeds that hang on several others at once.
     """
-    done = stash.put(open_.limit(0).drop("listed").withColumn("reason", F.lit(None).cast("string")), "settled")
-    while open_.limit(1).count():
-        first = open_.groupBy("weed_md5").agg(F.min("orig_md5").alias("first"))
-        taken = done.where("reason is null").select("weed_md5", F.col("orig_md5").alias("got"))
-        rows = open_.join(first, "weed_md5").join(first.select(F.col("weed_md5").alias("orig_md5"), F.lit(True).alias("waits")), "orig_md5", "left")
-        rows = rows.join(taken, "weed_md5", "left").join(taken.select(F.col("weed_md5").alias("orig_md5"), F.lit(True).alias("bad")), "orig_md5", "left")
-        before, turn = F.col("orig_md5") < F.col("weed_md5"), F.col("orig_md5") == F.col("first")
-        reason = F.when(F.col("got").isNotNull(), "changed").when(turn & (F.col("listed") | (F.col("bad") & before)), "original is a weed")
-        ready = reason.isNotNull() | (turn & ~(F.coalesce("waits", F.lit(False)) & before))
-        rows = stash.put(rows.select("weed_md5", "orig_md5", "listed", reason.alias("reason"), ready.alias("ready")), "round")
-        done = done.unionByName(rows.where("ready").drop("ready", "listed"))
-        open_ = rows.where("not ready").select("weed_md5", "orig_md5", "listed")
-    return done
+    c = open_.select("weed_md5", "orig_md5", "listed")
+    weeds = c.select(F.col("weed_md5").alias("orig_md5"), F.lit(True).alias("waits")).distinct()
+    waits = F.coalesce("waits", F.lit(False)) & (F.col("orig_md5") < F.col("weed_md5"))
+    rows = stash.put(c.join(weeds, "orig_md5", "left").select("weed_md5", "orig_md5", "listed", waits.alias("waits")), "candidates")
+    terms = rows.select(
+        F.col("weed_md5").alias("weed"),
+        F.when(F.col("waits") & ~F.col("listed"), F.col("orig_md5")).alias("target"),
+        F.when(F.col("waits") & ~F.col("listed"), True).alias("flip"),
+        F.when(~F.col("waits") | F.col("listed"), ~F.col("listed")).alias("value"),
+    )
+    terms = stash.put(_reduce(terms), "terms")
+    while terms.where("target is not null").limit(1).count():
+        one = terms.groupBy(F.col("weed").alias("target")).agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(f"to_{x}") for x in ("target", "flip", "value")))
+        met = terms.where("target is not null").join(one.where("n = 1"), "target", "left")
+        jump = F.col("to_target").isNotNull()
+        met = met.select(
+            "weed",
+            F.when(jump, F.col("to_target")).when(F.col("to_value").isNull(), F.col("target")).alias("target"),
+            F.when(jump, F.col("flip") != F.col("to_flip")).when(F.col("to_value").isNull(), F.col("flip")).alias("flip"),
+            (F.col("to_value") != F.col("flip")).alias("value"),
+        )
+        last, terms = terms, stash.put(_reduce(met.unionByName(terms.where("target is null"))), "terms")
+        stash.drop(last)
+    got_in = terms.select(F.col("weed").alias("orig_md5"), F.col("value").alias("gone"))
+    judged = rows.join(got_in, "orig_md5", "left").withColumn("bad", F.col("listed") | (F.col("waits") & F.coalesce("gone", F.lit(False))))
+    first = judged.where("not bad").groupBy("weed_md5").agg(F.min("orig_md5").alias("first"))
+    reason = F.when(F.col("orig_md5") > F.col("first"), "changed").when(F.col("bad"), "original is a weed")
+    return judged.join(first, "weed_md5", "left").select("weed_md5", "orig_md5", reason.alias("reason"))
+
+
+def _reduce(terms: DataFrame) -> DataFrame:
+    """One row ``(weed, null, null, value)`` for each decided weed, the distinct open terms for all others.
+
+    A weed is in if a term is true or two are opposite; it is out if all its terms are false.
+    """
+    pairs = terms.groupBy("weed", "target").agg(F.min("flip").alias("flip"), F.max("flip").alias("most"), F.max("value").alias("value"))
+    true = F.coalesce("value", F.lit(False)) | (F.col("target").isNotNull() & (F.col("flip") != F.col("most")))
+    state = pairs.groupBy("weed").agg(F.max(true).alias("true"), F.count("target").alias("left"))
+    state = state.withColumn("decided", F.when(F.col("true"), True).when(F.col("left") == 0, False))
+    none = F.lit(None)
+    done = state.where("decided is not null").select("weed", none.cast("string").alias("target"), none.cast("boolean").alias("flip"), F.col("decided").alias("value"))
+    going = pairs.where("target is not null").join(state.where("decided is null").select("weed"), "weed", "left_semi")
+    return done.unionByName(going.select("weed", "target", "flip", none.cast("boolean").alias("value")))
 
 
 def weed_flag(media: DataFrame, weeds: DataFrame) -> DataFrame:
