@@ -2,6 +2,8 @@ import pytest
 
 from tests.oracle import connect, same
 from twinsift import catalog_queries as q
+from twinsift import tables
+from twinsift.sources import features
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,7 +18,7 @@ def test_same_rows_as_sql(spark, duck, name):
     same(q.QUERIES[name](spark, FOLDER), q.SQL[name], duck)
 
 
-NO_SQL = {"sort_similar", "image_hashes", "mirrored_hashes", "patch_hashes", "palettes", "frame_compress", "frame_resume", "stream_frames"}
+NO_SQL = {"sort_similar", "image_hashes", "mirrored_hashes", "patch_hashes", "palettes", "frame_compress", "frame_resume", "stream_frames", "stream_resume"}
 
 
 def test_every_query_without_sql_is_known():
@@ -38,3 +40,10 @@ def test_chains_hold_every_item_once(spark):
 def test_stream_equals_batch(spark):
     a = q.QUERIES["frame_compress"](spark, FOLDER).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, q.QUERIES["stream_frames"](spark, FOLDER).collect()))
+
+
+def test_resumed_stream_equals_resumed_batch(spark):
+    batch = q.QUERIES["frame_resume"](spark, FOLDER).collect()
+    first = features.compress_frames(tables.frames(spark, FOLDER).where("frame < 60"), 30).collect()
+    stream = q.QUERIES["stream_resume"](spark, FOLDER).collect()
+    assert sorted(map(tuple, batch)) == sorted(map(tuple, first + stream)) and stream

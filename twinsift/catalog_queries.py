@@ -1109,6 +1109,29 @@ def stream_frames(spark, d):
     return spark.read.schema("media_id long, frame int, hash long").parquet(out)
 
 
+@query()
+def stream_resume(spark, d):
+    """The later frames of :func:`frame_resume`, by a stream that starts from the stored ones and ends videos by silence."""
+    stash = Stash(spark)
+    f = T.frames(spark, d)
+    first = stash.put(features.last_kept(features.compress_frames(f.where("frame < 60"), 30)), "stored")
+    at = F.timestamp_seconds(F.col("frame"))
+    later = f.where("frame >= 60").select("media_id", "frame", "hash", at.alias("ts"))
+    end = f.agg(F.max("frame").alias("m")).select(F.lit(-1).cast("long").alias("media_id"), F.lit(0).alias("frame"), F.lit(0).cast("long").alias("hash"), F.timestamp_seconds(F.col("m") + 1000).alias("ts"))
+    source = stash.put(later.unionByName(end), "frames")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(source.schema).parquet(source.stash_path).withWatermark("ts", "0 seconds")
+        out = stash.path("kept")
+        kept = ingest.follow_videos(stream, 30, 60, first).writeStream.format("parquet").option("path", out).option("checkpointLocation", stash.path("state"))
+        kept.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema("media_id long, frame int, hash long").parquet(out).where("media_id >= 0")
+
+
 @query(""", n AS (SELECT id AS needle, phash AS hash, md5 FROM mediah WHERE id % 50 = 0), live AS (SELECT DISTINCT weed_md5 FROM weeds WHERE orig_md5 IN (SELECT md5 FROM media)
 ), f AS (SELECT n.needle, m.id AS media_id, CAST(bit_count(xor(hash, m.phash)) AS INTEGER) AS score FROM n JOIN mediah m ON hash <> 0 AND m.phash <> 0 AND bit_count(xor(hash, m.phash)) < 5)
 SELECT n.needle, n.md5 IN (SELECT weed_md5 FROM live) AS is_weed, media_id, score FROM n LEFT JOIN f USING (needle)""", "mediah weeds")

@@ -320,7 +320,8 @@ class FrameWindow:
         near = all(((value ^ w) & (2**64 - 1)).bit_count() < self.threshold for w in self.window)
         if not near:
             self.window = []
-        self.window.append(value)
+        if value not in self.window:  # a still scene is one hash
+            self.window.append(value)
         return not near
 
 
