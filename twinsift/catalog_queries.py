@@ -640,8 +640,11 @@ def sim_color_top(spark, d):
 _HAY = "hay AS (SELECT media_id AS video_id, frame AS dst, hash AS dh FROM frames WHERE bit_count(hash) BETWEEN 5 AND 59)"
 
 
-@query(f""", {_HAY} SELECT needle, video_id AS media_id, CAST(x.d AS INTEGER) AS score, 0 AS src_in, x.dst AS dst_in, 1 AS len FROM (
-  SELECT n.id AS needle, video_id, min({{'d': bit_count(xor(n.phash, dh)), 'dst': dst}}) AS x FROM media_vec n JOIN hay ON n.id % 5 = 0 AND (n.phash >> 1) & 15 = (dh >> 1) & 15 AND bit_count(xor(n.phash, dh)) < 5 GROUP BY n.id, video_id)""", "frames")
+_GRAB = f"""SELECT needle, video_id AS media_id, CAST(x.d AS INTEGER) AS score, 0 AS src_in, x.dst AS dst_in, 1 AS len FROM (
+  SELECT n.id AS needle, video_id, min({{'d': bit_count(xor(n.phash, dh)), 'dst': dst}}) AS x FROM media_vec n JOIN hay ON n.id % 5 = 0 AND (n.phash >> 1) & 15 = (dh >> 1) & 15 AND bit_count(xor(n.phash, dh)) < 5 GROUP BY n.id, video_id)"""
+
+
+@query(f", {_HAY} {_GRAB}", "frames")
 def sim_frame(spark, d):
     needles = T.media_vec(spark, d).where("id % 5 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash"))
     out = similar.frame_search(needles, T.frames(spark, d), 5, bits=4)
@@ -769,13 +772,15 @@ def sort_similar(spark, d):
     return similar.sort_similar(m, similar.class_links(similar.hash_classes(m), 5))
 
 
-@query(f""", {_LINKS} SELECT needle, media_id, least(x, y) AS md5_a, greatest(x, y) AS md5_b, score FROM (SELECT rep_a AS needle, rep_b AS media_id, a.md5 AS x, b.md5 AS y, CAST((rep_a + rep_b) % 12 AS INTEGER) AS score FROM li JOIN media a ON a.id = rep_a JOIN media b ON b.id = rep_b) WHERE score < 7""", "mediah")
+@query(f""", {_LINKS} SELECT needle, media_id, least(x, y) AS md5_a, greatest(x, y) AS md5_b, score FROM (SELECT rep_a AS needle, rep_b AS media_id, a.md5 AS x, b.md5 AS y, CAST(distance AS INTEGER) AS score FROM li JOIN media a ON a.id = rep_a JOIN media b ON b.id = rep_b WHERE (rep_a + rep_b) % 3 <> 0) WHERE score < 4""", "mediah")
 def verify_pairs(spark, d):
-    m = T.media_hashed(spark, d)
+    """Distances of the pairs' hashes, but for a third of the pairs, which are remembered as not to be scored."""
+    m = Stash(spark).put(T.media_hashed(spark, d), "media")
     pairs = similar.class_links(similar.hash_classes(m), 5).select(F.col("rep_a").alias("needle"), F.col("rep_b").alias("media_id"))
     pairs = pairs.join(m.select(F.col("id").alias("needle"), F.col("md5").alias("md5_n")), "needle").join(m.select(F.col("id").alias("media_id"), F.col("md5").alias("md5_m")), "media_id")
-    scores = pairs.select(F.col("md5_m").alias("md5_a"), F.col("md5_n").alias("md5_b"), ((F.col("needle") + F.col("media_id")) % 12).cast("int").alias("score"))
-    return similar.verify_pairs(pairs, scores)
+    pairs = Stash(spark).put(pairs, "pairs")
+    scores = pairs.where("(needle + media_id) % 3 = 0").select(F.col("md5_m").alias("md5_a"), F.col("md5_n").alias("md5_b"), F.lit(similar.INFINITE).alias("score"))
+    return similar.verify_pairs(pairs, scores, 4, similar.hash_scorer(m.select("md5", F.col("phash").alias("hash"))))
 
 
 # Groups ---------------------------------------------------------------------------------------------------
@@ -1029,12 +1034,22 @@ def eval_pairs(spark, d):
     return V.pairs(_expected(T.media(spark, d)), found)
 
 
-@query(f"""{_RANKED}, r AS (SELECT CASE WHEN src % 2 = 0 THEN 'dct' ELSE 'fdct' END AS algo, pos AS rank, score FROM ex LEFT JOIN t ON needle = src AND media_id = dst)
-SELECT algo, CAST(count_if(rank IS NOT NULL) AS BIGINT) AS hits, CAST(count_if(rank IS NULL) AS BIGINT) AS misses, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, avg(rank) AS mean_rank, min(rank) AS min_rank, max(rank) AS max_rank FROM r GROUP BY algo""", "mediah")
+_FEATURE_RANKS = f"""fv AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS pos FROM ({_features_sql()}) WHERE needle <> media_id
+), fi AS (SELECT DISTINCT media_id FROM features), fx AS (SELECT b.media_id AS src, a.media_id AS dst FROM fi a JOIN fi b ON b.media_id = a.media_id + 100)"""
+
+
+@query(f"""{_RANKED}, {_FEATURE_RANKS}, r AS (SELECT 'dct' AS algo, pos AS rank, score FROM ex LEFT JOIN t ON needle = src AND media_id = dst UNION ALL SELECT 'fdct', pos, score FROM fx LEFT JOIN fv ON needle = src AND media_id = dst)
+SELECT algo, CAST(count_if(rank IS NOT NULL) AS BIGINT) AS hits, CAST(count_if(rank IS NULL) AS BIGINT) AS misses, avg(score) AS mean_score, min(score) AS min_score, max(score) AS max_score, avg(rank) AS mean_rank, min(rank) AS min_rank, max(rank) AS max_rank FROM r GROUP BY algo""", "mediah features")
 def eval_search(spark, d):
-    found = topk(spark, d).select(F.col("needle").alias("src"), F.col("media_id").alias("dst"), F.col("pos").alias("rank"), "score")
-    rows = _expected(T.media(spark, d)).join(found, ["src", "dst"], "left")
-    return V.by_algorithm(rows.withColumn("algo", F.when(F.col("src") % 2 == 0, "dct").otherwise("fdct")))
+    """Copies of texts by their hashes, copies of items by votes of their features."""
+    found = topk(spark, d).select(F.col("needle").alias("src"), F.col("media_id").alias("dst"), F.col("pos").cast("long").alias("rank"), F.col("score").cast("long").alias("score"))
+    rows = _expected(T.media(spark, d)).join(found, ["src", "dst"], "left").withColumn("algo", F.lit("dct"))
+    f = T.features(spark, d)
+    items = f.select("media_id").distinct()
+    copies = items.select(F.col("media_id").alias("src"), (F.col("media_id") - 100).alias("dst")).join(items.withColumnRenamed("media_id", "dst"), "dst", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("needle").orderBy("score", "media_id")).cast("long")
+    votes = similar.feature_votes(f, f, 5).where("needle <> media_id").select(F.col("needle").alias("src"), F.col("media_id").alias("dst"), rank.alias("rank"), "score")
+    return V.by_algorithm(rows.unionByName(copies.join(votes, ["src", "dst"], "left").withColumn("algo", F.lit("fdct"))))
 
 
 @query(f"""{_RANKED} SELECT count(*) AS pairs, CAST(count_if(pos IS NOT NULL) AS BIGINT) AS hits, avg(CASE WHEN pos IS NULL THEN 0 ELSE 1 END) * 100 AS accuracy FROM ex LEFT JOIN t ON needle = src AND media_id = dst""", "mediah")
@@ -1042,13 +1057,20 @@ def eval_accuracy(spark, d):
     return V.accuracy(eval_pairs(spark, d))
 
 
-@query("""SELECT status, count(*) AS n, avg(e) AS mean_error, min(e) AS min_error, max(e) AS max_error, quantile_cont(e, 0.5) AS median_error FROM (
-  SELECT CASE WHEN id % 10 = 1 THEN 'none' WHEN id % 10 = 2 THEN 'wrong' WHEN id % 3 = 0 THEN 'later' ELSE 'first' END AS status, CASE WHEN id % 10 IN (1, 2) THEN NULL ELSE CAST(id % 4 AS DOUBLE) END AS e FROM media_vec) GROUP BY status""", "media_vec")
+@query(f""", {_HAY}, fo AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY score, media_id) AS pos FROM ({_GRAB})), va AS (SELECT DISTINCT needle FROM fo
+), nu AS (SELECT id, media_id, row_number() OVER (PARTITION BY media_id ORDER BY id) AS n FROM (SELECT *, {T.owner("label", "(id - 1)")} AS media_id FROM media_vec)
+), fe AS (SELECT id AS needle, CASE WHEN n BETWEEN 5 AND 40 THEN media_id + 100 WHEN n % 7 = 0 THEN media_id + 50 ELSE media_id END AS media_id, CASE WHEN n BETWEEN 5 AND 40 THEN 3 * n - 9 ELSE 3 * n END AS frame FROM nu WHERE id % 5 = 0
+), fj AS (SELECT CASE WHEN pos = 1 THEN 'first' WHEN pos > 1 THEN 'later' WHEN va.needle IS NOT NULL THEN 'wrong' ELSE 'none' END AS status, CAST(abs(dst_in - frame) AS DOUBLE) AS e FROM fe LEFT JOIN fo ON fo.needle = fe.needle AND fo.media_id = fe.media_id LEFT JOIN va ON va.needle = fe.needle)
+SELECT status, count(*) AS n, avg(e) AS mean_error, min(e) AS min_error, max(e) AS max_error, quantile_cont(e, 0.5) AS median_error FROM fj GROUP BY status""", "frames")
 def eval_frames(spark, d):
-    m = T.media_vec(spark, d)
-    expected = m.select(F.col("id").alias("needle"), (F.col("label") + 1).alias("media_id"), (F.col("id") % 100).cast("int").alias("frame"))
-    pos = F.when(F.col("id") % 3 == 0, 2).otherwise(1)
-    found = m.where("id % 10 <> 1").select(F.col("id").alias("needle"), F.when(F.col("id") % 10 == 2, -1).otherwise(F.col("label") + 1).alias("media_id"), pos.alias("pos"), (F.col("id") % 100 + F.col("id") % 4).cast("int").alias("dst_in"))
+    """Where :func:`sim_frame` finds its needles: in the clip if it holds them, else in the video, some in a video that is not there."""
+    found = sim_frame(spark, d)
+    found = found.withColumn("pos", F.row_number().over(Window.partitionBy("needle").orderBy("score", "media_id")))
+    rows = T.media_vec(spark, d).withColumn("media_id", F.expr(T.owner("label", "(id - 1)")))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("media_id").orderBy("id"))).where("id % 5 = 0")
+    clip, gone = F.col("n").between(5, 40), F.col("n") % 7 == 0
+    video = F.when(clip, F.col("media_id") + 100).when(gone, F.col("media_id") + 50).otherwise(F.col("media_id"))
+    expected = rows.select(F.col("id").alias("needle"), video.alias("media_id"), F.when(clip, 3 * F.col("n") - 9).otherwise(3 * F.col("n")).alias("frame"))
     return V.frame_summary(V.frames(expected, found))
 
 
