@@ -6,6 +6,7 @@ import re
 
 from collections.abc import Callable
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,9 +70,7 @@ def split(c: Column, by: str) -> Column:
     spark = SparkSession.active()
     try:
         spark._jvm.java.util.regex.Pattern.compile(by)
-    except Exception as e:
-        if "PatternSyntaxException" not in str(e):
-            raise
+    except IllegalArgumentException:
         by = re.escape(by)
     return F.split(c, by)
 
