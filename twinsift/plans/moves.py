@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,36 +51,79 @@ def _fill(template: str, base: Column, pattern: str | None) -> Column:
     return F.concat(*parts)
 
 
-def _numbered(rows: DataFrame, there: DataFrame, digits: int, stash: Stash) -> DataFrame:
+def _taken_numbers(rows: DataFrame, there: DataFrame, digits: int) -> DataFrame:
+    """``(plain, path, t)``: the numbers with which a target of ``rows`` is a path that exists, by hash joins.
+
+    Every stretch of ``digits`` digits of a path may be a number, and so may the first and the last of two equal ones;
+    what stands before the first and after the last is the key.
+    """
+    digit = f"substr(path, i, {digits})"
+    paths = there.where(F.length("path") >= digits).withColumn("at", F.expr(f"filter(sequence(1, length(path) - {digits} + 1), i -> {digit} rlike '^[0-9]+$')"))
+    both = f"filter(at, j -> j = i or (j >= i + {digits} and substr(path, j, {digits}) = {digit}))"
+    spots = paths.select("path", F.inline(F.expr(f"flatten(transform(at, i -> transform({both}, j -> struct(i as i, j as j))))")))
+    spots = spots.select("path", F.expr("substr(path, 1, i - 1)").alias("before"), F.expr(f"substr(path, j + {digits})").alias("after"), (F.col("j") > F.col("i")).alias("many"), F.expr(digit).alias("number"))
+    shapes = rows.select("plain").distinct()
+    shapes = shapes.select("plain", F.substring_index("plain", "%n", 1).alias("before"), F.substring_index("plain", "%n", -1).alias("after"), (F.size(F.split("plain", "%n")) > 2).alias("many"))
+    met = shapes.join(spots, ["before", "after", "many"]).where(F.replace("plain", F.lit("%n"), F.col("number")) == F.col("path"))
+    return met.select("plain", "path", F.col("number").cast("long").alias("t"))
+
+
+def _numbered(rows: DataFrame, there: DataFrame, digits: int, stash: Stash, block: int = 200_000) -> DataFrame:
     """Adds ``new_path`` with a number for ``%n``; a row whose target exists takes none, and the next tries it again.
 
-    Rows are numbered by order up to the first whose target exists. With its number held fast, the rows up to the
-    next free target are refused together, and numbering goes on from there: two jobs for each such stretch.
+    The number of row i is i + 1 less the rows refused before it, so only refused rows have to be found. Rows whose
+    target never exists with any number cannot be refused. The others are walked in order by blocks of ``block`` rows,
+    one after the other, each in a task that holds the taken numbers its rows can reach; blocks without such rows
+    are left out. The jobs follow from the number of blocks, not from the taken targets. One sum over each block then
+    numbers all rows.
     """
-    skipped, going, settled, start = rows.where("skip").withColumn("new_path", F.lit(None).cast("string")), rows.where(~F.col("skip")), None, 1
-
-    def tried(df: DataFrame, number: Column) -> DataFrame:
-        path = F.replace("plain", F.lit("%n"), F.lpad(number.cast("string"), digits, F.lit("0")))
-        met = F.coalesce("taken", F.lit(False)) & (F.col("new_path") != F.col("path"))
-        return stash.put(df.withColumn("new_path", path).join(there, "new_path", "left").withColumn("met", met).drop("taken"), "tried")
-
-    def settle(df: DataFrame) -> None:
-        nonlocal settled
-        df = df.drop("nth", "met")
-        settled = df if settled is None else settled.unionByName(df)
-
-    while True:
-        up = tried(number_rows(going, [F.col("pos")], "nth", start), F.col("nth"))
-        stuck = up.where("met").agg(F.min("nth")).first()[0]
-        settle(up if stuck is None else up.where(F.col("nth") < stuck))
-        if stuck is None:
-            return skipped.unionByName(settled)
-        held = tried(up.where(F.col("nth") >= stuck).drop("new_path", "met"), F.lit(stuck))
-        free = held.where("not met").agg(F.min("nth")).first()[0]
-        settle(held if free is None else held.where(F.col("nth") < free))
-        if free is None:
-            return skipped.unionByName(settled)
-        going, start = held.where(F.col("nth") >= free).drop("nth", "met", "new_path"), stuck
+    there = there.select(F.col("new_path").alias("path"))
+    going = stash.put(number_rows(rows.where(~F.col("skip")), [F.col("pos"), F.col("id")], "i").withColumn("block", F.floor(F.col("i") / block)), "going")
+    taken = stash.put(_taken_numbers(going, there, digits), "taken")
+    at_risk = going.select("block", "i", "path", "plain").join(taken.select("plain").distinct(), "plain", "left_semi")
+    at_risk = at_risk.join(taken.withColumnRenamed("t", "own"), ["plain", "path"], "left").select("block", "i", "plain", "own")
+    at_risk = stash.put(at_risk.repartitionByRange("i").sortWithinPartitions("i"), "at_risk")
+    refused, lost, found = 0, {}, None
+    for (b,) in sorted(at_risk.select("block").distinct().collect()):
+        least = b * block + 1 - refused
+        part = at_risk.where(F.col("block") == b)
+        near = taken.where(F.col("t").between(least, least + block)).join(part.select("plain"), "plain", "left_semi")
+        near = near.select(F.lit(b).alias("block"), "plain", "t")
+        out = part.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(_walk(refused), "block long, i long")
+        out = stash.put(out, "refused")
+        found = out if found is None else found.unionByName(out)
+        lost[b] = out.count()
+        refused += lost[b]
+    nth = going.withColumn("nth", F.col("i") + 1)
+    if refused:
+        blocks = range(max(lost) + 1)
+        bases = list(zip(blocks, accumulate((lost.get(b, 0) for b in blocks), initial=0)))
+        bases.append((len(blocks), refused))
+        bases = going.sparkSession.createDataFrame(bases, "base_block long, base long")
+        same = F.least(F.col("block"), F.lit(len(blocks))) == F.col("base_block")
+        before = F.sum("gone").over(Window.partitionBy("block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
+        nth = nth.join(found.select("i", F.lit(1).alias("gone")), "i", "left").join(F.broadcast(bases), same)
+        nth = nth.withColumn("nth", F.col("nth") - F.col("base") - F.coalesce(before, F.lit(0)))
+    path = F.replace("plain", F.lit("%n"), F.lpad(F.col("nth").cast("string"), digits, F.lit("0")))
+    skipped = rows.where("skip").withColumn("new_path", F.lit(None).cast("string"))
+    return skipped.unionByName(nth.withColumn("new_path", path).select(*rows.columns, "new_path"))
+
+
+def _walk(refused: int):
+    """Finds the refused rows of a block, of which ``refused`` rows were refused before it."""
+
+    def walk(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        taken = set(zip(near["plain"], near["t"]))
+        rows = rows.sort_values("i")
+        gone, out = refused, []
+        for i, plain, own in zip(rows["i"].tolist(), rows["plain"], rows["own"].fillna(-1).tolist()):
+            n = i + 1 - gone
+            if n != own and (plain, n) in taken:
+                gone += 1
+                out.append(i)
+        return pd.DataFrame({"block": rows["block"].iloc[0] if len(rows) else 0, "i": out}, columns=["block", "i"]).astype("int64")
+
+    return walk
 
 
 def rename_plan(items: DataFrame, media: DataFrame, template: str, pattern: str | None = None, find: str | None = None) -> DataFrame:
