@@ -57,10 +57,10 @@ class Found:
 class LicenseIndex:
     """Postings ``(template, position)`` of each template's rarest words, for lookup by relative position."""
 
-    def __init__(self, idf: dict[bytes, float] | None = None, anchors: int = 3, coverage: float = 0.6, templates=TEMPLATES, phrases=PHRASES):
-        self.coverage = coverage
-        coded = [(label, alnum_words(text.encode()), [alnum_words(p.encode()) for p in must]) for label, text, must in templates]
-        plain = [(label, alnum_words(text.encode())) for text, label in phrases]
+    def __init__(self, idf: dict[bytes, float] | None = None, anchors: int = 3, coverage: float = 0.6, templates=TEMPLATES, phrases=PHRASES, drift: int = 4):
+        self.coverage, self.drift = coverage, drift
+        coded = [(label, alnum_words(text.encode()), [w for p in must if (w := alnum_words(p.encode()))]) for label, text, must in templates]
+        plain = [(label, w) for text, label in phrases if (w := alnum_words(text.encode()))]
         self.words = {w: i for i, w in enumerate(sorted({w for _, t, _ in coded for w in t} | {w for _, p in plain for w in p}), 1)}
         number = lambda ws: np.array([self.words.get(w, 0) for w in ws])
         self.templates = [(label, number(t), [number(p) for p in must]) for label, t, must in coded]
@@ -94,22 +94,42 @@ class LicenseIndex:
             for t, q in posts if len(at) else ():
                 votes.append(np.stack([np.full(len(at), t), at - q, np.full(len(at), word)], 1))
         own, best = set(), 0.0
-        if votes:
-            agreed, n = np.unique(np.unique(np.concatenate(votes), axis=0)[:, :2], axis=0, return_counts=True)
-            for (t, offset), count in zip(agreed.tolist(), n.tolist()):
-                if count < self.need[t]:
-                    continue
-                label, wanted, must = self.templates[t]
-                lo, hi = max(0, offset), min(len(ids), offset + len(wanted))
-                there = ids[lo:hi]
-                share = float((there == wanted[lo - offset : hi - offset]).sum()) / len(wanted)
-                if share >= self.coverage and all(len(self._places(there, p)) for p in must):
-                    own.add(label)
-                    best = max(best, share)
+        votes = np.unique(np.concatenate(votes), axis=0) if votes else np.zeros((0, 3), np.int64)
+        first = 0
+        for t, offset in np.unique(votes[:, :2], axis=0).tolist():
+            while tuple(votes[first, :2]) < (t, offset):
+                first += 1
+            near, last = set(), first
+            while last < len(votes) and votes[last, 0] == t and votes[last, 1] <= offset + self.drift:
+                near.add(int(votes[last, 2]))
+                last += 1
+            label, wanted, must = self.templates[t]
+            if len(near) < self.need[t] or (label in own and best == 1):
+                continue
+            share = self._share(ids, wanted, offset)
+            if share >= self.coverage and all(len(self._places(ids[max(0, offset - self.drift) : offset + len(wanted) + self.drift], p)) for p in must):
+                own.add(label)
+                best = max(best, share)
         at = np.concatenate(starts) if starts else None
         ends = (int(at.min()), int(at.max())) if starts else (None, None)
         return Found(len(words), sum(map(len, starts)), *ends, sorted(base), sorted(base | own), best)
 
+    def _share(self, ids: np.ndarray, wanted: np.ndarray, offset: int) -> float:
+        """Part of the template's words that stand in place: all at the best shift, runs of three or more at others."""
+        met, best = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool)
+        for at in range(offset - self.drift, offset + self.drift + 1):
+            lo, hi = max(0, at), min(len(ids), at + len(wanted))
+            if lo >= hi:
+                continue
+            same = np.zeros(len(wanted), bool)
+            same[lo - at : hi - at] = ids[lo:hi] == wanted[lo - at : hi - at]
+            if same.sum() > best.sum():
+                best = same
+            ends = np.flatnonzero(same[2:] & same[1:-1] & same[:-2])
+            for k in range(3):
+                met[ends + k] = True
+        return float((met | best).mean())
+
     @staticmethod
     def _places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
         m = len(ids) - len(phrase) + 1
@@ -142,21 +162,23 @@ def word_idf(docs: DataFrame, text_col: str = "text", templates=TEMPLATES) -> di
     return {w.encode(): float(np.log((1 + total) / (1 + n))) for w, n in found.items()}
 
 
-def scan(docs: DataFrame, anchors: int = 3, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, anchors: int = 3, coverage: float = 0.6, templates=TEMPLATES, phrases=PHRASES, drift: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licence phrases and notices in whole texts; one row per row of ``docs``.
 
     Columns: ``doc_id, n_words, n_base`` (places of the plain phrases), ``first_word, last_word`` (their first and
     last start; null without any), ``base_labels, labels, score``. A template is looked up by its ``anchors`` words
     of highest inverse document frequency over the corpus: where two of them stand at the template's relative
-    positions, at least the part ``coverage`` of its words must stand at theirs, with its mandatory phrases whole.
-    The score is the best such part, 0 without any. Null and empty texts have no words; null ids, repeated
+    positions, give or take ``drift`` words, at least the part ``coverage`` of its words must stand there, with its mandatory
+    phrases whole. The best shift counts all its words, other shifts runs of three or more, so that words put in or left
+    out only cost what is near them. The score is the best such part, 0 without any. ``templates(label, text, mandatory
+    phrases)`` and ``phrases(phrase, label)`` may be the caller's; whole licence texts are templates like any other. Null and empty texts have no words; null ids, repeated
     rows and extra columns change nothing; no rows give no rows.
     """
-    idf = word_idf(docs, text_col)
+    idf = word_idf(docs, text_col, templates)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = LicenseIndex(idf, anchors, coverage)
+        index = LicenseIndex(idf, anchors, coverage, templates, phrases, drift)
         for batch in slices(batches, 256):
             found = [index.scan(t) for t in as_bytes(batch.column(1))]
             out = [pa.array([getattr(f, n) for f in found], pa.int64()) for n in ("n_words", "n_base", "first_word", "last_word")]
