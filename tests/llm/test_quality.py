@@ -83,3 +83,61 @@ def test_unusable_ratings_take_no_slots(spark, other):
     many = [(other if other in (None, 1) else other + k, 1, 1) for k in range(2000)]
     model = q.fit(docs, q.graded(spark.createDataFrame(labels + many, LABELS)), max_rated=80)
     assert {r["doc_id"] for r in q.select(docs, model).collect() if r["kept"]} == {i for i in range(80) if i % 2 == 0}
+
+
+def test_fit_against_an_independent_optimum(spark):
+    """The same model by Newton's method on a dense table, with differences for derivatives and scales counted one by one."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(240):
+        level = rng.random()
+        text = [rng.choice(["sun", "tree", "river", "stone", "bird", "cloud"]) for _ in range(rng.randint(6, 12))]
+        text += [w for w, p in (("scum", 0.9 - level), ("spam", 0.9 - abs(level - 0.4) * 2), ("fine", level)) if rng.random() < p]
+        rng.shuffle(text)
+        grade = 0 if level < 0.3 else 1 if level < 0.6 else 2
+        rows.append((i, " ".join(text), "en", 1, "x"))
+        labels.append((i, int(grade == 2), int(grade == 0)))
+    docs = frame(spark, rows)
+    model = q.fit(docs, q.graded(spark.createDataFrame(labels, LABELS)))
+
+    grades = [0 if toxic else 1 + good for _, good, toxic in labels]
+    sets = [{q.bucket(w) for w in q.text_features(r[1].encode())} for r in rows]
+    names = sorted(set().union(*sets))
+    x = np.array([[float(b in s) for b in names] for s in sets])
+    total, scale = x.sum(), []
+    for j in range(len(names)):
+        told = 1e-3
+        for k in (1, 2):
+            p = sum(x[i].sum() for i in range(len(rows)) if grades[i] >= k) / total
+            n, have = x[:, j].sum(), sum(x[i, j] for i in range(len(rows)) if grades[i] >= k)
+            told = max(told, max(abs(have - n * p) - 0.5, 0) ** 2 / max(n * p * (1 - p), 1e-9) / 15)
+        scale.append(min(told, 1))
+    x = x * np.array(scale)
+
+    def loss(z):
+        score, below = x @ z[:-2], [np.zeros(len(rows)), None, None, np.ones(len(rows))]
+        below[1], below[2] = (1 / (1 + np.exp(score - c)) for c in z[-2:])
+        chance = [below[g + 1][i] - below[g][i] for i, g in enumerate(grades)]
+        return -np.log(np.maximum(chance, 1e-300)).sum() + 0.05 * (z[:-2] ** 2).sum()
+
+    z, d = np.concatenate([np.zeros(len(names)), [-0.7, 0.7]]), len(names) + 2
+    eye, h = np.eye(d), 1e-4
+    for _ in range(8):
+        up, down = np.array([loss(z + h * e) for e in eye]), np.array([loss(z - h * e) for e in eye])
+        here, hess = loss(z), np.zeros((d, d))
+        for a in range(d):
+            hess[a, a] = (up[a] - 2 * here + down[a]) / h**2
+            for b in range(a):
+                both = loss(z + h * (eye[a] + eye[b])) - up[a] - up[b] + here
+                less = loss(z - h * (eye[a] + eye[b])) - down[a] - down[b] + here
+                hess[a, b] = hess[b, a] = (both + less) / 2 / h**2
+        step, t = np.linalg.solve(hess + 1e-6 * eye, (up - down) / (2 * h)), 1.0
+        while not loss(z - t * step) <= here and t > 1e-4:
+            t /= 2
+        z = z - t * step
+    fitted = np.concatenate([model.weights[names] / np.array(scale), model.cuts])
+    assert loss(z) <= loss(fitted) + 1e-6 and loss(fitted) < loss(z) + 0.01 * abs(loss(z)), (loss(z), loss(fitted))
+    wanted = 1 / (1 + np.exp(z[-1] - x @ z[:-2]))
+    got = {r["doc_id"]: r for r in q.select(docs, model).collect()}
+    assert max(abs(got[i]["tail_probability"] - wanted[i]) for i in range(240)) < 0.05
+    assert all(got[i]["kept"] == (wanted[i] >= 0.5) for i in range(240) if abs(wanted[i] - 0.5) > 0.05)
