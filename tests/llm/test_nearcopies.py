@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,3 +122,23 @@ def test_working_columns_do_not_clash(spark):
     kept = n.keep_one(spark.createDataFrame(rows, schema))
     assert kept.columns == [c.split()[0] for c in schema.split(", ")]
     assert sorted(map(tuple, kept.collect())) == rows[:3]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_documents_against_all_pairs(spark, sf):
+    """Every pair of texts with a common shingle is compared, so this is the recall of the stage: it must be whole."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = [(r["doc_id"], shingles(r["text"])) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    holders, links, pairs = {}, [], 0
+    for i, (_, own) in enumerate(rows):
+        for j, shared in Counter(j for s in own for j in holders.get(s, ())).items():
+            if shared * 5 >= (len(own) + len(rows[j][1]) - shared) * 4:
+                links.append((i, j))
+                pairs += own != rows[j][1]
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    links += [(i, j) for i, j in zip([i for i, r in enumerate(rows) if not r[1]], [i for i, r in enumerate(rows) if not r[1]][1:])]
+    first = closure(len(rows), links)
+    kept = sorted(r["doc_id"] for r in n.keep_one(docs).select("doc_id").collect())
+    assert kept == [rows[i][0] for i, root in enumerate(first) if i == root]
+    assert len(kept) < len(rows) and (sf == "sf0.001" or pairs)

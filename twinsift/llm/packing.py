@@ -174,7 +174,10 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """``(sequence_id, n_tokens, ids binary)`` of pieces packed with ``keep_ids``; a sequence is of bounded size."""
+    """``(sequence_id, n_tokens, ids binary)`` of pieces packed with ``keep_ids``; a sequence is of bounded size.
+
+    Null document ids and extra columns change nothing; no pieces give no rows.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     whole = F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), whole.alias("ids"))

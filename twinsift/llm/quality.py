@@ -259,7 +259,11 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def select(docs: DataFrame, model: OrdinalModel, least_grade: int = 2, least_tail: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, expected_grade, tail_probability, kept)``: kept if grade ``least_grade`` or more is likely."""
+    """``(doc_id, expected_grade, tail_probability, kept)``: kept if grade ``least_grade`` or more is likely.
+
+    One row per row of ``docs``, repeated ones included; null and empty texts are judged by the weight of having no words,
+    ids may be null, a tail of just ``least_tail`` is kept, extra columns are ignored, and no rows give no rows.
+    """
     tail = F.element_at("tails", least_grade)
     return score(docs, model, id_col, text_col).select(
         "doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= least_tail).alias("kept")
@@ -267,7 +271,10 @@ def select(docs: DataFrame, model: OrdinalModel, least_grade: int = 2, least_tai
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least_grade: int = 2, least_tail: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that :func:`select` would keep, with all their columns; rows are judged where they are read."""
+    """Rows of ``docs`` that :func:`select` would keep, with all their columns; rows are judged where they are read.
+
+    Any column names are free, as nothing is added; repeated rows stay or go together, and an empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

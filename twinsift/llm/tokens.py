@@ -77,7 +77,10 @@ def token_histogram(docs: DataFrame, tokenizer: str | None = None, id_col: str =
 
 
 def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
-    """One row: tokens left when every document is cut at ``limit``, from one histogram row."""
+    """One row: tokens left when every document is cut at ``limit``, from one histogram row.
+
+    Documents of no tokens count as such; a document of just ``limit`` tokens is not cut; an empty histogram gives nulls.
+    """
     inside = F.when(F.col("n_tokens") <= limit, F.col("n_tokens"))
     sums = histogram.agg(
         F.max_by(F.struct("docs_longer", "tokens_longer"), inside).alias("x"),
@@ -90,5 +93,8 @@ def truncated_total(histogram: DataFrame, limit: int) -> DataFrame:
 
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:
-    """One row: the smallest length that at least the part ``q`` of the documents does not exceed."""
+    """One row: the smallest length that at least the part ``q`` of the documents does not exceed.
+
+    An empty histogram, or a ``q`` above 1, gives a null length; extra columns are ignored.
+    """
     return histogram.where(F.col("share_at_most") >= q).agg(F.lit(q).alias("q"), F.min("n_tokens").alias("n_tokens"))

@@ -291,7 +291,8 @@ def scan_ranges(files: DataFrame, payloads: bool, size: int = 64 << 20) -> DataF
     """Records, and their ``file``, of gzip files ``files(file, length)`` by byte ranges that tasks open themselves, in any store that Arrow opens.
 
     For names that Spark's text reader would decompress as a whole, like ``.warc.gz``. A member may hold several
-    records, all of which belong to the range in which it starts. Empty files and no files give no rows.
+    records, all of which belong to the range in which it starts. A member that cannot be read is a
+    row of type damaged; empty files and no files give no rows.
     """
     columns = RECORD + PIECE[:1]
 
