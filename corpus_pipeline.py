@@ -9,7 +9,11 @@ from twinsift.stash import Stash
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier, fitted on the labels' grades, expects to be good."""
+    """Documents that the ordinal classifier, fitted on the labels' grades, expects to be good.
+
+    Null and empty texts are judged like any other, repeated rows stay or go together, all columns stay as they are, and
+    an empty table or one without ratings loses nothing.
+    """
     labels = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, quality.fit(docs, labels))
 
@@ -18,17 +22,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
     The SimHash trie join links close fingerprints; bands of minima add the pairs that it misses near 0.8.
+    Null and wordless texts are one group; the smallest id stays, null ids last; all columns stay as they are, whatever their
+    names; an empty table stays empty.
     """
     return nearcopies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts hold none and stay, and so does everything where the benchmark is empty; repeated rows stay or go
+    together; all columns stay as they are; an empty table stays empty.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, packed into sequences of at most 2048 tokens."""
+    """The documents' pieces, packed into sequences of at most 2048 tokens.
+
+    Null and empty texts are one piece that holds id 0, repeated rows and null ids are packed like any other, extra columns
+    are ignored, and no rows give no rows.
+    """
     return packing.pack_documents(docs, 2048)
 
 
