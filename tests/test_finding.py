@@ -1,5 +1,6 @@
 import pytest
 
+from twinsift.operators import similar
 from twinsift.operators.finding import matches, similar_groups
 from twinsift.params import SearchParams
 
@@ -67,6 +68,33 @@ def test_thresholds_and_the_needle_itself(spark, media):
     assert pick(matches(SearchParams(alg="color", mm=1), media, data=palettes)) == [(1, 2), (2, 1), (3, 2), (4, 3), (5, 4)]
 
 
+def test_reflections_of_the_needle(spark, media):
+    flips = [(1, "none", 0b111110), (1, "h", (1 << 60) - 2), (1, "v", 0b111010), (2, "h", 0), (2, "v", None), (9, "h", 0b111110)]
+    mirrored = spark.createDataFrame(flips, "needle long, flip string, hash long")
+    pick = lambda p, **k: {(r["needle"], r["media_id"]): r["score"] for r in matches(p, media, mirrored=mirrored, **k).collect()}
+    one = spark.createDataFrame([(1,)], "needle long")
+    plain = pick(SearchParams(fs=False, mm=9), needles=one)
+    assert plain == {(1, 1): 0, (1, 4): 0, (1, 2): 1, (1, 3): 1}
+    assert pick(SearchParams(fs=False, mm=9, refl="h"), needles=one) == {**plain, (1, 5): 0}
+    assert pick(SearchParams(fs=False, mm=9, refl="v"), needles=one) == {**plain, (1, 3): 0}
+    assert pick(SearchParams(fs=False, mm=9, refl=7))[(1, 5)] == 0
+    for bad in (SearchParams(refl=1, alg="orb"), SearchParams(refl="x"), SearchParams(refl=8)):
+        with pytest.raises(ValueError):
+            pick(bad)
+
+
+def test_matches_are_verified(spark, media):
+    hashes = spark.createDataFrame([("m1", 0), ("m2", 0b111), ("m3", 0b11111111)], "md5 string, hash long")
+    scorer = similar.hash_scorer(hashes)
+    assert listed(similar_groups(SearchParams(tm=True, fg=False), media, scorer=scorer)) == {1: [1, 2], 2: [2, 1, 3], 3: [3, 2]}
+    assert listed(similar_groups(SearchParams(tm=True, tdht=4, fg=False), media, scorer=scorer)) == {1: [1, 2], 2: [2, 1]}
+    known = spark.createDataFrame([("m3", "m1", 2)], "md5_a string, md5_b string, score int")
+    assert listed(similar_groups(SearchParams(tm=True, fg=False), media, scores=known)) == {1: [1, 3], 3: [3, 1]}
+    assert listed(similar_groups(SearchParams(tm=True, tdht=4, fg=False), media, scores=known, scorer=scorer)) == {1: [1, 3, 2], 2: [2, 1], 3: [3, 1]}
+    with pytest.raises(ValueError):
+        similar_groups(SearchParams(tm=True), media)
+
+
 def test_existence_by_pattern(media):
     from twinsift.operators.select import existing_like
 

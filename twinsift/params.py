@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, fields
 
 TYPES = {"image": 1, "video": 2, "audio": 4}
+FLIPS = {"h": 1, "v": 2, "b": 4}
 ALGOS = {"dct": 0, "fdct": 1, "orb": 2, "color": 3, "video": 4}
 
 
@@ -47,6 +48,8 @@ class SearchParams(_Checked):
     mn: int = _ranged(1, 1, 1_000_000)
     mm: int = _ranged(5, 1, 1_000_000)
     mt: int = _ranged(0, 0, 256)
+    refl: int | str = 0
+    tm: bool = False
     tdht: int = _ranged(7, 0, 65)
     fs: bool = True
     neg: bool = False
@@ -58,6 +61,13 @@ class SearchParams(_Checked):
     eg: bool = False
     types: int | None = None
 
+    def flips(self) -> list[str]:
+        """Names of the reflections of a needle to search for as well."""
+        mask = parse_flags(self.refl, FLIPS)
+        if not 0 <= mask < 8:
+            raise ValueError(f"refl must be 0 to 7, not {mask}")
+        return [{"b": "both"}.get(name, name) for name, bit in FLIPS.items() if mask & bit]
+
     def result_types(self) -> int:
         """Video searches look in images and videos unless types are given; others in images."""
         if self.types is not None:
