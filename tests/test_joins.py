@@ -218,3 +218,16 @@ def test_tiles_meet_each_pair_once(spark, hashes, monkeypatch, hot, radix):
 def test_tiles_where_keys_compare_more():
     assert blocking.tiles_pay(500_000, 30) and blocking.tiles_pay(500_000, 22, 4) and blocking.tiles_pay(10, 64)
     assert not blocking.tiles_pay(500_000, 5) and not blocking.tiles_pay(10**8, 9) and not blocking.tiles_pay(10**9, 5, 10)
+
+
+@pytest.mark.parametrize("hot, dealt", [(50, False), (1, True)])
+def test_entries_of_counted_keys_are_not_sent(spark, monkeypatch, hot, dealt):
+    rng = random.Random(3)
+    rows = [rng.getrandbits(52) << 11 for _ in range(100)]  # one block is the same in all
+    rows = list(enumerate(rows + [x ^ 3 << rng.randrange(11, 60) for x in rows[:50]]))
+    for name, value in (("HOT", hot), ("SENT", 500), ("COPY_COST", 0), ("MAX_COPIES", 15)):
+        monkeypatch.setattr(blocking, name, value)
+    found = hamming_pairs(spark.createDataFrame(rows, "id long, phash long"), 5, "phash", "id")
+    assert {(r.id_a, r.id_b) for r in found.collect()} == brute(rows, 5)
+    last = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+    assert "SortMergeJoin" in last and ("pl#" in last) == dealt
