@@ -7,10 +7,13 @@ import time
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinsift import catalog_queries as q
+from twinsift import tables
 from twinsift.sources import features, files, sinks
 from twinsift.streaming import ingest
 
@@ -296,3 +299,7 @@ def test_palette_places_each_colour_for_all_its_pixels():
     inside = np.sqrt(x**2 + y**2) <= 0.9
     want = features.luv(image[:, :, ::-1][inside].astype(float)).mean(0)
     assert np.allclose(found[0][:3], want)
+
+
+def test_pictures_are_dealt_to_many_tasks(spark):
+    assert tables.pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,7 @@ def gray(image: np.ndarray) -> np.ndarray:
     return image[:, :, :3] @ np.array([0.114, 0.587, 0.299])
 
 
+@lru_cache(256)
 def area_weights(n: int, m: int) -> np.ndarray:
     """Matrix that averages n samples to m by overlap."""
     edges = np.linspace(0, n, m + 1)
@@ -79,10 +81,17 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return area_weights(image.shape[0], height) @ image @ area_weights(image.shape[1], width).T
 
 
+@lru_cache(256)
+def _padded(n: int, k: int, mode: str) -> np.ndarray:
+    return np.pad(np.arange(n), k, mode=mode)
+
+
 def mean_blur(image: np.ndarray, k: int) -> np.ndarray:
-    padded = np.pad(image, k // 2, mode="reflect" if min(image.shape) > k // 2 else "edge")
-    sums = np.cumsum(np.cumsum(np.pad(padded, ((1, 0), (1, 0))), 0), 1)
     h, w = image.shape
+    mode = "reflect" if min(h, w) > k // 2 else "edge"
+    sums = np.zeros((h + k // 2 * 2 + 1, w + k // 2 * 2 + 1))
+    sums[1:, 1:] = image[_padded(h, k // 2, mode)[:, None], _padded(w, k // 2, mode)]
+    sums = np.cumsum(np.cumsum(sums, 0), 1)
     return (sums[k : k + h, k : k + w] - sums[:h, k : k + w] - sums[k : k + h, :w] + sums[:h, :w]) / k**2
 
 
@@ -98,6 +107,7 @@ def _zigzag(n: int) -> list[tuple[int, int]]:
 
 
 COSINES, ORDER = _cosines(), _zigzag(9)
+LOW = tuple(np.array(ORDER[6:69]).T)
 
 
 def dct_hash(image: np.ndarray) -> int:
@@ -105,16 +115,16 @@ def dct_hash(image: np.ndarray) -> int:
     area = image.shape[0] * image.shape[1]
     k = 0 if area <= 32 * 32 else 3 if area <= 64 * 64 else 5 if area <= 128 * 128 else 7
     small = resize(mean_blur(image, k) if k else image, SIDE, SIDE)
-    low = COSINES @ small @ COSINES.T
-    values = np.array([low[y, x] for y, x in ORDER[6:69]])
-    bits = sum(1 << i for i, v in enumerate(values, 1) if v > values.mean())
+    values = (COSINES @ small @ COSINES.T)[LOW]
+    bits = int.from_bytes(np.packbits(values > values.mean(), bitorder="little").tobytes(), "little") << 1
     bits = bits or 1
     return bits - (1 << 64) if bits >> 63 else bits
 
 
 def average_hash(image: np.ndarray) -> int:
+    """Signed 64-bit hash of a gray image: cells above the mean; one that equals it but for rounding is not."""
     small = resize(image, 8, 8).ravel()
-    bits = sum(1 << i for i, v in enumerate(small) if v > small.mean())
+    bits = sum(1 << i for i, v in enumerate(small - small.mean()) if v > 1e-7)
     return bits - (1 << 64) if bits >> 63 else bits
 
 
@@ -155,6 +165,15 @@ def luv(rgb: np.ndarray) -> np.ndarray:
     return np.stack([light, 13 * light * (4 * x / d - 0.19783), 13 * light * (9 * y / d - 0.46834)], 1)
 
 
+@lru_cache(64)
+def _ellipse(h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels inside an inscribed ellipse, and their closeness to the centre."""
+    y, x = (np.arange(h)[:, None] + 0.5) / h * 2 - 1, (np.arange(w)[None, :] + 0.5) / w * 2 - 1
+    far = np.sqrt(x**2 + y**2)
+    inside = far.ravel() <= 0.9
+    return inside, 1 - np.minimum(far / 0.9, 1).ravel()[inside]
+
+
 def palette(image: np.ndarray, colours: int = 32, seed: int = 1, rounds: int = 12) -> list[tuple[float, float, float, float]]:
     """Up to ``colours`` Luv colours with weights by closeness to the centre, heaviest first.
 
@@ -164,12 +183,13 @@ def palette(image: np.ndarray, colours: int = 32, seed: int = 1, rounds: int = 1
     step = max(1, -(-max(image.shape[:2]) // 256))
     small = image[::step, ::step, 2::-1] if image.shape[2] >= 3 else np.repeat(image[::step, ::step, :1], 3, 2)
     h, w = small.shape[:2]
-    y, x = (np.arange(h)[:, None] + 0.5) / h * 2 - 1, (np.arange(w)[None, :] + 0.5) / w * 2 - 1
-    far = np.sqrt(x**2 + y**2)
-    inside = far.ravel() <= 0.9
-    seen, which = np.unique(small.reshape(-1, 3)[inside], axis=0, return_inverse=True)  # a colour is placed once, for all its pixels
-    weight = np.bincount(which.ravel(), 1 - np.minimum(far / 0.9, 1).ravel()[inside], len(seen))
-    many, points = np.bincount(which.ravel(), minlength=len(seen)), luv(seen.astype(float))
+    inside, close = _ellipse(h, w)
+    # A colour is placed once, for all its pixels.
+    packed = small.reshape(-1, 3)[inside].astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+    keys, which = np.unique(packed, return_inverse=True)
+    seen = np.stack([keys >> 16, keys >> 8 & 255, keys & 255], 1)
+    weight = np.bincount(which, close, len(seen))
+    many, points = np.bincount(which, minlength=len(seen)), luv(seen.astype(float))
     ok = points[:, 0] > 4
     points, weight, many = points[ok], weight[ok], many[ok]
     if not len(points):
@@ -178,8 +198,10 @@ def palette(image: np.ndarray, colours: int = 32, seed: int = 1, rounds: int = 1
     centres = start[np.random.default_rng(seed).permutation(len(start))[:colours]]
     for _ in range(rounds):
         near = np.argmin(((points[:, None, :] - centres[None]) ** 2).sum(2), 1)
-        used = np.unique(near)
-        centres = np.stack([np.average(points[near == k], axis=0, weights=many[near == k]) for k in used])
+        _, near = np.unique(near, return_inverse=True)
+        before, centres = centres, np.stack([np.bincount(near, points[:, c] * many) for c in range(3)], 1) / np.bincount(near, many)[:, None]
+        if np.array_equal(before, centres):
+            break
     near = np.argmin(((points[:, None, :] - centres[None]) ** 2).sum(2), 1)
     mass = np.bincount(near, weight, len(centres))
     return [(*map(float, centres[k]), float(mass[k])) for k in np.argsort(-mass, kind="stable")]
