@@ -303,3 +303,16 @@ def test_palette_places_each_colour_for_all_its_pixels():
 
 def test_pictures_are_dealt_to_many_tasks(spark):
     assert tables.pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+
+
+def test_average_hash_of_a_cell_equal_to_the_mean(spark, tmp_path):
+    levels = [189, 156, 166, 173, 168, 132, 147, 200, 138, 156, 139, 162, 147, 133, 135, 210, 193, 141, 174, 177, 164, 166, 151, 187, 162, 129, 152, 126, 159, 127, 203, 183]
+    levels += [231, 192, 149, 153, 169, 148, 176, 196, 164, 158, 178, 180, 159, 163, 185, 163, 160, 158, 161, 128, 217, 167, 171, 156, 123, 146, 122, 137, 165, 205, 158, 173]
+    gray = [114 * x + 587 * levels[(i + 21) % 64] + 299 * levels[(i + 42) % 64] for i, x in enumerate(levels)]
+    assert any(64 * x == sum(gray) for x in gray)
+    want = sum(1 << i for i, x in enumerate(gray) if 64 * x > sum(gray))
+    spark.createDataFrame([(1, [(x - 63.5) / 192 - 0.5 for x in levels])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for rows in (q.average_hash(spark, str(tmp_path)).collect(), duck.execute(q.SQL["average_hash"]).fetchall()):
+        assert [(r[0], r[1] % (1 << 64)) for r in rows] == [("vec1.png", want)]
