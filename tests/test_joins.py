@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,20 @@ def test_entries_of_counted_keys_are_not_sent(spark, monkeypatch, hot, dealt):
     assert {(r.id_a, r.id_b) for r in found.collect()} == brute(rows, 5)
     last = next(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
     assert "SortMergeJoin" in last and ("pl#" in last) == dealt
+
+
+def test_small_groups_have_their_order_from_spark(spark):
+    rows = spark.range(20_000).selectExpr("id div 2 as component", "0 as part", "id as rep", "id as h", "lpad(string(20000 - id), 5, '0') as path")
+    began = time.time()
+    got = {r.rep: r.nth for r in similar._chains(rows, 5).select("rep", "nth").collect()}
+    assert got == {i: 1 - i % 2 for i in range(20_000)}
+    assert time.time() - began < 15  # a call to Python for each of 10,000 groups takes longer
+
+
+def test_near_chain_is_greedy():
+    hashes = np.random.default_rng(2).integers(0, 1 << 12, 300).astype(np.uint64)
+    chain, free = [0], set(range(1, 300))
+    while free:
+        chain.append(min(free, key=lambda j: (min(int(hashes[i] ^ hashes[j]).bit_count() for i in chain[-5:]), j)))
+        free.remove(chain[-1])
+    assert similar.near_chain(hashes).tolist() == chain
