@@ -175,3 +175,16 @@ def test_only_short_needles_are_searched_again(spark):
     assert {n: sorted(v) for n, v in by.items()} == {
         1: [(1, 1), (1, 2)], 2: [(1, 1), (1, 2)], 3: [(2, 1), (2, 2), (2, 3)], 4: [(3, 3), (3, 4)], 5: [(5, 5)],
     }
+
+
+def test_cascade_finds_only_the_nearest_palettes(spark):
+    rows = [(i, 3, [(float(i), float(j), 0.0, 1.0) for j in range(3)]) for i in range(1, 41)]
+    colours = spark.createDataFrame(rows, "media_id long, num_colors int, colors array<struct<l:double,u:double,v:double,w:double>>")
+    media = spark.createDataFrame([(i, 0) for i in range(1, 41)], "id long, phash long")
+    features = spark.createDataFrame([], "media_id long, feat_no int, hash long")
+    descriptors = spark.createDataFrame([], "media_id long, desc_no int, d0 long, d1 long, d2 long, d3 long")
+    stages = similar.all_algorithms(media, features, descriptors, colours, 2)
+    needles = spark.createDataFrame([(i,) for i in range(1, 41)], "needle long")
+    assert stages[-1][1](needles).count() == 80
+    got = {(r.needle, r.media_id, r.score, r.pos, r.stage) for r in similar.cascade(needles, stages).where("needle = 7").collect()}
+    assert got == {(7, 6, 4, 1, "color"), (7, 8, 4, 2, "color")}
