@@ -188,3 +188,19 @@ def test_cascade_finds_only_the_nearest_palettes(spark):
     assert stages[-1][1](needles).count() == 80
     got = {(r.needle, r.media_id, r.score, r.pos, r.stage) for r in similar.cascade(needles, stages).where("needle = 7").collect()}
     assert got == {(7, 6, 4, 1, "color"), (7, 8, 4, 2, "color")}
+
+
+def test_palettes_of_one_file_are_scored_by_all_tasks(spark):
+    rng = random.Random(5)
+    rows = [(i, k := rng.randint(1, 7), [(rng.uniform(0, 100), rng.uniform(-100, 170), rng.uniform(-130, 100), 1.0) for _ in range(k)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "media_id long, num_colors int, colors array<struct<l:double,u:double,v:double,w:double>>").coalesce(1)
+    needles = table.where("media_id % 50 = 0")
+
+    def score(a, b):
+        large, small = (a, b) if len(a) >= len(b) else (b, a)
+        return int(1 + sum(min(((x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2 + (x[2] - y[2]) ** 2) ** 0.5 for y in small) for x in large))
+
+    want = sorted((i, j, score(a, b)) for i, m, a in rows if i % 50 == 0 for j, n, b in rows if abs(m - n) <= 2)
+    found = similar.colour_search(needles, table)
+    assert sorted(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() >= 4  # one before, however many palettes
