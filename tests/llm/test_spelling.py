@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.fixtures import corpus, frame
@@ -84,3 +85,27 @@ def test_pairs_of_two_blocks():
 
 def test_empty_table(spark):
     assert s.variants(frame(spark, [])).count() == 0
+
+
+def test_letters_of_many_small_blocks_are_counted_once(monkeypatch):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdé") for _ in range(5)) for _ in range(300)})
+    longer = sorted({"".join(rng.choice("abcdé") for _ in range(6)) for _ in range(300)})
+    rows = [(words[:90], None), (words[90:], longer[:100]), (words[:40], words[40:90]), ([], longer[:3]), (["x" * 2500], ["x" * 2501]), (words[:30], longer)]
+    kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+    block = lambda ws: None if ws is None else [{"word": w, "n": 2 * i} for i, w in enumerate(ws)]
+    batch = pa.RecordBatch.from_arrays([pa.array([block(r[k]) for r in rows], kind) for k in (0, 1)], ["ws", "other_ws"])
+    made, init = [], s._Spelled.__init__
+    monkeypatch.setattr(s._Spelled, "__init__", lambda self, ws: (made.append(len(ws)), init(self, ws))[1])
+    letters, want = "abcdéx", []
+    for a, b in rows:
+        for w in a:
+            for v in edits(w, letters) & set(a if b is None else b):
+                want.append((w, v, 2 * (a if b is None else b).index(v)))
+                if b is not None:
+                    want.append((v, w, 2 * a.index(w)))
+    for part in (batch, batch.slice(1, 5)):
+        got = s.near_of_rows(part).to_pydict()
+        if part is batch:
+            assert sorted(zip(got["word"], got["near"], got["near_n"])) == sorted(want) and len(want) > 200
+    assert len(made) == 2 and s.near_of_rows(batch.slice(3, 1)) is None

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from twinsift.stash import Stash
 LETTERS = r"[A-Za-zÀ-ÿ]"
 #: Words of a block, about, and different words a task counts before it hands them on.
 BLOCK, COUNTED = 512, 200_000
+#: Rows of two blocks that a task holds as arrays at a time.
+ROWS = 32
 #: Words for which one more group of letters pays, as a power: cells get smaller by about this factor with each group.
 FINER, MOST_GROUPS = 3.0, 12
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -96,43 +99,82 @@ def _beside(groups: int) -> list[list[int]]:
     return steps + [[1, *unit[i]][: groups] for i in range(groups)]
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+class _Spelled:
+    """Words of any lengths as codes of their letters, one after the other, with their letter counts and squared norms."""
+
+    def __init__(self, words: list[str]):
+        self.codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        alphabet = np.flatnonzero(np.bincount(self.codes))
+        place = np.zeros(alphabet[-1] + 1 if len(alphabet) else 1, np.int64)
+        place[alphabet] = np.arange(len(alphabet))
+        kind = np.float32 if self.sizes.max(initial=0) < 2000 else np.float64  # products stay whole numbers
+        flat = np.repeat(np.arange(len(words)) * len(alphabet), self.sizes) + place[self.codes]
+        self.counts = np.bincount(flat, minlength=len(words) * len(alphabet)).reshape(len(words), -1).astype(kind)
+        self.norms = (self.counts * self.counts).sum(1)
+
+    def letters(self, rows: np.ndarray, size: int) -> np.ndarray:
+        return self.codes[self.starts[rows][:, None] + np.arange(size)]
+
+    def near(self, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that are one edit apart, of two blocks of words of one length each, ``b`` not the shorter; or of one with itself.
+
+        Gram matrices of the letter counts give squared distances. A pair of equal lengths is kept at 2, one of
+        adjacent lengths at 1, then compared letter by letter.
+        """
+        if a.start == a.stop or b.start == b.stop:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        m, n = int(self.sizes[a.start]), int(self.sizes[b.start])
+        apart = self.counts[a] @ self.counts[b].T
+        apart *= -2
+        apart += self.norms[a, None]
+        apart += self.norms[b]
+        at = np.flatnonzero(apart == (2 if m == n else 1))
+        i, j = at // apart.shape[1] + a.start, at % apart.shape[1] + b.start
+        if a == b:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            return i, j
+        keep = []
+        step = max(1, 4_000_000 // n)
+        for at in range(0, len(i), step):
+            u, v = self.letters(i[at : at + step], m), self.letters(j[at : at + step], n)
+            if m == n:
+                keep.append((u != v).sum(1) == 1)
+            else:
+                before = np.logical_and.accumulate(u == v[:, :-1], 1).sum(1)
+                after = np.logical_and.accumulate((u == v[:, 1:])[:, ::-1], 1).sum(1)
+                keep.append(before + after >= m)
+        good = np.concatenate(keep)
+        return i[good], j[good]
 
 
-def _letter_counts(codes: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    kind = np.float32 if codes.shape[1] < 2000 else np.float64  # products stay whole numbers
-    flat = np.arange(len(codes))[:, None] * len(alphabet) + np.searchsorted(alphabet, codes)
-    return np.bincount(flat.ravel(), minlength=len(codes) * len(alphabet)).reshape(len(codes), -1).astype(kind)
+def near_in_blocks(a: list[str], b: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs that are one edit apart, of words of one length each, ``b`` not the shorter; ``None``: inside ``a``."""
+    left = slice(0, len(a))
+    i, j = _Spelled(a + (b or [])).near(left, left if b is None else slice(len(a), len(a) + len(b)))
+    return i, j if b is None else j - len(a)
 
 
-def near_in_blocks(a: list[str], b: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs that are one edit apart, of words of one length each, ``b`` not the shorter; ``None``: inside ``a``.
+def near_of_rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """``(word, near, near_n)``, both ways, of rows of two blocks ``(word, n)`` each, the second null for one with itself.
 
-    Gram matrices of the letter counts give squared distances. A pair of equal lengths is kept at 2, one of
-    adjacent lengths at 1, then compared letter by letter.
+    Letters of all words of the batch are counted at once; a row then costs few array operations, as most blocks are small.
     """
-    x = _codes(a)
-    y = x if b is None else _codes(b)
-    alphabet = np.unique(np.concatenate([x.ravel(), y.ravel()]))
-    p = _letter_counts(x, alphabet)
-    q = p if b is None else _letter_counts(y, alphabet)
-    apart = (p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * (p @ q.T)
-    i, j = np.nonzero(apart == (2 if x.shape[1] == y.shape[1] else 1))
-    if b is None:
-        i, j = i[i < j], j[i < j]
-    keep = []
-    step = max(1, 4_000_000 // y.shape[1])
-    for at in range(0, len(i), step):
-        u, v = x[i[at : at + step]], y[j[at : at + step]]
-        if x.shape[1] == y.shape[1]:
-            keep.append((u != v).sum(1) == 1)
-        else:
-            before = np.logical_and.accumulate(u == v[:, :-1], 1).sum(1)
-            after = np.logical_and.accumulate((u == v[:, 1:])[:, ::-1], 1).sum(1)
-            keep.append(before + after >= x.shape[1])
-    good = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[good], j[good]
+    sides = [c.flatten() for c in batch.columns]
+    words, n = (pa.concat_arrays([pc.struct_field(x, k) for x in sides]) for k in ("word", "n"))
+    sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns]
+    ends = np.cumsum(np.concatenate(sizes)).tolist()
+    blocks = [slice(start, end) for start, end in zip([0, *ends], ends)]
+    own = batch.column(1).is_null().to_pylist()
+    spelled = _Spelled(words.to_pylist())
+    found = [spelled.near(a, a if alone else b) for a, b, alone in zip(blocks, blocks[batch.num_rows :], own)]
+    i, j = (np.concatenate(x) for x in zip(*found))
+    if not len(i):
+        return None
+    u, v = pa.array(np.concatenate([i, j])), pa.array(np.concatenate([j, i]))
+    return pa.RecordBatch.from_arrays([words.take(u), words.take(v), n.take(v)], ["word", "near", "near_n"])
 
 
 def near_words(words: DataFrame, stash: Stash | None = None, block: int = BLOCK) -> DataFrame:
@@ -167,13 +209,10 @@ def near_words(words: DataFrame, stash: Stash | None = None, block: int = BLOCK)
     met = met.select("ws", F.when(~same, F.col("other_ws")).alias("other_ws"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            left, right = batch.column(0).to_pylist()[0], batch.column(1).to_pylist()[0]
-            i, j = near_in_blocks([w["word"] for w in left], None if right is None else [w["word"] for w in right])
-            if len(i):
-                u, v = [left[k] for k in i], [(left if right is None else right)[k] for k in j]
-                columns = [pa.array([w["word"] for w in u + v]), pa.array([w["word"] for w in v + u]), pa.array([w["n"] for w in v + u], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "near", "near_n"])
+        for batch in slices(batches, ROWS):
+            out = near_of_rows(batch) if batch.num_rows else None
+            if out is not None:
+                yield out
 
     return met.mapInArrow(run, "word string, near string, near_n long")
 
