@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinsift import tables
 from twinsift.operators import blocking, similar
 from twinsift.operators.blocking import block_cost, choose_blocks, hamming_join, hamming_pairs, radix_key, scan_blocks
 from twinsift.operators.components import connected_components
@@ -250,3 +251,19 @@ def test_near_chain_is_greedy():
         chain.append(min(free, key=lambda j: (min(int(hashes[i] ^ hashes[j]).bit_count() for i in chain[-5:]), j)))
         free.remove(chain[-1])
     assert similar.near_chain(hashes).tolist() == chain
+
+
+def test_tasks_of_a_join_grow_in_number_with_the_copies_of_rows(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [rng.getrandbits(63) << 1 for _ in range(100)]
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(rows + [x ^ 3 << rng.randrange(1, 60) for x in rows[:50]])]
+    for name, value in (("SENT", 500), ("COPY_COST", 0), ("MAX_COPIES", 15), ("ENTRIES", 200)):
+        monkeypatch.setattr(blocking, name, value)
+    found = hamming_pairs(spark.createDataFrame(rows, "id long, phash long"), 5, "phash", "id")
+    assert {(r.id_a, r.id_b) for r in found.collect()} == brute(rows, 5)
+    assert found.rdd.getNumPartitions() > 4
+
+
+def test_hashes_of_all_texts_are_not_sent(spark):
+    plan = tables.media_hashed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
