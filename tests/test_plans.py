@@ -37,6 +37,18 @@ def test_scans_read_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in text
 
 
+@pytest.mark.parametrize("name", ["sim_dct", "similar_groups", "topk"])
+def test_no_table_of_items_is_sent(spark, monkeypatch, name):
+    """At the default threshold of joins, tables that hold a row for every item or class must not pass through the driver."""
+    monkeypatch.setattr(blocking, "FEW", 0)
+    monkeypatch.setattr(blocking, "SENT", 0)
+    monkeypatch.setattr(blocking, "tiles_pay", lambda *_: False)
+    df = q.QUERIES[name](spark, FOLDER)
+    df.collect()
+    text = plan(df)
+    assert "isFinalPlan=true" in text and "SortMergeJoin" in text and "BroadcastExchange" not in text
+
+
 @pytest.mark.parametrize("name", ["catalog_scan", "flt_cmp", "fn_mid", "scan_diff", "dups_md5", "grp_dedupe", "match_flags", "weed_flag", "sort_groups"])
 def test_catalog_work_stays_in_the_jvm(spark, name):
     text = plan(q.QUERIES[name](spark, FOLDER))

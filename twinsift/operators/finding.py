@@ -90,12 +90,12 @@ def similar_groups(
         best = _verified(best, usable, params.tdht, scores, scorer)
     rows = best.select(F.col("needle").alias("group_id"), "media_id", F.col("score").cast("long").alias("score"), "pos")
     heads = rows.select("group_id", F.col("group_id").alias("media_id"), F.lit(0).cast("long").alias("score"), F.lit(0).alias("pos")).distinct()
-    rows = heads.unionByName(rows).join(usable.select(F.col("id").alias("media_id"), "path", "md5"), "media_id")
+    rows = heads.unionByName(rows).join(usable.select(F.col("id").alias("media_id"), "path", "md5").hint("merge"), "media_id")  # a row for every item, see best_matches
     if params.neg and negative is not None:
         rows = groups.drop_negative(rows, negative)
     marked = F.lit(False)
     if weeds is not None:
-        rows = rows.join(weeds.select(F.col("weed_md5").alias("md5"), F.lit(True).alias("_weed")).distinct(), "md5", "left")
+        rows = rows.join(weeds.select(F.col("weed_md5").alias("md5"), F.lit(True).alias("_weed")).distinct().hint("merge"), "md5", "left")
         marked = F.coalesce("_weed", F.lit(False))
     rows = rows.withColumn("weed", marked)
     if params.path:

@@ -65,7 +65,7 @@ def drop_negative(df: DataFrame, negative: DataFrame) -> DataFrame:
     pairs = negative.select(F.least("md5_a", "md5_b").alias("_lo"), F.greatest("md5_a", "md5_b").alias("_hi")).distinct()
     rows = df.withColumn("_n", needle_of("md5"))
     rows = rows.withColumn("_lo", F.least("md5", "_n")).withColumn("_hi", F.greatest("md5", "_n"))
-    needles, matches = rows.where("pos = 0"), rows.where("pos > 0").join(pairs, ["_lo", "_hi"], "left_anti")
+    needles, matches = rows.where("pos = 0"), rows.where("pos > 0").join(pairs.hint("merge"), ["_lo", "_hi"], "left_anti")
     kept = needles.unionByName(matches.select(needles.columns)).drop("_n", "_lo", "_hi")
     return at_least(kept, GROUP, 2)
 
@@ -74,7 +74,7 @@ def dedupe(df: DataFrame) -> DataFrame:
     """Of groups with the same members that with the smallest needle path stays."""
     sets = df.groupBy(GROUP).agg(F.array_sort(F.collect_list("path")).alias("members"), F.min_by("path", "pos").alias("needle_path"))
     first = sets.groupBy("members").agg(F.min(F.struct("needle_path", GROUP)).alias("x"))
-    return df.join(first.select(F.col(f"x.{GROUP}").alias(GROUP)), GROUP, "left_semi")
+    return df.join(first.select(F.col(f"x.{GROUP}").alias(GROUP)).hint("merge"), GROUP, "left_semi")
 
 
 def merge_edges(df: DataFrame) -> DataFrame:
