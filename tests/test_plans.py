@@ -37,7 +37,7 @@ def test_scans_read_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in text
 
 
-@pytest.mark.parametrize("name", ["sim_dct", "similar_groups", "topk"])
+@pytest.mark.parametrize("name", ["sim_dct", "sim_dct_members", "similar_groups", "topk"])
 def test_no_table_of_items_is_sent(spark, monkeypatch, name):
     """At the default threshold of joins, tables that hold a row for every item or class must not pass through the driver."""
     monkeypatch.setattr(blocking, "FEW", 0)
