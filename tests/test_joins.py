@@ -267,3 +267,26 @@ def test_tasks_of_a_join_grow_in_number_with_the_copies_of_rows(spark, monkeypat
 def test_hashes_of_all_texts_are_not_sent(spark):
     plan = tables.media_hashed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("part", [40, 10_000])
+def test_nearest_by_parts_equals_the_best_row_of_a_search(spark, hashes, monkeypatch, part):
+    """A row for each needle, not for each pair, whatever the parts; ties take the smallest id, and copies of hashes count."""
+    monkeypatch.setattr(blocking, "PART", part)
+    media = hashes[1].select("id", F.when(F.col("id") % 9 == 0, F.lit(0)).otherwise(F.col("phash")).cast("long").alias("phash"))
+    media = media.unionByName(media.where("id % 5 = 1").select((F.col("id") + 100_000).alias("id"), F.col("phash").bitwiseXOR(F.lit(6).cast("long")).alias("phash")))
+    needles = media.where("id % 2 = 0").select(F.col("id").alias("needle"), F.col("phash").alias("hash"))
+    for t in (1, 5, 24):
+        best: dict = {}
+        for needle, other, score in similar.search(needles, media.where("id % 2 = 1"), t).collect():
+            best[needle] = min(best.get(needle, (score, other)), (score, other))
+        found = similar.search_nearest(needles, media.where("id % 2 = 1"), t).collect()
+        assert len(found) == len(best) > 0
+        assert {r["needle"]: (r["score"], r["media_id"]) for r in found} == best
+
+
+def test_nearest_of_takes_the_first_of_the_nearest():
+    asked, hashes = np.array([1 << 63, 7, 0], np.uint64), np.array([7, (1 << 63) | 1, (1 << 63) | 2, 5, 3], np.uint64)
+    at, nth, least = blocking.nearest_of(asked, hashes, 2, rows=2)
+    assert at.tolist() == [0, 1] and nth.tolist() == [1, 0] and least.tolist() == [1, 0]
+    assert [len(x) for x in blocking.nearest_of(asked, hashes[:0], 2)] == [0, 0, 0]
