@@ -70,6 +70,18 @@ def test_sampled_tables_keep_their_recall(spark):
     assert few.count() < 10  # hardly a pair agrees on 200 bits
 
 
+def test_tasks_of_sampled_tables_follow_the_pairs(spark, monkeypatch):
+    """Entries of few bytes make many pairs: their tasks are not merged by bytes, and grow in number with the pairs."""
+    monkeypatch.setattr(blocking, "SENT", 0)
+    rows = spark.range(800).select("id", F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b"))
+    plain = dict(left_words=["na", "nb"], right_words=["a", "b"], plan=(3, 30))
+    want = blocking.sampled_join(rows.toDF("n", "na", "nb"), rows, 45, **plain)
+    monkeypatch.setattr(blocking, "PAIRS", 100_000)
+    got = blocking.sampled_join(rows.toDF("n", "na", "nb"), rows, 45, **plain)
+    assert got.rdd.getNumPartitions() > 4 >= want.rdd.getNumPartitions()
+    assert sorted(map(tuple, got.select("n", "id", "distance").collect())) == sorted(map(tuple, want.select("n", "id", "distance").collect()))
+
+
 @pytest.mark.parametrize("hot", [2, 2048])
 def test_hot_buckets_of_sampled_tables(spark, monkeypatch, hot):
     monkeypatch.setattr(blocking, "HOT", hot)
