@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinsift import catalog_queries as q
 from twinsift import tables
 from twinsift.operators import blocking, similar
 from twinsift.operators.blocking import block_cost, choose_blocks, hamming_join, hamming_pairs, radix_key, scan_blocks
@@ -137,6 +138,25 @@ def test_classes_and_counts(hashes):
     assert counts == {i: sum(i in p for p in pairs) for i, _ in real}
 
 
+def test_links_and_members_hold_every_pair(spark, hashes, monkeypatch):
+    """Each pair of items below the threshold, copies of a hash among them, follows from the rows of ``sim_dct``."""
+    rows, df = hashes
+    copies = [(i + 100_000, h) for i, h in rows[::3]] + [(i + 200_000, h) for i, h in rows[::9]] + [(300_000, 0), (300_001, None)]
+    df = df.unionByName(spark.createDataFrame(copies, df.schema))
+    monkeypatch.setattr(q.T, "media_hashed", lambda *_: df)
+    got = [tuple(r) for r in q.QUERIES["sim_dct"](spark, "").collect()]
+    real = [(i, h) for i, h in rows + copies if h]
+    members = {i: {i} for i, _ in real}
+    for a, b, distance in got:
+        if not distance:
+            members[a].add(b)
+    pairs = {(min(a, b), max(a, b)) for own in members.values() for a in own for b in own if a != b}
+    pairs |= {(min(x, y), max(x, y)) for a, b, distance in got if distance for x in members[a] for y in members[b]}
+    assert pairs == brute(real, 5)
+    first = {h: min(i for i, g in real if g == h) for h in {h for _, h in real}}
+    assert sum(not d for _, _, d in got) == len(real) - len(first) and len(got) == len(set(got))
+
+
 def test_best_matches_equal_full_ranking(hashes):
     rows, df = hashes
     classes = similar.hash_classes(df)
