@@ -273,6 +273,21 @@ def test_near_chain_is_greedy():
     assert similar.near_chain(hashes).tolist() == chain
 
 
+def test_a_large_group_is_one_chain(spark, hashes):
+    """Parts are numbers of places only: the chain over them is the one without parts, also where a group is many batches of rows."""
+    media = hashes[1].withColumn("path", F.format_string("p%05d", "id"))
+    reps = sorted(r.id for r in similar.hash_classes(media).select(F.col("rep").alias("id")).collect())
+    links = spark.createDataFrame([(reps[0], i) for i in reps[1:]], "rep_a long, rep_b long")
+    whole, cut = ({r.id: r for r in similar.sort_similar(media, links, most=most).collect()} for most in (10_000, 20))
+    assert {i: (20 * r.part + r.nth, r.copy) for i, r in cut.items()} == {i: (r.nth, r.copy) for i, r in whole.items()}
+    rows = [(i, int(h)) for i, h in enumerate(np.random.default_rng(4).integers(1, 1 << 40, 10_500))]
+    media = spark.createDataFrame(rows, "id long, phash long").withColumn("path", F.format_string("p%05d", "id"))
+    links = media.where("id > 0").select(F.lit(0).cast("long").alias("rep_a"), F.col("id").alias("rep_b"))
+    got = sorted(similar.sort_similar(media, links).collect(), key=lambda r: (r.part, r.nth))
+    assert [r.id for r in got] == similar.near_chain(np.array([h for _, h in rows], np.uint64)).tolist()
+    assert [10_000 * r.part + r.nth for r in got] == list(range(10_500))
+
+
 def test_tasks_of_a_join_grow_in_number_with_the_copies_of_rows(spark, monkeypatch):
     rng = random.Random(6)
     rows = [rng.getrandbits(63) << 1 for _ in range(100)]
