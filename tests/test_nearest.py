@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from twinsift.operators import blocking, groups, similar
 from twinsift.plans import moves
+from twinsift.stash import Stash
 
 
 def signed(x):
@@ -49,6 +50,58 @@ def test_nearest_against_brute_force(spark, monkeypatch, words, sample, few):
     assert sorted(map(tuple, got.select("needle", "nn", "media_id", "no", "distance").collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("words, sample, part, cells", [(1, None, 16_384, 1 << 18), (1, None, 7, 64), (4, None, 30, 64), (4, None, 7, 1 << 18)])
+def test_nearest_by_arrays_of_buckets(spark, monkeypatch, words, sample, part, cells):
+    """The same rows as by comparing all, whatever the parts of a bucket; ties go by the order, and asked hashes need not be rows."""
+    for name, value in (("PAIRS", 0), ("ARRAY_PAIRS", 0), ("PART", part), ("CELLS", cells)):
+        monkeypatch.setattr(blocking, name, value)
+    monkeypatch.setattr(similar, "FEW", 0)
+    monkeypatch.setattr(similar, "hamming_join", None)  # no pair is to be joined as rows
+    monkeypatch.setattr(similar, "sampled_join", None)
+    rng = random.Random(words)
+    base = [tuple(rng.getrandbits(64) & ~1 for _ in range(words)) for _ in range(9)]
+    rows = []
+    for i in range(260):
+        h = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            h[rng.randrange(words)] ^= 1 << rng.randrange(1, 64)
+        rows.append((rng.randrange(50), i, *map(signed, h)))
+    names = [f"d{w}" for w in range(words)]
+    table = spark.createDataFrame(rows, "media_id long, no long, " + ", ".join(f"{n} long" for n in names))
+    asked = [r for r in rows if r[1] % 3] + [(500 + i, i, *map(signed, (b[0] ^ 6, *b[1:]))) for i, b in enumerate(base)]
+    needles = spark.createDataFrame(asked, "needle long, nn long, " + ", ".join(f"n{n} long" for n in names))
+    got = similar.nearest(needles, table.where("no % 5 <> 0"), 4, 3, [f"n{n}" for n in names], names, ["media_id", "no"], sample)
+    want = []
+    for n in asked:
+        near = sorted((apart(n[2:], m[2:]), m[0], m[1]) for m in rows if m[1] % 5 and apart(n[2:], m[2:]) < 4)[:3]
+        want += [(n[0], n[1], m, k, d) for d, m, k in near]
+    assert sorted(map(tuple, got.select("needle", "nn", "media_id", "no", "distance").collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("sample", [None])
+def test_wide_thresholds_on_large_buckets_make_no_row_for_a_pair(spark, monkeypatch, sample):
+    """Hashes that lie close together: all pairs of them are below the threshold, of which tasks hand on the best only."""
+    monkeypatch.setattr(blocking, "PAIRS", 0)
+    rows = spark.range(1024).select(F.col("id").alias("d0"), *(F.lit(7).cast("long").alias(f"d{w}") for w in (1, 2, 3)), F.struct(F.expr("1024 - id").alias("media_id")).alias("_first"))
+    asked = rows.select(*(F.col(f"d{w}").alias(f"n{w}") for w in range(4)))
+    found = blocking.nearest_in_tables(asked, rows, 25, 10, [f"n{w}" for w in range(4)], [f"d{w}" for w in range(4)], sample, Stash(spark))
+    assert sum(r[0] for r in found.groupBy("n0").count().select("count").collect()) == 10 * 1024
+    flips = lambda n: sorted([(0, 1024 - n)] + [(1, 1024 - (n ^ 1 << i)) for i in range(10)])[:10]
+    if sample is None:
+        got = sorted((r.n0, r.distance, r._first.media_id) for r in found.collect())
+        assert got == sorted((n, *x) for n in range(1024) for x in flips(n))
+
+
+def test_few_pairs_and_small_buckets_stay_with_the_join(spark, monkeypatch):
+    rows = spark.range(400).select(F.xxhash64("id").alias("d0"), F.struct("id").alias("_first"))
+    search = lambda: blocking.nearest_in_tables(rows.select(F.col("d0").alias("n0")), rows, 3, 10, ["n0"], ["d0"], None, Stash(spark))
+    assert search() is None
+    monkeypatch.setattr(blocking, "PAIRS", 0)
+    assert search() is None
+    monkeypatch.setattr(blocking, "ARRAY_PAIRS", 0)
+    assert search().count() >= 400
+
+
 def test_sampled_tables_keep_their_recall(spark):
     rng = random.Random(9)
     base = [[rng.getrandbits(64) for _ in range(4)] for _ in range(1500)]
