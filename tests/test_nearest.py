@@ -50,7 +50,7 @@ def test_nearest_against_brute_force(spark, monkeypatch, words, sample, few):
     assert sorted(map(tuple, got.select("needle", "nn", "media_id", "no", "distance").collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("words, sample, part, cells", [(1, None, 16_384, 1 << 18), (1, None, 7, 64), (4, None, 30, 64), (4, None, 7, 1 << 18)])
+@pytest.mark.parametrize("words, sample, part, cells", [(1, None, 16_384, 1 << 18), (1, None, 7, 64), (4, None, 30, 64), (4, (4, 120), 16_384, 64), (4, (4, 120), 7, 1 << 18)])
 def test_nearest_by_arrays_of_buckets(spark, monkeypatch, words, sample, part, cells):
     """The same rows as by comparing all, whatever the parts of a bucket; ties go by the order, and asked hashes need not be rows."""
     for name, value in (("PAIRS", 0), ("ARRAY_PAIRS", 0), ("PART", part), ("CELLS", cells)):
@@ -78,7 +78,7 @@ def test_nearest_by_arrays_of_buckets(spark, monkeypatch, words, sample, part, c
     assert sorted(map(tuple, got.select("needle", "nn", "media_id", "no", "distance").collect())) == sorted(want)
 
 
-@pytest.mark.parametrize("sample", [None])
+@pytest.mark.parametrize("sample", [None, (12, 24)])
 def test_wide_thresholds_on_large_buckets_make_no_row_for_a_pair(spark, monkeypatch, sample):
     """Hashes that lie close together: all pairs of them are below the threshold, of which tasks hand on the best only."""
     monkeypatch.setattr(blocking, "PAIRS", 0)
